@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pii, sharding, toxicity
+from . import chat, langid, mixing, pii, sharding, toxicity
 from .common import id_fold, table
 
 QUERIES: dict = {}
@@ -85,3 +85,32 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(id_fold("doc_id", 5) == 0, F.lit(False))
     model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out))
     return toxicity.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(*chat.prefix_tree(turns))
+
+
+ORACLES["op2_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, len(role) + len(text) + 23
+    + len(regexp_extract_all(role || chr(10) || text, '\\'))
+    + len(regexp_extract_all(role || chr(10) || text, '<\|(turn|text|end)\|>|</?s>|<\|im_(start|end)\||<</?SYS>>|\[/?INST\]')) AS chars
+  FROM turns),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         sum(chars)::BIGINT AS formatted_chars
+  FROM escaped GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
+FROM whole
+"""
