@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, langid, mixing, pii, quality, sharding, toxicity
+from . import ann, chat, jaccard, langid, mixing, pii, quality, sharding, toxicity
 from .common import id_fold, table
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
