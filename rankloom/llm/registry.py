@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, mixing, pii, quality, sharding, toxicity
+from . import ann, chat, jaccard, langid, mixing, pii, quality, sentencepiece_codec, sharding, toxicity
 from .common import id_fold, table
 
 QUERIES: dict = {}
@@ -132,3 +132,15 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+#: The model of the registered query; the path is a parameter of the operator's loader.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_codec.load(SENTENCEPIECE_MODEL)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = sentencepiece_codec.encode(docs, pieces)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(sentencepiece_codec.decode(F.col("ids"), pieces).cast("binary")).alias("decoded_md5"))
