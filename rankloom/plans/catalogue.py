@@ -1,4 +1,11 @@
 """The registered queries of the ranking engine and their SQL."""
 
+from __future__ import annotations
+
+from . import etl, evaluation, ranking, search
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _module in (search, ranking, evaluation, etl):
+    QUERIES |= _module.BOOK.queries
+    ORACLES |= _module.BOOK.oracles
