@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -116,14 +116,16 @@ def _chunks(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
 def learn(labelled: DataFrame, *, per_language: int = 2000, alpha: float = 0.5) -> Model:
     """Fit on (doc_id, text, lang).
 
-    Counts come from at most ``per_language`` rows of each language, those of the
-    least hash of (doc_id): a bounded sample that any rerun draws again.  Rows with
-    null lang or null text teach nothing.  No labelled rows: a model without
-    languages.  Ties of the hash are broken by id.
+    Counts come from about ``per_language`` rows of each language (all, if it has
+    fewer), those with a small hash of the id: a sample of bounded size that any rerun
+    draws again.  Rows with null lang or null text teach nothing.  No labelled rows:
+    a model without languages.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = stage(known.select("doc_id", "lang").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct(), "langid-sample")
+    # Drawn by hash against each language's count, so no task ever holds a language.
+    share = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))  # one row per language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    ids = stage(known.select("doc_id", "lang").join(share, "lang").where(draw * F.col("of") < F.lit(per_language << 30)).select("doc_id", "lang").distinct(), "langid-sample")
     sample = known.join(ids, ["doc_id", "lang"])  # small enough to be broadcast when it is; Spark checks
 
     def count(batches):
