@@ -27,7 +27,7 @@ CONTROL = r"<(?=\|(?:turn|text|end)\|>|/?s>|\|im_(?:start|end)\||</?SYS>>)|\[(?=
 
 def escape(text: Column) -> Column:
     """Backslashes doubled, and one put behind the first character of every control string."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\\\\\"), F.lit(CONTROL), F.lit(r"$0\\"))
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), F.lit(CONTROL), F.lit(r"$0\\"))
 
 
 def unescape(text: Column) -> Column:

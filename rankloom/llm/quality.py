@@ -143,7 +143,7 @@ def fit(patterns: dict[tuple[int, ...], int], names: list[str], *, rounds: int =
             for k in k_all:
                 bad = sum(n * belief[p][k] for p, n in ordered if p[j] == -1)
                 good = sum(n * belief[p][k] for p, n in ordered if p[j] == 1)
-                expected = 0.02 if k == 0 else 0.5 if name in members[k - 1] else 0.1
+                expected = 0.005 if k == 0 else 0.5 if name in members[k - 1] else 0.05
                 rates.append((bad + pseudo * expected) / (bad + good + pseudo))
             log_bad[name] = tuple(math.log(r) for r in rates)
             log_good[name] = tuple(math.log(1 - r) for r in rates)
