@@ -97,6 +97,9 @@ def rules() -> dict[str, Column]:
 #: Kinds of bad text, and the rules that speak for each first; EM is free to change that.
 KINDS = {"noise": ("symbols", "letters"), "repetition": ("dup_lines", "repeats"), "shouting": ("capitals", "bangs"), "fragment": ("length", "word_length", "sentences")}
 
+#: Keeps the classes apart: a rule votes against a good text once in a hundred at most.
+MOST_WRONG = 0.01
+
 
 @dataclass(frozen=True)
 class LabelModel:
@@ -144,7 +147,8 @@ def fit(patterns: dict[tuple[int, ...], int], names: list[str], *, rounds: int =
                 bad = sum(n * belief[p][k] for p, n in ordered if p[j] == -1)
                 good = sum(n * belief[p][k] for p, n in ordered if p[j] == 1)
                 expected = 0.005 if k == 0 else 0.5 if name in members[k - 1] else 0.05
-                rates.append((bad + pseudo * expected) / (bad + good + pseudo))
+                rate = (bad + pseudo * expected) / (bad + good + pseudo)
+                rates.append(min(rate, MOST_WRONG) if k == 0 else rate)
             log_bad[name] = tuple(math.log(r) for r in rates)
             log_good[name] = tuple(math.log(1 - r) for r in rates)
         for p, _ in ordered:
