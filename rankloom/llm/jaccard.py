@@ -15,8 +15,11 @@ segments adds the neighbourhood of its segments with one token deleted, which fi
 one difference more per segment; if even that is not enough, its empty segments too.
 
 Only links that change components are wanted, so members of an entry are compared
-with one centre first, with other centres next, and pair by pair only where their
-components still differ.  Sets that are equal are one set throughout.
+with one centre first, with centres of random small parts of the entry next, and pair
+by pair only where their components still differ.  Before two sets are fetched, the
+parities of their tokens in 1,024 hash cells are compared: each token that only one
+set has flips one cell, so more differing cells than H rule a link out for certain.
+Sets that are equal are one set throughout.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 _32 = np.uint64(32)
 #: Segments that at least so many sets share are ranked by their number; rarer ones are never left out.
 COMMON = 8
-#: Rounds of comparing with one centre per entry before pairs are compared.
-CENTRES = 3
+#: Rounds of comparing with centres before pairs are compared: one centre per entry first, then one per PART members.
+CENTRES, PART = 3, 12
+#: 64-bit words of the parity sketch.
+WORDS = 16
 
 
 def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
@@ -183,8 +188,28 @@ def set_entries(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
     return docs.mapInArrow(_per_text(k, make, names), "doc_id long, entries array<long>, slack0 int, slack1 int")
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def set_tokens(docs: DataFrame, k: int) -> DataFrame:
-    return docs.mapInArrow(_per_text(k, lambda sets: [_lists(sets)], ["tokens"]), "doc_id long, tokens array<long>")
+    """doc_id, size, tokens and the parity sketch p0, p1, ..."""
+    names = ["size", "tokens", *(f"p{i}" for i in range(WORDS))]
+
+    def make(sets):
+        sketch = np.array([_parities(s) for s in sets], np.int64).reshape(len(sets), WORDS)
+        return [pa.array([len(s) for s in sets], pa.int64()), _lists(sets), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(WORDS))]
+
+    schema = "doc_id long, size long, tokens array<long>, " + ", ".join(f"p{i} long" for i in range(WORDS))
+    return docs.mapInArrow(_per_text(k, make, names), schema)
+
+
+def _may_link(a: str, b: str, num: int, den: int):
+    """What the sizes and sketches of two sets allow; false only where they cannot link."""
+    na, nb = F.col(f"{a}.size"), F.col(f"{b}.size")
+    differing = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(WORDS)), F.lit(0))
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (differing * (den + num) <= (den - num) * (na + nb))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,10 +269,10 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     ranked = often.join(slack, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", parity).orderBy(F.desc("n"), "entry")))
     kept = ranked.where(F.col("rank") > F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")))
     members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")), "jaccard-members")
-    tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k).withColumn("size", F.size("tokens")), "jaccard-tokens")
+    tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens")
+    facts = tokens.drop("tokens")
 
     chained = named.join(firsts, same).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    # Different sets under one id are one node.
     links = stage(chained.select("a", "b"), "jaccard-copies")
     real: DataFrame | None = None
     tested: DataFrame | None = None
@@ -258,19 +283,24 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
             rows = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
         else:
             rows = members.withColumn("label", F.col("doc_id"))
-        spread = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("doc_id", F.lit(step)), "doc_id", "label")).alias("c")).where("lo <> hi")
+        spread = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("entry", "n")
+        mixed = stage(rows.join(spread, "entry"), f"jaccard-mixed{step}")
         if step < CENTRES:
-            pairs = rows.join(spread, "entry").where(F.col("label") != F.col("c.label")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+            parts = F.greatest(F.lit(1), F.floor(F.col("n") / PART)) if step else F.lit(1)
+            dealt = mixed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(step)), parts))
+            centre = dealt.groupBy("entry", "part").agg(F.min(F.struct(F.xxhash64("entry", "doc_id", F.lit(-step)), "doc_id", "label")).alias("c"))
+            pairs = dealt.join(centre, ["entry", "part"]).where(F.col("label") != F.col("c.label")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+            pairs = _near(pairs.distinct(), facts, num, den)
         else:
-            mixed = stage(rows.join(spread.select("entry"), "entry", "left_semi"), "jaccard-mixed")
-            other = mixed.select("entry", F.col("doc_id").alias("b"), F.col("label").alias("label_b"))
-            pairs = mixed.join(other, "entry").where((F.col("label") != F.col("label_b")) & (F.col("doc_id") < F.col("b"))).select(F.col("doc_id").alias("a"), "b")
-        pairs = pairs.distinct()
+            known = mixed.join(facts, "doc_id")
+            x, y = known.alias("x"), known.alias("y")
+            pairs = x.join(y, (F.col("x.entry") == F.col("y.entry")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _may_link("x", "y", num, den))
+            pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stage(pairs, f"jaccard-pairs{step}")
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else stage(tested.unionByName(pairs), "jaccard-tested")
         found = stage(_verified(pairs, tokens, num, den), f"jaccard-links{step}")
         real = found if real is None else real.unionByName(found)
@@ -282,18 +312,18 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
+def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that sizes and sketches do not rule out."""
+    x, y = facts.alias("x"), facts.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.doc_id")).join(y, F.col("b") == F.col("y.doc_id"))
+    return both.where(_may_link("x", "y", num, den)).select("a", "b")
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets are similar; sizes are checked before the sets are fetched."""
-    sizes = tokens.select("doc_id", "size")
-    close = (
-        pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("size").alias("na")), "a")
-        .join(sizes.select(F.col("doc_id").alias("b"), F.col("size").alias("nb")), "b")
-        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        .select("a", "b")
-    )
+    """The pairs whose sets are similar."""
     left, right = (tokens.select(F.col("doc_id").alias(c), F.col("tokens").alias("t" + c)) for c in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
-    return close.join(left, "a").join(right, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
 def _release(df: DataFrame) -> None:
