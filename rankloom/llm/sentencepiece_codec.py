@@ -8,24 +8,24 @@ grouped by unit and folded by Spark's ``aggregate``.  The fold is Viterbi for un
 models.  For BPE models the best-scoring path is not what the library's encoder
 returns, so there the fold over the same edges is the encoder's own rule, the
 best-ranked merge of two neighbours first; the state is a bit mask of boundaries.
-Documents then look up their units.
+Buckets of documents then look up their distinct units.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
-
 SPACE = "▁"
 #: Longest unit whose boundaries fit the fold's mask; longer units take the same rule in plain code.
 LONGEST = 60
-#: Units by falling frequency whose ids are broadcast: a fixed number, so hot units are never shuffled.
-FREQUENT = 1 << 16
+#: Bytes of text a bucket holds about; its distinct units are held in memory.
+BUCKET = 16 << 20
 #: Fixed value: how much worse than the worst piece the library's unigram encoder rates an unknown character.
 UNKNOWN_PENALTY = 10.0
 
@@ -67,6 +67,8 @@ def load(path: str) -> Pieces:
     normal = {p.piece: i for i, p in enumerate(model.pieces) if kind[i] == 1}
     if any(p.rstrip(SPACE) and SPACE in p.strip(SPACE) or p.endswith(SPACE) and p.strip(SPACE) for p in normal):
         raise ValueError("a piece reaches across the beginning of a word")
+    if len(kind) > 1 << 20:
+        raise ValueError("the model has more than 2^20 pieces")
     byte_ids = [i for i, k in kind.items() if k == 6]
     texts = tuple(
         p.piece.replace(SPACE, " ").encode() if kind[i] == 1 else bytes([int(p.piece[3:5], 16)]) if kind[i] == 6 else b" \xe2\x81\x87 " if kind[i] == 2 else b""
@@ -77,17 +79,22 @@ def load(path: str) -> Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """piece, id, score; and an empty piece that gives every unit an edge, so units of unknown characters stay."""
-    rows = [(p, i, pieces.scores[p]) for p, i in pieces.ids.items()] + [("", -1, 0.0)]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """piece, id, score, rank; and an empty piece that gives every unit an edge, so units of unknown characters stay."""
+    ranks = {score: r for r, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}
+    rows = [(p, i, pieces.scores[p], ranks[pieces.scores[p]]) for p, i in pieces.ids.items()] + [("", 0, 0.0, 0)]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
+
+
+def _pattern(alone: str) -> str:
+    """Java's and Python's pattern of a unit, once spaces are U+2581."""
+    apart = f"[{alone}]|" if alone else ""
+    return f"{apart}{SPACE}*+[^{SPACE}{alone}]++|{SPACE}++"
 
 
 def units(text, alone: str):
     """The units of a text: runs of spaces with the characters after them, and single separating characters."""
     spaced = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    apart = f"[{alone}]|" if alone else ""
-    pattern = f"{apart}{SPACE}*+[^{SPACE}{alone}]++|{SPACE}++"
-    return F.when(F.coalesce(text, F.lit("")) != "", F.regexp_extract_all(spaced, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(text, F.lit("")) != "", F.regexp_extract_all(spaced, F.lit(_pattern(alone)), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def _fallback(pieces: Pieces, char: str) -> str:
@@ -98,37 +105,38 @@ def _fallback(pieces: Pieces, char: str) -> str:
 
 
 def encode_units(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n) -> (unit, n, ids): the lattice of each distinct unit, folded."""
-    spark = vocabulary.sparkSession
-    sized = vocabulary.withColumn("size", F.length("unit"))
-    spans = F.expr(f"flatten(transform(sequence(0, size - 1), b -> transform(sequence(1, least({pieces.longest}, size - b)), l -> named_struct('b', b, 'l', l, 'piece', substring(unit, b + 1, l)))))")
-    none = F.array(F.struct(F.lit(0).alias("b"), F.lit(0).alias("l"), F.lit("").alias("piece")))
-    edges = (
-        sized.where(F.col("size") <= LONGEST)
-        .select("unit", "n", F.explode(F.concat(none, spans)).alias("s"))
-        .select("unit", "n", "s.b", "s.l", "s.piece")
-        .join(F.broadcast(piece_table(spark, pieces)), "piece")  # as large as the model's vocabulary
-    )
-    folded = _viterbi(edges, pieces) if pieces.unigram else _merges(edges, pieces)
-    long = sized.where(F.col("size") > LONGEST).select("unit", "n")
+    """(unit, n) -> (unit, n, ids): the lattice of each distinct unit of at most LONGEST characters, folded.
 
-    def plain(batches):
-        for batch in batches:
-            done = [encode_unit(u, pieces) for u in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(done, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
-
-    return folded.unionByName(long.mapInArrow(plain, "unit string, n long, ids array<int>"))
+    A vocabulary that is partitioned by unit is not shuffled again.
+    """
+    spans = (
+        vocabulary.withColumn("size", F.length("unit"))
+        .where((F.col("size") > 0) & (F.col("size") <= LONGEST))
+        .select("unit", "n", "size", F.explode(F.expr("sequence(0, size - 1)")).alias("b"))
+        .select("unit", "n", "b", F.explode(F.expr(f"sequence(if(b = 0, 0, 1), least({pieces.longest}, size - b))")).alias("l"))
+        .select("unit", "n", "b", "l", F.expr("substring(unit, b + 1, l)").alias("piece"))
+    )
+    edges = spans.join(F.broadcast(piece_table(vocabulary.sparkSession, pieces)), "piece")  # as large as the model's vocabulary
+    return _viterbi(edges, pieces) if pieces.unigram else _merges(edges, pieces)
 
 
 def _merges(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "b", "l", "id"))).alias("edges"))
-    masked = F.expr("transform(filter(edges, e -> e.l > 0), e -> named_struct('b', e.b, 'l', e.l, 'id', e.id, 'ends', shiftleft(1L, e.b) | shiftleft(1L, e.b + e.l), 'inner', shiftleft(shiftleft(1L, e.l - 1) - 1, e.b + 1)))")
+    """An edge is one long: rank, start (6 bits), length (6 bits), id (20 bits), so edges sort by rank, then start."""
+    code = F.expr("shiftleft(rank, 32) | shiftleft(cast(b as bigint), 26) | shiftleft(cast(l as bigint), 20) | id")
+    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(code)).alias("edges"))
+    start, length = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
+    masked = F.expr(f"""
+        transform(filter(edges, e -> {length} > 0), e -> named_struct('b', {start}, 'l', {length}, 'id', cast(e & 1048575 as int),
+          'ends', shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}), 'inner', shiftleft(shiftleft(1L, {length} - 1) - 1, {start} + 1)))""")
+    # The mask of boundaries loses one bit a merge; it turns negative once no merge is left.
     mask = F.expr("""
         aggregate(if(size >= 2, sequence(2, size), cast(array() as array<int>)), shiftleft(1L, size + 1) - 1,
-          (m, i) -> m & ~coalesce(get(filter(longer, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, 0L))""")
+          (m, i) -> if(m < 0, m, m ^ coalesce(m & get(filter(longer, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, shiftleft(1L, 63))),
+          m -> m & ~shiftleft(1L, 63))""")
     ids = F.expr(f"""
-        flatten(transform(filter(sequence(0, size - 1), b -> (mask & shiftleft(1L, b)) != 0), b ->
-          if(exists(final, e -> e.b = b), transform(filter(final, e -> e.b = b), e -> e.id), {_fallback(pieces, 'substring(unit, b + 1, 1)')})))""")
+        if(size(final) = bit_count(mask) - 1, transform(array_sort(transform(final, e -> shiftleft(cast(e.b as bigint), 32) | e.id)), x -> cast(x & 4294967295 as int)),
+          flatten(transform(filter(sequence(0, size - 1), b -> (mask & shiftleft(1L, b)) != 0), b ->
+            if(exists(final, e -> e.b = b), transform(filter(final, e -> e.b = b), e -> e.id), {_fallback(pieces, 'substring(unit, b + 1, 1)')}))))""")
     return (
         grouped.withColumn("size", F.length("unit"))
         .withColumn("edges", masked)
@@ -212,23 +220,48 @@ def encode_unit(unit: str, pieces: Pieces) -> list[int]:
 def encode(documents: DataFrame, pieces: Pieces) -> DataFrame:
     """doc_id and ids (array of int) for every row of documents (doc_id, text); ids equal the library's.
 
-    Null and empty texts have no ids.  Repeated rows each get their ids; ids and texts
-    that tie are told apart by a hash of both.  No rows: no rows.  A text's own U+2581
-    encodes like a space, as in the library.
+    Documents are dealt into buckets of about BUCKET bytes of text by a hash of id and
+    text.  The distinct units of each bucket look up the ids of the distinct units of
+    all, and come back to their bucket, where texts are put together: what is shuffled
+    is the texts once and the distinct units of buckets twice, never every occurrence.
+    A unit has at most one row a bucket, so frequent units are no hot keys.
+
+    Null and empty texts have no ids.  Repeated rows each get their ids.  No rows: no
+    rows.  A text's own U+2581 encodes like a space, as in the library.
     """
-    docs = documents.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    pieces_of = units(F.col("text"), pieces.alone)
-    counted = docs.select(F.explode(pieces_of).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    dictionary = stage(encode_units(counted, pieces), "piece-units")
-    frequent = stage(dictionary.orderBy(F.desc("n"), "unit").limit(FREQUENT).select("unit", "ids"), "piece-frequent")
-    rare = dictionary.join(frequent.select("unit"), "unit", "left_anti").select("unit", "ids")
-    placed = docs.select("doc_id", "key", F.posexplode(pieces_of).alias("pos", "unit")).join(F.broadcast(frequent), "unit", "left")  # at most FREQUENT rows
-    known = placed.where(F.col("ids").isNotNull()).select("doc_id", "key", "pos", "ids")
-    sought = placed.where(F.col("ids").isNull()).drop("ids").join(rare, "unit").select("doc_id", "key", "pos", "ids")
-    whole = known.unionByName(sought).groupBy("doc_id", "key").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rows = docs.select("doc_id", "key")
-    same = (rows["key"] == whole["key"]) & rows["doc_id"].eqNullSafe(whole["doc_id"])
-    return rows.join(whole, same, "left").select(rows["doc_id"], F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    spark = documents.sparkSession
+    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    sought = dealt.select("bucket", F.explode(units(F.col("text"), pieces.alone)).alias("unit")).distinct().where(F.length("unit") <= LONGEST).repartition("unit")
+    dictionary = encode_units(sought.groupBy("unit").agg(F.min("bucket").alias("n")), pieces)
+    # The condition always holds; it makes both uses of the shuffle by unit read the same columns, so it is done once.
+    found = sought.join(dictionary, "unit").where(F.col("bucket") >= F.col("n")).select(F.col("bucket").alias("home"), "unit", "ids")
+
+    def gather(known: pa.Table, texts: pa.Table) -> pa.Table:
+        ids = known.column("ids").combine_chunks()
+        ends, raw = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("int32").tobytes()
+        coded = _Coded(zip(known.column("unit").to_pylist(), (raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))))
+        coded.pieces = pieces
+        cut, code = re.compile(_pattern(pieces.alone)).findall, coded.__getitem__
+        done = [b"".join(map(code, cut(SPACE + t.replace(" ", SPACE)))) if t else b"" for t in texts.column("text").to_pylist()]
+        offsets = np.cumsum([0] + [len(x) // 4 for x in done], dtype="int32")
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(done), "int32")))
+        return pa.table({"doc_id": texts.column("doc_id"), "ids": lists})
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return found.groupBy("home").cogroup(dealt.groupBy("bucket")).applyInArrow(gather, f"doc_id {kind}, ids array<int>")
+
+
+class _Coded(dict):
+    """Ids of units, as bytes; units too long for the fold are encoded when first met."""
+
+    pieces: Pieces
+
+    def __missing__(self, unit: str) -> bytes:
+        self[unit] = out = np.array(encode_unit(unit, self.pieces), "int32").tobytes()
+        return out
 
 
 def decode(ids, pieces: Pieces):
@@ -236,4 +269,4 @@ def decode(ids, pieces: Pieces):
     table = F.split(F.lit(",".join((t or b"").hex() for t in pieces.texts)), ",")
     hexed = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
     text = F.decode(F.unhex(hexed), "UTF-8")
-    return F.regexp_replace(text, "^ ", "")
+    return F.when(text.startswith(" "), text.substr(F.lit(2), F.length(text))).otherwise(text)
