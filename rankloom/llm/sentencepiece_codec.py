@@ -121,30 +121,32 @@ def encode_units(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _merges(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """An edge is one long: rank, start (6 bits), length (6 bits), id (20 bits), so edges sort by rank, then start."""
-    code = F.expr("shiftleft(rank, 32) | shiftleft(cast(b as bigint), 26) | shiftleft(cast(l as bigint), 20) | id")
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(code)).alias("edges"))
-    start, length = "cast(shiftright(e, 26) & 63 as int)", "cast(shiftright(e, 20) & 63 as int)"
-    masked = F.expr(f"""
-        transform(filter(edges, e -> {length} > 0), e -> named_struct('b', {start}, 'l', {length}, 'id', cast(e & 1048575 as int),
-          'ends', shiftleft(1L, {start}) | shiftleft(1L, {start} + {length}), 'inner', shiftleft(shiftleft(1L, {length} - 1) - 1, {start} + 1)))""")
+    """Edges get their masks and codes (start, then id in 20 bits) before they are grouped, where code generation reaches."""
+    coded = edges.select(
+        "unit", "n", "l",
+        F.expr("shiftleft(rank, 6) | b").alias("turn"),
+        F.expr("shiftleft(1L, b) | shiftleft(1L, b + l)").alias("ends"),
+        F.expr("if(l > 1, shiftleft(shiftleft(1L, l - 1) - 1, b + 1), 0L)").alias("inner"),
+        F.expr("shiftleft(cast(b as bigint), 20) | id").alias("code"),
+    )
+    grouped = coded.groupBy("unit").agg(
+        F.first("n").alias("n"),
+        F.sort_array(F.collect_list(F.when(F.col("l") > 1, F.struct("turn", "ends", "inner", "code")))).alias("longer"),
+        F.collect_list(F.when(F.col("l") == 1, F.col("code"))).alias("single"),
+    )
     # The mask of boundaries loses one bit a merge; it turns negative once no merge is left.
     mask = F.expr("""
-        aggregate(if(size >= 2, sequence(2, size), cast(array() as array<int>)), shiftleft(1L, size + 1) - 1,
+        aggregate(if(length(unit) >= 2, sequence(2, length(unit)), cast(array() as array<int>)), shiftleft(1L, length(unit) + 1) - 1,
           (m, i) -> if(m < 0, m, m ^ coalesce(m & get(filter(longer, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, shiftleft(1L, 63))),
           m -> m & ~shiftleft(1L, 63))""")
+    final = F.expr("""
+        sort_array(concat(transform(filter(longer, e -> (m & e.ends) = e.ends and (m & e.inner) = 0), e -> e.code),
+          filter(single, e -> (shiftright(m, cast(shiftright(e, 20) as int)) & 3) = 3)))""".replace("m &", "mask &").replace("(m,", "(mask,"))
     ids = F.expr(f"""
-        if(size(final) = bit_count(mask) - 1, transform(array_sort(transform(final, e -> shiftleft(cast(e.b as bigint), 32) | e.id)), x -> cast(x & 4294967295 as int)),
-          flatten(transform(filter(sequence(0, size - 1), b -> (mask & shiftleft(1L, b)) != 0), b ->
-            if(exists(final, e -> e.b = b), transform(filter(final, e -> e.b = b), e -> e.id), {_fallback(pieces, 'substring(unit, b + 1, 1)')}))))""")
-    return (
-        grouped.withColumn("size", F.length("unit"))
-        .withColumn("edges", masked)
-        .withColumn("longer", F.expr("filter(edges, e -> e.l > 1)"))
-        .withColumn("mask", mask)
-        .withColumn("final", F.expr("filter(edges, e -> (mask & e.ends) = e.ends and (mask & e.inner) = 0)"))
-        .select("unit", "n", ids.alias("ids"))
-    )
+        if(size(final) = bit_count(mask) - 1, transform(final, e -> cast(e & 1048575 as int)),
+          flatten(transform(filter(sequence(0, length(unit) - 1), b -> (mask & shiftleft(1L, b)) != 0), b ->
+            if(exists(final, e -> shiftright(e, 20) = b), transform(filter(final, e -> shiftright(e, 20) = b), e -> cast(e & 1048575 as int)), {_fallback(pieces, 'substring(unit, b + 1, 1)')}))))""")
+    return grouped.withColumn("mask", mask).withColumn("final", final).select("unit", "n", ids.alias("ids"))
 
 
 def _viterbi(edges: DataFrame, pieces: Pieces) -> DataFrame:
@@ -233,7 +235,8 @@ def encode(documents: DataFrame, pieces: Pieces) -> DataFrame:
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
-    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"), F.lit(0))  # never null, so no filter tells the shuffles apart
+    dealt = docs.withColumn("bucket", bucket).repartition(buckets, "bucket")
     sought = dealt.select("bucket", F.explode(units(F.col("text"), pieces.alone)).alias("unit")).distinct().where(F.length("unit") <= LONGEST).repartition("unit")
     dictionary = encode_units(sought.groupBy("unit").agg(F.min("bucket").alias("n")), pieces)
     # The condition always holds; it makes both uses of the shuffle by unit read the same columns, so it is done once.
