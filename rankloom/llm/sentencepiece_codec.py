@@ -26,6 +26,8 @@ SPACE = "▁"
 LONGEST = 60
 #: Bytes of text a bucket holds about; its distinct units are held in memory.
 BUCKET = 16 << 20
+#: Partitions of units for each bucket: a unit has some twenty edges, so that grouping them needs small partitions to stay in memory.
+SPREAD = 4
 #: Fixed value: how much worse than the worst piece the library's unigram encoder rates an unknown character.
 UNKNOWN_PENALTY = 10.0
 
@@ -237,7 +239,7 @@ def encode(documents: DataFrame, pieces: Pieces) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"), F.lit(0))  # never null, so no filter tells the shuffles apart
     dealt = docs.withColumn("bucket", bucket).repartition(buckets, "bucket")
-    sought = dealt.select("bucket", F.explode(units(F.col("text"), pieces.alone)).alias("unit")).distinct().where(F.length("unit") <= LONGEST).repartition("unit")
+    sought = dealt.select("bucket", F.explode(units(F.col("text"), pieces.alone)).alias("unit")).distinct().where(F.length("unit") <= LONGEST).repartition(SPREAD * buckets, "unit")
     dictionary = encode_units(sought.groupBy("unit").agg(F.min("bucket").alias("n")), pieces)
     # The condition always holds; it makes both uses of the shuffle by unit read the same columns, so it is done once.
     found = sought.join(dictionary, "unit").where(F.col("bucket") >= F.col("n")).select(F.col("bucket").alias("home"), "unit", "ids")
