@@ -57,24 +57,27 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap:
     )
 
 
-def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", hash_digits: int = 2) -> DataFrame:
+def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", hash_digits: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """Copies of every document in the mix.
 
     Returns one row per input row: doc_id, size (words), source_size, target
     (words, of its source) and copies (0 or more; never above ``cap`` rounded up).
     ``seed`` fixes the random offsets; reruns and other partitionings agree.
     ``hash_digits`` hexadecimal digits of the id's hash split each size class.
+    ``keep`` columns follow, as they are; they break ties and must not be named like
+    other columns here.
 
     Null or empty text: size 0; such rows are laid out like any other and take no
     words.  Null source: a source of its own.  Null or repeated ids: allowed, rows
     that are equal in id, source and size are interchangeable.  No rows: no rows.
-    Other columns are ignored, whatever their names.
+    Columns other than ``keep`` are ignored, whatever their names.
     """
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = stage(
-        documents.select("doc_id", "source", word_count("text").alias("size")).select(
+        documents.select("doc_id", "source", word_count("text").alias("size"), *keep).select(
             "doc_id",
             "source",
+            *keep,
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
             "size",
             size_class("size").alias("class"),
@@ -91,7 +94,7 @@ def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
     classes = cells.groupBy("skey", "class").agg(F.sum("n").alias("n")).select("skey", "class", F.coalesce(F.sum("n").over(in_source), F.lit(0)).alias("class_base"))
     bases = cells.withColumn("cell_base", F.coalesce(F.sum("n").over(in_class), F.lit(0))).join(classes, ["skey", "class"]).select("skey", "class", "cell", (F.col("class_base") + F.col("cell_base")).alias("base"))
 
-    in_cell = Window.partitionBy("skey", "class", "cell").orderBy("hash", F.col("doc_id").asc_nulls_first(), "size")
+    in_cell = Window.partitionBy("skey", "class", "cell").orderBy("hash", F.col("doc_id").asc_nulls_first(), "size", *keep)
     offset = (F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.col("skey")).cast("binary")), 1, 4), 16, 10).cast("double") + 0.5) / OFFSET_STEPS
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     ranked = sized.withColumn("rank", F.row_number().over(in_cell)).join(bases, ["skey", "class", "cell"]).withColumn("rank", F.col("base") + F.col("rank"))
@@ -100,7 +103,7 @@ def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
         .withColumn("rate", rate)
         .withColumn("offset", offset)
         .withColumn("crossed", F.floor(F.col("rate") * F.col("rank") + F.col("offset")) - F.floor(F.col("rate") * (F.col("rank") - 1) + F.col("offset")))
-        .select("doc_id", "size", "source_size", "target", F.least(F.col("crossed"), F.ceil("rate")).cast("int").alias("copies"))
+        .select("doc_id", "size", "source_size", "target", F.least(F.col("crossed"), F.ceil("rate")).cast("int").alias("copies"), *keep)
     )
 
 
@@ -110,11 +113,12 @@ def size_class(size: str):
     return F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.substring(bits, 2, 3))
 
 
-def apply_mix(documents: DataFrame, copies: DataFrame, n_copies: str = "copies") -> DataFrame:
-    """``documents`` with every row repeated as often as ``copies`` (doc_id, copies) says.
+def apply_mix(documents: DataFrame, **how) -> DataFrame:
+    """``documents`` with every row as often as ``mix`` takes it; ``how`` are arguments of ``mix``.
 
-    Ids must be unique; rows without a match (null ids) go.
+    Rows are told apart by a number of their own, fixed by staging, so null and
+    repeated ids are rows like any other.
     """
-    taken = copies.where(F.col(n_copies) > 0).select(F.col("doc_id").alias("__id"), F.col(n_copies).alias("__n"))
-    joined = documents.join(taken, documents["doc_id"] == F.col("__id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[documents[c] for c in documents.columns])
+    rows = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, keep=("__row",), **how).where("copies > 0").select("__row", F.col("copies").alias("__n"))
+    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)

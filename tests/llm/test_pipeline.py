@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from rankloom.llm import jaccard
+from rankloom.llm import jaccard, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +29,15 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert docs.columns == ["doc_id", "n_tokens", "ids"]
     assert max(Counter(r.doc_id for r in docs.select("doc_id").collect()).values()) <= 2
     assert sizes[0] > sizes[1] == sizes[2]
+
+
+def test_mix_takes_rows_without_an_id_of_their_own(spark):
+    rows = [(None, f"null {i} " + "word " * 8, "en", "s", None) for i in range(6)] + [(7, f"again {i} " + "word " * 8, "en", "s", None) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = mixing.mix(docs).collect()
+    out = [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, SF).collect()]
+    taken = Counter()
+    for r in copies:
+        taken[r.doc_id] += r.copies
+    assert taken[None] > 0 and Counter(r[0] for r in out) == taken
+    assert set(out) <= set(rows) and max(Counter(out).values()) <= 2
