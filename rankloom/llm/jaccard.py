@@ -338,3 +338,17 @@ def keep_first(documents: DataFrame, joined: DataFrame) -> DataFrame:
     """``documents`` without those that are linked to one with a smaller id; rows with a null id stay."""
     gone = joined.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
+
+
+def one_of_each(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``documents`` with one row of each group of linked texts: the one with the least doc_id, nulls last.
+
+    Rows are told apart by a number of their own, fixed by staging, so copies without
+    an id and rows that repeat an id are compared like any others.  Texts without
+    words link with nothing and stay.
+    """
+    rows = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
+    joined = join_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=k, num=num, den=den)
+    groups = joined.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    return rows.join(first.select("first.__row"), "__row", "left_semi").select(*documents.columns)

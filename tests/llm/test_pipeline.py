@@ -41,3 +41,13 @@ def test_mix_takes_rows_without_an_id_of_their_own(spark):
         taken[r.doc_id] += r.copies
     assert taken[None] > 0 and Counter(r[0] for r in out) == taken
     assert set(out) <= set(rows) and max(Counter(out).values()) <= 2
+
+
+def test_near_duplicates_leave_one_row_whatever_the_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "quite another text of more than five words"
+    rows = [(None, text), (5, text), (3, text), (3, text), (None, text), (None, other), (None, other), (3, "id three has a second text here"), (8, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(3, text), (None, other), (3, rows[7][1]), (8, None), (9, None)])
