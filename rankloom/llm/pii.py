@@ -45,6 +45,8 @@ PATTERN = re.compile(
 )
 #: A text with neither a digit nor an at sign holds nothing that PATTERN finds.
 HINT = re.compile(r"[0-9@]")
+#: What a rejected span gives up before matching goes on.
+GROUP = re.compile(r"\W*\w+", re.ASCII)
 
 
 class Permuter:
@@ -129,6 +131,16 @@ def _iban(p: Permuter, s: str) -> str | None:
     return _refill(s, f"{raw[:2]}{check:02d}{body}")
 
 
+def _iban_inside(p: Permuter, s: str) -> tuple[int, int, str] | None:
+    """The number that a span begins with, if it ends at a blank: start, end, pseudonym."""
+    length = IBAN_LENGTHS.get(s[:2])
+    ends = [i for i, c in enumerate(s, 1) if c != " "]
+    if length is None or length >= len(ends) or s[ends[length - 1]] != " ":
+        return None
+    new = _iban(p, s[: ends[length - 1]])
+    return new and (0, ends[length - 1], new)
+
+
 def _day(y: str, m: str, d: str) -> int | None:
     try:
         day = dt.date(int(y), int(m), int(d)).toordinal()
@@ -196,6 +208,23 @@ def _card(p: Permuter, s: str) -> str | None:
     return _refill(s, body + str(luhn_digit(body)))
 
 
+def _card_inside(p: Permuter, s: str) -> tuple[int, int, str] | None:
+    """The longest valid number between separators of a span, the first of equals: start, end, pseudonym."""
+    groups = [m.span() for m in re.finditer(r"\d+", s)]
+    spans = []
+    for i, (start, _) in enumerate(groups):
+        digits = 0
+        for a, b in groups[i:]:
+            digits += b - a
+            if 13 <= digits <= 19:
+                spans.append((-digits, start, b))
+    for _, start, end in sorted(spans):
+        new = _card(p, s[start:end])
+        if new is not None:
+            return start, end, new
+    return None
+
+
 def _nanp_ok(v: int) -> bool:
     return v // 10**9 >= 2 and v // 10**6 % 10 >= 2
 
@@ -215,26 +244,35 @@ def _phone(p: Permuter, s: str) -> str | None:
 
 
 HANDLERS = {"email": _email, "iban": _iban, "date": _date, "wdate": _wdate, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
+#: Kinds whose spans may take in neighbouring groups: what finds a valid value inside of one.
+INSIDE = {"iban": _iban_inside, "card": _card_inside}
 
 
 def pseudonymise(p: Permuter, text: str) -> tuple[str, dict[str, int]]:
-    """The text with every validated value replaced, and how many of each kind there were."""
+    """The text with every validated value replaced, and how many of each kind there were.
+
+    A span that does not validate is searched for a shorter card number or IBAN between
+    its separators; if there is none, matching goes on behind its first group.
+    """
     if not HINT.search(text):
         return text, {}
     found: dict[str, int] = {}
-
-    def swap(m: re.Match) -> str:
-        kind = m.lastgroup
+    parts, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        kind, (start, end) = m.lastgroup, m.span()
         new = HANDLERS[kind](p, m[0])
+        if new is None and kind in INSIDE and (inside := INSIDE[kind](p, m[0])):
+            start, end, new = m.start() + inside[0], m.start() + inside[1], inside[2]
         if new is None and kind == "card":  # digits in groups may still be a telephone number
             kind, new = "phone", _phone(p, m[0]) if len(m[0]) > 12 and m[0][0] != "0" and not m[0].isdigit() and len(re.sub(r"\D", "", m[0])) <= 13 else None
         if new is None:
-            return m[0]
+            at = GROUP.match(text, start).end()
+            continue
+        parts += text[done:start], new
+        done = at = end
         kind = "date" if kind == "wdate" else kind
         found[kind] = found.get(kind, 0) + 1
-        return new
-
-    return PATTERN.sub(swap, text), found
+    return "".join(parts) + text[done:], found
 
 
 def apply_pseudonyms(documents: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:

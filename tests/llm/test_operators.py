@@ -113,6 +113,30 @@ def test_pseudonyms_are_valid_linked_and_distinct():
     assert pii.pseudonymise(p, "Version 4.0, 4041894974608796, 2023-02-30, 999.1.1.1, 300.2")[1] == {}
 
 
+CARD, IBAN = "4785380592391139", "BE68 5390 0754 7034"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"{CARD} 123", "4785 3805 9239 1139 12/27", f"on 3 {CARD}", f"{CARD} 2 items", f"12 36 {CARD} 6", "1234 5679 4785 3805 9239 1139",
+        "4785-3805-9239-1139-123", "$12.34 4785 3805 9239 1139", "12 4785 3805 9239 1139", "NO12 4785 3805 9239 1139",
+    ],
+)
+def test_cards_beside_other_numbers(text):
+    new, found = pii.pseudonymise(pii.Permuter(b"k"), text)
+    card = re.search(r"4785([ -]?)3805\1?9239\1?1139", text)
+    assert found == {"card": 1} and len(new) == len(text)
+    assert new[: card.start()] == text[: card.start()] and new[card.end() :] == text[card.end() :]
+    assert re.sub(r"\D", "", new[slice(*card.span())]) == re.sub(r"\D", "", pii.pseudonymise(pii.Permuter(b"k"), CARD)[0])
+
+
+@pytest.mark.parametrize("text", [f"{IBAN} 2024", f"{IBAN} INVOICES 7", f"{IBAN} EUR", f"AB12 3456 {IBAN}", f"XX12 {IBAN} 2024 1234"])
+def test_ibans_beside_other_groups(text):
+    new, found = pii.pseudonymise(pii.Permuter(b"k"), text)
+    assert found == {"iban": 1} and new == text.replace(IBAN, pii.pseudonymise(pii.Permuter(b"k"), IBAN)[0])
+
+
 @pytest.mark.parametrize("n", [1, 2, 10, 366, 1000])
 def test_permutation_is_a_bijection(n):
     p = pii.Permuter(b"k")
