@@ -87,11 +87,12 @@ def features(text: str, words: dict[str, float], stems: dict[str, float]) -> lis
     hits = lexicon | learned | stem_hits.keys()
     hit_rate = near = 0.0
     if hits:
-        at = [i for i, w in enumerate(terms) if w in hits]
+        at = np.asarray([i for i, w in enumerate(terms) if w in hits])
         hit_rate = sum(terms[i] in lexicon for i in at) / n
-        you = [i for i, w in enumerate(terms) if w in SECOND_PERSON]
-        if you:
-            gap = np.abs(np.asarray(at)[:, None] - np.asarray(you)[None, :256]).min(axis=1)
+        you = np.asarray([i for i, w in enumerate(terms) if w in SECOND_PERSON])
+        if you.size:
+            after = np.searchsorted(you, at)
+            gap = np.minimum(np.abs(at - you[np.maximum(after - 1, 0)]), np.abs(at - you[np.minimum(after, you.size - 1)]))
             near = float((gap <= NEAR).mean())
     return [
         100 * hit_rate,

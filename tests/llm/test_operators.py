@@ -286,3 +286,12 @@ def test_pieces_equal_the_library(spark, tmp_path):
         want = Counter((i if t != "dup" else 0, tuple(library.encode(t or "")), t or "") for i, t in enumerate(texts))
         assert Counter((r.doc_id, tuple(r.ids), r.t) for r in rows) == want
     assert sentencepiece_codec.encode(docs.limit(0), pieces).count() == 0
+
+
+def test_nearness_counts_every_second_person_word():
+    word = min(toxicity.LEXICON)
+    near = toxicity.FEATURES.index("near_you")
+    early, late = f"you {word} " + "plain " * 50 + "you plain " * 300, "you plain " * 300 + "plain " * 50 + f"you {word}"
+    assert toxicity.features(early, {}, {})[near] == toxicity.features(late, {}, {})[near] == 1
+    apart = "you plain " * 300 + "plain " * 50 + word
+    assert toxicity.features(apart, {}, {})[near] == 0
