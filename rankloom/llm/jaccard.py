@@ -30,10 +30,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, trim
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _32 = np.uint64(32)
@@ -52,10 +53,10 @@ def _mix(x: np.ndarray, by: np.uint64) -> np.ndarray:
 
 
 class _Hashes(dict):
-    """Hash of each word, remembered up to a bound."""
+    """Hash of each word, remembered up to a bound (a worker's memory, not the result, depends on it)."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -150,7 +151,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 #: Texts of a batch are handled so many at a time, which bounds what a task holds.
-SLICE = 512
+SLICE = 256
 
 
 def _per_text(k: int, make, names: list[str]):
@@ -164,6 +165,10 @@ def _per_text(k: int, make, names: list[str]):
                     batch = whole.slice(at, SLICE)
                     sets = [shingles(t, k, hashes) for t in batch.column(1).to_pylist()]
                     yield pa.RecordBatch.from_arrays([batch.column(0), *make(sets)], names=["doc_id", *names])
+                    del batch, sets
+                del whole
+        hashes.clear()
+        trim()
 
     return run
 
@@ -215,19 +220,22 @@ def _may_link(a: str, b: str, num: int, den: int):
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, label): the least node that each linked node reaches.
 
-    Alternating large-star and small-star steps; each is an aggregate with a partial
-    step and a join, so a node with very many links is no single task's work.
+    Alternating large-star and small-star steps.  The least neighbours are aggregates
+    with a partial step, kept beside the links, so that the join with the links has a
+    shuffle of its own on both sides and Spark can split the rows of a node with very
+    many links.  Each round is written, which cuts the lineage.
     """
     stars = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stage(large, "large-star")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).persist(StorageLevel.DISK_ONLY)
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().persist(StorageLevel.DISK_ONLY)
+        down = large.groupBy("a").agg(F.min("b").alias("m")).persist(StorageLevel.DISK_ONLY)
         small = large.join(down, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        stars = stage(small, "small-star")
+        stars = stage(small, "stars")
+        for kept in (least, large, down):
+            kept.unpersist()
         state = stars.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == before:
             return stars.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
@@ -261,7 +269,6 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
         .where("n > 1"),
         "jaccard-met",
     )
-    _release(docs)
     # Leave out each set's most widespread entries, as many as it can spare.
     often = met.where(F.col("n") >= COMMON)
     slack = stage(set_entries(docs.join(often.select("doc_id").distinct(), "doc_id", "left_semi"), k, plan).select("doc_id", "slack0", "slack1"), "jaccard-slack")
@@ -272,8 +279,6 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens")
     facts = tokens.drop("tokens")
 
-    chained = named.join(firsts, same).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    links = stage(chained.select("a", "b"), "jaccard-copies")
     real: DataFrame | None = None
     tested: DataFrame | None = None
     labels: DataFrame | None = None
@@ -303,13 +308,19 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
             continue
         tested = pairs if tested is None else stage(tested.unionByName(pairs), "jaccard-tested")
         found = stage(_verified(pairs, tokens, num, den), f"jaccard-links{step}")
+        if found.isEmpty():
+            continue
         real = found if real is None else real.unionByName(found)
         labels = stage(components(real), "jaccard-labels")
-    if real is not None:
-        links = links.unionByName(real)
-    final = components(links)
-    out = keys.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
+    # An id with several sets links these.
+    several = named.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    through = stage(named.join(several, "doc_id").join(firsts, same).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-repeats")
+    if not through.isEmpty():
+        labels = stage(components(through if real is None else real.unionByName(through)), "jaccard-labels")
+    # Equal sets have the label of the first of them, the least.
+    of_set = firsts if labels is None else firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("label", "first").alias("first"))
+    nodes = named.select("doc_id", *same).join(of_set, same).groupBy("doc_id").agg(F.min("first").alias("label"))
+    return keys.join(nodes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
 
 def _near(pairs: DataFrame, facts: DataFrame, num: int, den: int) -> DataFrame:
@@ -326,20 +337,6 @@ def _verified(pairs: DataFrame, tokens: DataFrame, num: int, den: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").where(den * both >= num * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
 
-def _release(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of staged work that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
-def keep_first(documents: DataFrame, joined: DataFrame) -> DataFrame:
-    """``documents`` without those that are linked to one with a smaller id; rows with a null id stay."""
-    gone = joined.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("__gone"), "left_anti")
-
-
 def one_of_each(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``documents`` with one row of each group of linked texts: the one with the least doc_id, nulls last.
 

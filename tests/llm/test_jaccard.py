@@ -39,6 +39,8 @@ def corpus(seed):
         for edits in (0, 0, 1, 1, 1, 2, 3, 5, 8):
             words = list(base)
             for _ in range(edits):
+                if not words:
+                    break
                 at = rng.randrange(len(words))
                 words[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [words[at].upper()]])
             rows.append((n, " ".join(words)))
@@ -61,8 +63,22 @@ def test_nulls_repeats_and_no_rows(spark):
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard.join_components(df, k=4, num=85, den=100).collect())
     assert got == [(-1, 2, -1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
     assert jaccard.join_components(df.limit(0)).count() == 0
-    kept = jaccard.keep_first(df, jaccard.join_components(df, k=4, num=85, den=100))
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 1]
+    assert [r.doc_id for r in jaccard.one_of_each(df, k=4, num=85).collect()] == [1]
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts_links_them(spark):
+    rows = [(4, "a b c d e"), (9, "a b c d e"), (9, "p q r s t u"), (7, "p q r s t u"), (8, ""), (8, "v w x y z"), (6, "v w x y z")]
+    df = spark.createDataFrame([(*r, "n") for r in rows], "doc_id long, text string, n_shingles string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join_components(df, k=4, num=85, den=100).collect())
+    assert got == [(4, 2, 4), (6, 2, 6), (7, 3, 4), (8, 0, 6), (8, 2, 6), (9, 2, 4), (9, 3, 4)]
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    words = [f"w{i}" for i in range(40_000)]
+    near = words[:20_000] + ["x"] + words[20_000:]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[:20_000]))], "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(df, k=4, num=85, den=100).collect()} == {1: (39_997, 1), 2: (39_998, 1), 3: (19_997, 3)}
 
 
 def test_entries_of_similar_sets_meet_and_sketch_is_a_bound():
