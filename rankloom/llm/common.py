@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +14,28 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only in one process, where the session names no shared folder, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/rankloom"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: ``spark.checkpoint.dir``, else a local one for tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that all executors see: ``spark.checkpoint.dir``.
+
+    Only a session within one process may leave it unset; anywhere else a local
+    folder would lose what other machines wrote.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_CHECKPOINTS).rstrip("/")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name beginning with ``name`` that is not taken (Spark ignores case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -32,6 +50,11 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand texts to Python a few MB at a time: the default of 64 MB is held several times over by each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,3 +73,12 @@ def word_count(text: Column | str) -> Column:
 def id_fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
+
+
+def trim() -> None:
+    """Give memory that a Python worker no longer needs back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

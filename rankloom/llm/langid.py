@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, trim
 
 BUCKETS = 1 << 15
 ORDERS = 3
 #: Characters scored at a time: bounds a task's memory whatever the texts' lengths.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 #: n-grams that count as one independent piece of evidence when a score is made.
 TEMPER = 50.0
+#: Texts of a batch are handled so many at a time, which bounds what a task holds besides the batch.
+SLICE = 256
 UNKNOWN = "und"
 
 
@@ -60,92 +62,109 @@ def _letters(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the index of the text of each, and each text's number of letters."""
-    raw = "\0".join(texts)
-    codes = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    owner = np.repeat(np.arange(len(texts)), lengths)[: codes.size]
-    letters = _letters(codes)
+def _symbols(text: str, after_letter: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Letters of a text in lower case, each run of other characters as one 0, and where in the text each stands.
+
+    A leading run counts only if a letter came before the text.
+    """
+    letters = _letters(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
     is_letter = letters > 0
-    n_letters = np.bincount(owner[is_letter], minlength=len(texts))
     keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]  # the first of a run of gaps
-    letters, owner = letters[keep].astype(np.uint64), owner[keep]
-    buckets, owners = [], []
-    rolled = np.zeros(letters.size, np.uint64)
+    keep[1:] |= is_letter[:-1]  # the first of a run
+    keep[:1] |= after_letter
+    at = np.flatnonzero(keep)
+    return letters[at].astype(np.uint64), at
+
+
+def _hashed(symbols: np.ndarray, owner: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams within one owner's symbols, and their owners, without those among the ``known`` first symbols."""
+    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rolled = np.zeros(symbols.size, np.uint64)
     with np.errstate(over="ignore"):
-        for n in range(1, ORDERS + 1):
-            if letters.size < n:
-                break
-            size = letters.size - n + 1
-            rolled = rolled[:size] * np.uint64(1_000_003) + letters[n - 1 :]
+        for n in range(1, min(ORDERS, symbols.size) + 1):
+            size = symbols.size - n + 1
+            rolled = rolled[:size] * np.uint64(1_000_003) + symbols[n - 1 :]
             mixed = (rolled + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-            same = owner[:size] == owner[n - 1 :]
+            good = owner[:size] == owner[n - 1 :]
             if n == 1:
-                same = same & (letters > 0)
-            buckets.append((mixed >> np.uint64(49)).astype(np.int64)[same])
-            owners.append(owner[:size][same])
-    if not buckets:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), n_letters
-    return np.concatenate(buckets), np.concatenate(owners), n_letters
+                good = good & (symbols > 0)
+            good[: max(0, known - n + 1)] = False
+            buckets.append((mixed >> np.uint64(49)).astype(np.int64)[good])
+            owners.append(owner[:size][good])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[list[str], list[int]]]:
-    """Pieces of texts of about CHUNK characters together, with the index of each piece's text.
+def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Over all texts: which texts, their numbers of letters, buckets of n-grams, and the text of each n-gram.
 
-    A long text is cut; consecutive pieces share ORDERS - 1 characters, so none of
-    its longest n-grams is lost and a few short ones count twice.
+    Texts go together up to CHUNK characters.  A longer one goes in pieces that carry
+    their last symbols over, so every n-gram counts once, as if it were one piece.
     """
-    pieces: list[str] = []
-    index: list[int] = []
-    held = 0
+    held: list[int] = []
+    size = 0
+
+    def together(index: list[int]):
+        lengths = np.fromiter((len(texts[i]) + 1 for i in index), np.int64, len(index))
+        symbols, at = _symbols("\0".join([texts[i] for i in index]) + "\0")
+        owner = np.repeat(np.asarray(index), lengths)[at]
+        letters = np.bincount(np.searchsorted(index, owner), weights=symbols > 0, minlength=len(index)).astype(np.int64)
+        return np.asarray(index), letters, *_hashed(symbols, owner)
+
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text)), CHUNK):
-            piece = text[at : at + CHUNK + ORDERS - 1]
-            pieces.append(piece)
-            index.append(i)
-            held += len(piece)
-            if held >= CHUNK:
-                yield pieces, index
-                pieces, index, held = [], [], 0
-    if pieces:
-        yield pieces, index
-
-
-def learn(labelled: DataFrame, *, per_language: int = 2000, alpha: float = 0.5) -> Model:
+        if len(text) >= CHUNK:
+            carried, after_letter = np.zeros(0, np.uint64), False
+            for at in range(0, len(text) + 1, CHUNK):
+                piece = text[at : at + CHUNK] + ("\0" if at + CHUNK > len(text) else "")
+                symbols, where = _symbols(piece, after_letter)
+                after_letter = bool(where.size) and where[-1] == len(piece) - 1 and symbols[-1] > 0
+                both = np.append(carried, symbols)
+                yield np.array([i]), np.array([int((symbols > 0).sum())]), *_hashed(both, np.full(both.size, i), carried.size)
+                carried = both[max(0, both.size - ORDERS + 1) :]
+        else:
+            held.append(i)
+            size += len(text) + 1
+            if size >= CHUNK:
+                yield together(held)
+                held, size = [], 0
+    if held:
+        yield together(held)
+
+
+def learn(labelled: DataFrame, *, per_language: int = 2000, languages: int = 256, alpha: float = 0.5) -> Model:
     """Fit on (doc_id, text, lang).
 
     Counts come from about ``per_language`` rows of each language (all, if it has
     fewer), those with a small hash of the id: a sample of bounded size that any rerun
-    draws again.  Rows with null lang or null text teach nothing.  No labelled rows:
-    a model without languages.
+    draws again.  The ``languages`` languages with the most rows are learned (ties: the
+    first by code point), which bounds the model.  Rows with null lang or null text teach
+    nothing.  Repeated rows teach as often as they are there.  No labelled rows: a model
+    without languages.  Extra columns are ignored.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # Drawn by hash against each language's count, so no task ever holds a language.
-    share = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")))  # one row per language
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    ids = stage(known.select("doc_id", "lang").join(share, "lang").where(draw * F.col("of") < F.lit(per_language << 30)).select("doc_id", "lang").distinct(), "langid-sample")
+    share = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(languages))  # ``languages`` rows at most
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    ids = stage(known.select("doc_id", "lang").join(share, "lang").where(draw * F.col("of") < per_language).select("doc_id", "lang").distinct(), "langid-sample")
     sample = known.join(ids, ["doc_id", "lang"])  # small enough to be broadcast when it is; Spark checks
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            texts = batch.column(2).to_pylist()
-            for lang in langs:
-                docs[lang] = docs.get(lang, 0) + 1
-            for pieces, index in _chunks(texts):
-                buckets, owners, _ = _ngrams(pieces)
-                names = np.array([langs[i] for i in index], dtype=object)
-                of = names[owners]
-                for lang in set(names.tolist()):
-                    sums[lang] = sums.get(lang, 0) + np.bincount(buckets[of == lang], minlength=BUCKETS)
-        for lang, row in sums.items():
+            for at in range(0, batch.num_rows, SLICE):
+                langs, texts = (batch.column(k).slice(at, SLICE).to_pylist() for k in (1, 2))
+                for lang in langs:
+                    docs[lang] = docs.get(lang, 0) + 1
+                names = np.array(langs, dtype=object)
+                for _, _, buckets, owners in _ngrams(texts):
+                    of = names[owners]
+                    for lang in set(of.tolist()):
+                        sums[lang] = sums.get(lang, 0) + np.bincount(buckets[of == lang], minlength=BUCKETS)
+        for lang, n in docs.items():
+            row = sums.get(lang, np.zeros(BUCKETS, np.int64))
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (at.size + 1), pa.string()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(row[at], docs[lang]).astype(np.int64), pa.int64())],
+                [pa.array([lang] * (at.size + 1), pa.string()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(row[at], n).astype(np.int64), pa.int64())],
                 names=["lang", "bucket", "n"],
             )
 
@@ -170,13 +189,11 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
     sums = np.zeros((n, len(model.langs)))
     grams = np.zeros(n)
     letters = np.zeros(n, np.int64)
-    for pieces, index in _chunks([t or "" for t in texts]):
-        buckets, owners, n_letters = _ngrams(pieces)
-        at = np.asarray(index)
-        np.add.at(letters, at, n_letters)
-        np.add.at(grams, at, np.bincount(owners, minlength=len(pieces)))
+    for index, n_letters, buckets, owners in _ngrams([t or "" for t in texts]):
+        letters[index] += n_letters
+        grams += np.bincount(owners, minlength=n)
         for k in range(len(model.langs)):
-            np.add.at(sums[:, k], at, np.bincount(owners, weights=model.log_p[:, k][buckets], minlength=len(pieces)))
+            sums[:, k] += np.bincount(owners, weights=model.log_p[:, k][buckets], minlength=n)
     if not model.langs:
         return [UNKNOWN] * n, [0.0] * n
     logits = sums / np.maximum(1.0, grams / TEMPER)[:, None] + model.prior
@@ -188,6 +205,25 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
     return [model.langs[b] if o else UNKNOWN for b, o in zip(best, ok)], np.where(ok, p[np.arange(n), best], 0.0).tolist()
 
 
+def identify(model: Model):
+    """A function from a column of texts to a column of struct lang_pred, score; see :func:`predict`.
+
+    Only the texts go to Python, and back come only the results.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        langs, scores = [], []
+        for at in range(0, len(texts), SLICE):
+            for out, new in zip((langs, scores), score_texts(model, texts.slice(at, SLICE).to_pylist())):
+                out.extend(new)
+        trim()
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    # Annotated by name, for annotations of this module are strings.
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "lang_pred string, score double")
+
+
 def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``documents`` (doc_id alone by default), lang_pred and score for every row.
 
@@ -195,18 +231,9 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     counts as one with TEMPER n-grams per TEMPER n-grams seen at most, so long texts
     do not all score 1.  A null text, or one without any letter, is ``und`` with
     score 0, and so is every text if the model has no language.  Equal scores: the
-    first language by code point.  Columns named lang_pred or score in ``keep`` would
-    clash and must be left out.
+    first language by code point.  Whole texts count, however long.  Repeated rows are
+    rows of their own.  No rows: no rows.  Columns named lang_pred or score in ``keep``
+    would clash and must be left out; other columns are ignored, whatever their names.
     """
-    keep = keep or ["doc_id"]
-    fields = [f for f in documents.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    names = [f.name for f in fields]
-
-    def run(batches):
-        for batch in batches:
-            langs, scores = score_texts(model, batch.column(batch.num_columns - 1).to_pylist())
-            columns = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    return documents.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
+    names = keep or ["doc_id"]
+    return documents.select(*names, identify(model)("text").alias("__found")).select(*names, "__found.lang_pred", "__found.score")

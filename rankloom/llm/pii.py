@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Texts of a batch are handled so many at a time, which bounds what a task holds besides the batch.
+SLICE = 256
 #: The days that are permuted among themselves, English month names, lengths of IBANs.
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 MONTHS = "January February March April May June July August September October November December".split()
@@ -275,26 +278,34 @@ def pseudonymise(p: Permuter, text: str) -> tuple[str, dict[str, int]]:
     return "".join(parts) + text[done:], found
 
 
+def pseudonyms(key: str):
+    """A function from a column of texts to a column of struct text, n_replaced, kinds; see :func:`apply_pseudonyms`.
+
+    Only the texts go to Python.
+    """
+    secret = key.encode()
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        p = Permuter(secret)
+        for texts in batches:
+            parts = []
+            for at in range(0, len(texts), SLICE):
+                done = [(None, {}) if t is None else pseudonymise(p, t) for t in texts.slice(at, SLICE).to_pylist()]
+                columns = [pa.array([t for t, _ in done], pa.string()), pa.array([sum(k.values()) for _, k in done], pa.int32()), pa.array([list(k.items()) for _, k in done], pa.map_(pa.string(), pa.int32()))]
+                parts.append(pa.StructArray.from_arrays(columns, names=["text", "n_replaced", "kinds"]))
+            yield pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.map_(pa.string(), pa.int32()))], names=["text", "n_replaced", "kinds"])
+
+    # Annotated by name, for annotations of this module are strings.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "text string, n_replaced int, kinds map<string,int>")
+
+
 def apply_pseudonyms(documents: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id alone by default), text with pseudonyms, n_replaced and kinds (map of kind to count).
 
     Every row is treated on its own: repeated rows and ids, ties and extra columns
     do not matter.  Null text stays null with 0 replaced; an empty text stays empty.
-    Values that do not validate are left as they are.  ``keep`` must not name text,
-    n_replaced or kinds.
+    Whole texts are searched, however long.  No rows: no rows.  Values that do not
+    validate are left as they are.  ``keep`` must not name text, n_replaced or kinds.
     """
-    names = keep or ["doc_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", text string, n_replaced int, kinds map<string,int>"
-    secret = key.encode()
-
-    def run(batches):
-        p = Permuter(secret)
-        for batch in batches:
-            done = [(None, {}) if t is None else pseudonymise(p, t) for t in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array([t for t, _ in done], pa.string()), pa.array([sum(k.values()) for _, k in done], pa.int32()), pa.array([list(k.items()) for _, k in done], pa.map_(pa.string(), pa.int32()))],
-                names=[*names, "text", "n_replaced", "kinds"],
-            )
-
-    return documents.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return documents.select(*(keep or ["doc_id"]), pseudonyms(key)("text").alias("__new")).select(*(keep or ["doc_id"]), "__new.text", "__new.n_replaced", "__new.kinds")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chat, jaccard, langid, mixing, pii, quality, sentencepiece_codec, sharding, toxicity
-from .common import id_fold, table
+from .common import id_fold, small_batches, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 @query
@@ -62,13 +69,14 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-#: The key of the registered query; a production run passes its own secret.
-PII_KEY = "rankloom-demonstration-key"
+def pii_key(spark: SparkSession) -> str:
+    """The secret that the session names; without one a public word, good for demonstrations and tests only."""
+    return spark.conf.get("spark.rankloom.pii.key", None) or "demonstration"
 
 
 @query
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.apply_pseudonyms(table(spark, sf_dir, "documents"), PII_KEY)
+    return pii.apply_pseudonyms(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 @query
@@ -142,5 +150,5 @@ SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentencepiece_codec.load(SENTENCEPIECE_MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = sentencepiece_codec.encode(docs, pieces)
+    ids = sentencepiece_codec.encode(docs, pieces, fixed=True)  # read from files
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(sentencepiece_codec.decode(F.col("ids"), pieces).cast("binary")).alias("decoded_md5"))

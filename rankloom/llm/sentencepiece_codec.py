@@ -1,33 +1,50 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts are cut where no piece of the model can reach across (before each run of
-spaces and around characters that no longer piece holds), and every distinct unit
-is encoded once: its substrings up to the longest piece are exploded and
-equi-joined to the piece table; the hits are the edges of the unit's lattice,
-grouped by unit and folded by Spark's ``aggregate``.  The fold is Viterbi for unigram
-models.  For BPE models the best-scoring path is not what the library's encoder
-returns, so there the fold over the same edges is the encoder's own rule, the
-best-ranked merge of two neighbours first; the state is a bit mask of boundaries.
-Buckets of documents then look up their distinct units.
+Texts are cut where no piece of the model can reach across: between two characters
+that stand beside each other in no piece.  Every distinct unit is encoded once: its
+substrings up to the longest piece are exploded and equi-joined to the piece table;
+the hits are the edges of the unit's lattice, grouped by unit and folded by Spark's
+``aggregate``.  The fold is Viterbi for unigram models.  For BPE models the
+best-scoring path is not what the library's encoder returns, so there the fold over
+the same edges is the encoder's own rule, the best-ranked merge of two neighbours
+first; the state is a bit mask of boundaries.
+
+Texts travel as blocks: a task turns the texts it reads into numbers of distinct
+units, and each block later looks up the ids of its distinct units.
 """
 
 from __future__ import annotations
 
-import re
+import zlib
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage, trim
+
 SPACE = "▁"
+#: Stands between units that are listed together; as a unit of its own it is left out of the lattice.
+SEPARATOR = "\n"
 #: Longest unit whose boundaries fit the fold's mask; longer units take the same rule in plain code.
 LONGEST = 60
-#: Bytes of text a bucket holds about; its distinct units are held in memory.
-BUCKET = 16 << 20
-#: Partitions of units for each bucket: a unit has some twenty edges, so that grouping them needs small partitions to stay in memory.
+#: Characters of text that a block holds about; a longer text is a block of its own.
+BLOCK = 11 << 20
+#: Characters that are cut at a time: bounds what a task holds besides its block.
+CHUNK = 1 << 18
+#: Partitions of units for each of blocks: a unit has some ten edges, so that grouping them needs small partitions to stay in memory.
 SPREAD = 4
+#: Units or documents whose ids are put together at a time.
+PART, LISTS = 1 << 18, 256
+#: A unit's place is its block, the block being a task's number and a number within the task, and its number in the block.
+UNIT_BITS, SEQ_BITS = 28, 13
+#: The hash comes first: sorting then seldom compares more than its bits.
+KEYS = ["hash", "unit", "slot"]
 #: Fixed value: how much worse than the worst piece the library's unigram encoder rates an unknown character.
 UNKNOWN_PENALTY = 10.0
 
@@ -47,10 +64,17 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    @property
-    def alone(self) -> str:
-        """Characters of those that often separate lines or fields and that no piece of several characters holds."""
-        return "".join(c for c in "\n\t" if not any(c in p for p in self.ids if len(p) > 1))
+    @cached_property
+    def joins(self) -> tuple[np.ndarray, np.ndarray]:
+        """Class of every code point (0: in no piece of several characters), and whether two classes stand beside each other in a piece."""
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        alphabet = sorted({c for pair in pairs for c in pair})
+        kinds = np.zeros(0x110000, np.int32)
+        kinds[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
+        beside = np.zeros((len(alphabet) + 1, len(alphabet) + 1), bool)
+        for a, b in pairs:
+            beside[kinds[ord(a)], kinds[ord(b)]] = True
+        return kinds, beside
 
 
 def load(path: str) -> Pieces:
@@ -64,13 +88,11 @@ def load(path: str) -> Pieces:
     if spec.precompiled_charsmap or not spec.add_dummy_prefix or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix or model.trainer_spec.model_type not in (1, 2):
         raise ValueError("this model normalises texts or segments in a way that is not supported")
     kind = {i: p.type for i, p in enumerate(model.pieces)}
-    if any(k in (4, 5) for k in kind.values()):
-        raise ValueError("user-defined and unused pieces are not supported")
+    if any(SEPARATOR in p.piece and len(p.piece) > 1 for p in model.pieces) or any(k in (4, 5) for k in kind.values()):
+        raise ValueError("user-defined and unused pieces, and longer ones with a line end, are not supported")
     normal = {p.piece: i for i, p in enumerate(model.pieces) if kind[i] == 1}
-    if any(p.rstrip(SPACE) and SPACE in p.strip(SPACE) or p.endswith(SPACE) and p.strip(SPACE) for p in normal):
-        raise ValueError("a piece reaches across the beginning of a word")
-    if len(kind) > 1 << 20:
-        raise ValueError("the model has more than 2^20 pieces")
+    if len(kind) >= 1 << 20:
+        raise ValueError("the model has 2^20 pieces or more")
     byte_ids = [i for i, k in kind.items() if k == 6]
     texts = tuple(
         p.piece.replace(SPACE, " ").encode() if kind[i] == 1 else bytes([int(p.piece[3:5], 16)]) if kind[i] == 6 else b" \xe2\x81\x87 " if kind[i] == 2 else b""
@@ -87,18 +109,6 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, rank long")
 
 
-def _pattern(alone: str) -> str:
-    """Java's and Python's pattern of a unit, once spaces are U+2581."""
-    apart = f"[{alone}]|" if alone else ""
-    return f"{apart}{SPACE}*+[^{SPACE}{alone}]++|{SPACE}++"
-
-
-def units(text, alone: str):
-    """The units of a text: runs of spaces with the characters after them, and single separating characters."""
-    spaced = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.coalesce(text, F.lit("")) != "", F.regexp_extract_all(spaced, F.lit(_pattern(alone)), F.lit(0))).otherwise(F.array().cast("array<string>"))
-
-
 def _fallback(pieces: Pieces, char: str) -> str:
     """SQL for the ids of one character that no piece has."""
     if pieces.first_byte is None:
@@ -107,16 +117,19 @@ def _fallback(pieces: Pieces, char: str) -> str:
 
 
 def encode_units(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, n) -> (unit, n, ids): the lattice of each distinct unit of at most LONGEST characters, folded.
+    """(hash, unit, slot, n) -> (slot, unit, n, ids): the lattice of each distinct unit of 1 to LONGEST characters, folded.
 
-    A vocabulary that is partitioned by unit is not shuffled again.
+    A unit has one hash and one slot; a vocabulary that is partitioned by slot is not shuffled again.  The fold for BPE
+    models reads the ids of single characters off the piece table when it puts the ids
+    together, so there the edges of one character are left out of the join.
     """
+    least = 1 if pieces.unigram else 2
+    longest = max(2, pieces.longest)
     spans = (
         vocabulary.withColumn("size", F.length("unit"))
-        .where((F.col("size") > 0) & (F.col("size") <= LONGEST))
-        .select("unit", "n", "size", F.explode(F.expr("sequence(0, size - 1)")).alias("b"))
-        .select("unit", "n", "b", F.explode(F.expr(f"sequence(if(b = 0, 0, 1), least({pieces.longest}, size - b))")).alias("l"))
-        .select("unit", "n", "b", "l", F.expr("substring(unit, b + 1, l)").alias("piece"))
+        .select(*KEYS, "n", "size", F.explode(F.expr(f"sequence(0, greatest(0, size - {least}))")).alias("b"))
+        .select(*KEYS, "n", "b", F.explode(F.expr(f"sequence(if(b = 0, {least - 1}, {least}), least({longest}, size - b))")).alias("l"))
+        .select(*KEYS, "n", "b", "l", F.expr(f"if(l < {least}, '', substring(unit, b + 1, l))").alias("piece"))
     )
     edges = spans.join(F.broadcast(piece_table(vocabulary.sparkSession, pieces)), "piece")  # as large as the model's vocabulary
     return _viterbi(edges, pieces) if pieces.unigram else _merges(edges, pieces)
@@ -125,35 +138,40 @@ def encode_units(vocabulary: DataFrame, pieces: Pieces) -> DataFrame:
 def _merges(edges: DataFrame, pieces: Pieces) -> DataFrame:
     """Edges get their masks and codes (start, then id in 20 bits) before they are grouped, where code generation reaches."""
     coded = edges.select(
-        "unit", "n", "l",
+        *KEYS, "n", "l",
         F.expr("shiftleft(rank, 6) | b").alias("turn"),
         F.expr("shiftleft(1L, b) | shiftleft(1L, b + l)").alias("ends"),
         F.expr("if(l > 1, shiftleft(shiftleft(1L, l - 1) - 1, b + 1), 0L)").alias("inner"),
         F.expr("shiftleft(cast(b as bigint), 20) | id").alias("code"),
     )
-    grouped = coded.groupBy("unit").agg(
-        F.first("n").alias("n"),
-        F.sort_array(F.collect_list(F.when(F.col("l") > 1, F.struct("turn", "ends", "inner", "code")))).alias("longer"),
-        F.collect_list(F.when(F.col("l") == 1, F.col("code"))).alias("single"),
-    )
+    grouped = coded.groupBy(*KEYS).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.when(F.col("l") > 1, F.struct("turn", "ends", "inner", "code")))).alias("edges"))
     # The mask of boundaries loses one bit a merge; it turns negative once no merge is left.
     mask = F.expr("""
         aggregate(if(length(unit) >= 2, sequence(2, length(unit)), cast(array() as array<int>)), shiftleft(1L, length(unit) + 1) - 1,
-          (m, i) -> if(m < 0, m, m ^ coalesce(m & get(filter(longer, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, shiftleft(1L, 63))),
+          (m, i) -> if(m < 0, m, m ^ coalesce(m & get(filter(edges, e -> (m & e.ends) = e.ends and bit_count(m & e.inner) = 1), 0).inner, shiftleft(1L, 63))),
           m -> m & ~shiftleft(1L, 63))""")
-    final = F.expr("""
-        sort_array(concat(transform(filter(longer, e -> (m & e.ends) = e.ends and (m & e.inner) = 0), e -> e.code),
-          filter(single, e -> (shiftright(m, cast(shiftright(e, 20) as int)) & 3) = 3)))""".replace("m &", "mask &").replace("(m,", "(mask,"))
+    single = sorted((i, p) for p, i in pieces.ids.items() if len(p) == 1)
+    lost = (1 << 20) - 1  # stands for the id of a character that is no piece
+    final = F.expr(f"""
+        sort_array(concat(transform(filter(edges, e -> (mask & e.ends) = e.ends and (mask & e.inner) = 0), e -> e.code),
+          transform(filter(sequence(0, length(unit) - 1), b -> (shiftright(mask, b) & 3) = 3),
+            b -> shiftleft(cast(b as bigint), 20) | coalesce(get(single_ids, locate(substring(unit, b + 1, 1), singles) - 1), {lost}))))""")
     ids = F.expr(f"""
-        if(size(final) = bit_count(mask) - 1, transform(final, e -> cast(e & 1048575 as int)),
-          flatten(transform(filter(sequence(0, length(unit) - 1), b -> (mask & shiftleft(1L, b)) != 0), b ->
-            if(exists(final, e -> shiftright(e, 20) = b), transform(filter(final, e -> shiftright(e, 20) = b), e -> cast(e & 1048575 as int)), {_fallback(pieces, 'substring(unit, b + 1, 1)')}))))""")
-    return grouped.withColumn("mask", mask).withColumn("final", final).select("unit", "n", ids.alias("ids"))
+        if(exists(final, e -> (e & {lost}) = {lost}),
+          flatten(transform(final, e -> if((e & {lost}) = {lost}, {_fallback(pieces, 'substring(unit, cast(shiftright(e, 20) as int) + 1, 1)')}, array(cast(e & {lost} as int))))),
+          transform(final, e -> cast(e & {lost} as int)))""")
+    return (
+        grouped.withColumn("mask", mask)
+        .withColumn("singles", F.lit("".join(p for _, p in single)))
+        .withColumn("single_ids", F.lit([i for i, _ in single]).cast("array<int>"))
+        .withColumn("final", final)
+        .select("slot", "unit", "n", ids.alias("ids"))
+    )
 
 
 def _viterbi(edges: DataFrame, pieces: Pieces) -> DataFrame:
     worst = min(pieces.scores.values(), default=0.0) - UNKNOWN_PENALTY
-    grouped = edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(F.struct("b", "l", "id", "score")).alias("edges"))
+    grouped = edges.groupBy(*KEYS).agg(F.first("n").alias("n"), F.collect_list(F.struct("b", "l", "id", "score")).alias("edges"))
     # A character that is no piece itself gets an edge of its own.
     unknown = F.expr(f"transform(filter(sequence(0, size - 1), b -> not exists(edges, e -> e.b = b and e.l = 1)), b -> named_struct('b', b, 'l', 1, 'id', -1, 'score', {worst!r}D))")
     start = "transform(sequence(0, size), p -> named_struct('score', if(p = 0, 0D, cast(null as double)), 'from', 0, 'id', 0))"
@@ -172,7 +190,7 @@ def _viterbi(edges: DataFrame, pieces: Pieces) -> DataFrame:
         .withColumn("edges", F.sort_array(F.concat("edges", unknown)))
         .withColumn("t", table)
         .withColumn("path", path)
-        .select("unit", "n", ids.alias("ids"))
+        .select("slot", "unit", "n", ids.alias("ids"))
     )
 
 
@@ -221,57 +239,278 @@ def encode_unit(unit: str, pieces: Pieces) -> list[int]:
     return [i for a, b in spans for i in ([pieces.ids[unit[a:b]]] if unit[a:b] in pieces.ids else lost(unit[a:b]))]
 
 
-def encode(documents: DataFrame, pieces: Pieces) -> DataFrame:
+def cut(texts: list[str], pieces: Pieces) -> tuple[list[str], np.ndarray]:
+    """The units of all texts, one after the other, and the number of units of each text."""
+    kinds, beside = pieces.joins
+    spaced = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+    line = "".join(spaced)
+    ends = np.cumsum([len(t) for t in spaced], dtype=np.int64)
+    if not line:
+        return [], np.zeros(len(texts), np.int64)
+    kind = kinds[np.frombuffer(line.encode("utf-32-le"), np.uint32)]
+    apart = np.append(~beside[kind[:-1], kind[1:]], True)  # at i: between characters i and i + 1
+    apart[ends[ends > 0] - 1] = True
+    at = np.flatnonzero(apart) + 1
+    marks = at.tolist()
+    units = [line[a:b] for a, b in zip([0, *marks], marks)]
+    return units, np.diff(np.searchsorted(at, ends, side="right"), prepend=0)
+
+
+class _Numbers(dict):
+    """A number for each unit, in the order of first sight."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self)
+        return n
+
+
+def _thin(numbers: list[np.ndarray]) -> dict[str, pa.Array]:
+    """Numbers below 2^32, in parts, as four compressed columns of their bytes: apart, these compress better.  Empties the list."""
+    planes: list[list[bytes]] = [[], [], [], []]
+    count = 0
+    while numbers:
+        flat = numbers.pop(0).astype("<u4", copy=False).view(np.uint8).reshape(-1, 4)
+        count += len(flat)
+        for k, plane in enumerate(planes):
+            plane.append(np.ascontiguousarray(flat[:, k]).tobytes())
+    codec = pa.Codec("zstd", 6)
+    out = {"size": pa.array([count])}
+    for k in range(4):
+        out[f"byte{k}"] = pa.array([codec.compress(b"".join(planes[k]), asbytes=True)], pa.large_binary())
+        planes[k] = []
+    return out
+
+
+def _thick(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
+    count = batch.column(prefix + "size")[0].as_py()
+    codec, out = pa.Codec("zstd"), np.empty((count, 4), np.uint8)
+    for k in range(4):
+        out[:, k] = np.frombuffer(codec.decompress(batch.column(f"{prefix}byte{k}")[0].as_buffer(), count), np.uint8) if count else 0
+    return out.reshape(-1).view("<u4")
+
+
+def _compressed(columns: dict[str, pa.Array]) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_next_batch()
+
+
+class _Block:
+    """Texts as numbers of distinct units, while a task reads them."""
+
+    def __init__(self) -> None:
+        self.number = _Numbers()
+        self.doc_ids: list[pa.Array] = []
+        self.counts: list[np.ndarray] = []
+        self.units: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, doc_ids: pa.Array, texts: list[str], pieces: Pieces) -> None:
+        units, counts = cut(texts, pieces)
+        self.units.append(np.fromiter(map(self.number.__getitem__, units), np.uint32, len(units)))
+        self.counts.append(counts)
+        self.doc_ids.append(doc_ids)
+        self.held += sum(map(len, texts))
+
+    def _ranked(self, rank: np.ndarray) -> list[np.ndarray]:
+        for i, numbers in enumerate(self.units):
+            self.units[i] = rank[numbers]
+        return self.units
+
+    def pack(self, pieces: Pieces, slots: int) -> bytes:
+        """Compressed: ids of documents, their numbers of units, the units, the ids of units left out of the lattice, and all units in order.
+
+        Units are in the order of their slots, then of code points: those of a slot are
+        listed together, and neighbours are alike.  In the texts, a unit stands as its
+        rank by frequency, so most numbers are small.
+        """
+        names = list(self.number)
+        self.number.clear()
+        slot = np.array([-1 if len(u) > LONGEST or u == SEPARATOR else zlib.crc32(u.encode()) % slots for u in names], np.int32)
+        order = np.lexsort((np.asarray(pa.compute.rank(pa.array(names, pa.string()))), slot))  # place -> number of first sight
+        uses = np.zeros(len(names), np.int64)
+        for numbers in self.units:
+            uses += np.bincount(numbers, minlength=len(names))
+        often = np.argsort(-uses, kind="stable")  # rank -> number of first sight
+        rank, place = np.empty(len(names), np.uint32), np.empty(len(names), np.uint32)
+        rank[often] = np.arange(len(names), dtype=np.uint32)
+        place[order] = np.arange(len(names), dtype=np.uint32)
+        units = [names[i] for i in order.tolist()]
+        apart = int((slot < 0).sum())
+        ids = pa.concat_arrays(self.doc_ids)
+        return _compressed(
+            {
+                "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+                "count": pa.array([np.concatenate(self.counts)]),
+                "unit": pa.array([units], pa.list_(pa.string())),
+                "slot": pa.array([slot[order]]),
+                "apart": pa.array([[encode_unit(u, pieces) for u in units[:apart]]], pa.list_(pa.list_(pa.int32()))),
+                **_thin(self._ranked(rank)),
+                **{"place" + k: v for k, v in _thin([place[often]]).items()},
+            }
+        )
+
+
+def _blocks(pieces: Pieces, slots: int):
+    """An Arrow map: (doc_id, text) to (block, pack), the block being this task's number and a number within it."""
+
+    def run(batches):
+        first = TaskContext.get().partitionId() << SEQ_BITS
+        block, done = _Block(), 0
+        for batch in batches:
+            texts = batch.column(1)
+            sizes = np.asarray(pa.compute.binary_length(texts)).tolist()
+            at = 0
+            while at < batch.num_rows:
+                end, held = at, 0
+                while end < batch.num_rows and held < CHUNK:
+                    held += sizes[end]
+                    end += 1
+                block.add(batch.column(0).slice(at, end - at), texts.slice(at, end - at).to_pylist(), pieces)
+                at = end
+                if block.held >= BLOCK:
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([first + done]), "pack": pa.array([block.pack(pieces, slots)], pa.binary())})
+                    block, done = _Block(), done + 1
+        if block.counts:
+            yield pa.RecordBatch.from_pydict({"block": pa.array([first + done]), "pack": pa.array([block.pack(pieces, slots)], pa.binary())})
+        del block
+        trim()
+
+    return run
+
+
+def _listed(batches):
+    """An Arrow map: (block, pack) to (slot, first, units): the units of a block in a slot, joined, and the place of their first."""
+    for batch in batches:
+        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            pack = _unpack(blob)
+            units, slot = pack.column("unit").values.to_pylist(), pack.column("slot").values.to_numpy()
+            starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))[slot[:1] < 0 and 1 or 0 :] if len(slot) else np.zeros(0, np.int64)
+            ends = np.append(starts[1:], len(slot))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "slot": pa.array(slot[starts].astype(np.int32)),
+                    "first": pa.array((block << UNIT_BITS) + starts),
+                    "units": pa.array([SEPARATOR.join(units[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.string()),
+                }
+            )
+
+
+def _returned(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
+    """The ids of the units of each block in a slot, in their order, as one compressed row a block."""
+    lists = _one(dictionary.column("ids"))
+    number = dict(zip(dictionary.column("unit").to_pylist(), range(dictionary.num_rows)))
+    first, packs = rows.column("first").to_numpy(), []
+    for units in rows.column("units").to_pylist():
+        chosen = lists.take(pa.array(np.fromiter(map(number.__getitem__, units.split(SEPARATOR)), np.int64)))
+        packs.append(_compressed({"length": pa.array([np.diff(chosen.offsets.to_numpy()).astype(np.uint32)]), **_thin([chosen.flatten().to_numpy(zero_copy_only=False)])}))
+    return pa.table({"home": pa.array(first >> UNIT_BITS), "first": pa.array(first & ((1 << UNIT_BITS) - 1)), "ids": pa.array(packs, pa.binary())})
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _gathered(known: pa.Table, packs: pa.Table) -> pa.Table:
+    """The ids of each document of a block, from the ids of its units."""
+    blobs = packs.column("pack").to_pylist()
+    block = _unpack(blobs[0]) if len(blobs) == 1 else None
+    parts = [_unpack(x) for x in known.sort_by("first").column("ids").to_pylist()]
+    size = len(block.column("unit").values) if block else -1
+    apart = block.column("apart").values if block else None
+    lengths = np.concatenate([np.diff(apart.offsets.to_numpy()), *(p.column("length").values.to_numpy() for p in parts)]).astype(np.int64) if block else np.zeros(0)
+    if len(lengths) != size:
+        raise RuntimeError("a block changed while it was being encoded: the documents must be the same rows whenever they are read")
+    values = np.concatenate([apart.flatten().to_numpy(zero_copy_only=False).astype(np.int32), *(_thick(p, "").astype(np.int32) for p in parts)])
+    place = _thick(block, "place")
+    lengths, starts = lengths[place].astype(np.int32), (np.cumsum(lengths) - lengths)[place]
+    used = _thick(block, "")
+    parts, sizes = [], [np.zeros(1, np.int32)]
+    for at in range(0, len(used), PART):
+        of = used[at : at + PART]
+        size_of = lengths[of]
+        before = np.cumsum(size_of) - size_of
+        parts.append(values[np.repeat(starts[of] - before, size_of) + np.arange(size_of.sum())])
+        sizes.append(size_of)
+    upto = np.cumsum(np.concatenate(sizes), dtype=np.int32)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    cuts = np.append(0, upto[np.cumsum(block.column("count").values.to_numpy())]).astype(np.int32)
+    out = pa.table({"doc_id": block.column("doc_id").values, "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))})
+    del block, used, parts, sizes, upto, place, starts, lengths
+    trim()
+    return out
+
+
+def encode(documents: DataFrame, pieces: Pieces, *, fixed: bool = False) -> DataFrame:
     """doc_id and ids (array of int) for every row of documents (doc_id, text); ids equal the library's.
 
-    Documents are dealt into buckets of about BUCKET bytes of text by a hash of id and
-    text.  The distinct units of each bucket look up the ids of the distinct units of
-    all, and come back to their bucket, where texts are put together: what is shuffled
-    is the texts once and the distinct units of buckets twice, never every occurrence.
-    A unit has at most one row a bucket, so frequent units are no hot keys.
+    Each task packs its texts into blocks of about BLOCK characters: the distinct units,
+    and the texts as their numbers, compressed.  The units of a block are dealt into slots
+    by a hash.  In a slot, the distinct units of all blocks get their ids, which go
+    back to their blocks, where the ids of documents are put together.  What is shuffled
+    is the packed texts once and the distinct units of blocks there and back, never every
+    occurrence.  A unit has at most one place a block, so frequent units are no hot keys.
+
+    Blocks are known by the task and the order in which it reads them.  So documents
+    must be the same rows in the same order whenever they are computed, as rows read from
+    files are; say ``fixed`` for those.  Others are staged first.
 
     Null and empty texts have no ids.  Repeated rows each get their ids.  No rows: no
-    rows.  A text's own U+2581 encodes like a space, as in the library.
+    rows.  A text's own U+2581 encodes like a space, as in the library.  Extra columns
+    are ignored, whatever their names.  A text of any length is one row, so it must
+    fit into a task's memory as numbers of units.
     """
     spark = documents.sparkSession
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
-    bucket = F.coalesce(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int"), F.lit(0))  # never null, so no filter tells the shuffles apart
-    dealt = docs.withColumn("bucket", bucket).repartition(buckets, "bucket")
-    sought = dealt.select("bucket", F.explode(units(F.col("text"), pieces.alone)).alias("unit")).distinct().where(F.length("unit") <= LONGEST).repartition(SPREAD * buckets, "unit")
-    dictionary = encode_units(sought.groupBy("unit").agg(F.min("bucket").alias("n")), pieces)
-    # The condition always holds; it makes both uses of the shuffle by unit read the same columns, so it is done once.
-    found = sought.join(dictionary, "unit").where(F.col("bucket") >= F.col("n")).select(F.col("bucket").alias("home"), "unit", "ids")
-
-    def gather(known: pa.Table, texts: pa.Table) -> pa.Table:
-        ids = known.column("ids").combine_chunks()
-        ends, raw = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("int32").tobytes()
-        coded = _Coded(zip(known.column("unit").to_pylist(), (raw[4 * a : 4 * b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))))
-        coded.pieces = pieces
-        cut, code = re.compile(_pattern(pieces.alone)).findall, coded.__getitem__
-        done = [b"".join(map(code, cut(SPACE + t.replace(" ", SPACE)))) if t else b"" for t in texts.column("text").to_pylist()]
-        offsets = np.cumsum([0] + [len(x) // 4 for x in done], dtype="int32")
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(done), "int32")))
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": lists})
-
+    if not fixed:
+        docs = stage(docs, "sentencepiece-documents")
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return found.groupBy("home").cogroup(dealt.groupBy("bucket")).applyInArrow(gather, f"doc_id {kind}, ids array<int>")
-
-
-class _Coded(dict):
-    """Ids of units, as bytes; units too long for the fold are encoded when first met."""
-
-    pieces: Pieces
-
-    def __missing__(self, unit: str) -> bytes:
-        self[unit] = out = np.array(encode_unit(unit, self.pieces), "int32").tobytes()
-        return out
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.mapInArrow(_blocks(pieces, SPREAD * n), "block long, pack binary").repartition(n, "block")
+    rows = dealt.mapInArrow(_listed, "slot int, first long, units string").repartition(SPREAD * n, "slot")
+    listed = rows.select("slot", "first", F.posexplode(F.split("units", SEPARATOR)).alias("i", "unit")).select("slot", "unit", (F.col("first") + F.col("i")).alias("place"))
+    # n is not needed, but makes both uses of the shuffle by slot read the same columns, so it is done once.
+    vocabulary = listed.groupBy(F.xxhash64("unit").alias("hash"), "unit", "slot").agg(F.min("place").alias("n"))
+    dictionary = encode_units(vocabulary, pieces).withColumnRenamed("slot", "of")
+    back = rows.groupBy("slot").cogroup(dictionary.groupBy("of")).applyInArrow(_returned, "home long, first long, ids binary")
+    return back.groupBy("home").cogroup(dealt.groupBy("block")).applyInArrow(_gathered, f"doc_id {kind}, ids array<int>")
 
 
 def decode(ids, pieces: Pieces):
-    """Column of the text of an array of ids: the pieces' bytes joined, less the leading space; null ids give null."""
-    table = F.split(F.lit(",".join((t or b"").hex() for t in pieces.texts)), ",")
-    hexed = F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")
-    text = F.decode(F.unhex(hexed), "UTF-8")
-    return F.when(text.startswith(" "), text.substr(F.lit(2), F.length(text))).otherwise(text)
+    """Column of the text of an array of ids: the pieces' bytes joined, less the leading space; null ids give null.
+
+    An id that the model does not have, and a null among the ids, stand for nothing.
+    Bytes that are no UTF-8 become U+FFFD.
+    """
+    table = [t or b"" for t in pieces.texts] + [b""]
+    flat = np.frombuffer(b"".join(table), np.uint8)
+    lengths = np.array([len(t) for t in table], np.int64)
+    starts = np.cumsum(lengths) - lengths
+
+    def texts(lists: pa.Array) -> pa.Array:
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+        code = pa.compute.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+        code = np.where((code < 0) | (code >= len(table)), len(table) - 1, code)
+        size_of = lengths[code]
+        upto = np.append(0, np.cumsum(size_of))
+        raw = flat[np.repeat(starts[code] - upto[:-1], size_of) + np.arange(upto[-1])].tobytes()
+        cuts = upto[np.append(0, np.cumsum(sizes))].tolist()
+        read = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+        return pa.array([(t[1:] if t.startswith(" ") else t) if known else None for t, known in zip(read, lists.is_valid().to_pylist())], pa.string())
+
+    def run(lists: pa.Array) -> pa.Array:
+        out = [texts(lists.slice(at, LISTS)) for at in range(0, len(lists), LISTS)]
+        done = pa.concat_arrays(out) if out else pa.array([], pa.string())
+        del out
+        trim()
+        return done
+
+    # Annotated by name, for annotations of this module are strings.
+    run.__annotations__ = {"lists": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(ids)
