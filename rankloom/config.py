@@ -21,6 +21,38 @@ GENERIC_TERMS = tuple(
 # Field repetitions of the weighted text.
 FIELD_WEIGHTS = {"clinical_expertise": 3, "procedures": 3, "specialty": 2, "subspecialties": 3, "description": 1, "about": 1, "name": 1, "memberships": 1, "title": 1}
 
+# Places that an address may name; those within London; postcode areas of London.
+CITIES = tuple(
+    """london,manchester,birmingham,leeds,glasgow,liverpool,edinburgh,bristol,sheffield,cardiff,nottingham,newcastle,leicester,coventry,
+    belfast,reading,brighton,cambridge,oxford,southampton,york,exeter,bath,norwich,derby,aberdeen,dundee,portsmouth,plymouth,wolverhampton,
+    stoke-on-trent,sunderland,guildford,cheltenham,colchester,windsor,chester,canterbury,salisbury,winchester,st albans,swansea,newport,
+    middlesbrough,bolton,stockport,luton,slough,watford,woking,crawley,maidstone,ipswich,peterborough,milton keynes,northampton,swindon,
+    gloucester,worcester,hereford,lincoln,carlisle,durham,wakefield,huddersfield,halifax,blackpool,preston,burnley,warrington,wigan,rochdale,
+    oldham,doncaster,rotherham,barnsley,scunthorpe,grimsby,hull,harrogate,scarborough,chelmsford,basildon,southend-on-sea,romford,ilford,
+    enfield,barnet,croydon,bromley,kingston upon thames,richmond,wimbledon,putney,marylebone,mayfair,st johns wood,hampstead,highgate,
+    elstree,bushey,stanmore,edgware,surrey,essex,kent,sussex,hertfordshire,berkshire,buckinghamshire,hampshire,suffolk,norfolk,devon,
+    cornwall,dorset,somerset,wiltshire,oxfordshire,warwickshire,staffordshire,cheshire,lancashire,yorkshire""".replace("\n    ", "").split(",")
+)
+LONDON_BOROUGHS = tuple(
+    """westminster,chelsea,kensington,hammersmith,fulham,camden,islington,hackney,tower hamlets,greenwich,lambeth,southwark,wandsworth,
+    lewisham,bromley,croydon,barnet,enfield,harrow,ealing,hounslow,richmond,kingston,merton,sutton,bexley,havering,redbridge,
+    waltham forest,newham,barking,dagenham,hillingdon,haringey,city of london,marylebone,mayfair,soho,fitzrovia,bloomsbury,st johns wood,
+    hampstead,highgate,finchley,wimbledon,putney,battersea,clapham,brixton,dulwich,peckham,deptford,woolwich,eltham,stratford,bow,poplar,
+    canary wharf,docklands""".replace("\n    ", "").split(",")
+)
+LONDON_AREAS = ("E", "EC", "N", "NW", "SE", "SW", "W", "WC")
+# Phrases that a specialty adds to a query's anchors.
+SPECIALTY_ANCHORS = {
+    "physiotherapy": ("physiotherapy", "pelvic pain", "pelvic floor"),
+    "physiotherapist": ("physiotherapy", "pelvic pain", "pelvic floor"),
+    "dietitian": ("dietitian", "nutrition", "dietetics"),
+}
+# Patterns of symptoms and conditions that may enter a query, and of procedures that may not.
+SAFE_PATTERNS = ("chest pain", "angina", r"coronary(?!\s+(angiography|intervention|stent|bypass))", "ischaemic", "heart disease", "palpitation", "arrhythmia", "breathless", "dyspnea")
+UNSAFE_PATTERNS = ("interventional", "angiography", "pci", "stent", "surgery", "procedure", "bypass", "catheter")
+# Short names of specialties.
+SLUGS = {"cardiology": "cardio", "general surgery": "general", "obstetrics and gynaecology": "obsgynae", "ophthalmology": "ophthal", "trauma & orthopaedic surgery": "ortho"}
+
 
 @dataclass(frozen=True)
 class RankingConfig:

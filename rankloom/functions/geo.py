@@ -14,13 +14,13 @@ def compact(postcode: Column) -> Column:
 
 
 def is_full(postcode: Column) -> Column:
-    return compact(postcode).rlike(r"^[A-Z]{1,2}[0-9][A-Z0-9]?[0-9][A-Z]{2}$")
+    return compact(postcode).rlike(r"^[A-Z]{1,2}[0-9]{1,2}[A-Z]?[0-9][A-Z]{2}$")
 
 
 def district(postcode: Column) -> Column:
     """The outward part: all but the last three characters of a full code, else the code itself."""
     c = compact(postcode)
-    return F.when(is_full(postcode), F.substring(c, F.lit(1), F.length(c) - 3)).otherwise(c)
+    return F.when((F.length(c) > 4) & c.rlike(r"[0-9][A-Z]{2}$"), F.substring(c, F.lit(1), F.length(c) - 3)).otherwise(c)
 
 
 def strict_district(postcode: Column) -> Column:
@@ -29,12 +29,12 @@ def strict_district(postcode: Column) -> Column:
 
 
 def area(postcode: Column) -> Column:
-    return F.regexp_extract(compact(postcode), r"^[A-Z]+", 0)
+    return F.regexp_extract(compact(postcode), r"^[A-Z]{1,2}", 0)
 
 
 def find_postcode(text: Column) -> Column:
     """The first full postcode in a text; empty if there is none."""
-    return F.regexp_extract(F.upper(text), r"\b[A-Z]{1,2}[0-9][A-Z0-9]?\s*[0-9][A-Z]{2}\b", 0)
+    return F.regexp_extract(F.upper(text), r"\b[A-Z]{1,2}[0-9]{1,2}[A-Z]?\s*[0-9][A-Z]{2}\b", 0)
 
 
 def match_postcode(held: Column, wanted: Column) -> Column:

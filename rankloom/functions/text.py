@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..config import SLUGS
 
-def tokens(text: Column, drop: str = r"[^a-z0-9_\s]", least: int = 3) -> Column:
-    """Lower-cased ASCII word tokens of at least ``least`` characters; null text gives none."""
-    parts = F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), drop, " "), r"\s+")
-    return F.filter(parts, lambda t: F.length(t) >= least)
+
+def tokens(text: Column, letters: str = "a-z0-9_", least: int = 3) -> Column:
+    """Lower-cased runs of the given ASCII characters, of at least ``least``; null text gives none.
+
+    This equals putting a blank for every other character, splitting at white space and
+    leaving out short words, in one pass of one regular expression.
+    """
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{letters}]{{{least},}}"), F.lit(0))
 
 
 def hyphen_tokens(text: Column) -> Column:
-    return tokens(text, r"[^a-z0-9\s-]", 2)
+    return tokens(text, "a-z0-9-", 2)
 
 
-def plain_tokens(text: Column) -> Column:
-    return tokens(text, r"[^a-z0-9]+", 2)
+def plain_tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
+    found = tokens(text, "a-z0-9", 2)
+    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 
 def phrases(query: Column, longest: int = 3) -> Column:
@@ -64,9 +70,10 @@ def normalise_phone(phone: Column) -> Column:
     return F.when(digits != "", F.concat(F.lit("+"), digits))
 
 
-def strip_quotes(text: Column) -> Column:
-    """Without any number of wrapping straight or curly quotes."""
-    return F.regexp_replace(F.trim(text), r"^[\"'“”‘’\s]+|[\"'“”‘’\s]+$", "")
+def strip_quotes(text: Column, deepest: int = 20) -> Column:
+    """Without the pairs of straight or curly quotes around it, however nested (up to ``deepest``)."""
+    pair = r"(?s)^(?:\"(.*)\"|'(.*)'|“(.*)”|‘(.*)’)$"
+    return F.aggregate(F.sequence(F.lit(1), F.lit(deepest)), F.trim(text), lambda acc, i: F.trim(F.regexp_replace(acc, pair, "$1$2$3$4")))
 
 
 def strip_fences(text: Column) -> Column:
@@ -74,6 +81,20 @@ def strip_fences(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^\s*```[a-zA-Z]*\s*|\s*```\s*$", ""))
 
 
+def specialty_slug(name: Column) -> Column:
+    """A specialty's short name, else its name with hyphens, ten characters at most."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    made = F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"\s*&\s*", "-and-"), r"\s+", "-"), r"[^a-z0-9-]", ""), 1, 10)
+    for full, short in SLUGS.items():
+        made = F.when(low == full, F.lit(short)).otherwise(made)
+    return made
+
+
+def iso_day(stamp: Column) -> Column:
+    """The UTC day of an ISO time stamp; null for other forms."""
+    return F.to_date(F.substring(F.date_format(F.try_to_timestamp(stamp), "yyyy-MM-dd"), 1, 10))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 

@@ -11,18 +11,22 @@ from ..config import RankingConfig
 from ..functions import text as T
 
 
-def postings(documents: DataFrame, fields: dict[str, int] | None = None, tokenise=T.tokens) -> DataFrame:
+def postings(documents: DataFrame, fields: dict[str, int] | None = None, tokenise=T.tokens, wanted: DataFrame | None = None) -> DataFrame:
     """(doc_id, text columns) -> (doc_id, dl, term, tf).
 
     ``fields`` repeats each text column by its weight: a weight multiplies the
-    column's term counts and length, which equals repeating the text.
+    column's term counts and length, which equals repeating the text.  Only the terms
+    of ``wanted`` (term) are counted if it is given; lengths are those of all terms.
     """
     fields = fields or {"text": 1}
     # Tokens are made once, in a projection of their own, and then counted and exploded.
     made = documents.select("doc_id", *[tokenise(F.col(c)).alias(f"t_{c}") for c in fields])
     dl = sum((F.size(f"t_{c}") * w for c, w in fields.items()), F.lit(0))
     parts = [made.select("doc_id", dl.cast("long").alias("dl"), F.explode(f"t_{c}").alias("term"), F.lit(w).alias("w")) for c, w in fields.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "dl", "term").agg(F.sum("w").alias("tf"))
+    rows = reduce(DataFrame.unionByName, parts)
+    # Terms that nobody asks for go before they are shuffled.
+    rows = rows.join(wanted.select("term").distinct(), "term", "left_semi") if wanted is not None else rows
+    return rows.groupBy("doc_id", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
 def query_terms(queries: DataFrame, distinct: bool = False, tokenise=T.tokens) -> DataFrame:
@@ -41,18 +45,18 @@ def bm25(queries: DataFrame, documents: DataFrame, config: RankingConfig = Ranki
     """(query_id, doc_id, score) of every pair that shares a term, rounded to 6 places.
 
     Document frequency, count and mean length are those of ``documents`` as given, so
-    filter it first.  Two figures about the corpus (count, mean length) reach the
-    driver; everything else stays distributed.
+    filter it first.  The two figures about the corpus are one row beside the terms; no
+    job runs before the result is asked for.
     """
     fields = fields or {"text": 1}
     dl = sum((F.size(T.tokens(F.col(c))) * w for c, w in fields.items()), F.lit(0))
-    stats = documents.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avgdl")).first()
-    n, avgdl = float(stats["n"]), stats["avgdl"] or 1.0
+    stats = documents.agg(F.count(F.lit(1)).cast("double").alias("n"), F.coalesce(F.nullif(F.avg(dl), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
     wanted = query_terms(queries, config.variant == "mini")
-    found = postings(documents, fields).join(wanted.select("term").distinct(), "term", "left_semi")
-    weights = found.groupBy("term").agg(idf(F.count(F.lit(1)).cast("double"), F.lit(n), config.variant).alias("idf"))
+    found = postings(documents, fields, wanted=wanted)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    weights = df.join(F.broadcast(stats)).select("term", "avgdl", idf(F.col("df"), F.col("n"), config.variant).alias("idf"))  # one row
     tf = F.col("tf").cast("double")
-    gain = F.col("qtf") * F.col("idf") * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * F.col("dl") / avgdl))
+    gain = F.col("qtf") * F.col("idf") * tf * (config.k1 + 1) / (tf + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
     return found.join(wanted.join(weights, "term"), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(gain), 6).alias("score"))
 
 

@@ -66,13 +66,15 @@ def composite(insurers=None, gender=None, groups=None, languages=None, *, insura
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def specialty_matches(specialty: Column, others: list[Column], wanted: str) -> Column:
-    """The specialty contains the phrase or the reverse, or another text has the phrase or a word of it longer than two."""
-    phrase = " ".join("".join(c if c.isalnum() or c.isspace() else " " for c in wanted.lower()).split())
+def specialty_matches(specialty: Column, subspecialties: Column, expertise: Column, title: Column, wanted: str) -> Column:
+    """The specialty contains the phrase or the reverse, or a subspecialty, the expertise or the title has the phrase or a word of it longer than two."""
+    phrase = "".join(c if c.isascii() and (c.isalnum() or c.isspace()) else " " for c in wanted.lower()).strip()
+    terms = [phrase, *(w for w in phrase.split() if len(w) > 2)]
     own = T.normalise_specialty(specialty)
-    terms = [phrase] + [w for w in phrase.split() if len(w) > 2]
-    either = ((own != "") & (F.contains(own, F.lit(phrase)) | F.contains(F.lit(phrase), own)))
-    return reduce(lambda a, b: a | b, (F.contains(T.normalise_specialty(o), F.lit(t)) for o in others for t in terms), either)
+    has = lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(t)) for t in terms))
+    either = specialty.isNotNull() & (specialty != "") & (F.contains(own, F.lit(phrase)) | F.contains(F.lit(phrase), own))
+    held = F.exists(subspecialties, lambda s: has(T.normalise_specialty(s)))
+    return reduce(lambda a, b: a | b, (F.coalesce(x, F.lit(False)) for x in (either, held, (expertise != "") & has(F.lower(expertise)), (title != "") & has(F.lower(title)))))
 
 
 def has_nhs(base: Column, posts: Column) -> Column:
@@ -84,6 +86,13 @@ def name_matches(name: Column, alternatives: Column, wanted: str) -> Column:
     return F.contains(F.lower(name), w) | F.coalesce(F.exists(alternatives, lambda a: F.contains(F.lower(a), w)), F.lit(False))
 
 
+def name_search(profiles: DataFrame, wanted: str, most: int = 10) -> DataFrame:
+    """The first profiles by id whose name or an alternative contains the text, at most ``most`` (never over 100), and in ``total`` how many there are."""
+    hit = profiles.where(name_matches(F.col("name"), F.col("alternatives"), wanted))
+    total = hit.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return hit.orderBy("doc_id").limit(min(most, 100)).join(F.broadcast(total))
+
+
 def valid_expansion(terms: Column, required: Column, stop_words: tuple[str, ...], most: int = 50) -> Column:
     """Expansion terms without structure characters, stop words or repeats, at most ``most``, and the required ones."""
     clean = F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: (t != "") & ~t.rlike(r"[{}\[\]:\"]") & ~t.isin(*stop_words))

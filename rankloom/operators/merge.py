@@ -19,13 +19,28 @@ def first_present(*values: Column) -> Column:
 
 
 def upsert(sources: list[DataFrame], key: str) -> DataFrame:
-    """Later sources replace earlier ones by key; rows without a key go; adds ``origin``, the source's place."""
+    """Later sources replace earlier ones by key; rows without a key go; adds ``origin``, the source's place.
+
+    Of rows that share a key within a source, the one with the least hash of all its
+    values stays, so reruns agree.
+    """
     rows = None
     for i, df in enumerate(sources):
-        part = df.where(F.col(key).isNotNull()).withColumn("origin", F.lit(i))
+        part = df.where(F.col(key).isNotNull()).withColumn("origin", F.lit(i)).withColumn("__tie", F.xxhash64(*[F.col(c) for c in df.columns]))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc("origin"))
-    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
+    last = Window.partitionBy(key).orderBy(F.desc("origin"), "__tie")
+    return rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__tie")
+
+
+def upsert_counts(sources: list[DataFrame], key: str) -> DataFrame:
+    """origin, replaced and added: the keys of each source that an earlier one has, and those that none has."""
+    keys = None
+    for i, df in enumerate(sources):
+        part = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.lit(i).alias("origin"))
+        keys = part if keys is None else keys.unionByName(part)
+    each = keys.distinct()
+    first = keys.groupBy("k").agg(F.min("origin").alias("first"))
+    return each.join(first, "k").groupBy("origin").agg(F.count_if(F.col("origin") > F.col("first")).alias("replaced"), F.count_if(F.col("origin") == F.col("first")).alias("added"))
 
 
 def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -36,7 +51,7 @@ def insert_new(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def canonical_names(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """(id, names array) -> (id, names): each by its canonical spelling, the first of equal names (regardless of case)."""
     each = rows.select("id", F.posexplode("names").alias("pos", "raw"))
-    named = each.join(F.broadcast(aliases), F.lower("raw") == F.lower("variant"), "left").withColumn("name", F.coalesce("canonical", "raw"))
+    named = each.join(aliases, F.lower("raw") == F.lower("variant"), "left").withColumn("name", F.coalesce("canonical", "raw"))
     first = named.groupBy("id", F.lower("name").alias("k")).agg(F.min(F.struct("pos", "name")).alias("x"))
     return first.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["name"]).alias("names"))
 
@@ -48,10 +63,10 @@ def blacklist(profiles: DataFrame, names: DataFrame, name: Column) -> DataFrame:
 
 
 def remote_consultation(explicit: Column, flags: list[Column], kinds: Column, locations: Column) -> Column:
-    """Explicit flag, else any flag, else a kind or a location that says so."""
+    """The explicit flag, true or false; else any flag, else a kind of consultation or a location's name that says so."""
     any_flag = F.coalesce(*[F.when(f, True) for f in flags], F.lit(False))
-    says = lambda a: F.coalesce(F.exists(a, lambda x: F.lower(x).rlike("remote|video|online|telephone")), F.lit(False))
-    return F.coalesce(explicit, any_flag | says(kinds) | says(locations))
+    says = lambda names, what: F.coalesce(F.exists(names, lambda x: F.lower(F.coalesce(x, F.lit(""))).rlike(what)), F.lit(False))
+    return F.coalesce(explicit, any_flag | says(kinds, "video|telephone|telehealth|online|remote") | says(locations, "telephone|video consultation|online"))
 
 
 def stable_id(*parts: Column) -> Column:

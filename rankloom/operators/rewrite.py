@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import text as T
 
 
@@ -18,7 +19,7 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 2) -> Dat
     """
     text = F.lower("text")
     has = lambda w: F.rlike(text, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
-    hit = queries.join(F.broadcast(aliases), has(F.col("term")) & (F.col("context").isNull() | has(F.col("context"))))  # a lookup of fixed size
+    hit = queries.join(aliases, has(F.col("term")) & (F.col("context").isNull() | has(F.col("context"))))
     order = Window.partitionBy("query_id").orderBy("low_priority", F.desc(F.length("term")), "term")
     best = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     added = best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "alias"))), lambda x: x["alias"]), " ").alias("added"))
@@ -27,7 +28,7 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 2) -> Dat
 
 def expand_concepts(queries: DataFrame, concepts: DataFrame) -> DataFrame:
     """Append every related term of each trigger found anywhere in the query; concepts: (trigger, related)."""
-    hit = queries.join(F.broadcast(concepts), F.contains(F.lower("text"), F.col("trigger")))
+    hit = queries.join(concepts, F.contains(F.lower("text"), F.col("trigger")))
     added = hit.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("related")), " ").alias("added"))
     return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "added").alias("text"))
 
@@ -42,6 +43,31 @@ def merge_required(required: Column, synonyms: Column, most: int = 60) -> Column
     return F.slice(F.array_union(required, free), 1, most)
 
 
+def required_terms(text: Column, symptoms: Column) -> Column:
+    """The words of two characters or more of a query and of its symptoms, in lower case, each once."""
+    words = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), r"\s+"), lambda w: F.length(w) >= 2)
+    return F.array_distinct(F.concat(words(text), F.flatten(F.transform(symptoms, words))))
+
+
+def append_terms(text: Column, anchors: Column, intents: Column | None = None, most: int = 10, at_most: int = 20) -> Column:
+    """A query with all its anchors and, if given, the first ``most`` intent terms (never over ``at_most``)."""
+    extra = [F.array_join(anchors, " ")] + ([F.array_join(F.slice(intents, 1, min(most, at_most)), " ")] if intents is not None else [])
+    return F.trim(F.regexp_replace(F.concat_ws(" ", text, *extra), r"\s+", " "))
+
+
+def specialty_anchors(anchors: Column, specialty: Column) -> Column:
+    """A specialty's own phrases before the anchors, each once."""
+    own = F.array().cast("array<string>")
+    for name, phrases in C.SPECIALTY_ANCHORS.items():
+        own = F.when(F.lower(F.trim(specialty)) == name, F.array(*[F.lit(p) for p in phrases])).otherwise(own)
+    return F.when(F.size(own) > 0, F.array_union(own, anchors)).otherwise(anchors)
+
+
+def safe_lane(terms: Column, most: int = 4) -> Column:
+    """Symptoms and conditions among intent terms, by the fixed patterns, regardless of case."""
+    return safe_terms(terms, [f"(?i){p}" for p in C.SAFE_PATTERNS], [f"(?i){p}" for p in C.UNSAFE_PATTERNS], most)
+
+
 def safe_terms(terms: Column, allow: list[str], deny: list[str], most: int = 4) -> Column:
     """Terms that match an allowed pattern and no denied one."""
     any_of = lambda t, ps: reduce(lambda a, b: a | b, (t.rlike(p) for p in ps))
@@ -89,7 +115,7 @@ def taxonomy_match(queries: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Entries (entry, names) that share a term with a query: a term of two characters or more contains a name or the reverse."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text"), least=2))).alias("term"))
     names = taxonomy.select("entry", F.explode("names").alias("name"))
-    hit = terms.join(F.broadcast(names), F.contains("term", "name") | F.contains("name", "term"))
+    hit = terms.join(names, F.contains("term", "name") | F.contains("name", "term"))
     return hit.select("query_id", "entry").distinct()
 
 

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import merge as MG
 from ..operators import sessions as S
 from ..streaming import tracker
-from .base import TOKENS, Book, table
+from .base import TOKENS, Book, shared_dir, table
 
 BOOK = Book()
 add = BOOK.add
@@ -68,20 +68,20 @@ def _(spark, sf):
     return S.patient_text(table(spark, sf, "conversations")).select("conv_id", F.md5(F.col("patient_text").cast("binary")).alias("digest"))
 
 
-@add("chat_block_parse", r"SELECT conv_id, turn, make_date(2024, 1, (1 + conv_id % 28)::INT) AS day, (1 + turn)::VARCHAR AS rank, 'Dr ' || role AS name, 'Ward ' || turn::VARCHAR AS location, nullif(trim(left(regexp_replace(text, '\s+', ' ', 'g'), 20)), '') AS why, 'http://x/' || conv_id::VARCHAR AS link FROM conversations")
+@add("chat_block_parse", r"SELECT conv_id, turn, make_date(2024, 1, (1 + conv_id % 28)::INT) AS day, (1 + turn)::VARCHAR AS rank, 'Dr ' || role AS name, 'Ward ' || turn::VARCHAR AS location, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS why, 'http://x/' || conv_id::VARCHAR AS link FROM conversations")
 def _(spark, sf):
     s = lambda c: F.col(c).cast("string")
-    chat = F.concat(L("[1/"), (1 + F.col("conv_id") % 28).cast("string"), L("/24, 9:05:00] Ann: \n"), (1 + F.col("turn")).cast("string"), L(". Dr "), "role", L("\n📍 Ward "), s("turn"), L("\nWhy a good fit: "), F.substring(F.regexp_replace("text", r"\s+", " "), 1, 20), L("\nLink: http://x/"), s("conv_id"))
+    chat = F.concat(L("[1/"), (1 + F.col("conv_id") % 28).cast("string"), L("/24, 9:05:00] Ann: \n"), (1 + F.col("turn")).cast("string"), L(". Dr "), "role", L("\n📍 Ward "), s("turn"), L("\nWhy a good fit: "), F.col("text"), L("\nLink: http://x/"), s("conv_id"))
     m = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(S.messages(chat)).alias("m"))
     r = S.recommendation(F.col("m.body"))
     return m.select("conv_id", "turn", T.chat_day(F.col("m.stamp")).alias("day"), r["rank"].alias("rank"), r["name"].alias("name"), r["location"].alias("location"), r["why"].alias("why"), r["link"].alias("link"))
 
 
-@add("same_day_best_jaccard", f"""WITH c AS (SELECT conv_id AS left_id, conv_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS a FROM conversations WHERE turn = 0), d AS (SELECT doc_id AS right_id, doc_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS b FROM documents),
+@add("same_day_best_jaccard", f"""WITH c AS (SELECT conv_id AS left_id, conv_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS a FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)), d AS (SELECT doc_id AS right_id, doc_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS b FROM documents),
 s AS (SELECT left_id, right_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM c JOIN d USING (day))
 SELECT left_id, right_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS n FROM s WHERE similarity >= 0.08) WHERE n = 1""")
 def _(spark, sf):
-    left = table(spark, sf, "conversations").where("turn = 0").select(F.col("conv_id").alias("left_id"), (F.col("conv_id") % 31).alias("day"), F.array_distinct(T.tokens(F.col("text"))).alias("a"))
+    left = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text")).select(F.col("conv_id").alias("left_id"), (F.col("conv_id") % 31).alias("day"), F.array_distinct(T.tokens(F.col("text"))).alias("a"))
     right = table(spark, sf, "documents").select(F.col("doc_id").alias("right_id"), (F.col("doc_id") % 31).alias("day"), F.array_distinct(T.tokens(F.col("text"))).alias("b"))
     return S.best_same_day(left, right, T.jaccard(F.col("a"), F.col("b")))
 
@@ -96,7 +96,7 @@ def _(spark, sf):
 def _(spark, sf):
     events = table(spark, sf, "events")
     log = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    folder = shared_dir(spark)
     return tracker.drain(tracker.running_tally(log, "user_id"), f"{folder}/tracker", ["user_id"])
 
 

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import GENERIC_TERMS, RankingConfig
 from ..functions import text as T
+from ..operators import analytics as AN
 from ..operators import boosts as B
 from ..operators import fusion as FU
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
+from ..operators import shortlist as SL
 from ..operators.bm25 import bm25, min_max, ranked
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
 from .search import HAV, CENTRE, miles
@@ -104,14 +106,17 @@ ph AS (SELECT query_id, q, list_concat(list_transform(range(1, len(w)), lambda i
 PHRASE_SQL = "(CASE WHEN contains(lower(d.text), q) THEN 2e0 ELSE 0e0 END + len(list_filter(p, lambda x: contains(lower(d.text), x))))"
 
 
-def shortlist(spark, sf, n=20, config=RankingConfig()):
-    """The first-stage top n of every query, with both texts for the checks that follow."""
+SIZE = RankingConfig().stage_a_size()
+
+
+def shortlist(spark, sf, config=RankingConfig()):
+    """The first stage's short list of every query, with both texts for the checks that follow."""
     q, docs = inputs(spark, sf)
-    top = ranked(bm25(q, docs, config), n)
+    top = ranked(bm25(q, docs, config), SIZE)
     return top.join(docs.withColumnRenamed("text", "body"), "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
 
 
-@add("phrase_bonus", f"WITH {bm25_sql()}, {PHRASES_SQL} SELECT r.query_id, r.doc_id, {PHRASE_SQL} AS bonus FROM ranked r JOIN documents d USING (doc_id) JOIN ph USING (query_id) WHERE rank <= 20")
+@add("phrase_bonus", f"WITH {bm25_sql()}, {PHRASES_SQL} SELECT r.query_id, r.doc_id, {PHRASE_SQL} AS bonus FROM ranked r JOIN documents d USING (doc_id) JOIN ph USING (query_id) WHERE rank <= {SIZE}")
 def _(spark, sf):
     return shortlist(spark, sf).select("query_id", "doc_id", B.phrase_bonus(F.col("query"), F.col("body")).alias("bonus"))
 
@@ -136,7 +141,9 @@ def semantic(spark, sf):
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     dot = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-    pairs = e.drop("label").join(F.broadcast(means.withColumnRenamed("label", "query_id")))  # as many rows as labels: the query set
+    # The labels are the query set: all of them in one row beside every vector.
+    every = means.agg(F.collect_list(F.struct(F.col("label").alias("query_id"), "mean")).alias("m"))
+    pairs = e.drop("label").join(F.broadcast(every)).select("*", F.explode("m").alias("x")).select("*", "x.query_id", "x.mean")
     return pairs.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot)), 6).alias("score"))
 
 
@@ -156,7 +163,7 @@ def _(spark, sf):
     return out(ranked(both, 10))
 
 
-@add("negative_penalty", f"WITH {bm25_sql(variant='local')}, t AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(['trash', 'scum', 'loser', 'idiot'], lambda x: contains(lower(d.text), x))) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= 20) SELECT query_id, doc_id, round(score * CASE WHEN n >= 2 THEN 0.85e0 WHEN n = 1 THEN 0.95e0 ELSE 1e0 END, 6) AS score FROM t")
+@add("negative_penalty", f"WITH {bm25_sql(variant='local')}, t AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(['trash', 'scum', 'loser', 'idiot'], lambda x: contains(lower(d.text), x))) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {SIZE}) SELECT query_id, doc_id, round(score * CASE WHEN n >= 2 THEN 0.85e0 WHEN n = 1 THEN 0.95e0 ELSE 1e0 END, 6) AS score FROM t")
 def _(spark, sf):
     bad = F.array(*[L(w) for w in ("trash", "scum", "loser", "idiot")])
     n = T.count_contained(bad, F.lower("body"))
@@ -169,13 +176,13 @@ def _(spark, sf):
     return view(spark, sf, PRACTITIONERS).select("doc_id", "locality", (F.count(L(1)).over(w) - F.row_number().over(w.orderBy("doc_id")) + 1).alias("score"))
 
 
-@add("keyword_overlap_topk", f"""WITH q AS ({QUERIES}), qt AS (SELECT DISTINCT query_id, unnest({TOKENS.format('text')}) AS term FROM q), dt AS (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents),
-s AS (SELECT query_id, doc_id, count(*) AS score FROM qt JOIN dt USING (term) GROUP BY ALL) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+HYPHEN = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2)"
+
+
+@add("keyword_overlap_topk", f"""WITH q AS (SELECT item_id AS query_id, list_distinct({HYPHEN}) AS t FROM benchmark), s AS (SELECT query_id, doc_id, len(list_filter(t, lambda x: contains(lower(d.text), x))) AS score FROM q, documents d)
+SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
 def _(spark, sf):
-    q, docs = inputs(spark, sf)
-    terms = lambda df, i: df.select(i, F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    scores = terms(q, "query_id").join(terms(docs, "doc_id"), "term").groupBy("query_id", "doc_id").agg(F.count(L(1)).alias("score"))
-    return out(ranked(scores, 10))
+    return out(ranked(AN.keyword_overlap(*inputs(spark, sf)), 10))
 
 
 @add("keyword_weighted_score", "SELECT p_partkey AS doc_id, CASE WHEN p_brand <> 'Brand#1' AND p_size < 3 THEN -1 ELSE (CASE WHEN contains(lower(p_type), 'steel') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'part') THEN 2 ELSE 0 END) + (CASE WHEN p_size > 25 THEN 1 ELSE 0 END) END AS score FROM part")
@@ -228,10 +235,10 @@ def term_lists(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text", T.tokens(F.col("text")).alias("t"))
 
 
-@add("merge_terms_conflict", f"""WITH {TERMS_SQL}, s AS (SELECT query_id, t[1:3] AS r, t[4:40] AS s FROM t), f AS (SELECT query_id, r, list_filter(s, lambda x: len(list_filter(r, lambda y: contains(x, y) OR contains(y, x))) = 0) AS f FROM s)
+@add("merge_terms_conflict", f"""WITH {TERMS_SQL}, s AS (SELECT query_id, t[1:3] AS r, t[4:] AS s FROM t), f AS (SELECT query_id, r, list_filter(s, lambda x: len(list_filter(r, lambda y: contains(x, y) OR contains(y, x))) = 0) AS f FROM s)
 SELECT query_id, least(60, len(list_distinct(list_concat(r, f))))::BIGINT AS n, r[1] AS first_term FROM f""")
 def _(spark, sf):
-    merged = RW.merge_required(F.slice("t", 1, 3), F.slice("t", 4, 37))
+    merged = RW.merge_required(F.slice("t", 1, 3), F.slice("t", F.lit(4), F.greatest(F.size("t"), F.lit(1))))
     return term_lists(spark, sf).select("query_id", F.size(merged).cast("long").alias("n"), F.get(merged, 0).alias("first_term"))
 
 
@@ -262,10 +269,10 @@ def _(spark, sf):
     return RW.merge_subspecialties(table(spark, sf, "customer").select(F.col("c_nationkey").alias("query_id"), F.initcap("c_mktsegment").alias("name"), F.col("c_acctbal").alias("confidence")))
 
 
-@add("ideal_profile_query", f"WITH {TERMS_SQL} SELECT query_id, array_to_string(list_concat(list_concat(t[1:2], t[5:7]), list_concat(t[10:12], t[15:19])), ' ') AS text FROM t WHERE len(t) >= 20")
+@add("ideal_profile_query", f"WITH {TERMS_SQL} SELECT query_id, concat_ws(' ', array_to_string(t[1:2], ' '), array_to_string(t[5:7], ' '), array_to_string(t[10:12], ' '), array_to_string(t[15:19], ' ')) AS text FROM t")
 def _(spark, sf):
     part = lambda a, n: F.slice("t", a, n)
-    return term_lists(spark, sf).where(F.size("t") >= 20).select("query_id", RW.ideal_query(part(1, 4), part(5, 5), part(10, 5), part(15, 9)).alias("text"))
+    return term_lists(spark, sf).select("query_id", RW.ideal_query(part(1, 4), part(5, 5), part(10, 5), part(15, 9)).alias("text"))
 
 
 @add("taxonomy_match", rf"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2)) AS term FROM benchmark), x(entry, name) AS (VALUES (1, 'thing'), (1, 'edly'), (2, 'eaux'), (3, 'schaft'), (3, 'keit'), (4, 'cion'))
@@ -275,10 +282,10 @@ def _(spark, sf):
     return RW.taxonomy_match(view(spark, sf, QUERIES), taxonomy)
 
 
-@add("intent_merge", f"WITH {TERMS_SQL} SELECT query_id, len(list_distinct(list_concat(list_concat(t[1:10], t[5:30]), ['hand', 'knee', 'hip'])))::BIGINT AS n FROM t")
+@add("intent_merge", f"WITH {TERMS_SQL} SELECT query_id, len(list_distinct(list_concat(t, ['hand', 'knee', 'hip'])))::BIGINT AS n FROM t")
 def _(spark, sf):
     subs = F.array(*[F.struct(L(n).alias("name"), L(0.5).alias("confidence")) for n in ("Hand", "knee", "Hip", "foot")])
-    return term_lists(spark, sf).select("query_id", F.size(RW.merge_intents(F.slice("t", 1, 10), F.slice("t", 5, 26), subs)).cast("long").alias("n"))
+    return term_lists(spark, sf).select("query_id", F.size(RW.merge_intents(F.slice("t", 1, 10), F.col("t"), subs)).cast("long").alias("n"))
 
 
 @add("session_context", f"WITH {TERMS_SQL} SELECT query_id, md5(concat_ws(' ', array_to_string(t[1:6], ' '), array_to_string(t[20:22], ' '), array_to_string(t[1:12], ' '))) AS enriched FROM t")
@@ -287,38 +294,43 @@ def _(spark, sf):
     return term_lists(spark, sf).select("query_id", F.md5(c["enriched_query"].cast("binary")).alias("enriched"))
 
 
-# Second stage: the counts that the rescorers take come from a top-20 shortlist.
+# Second stage: the counts that the rescorers take, each from terms of its own, over the first stage's short list.
 
 NEG = ["trash", "scum", "loser", "idiot", "stupid"]
+#: Where in a query's terms each count's terms stand: the first and the last.
+SLICES = {"intent": (1, 6), "anchor": (7, 8), "safe": (9, 12), "high": (13, 15), "pathway": (16, 20), "procedure": (21, 23), "sub": (24, 26)}
 COUNTS_SQL = f"""{bm25_sql()}, qtok AS (SELECT query_id, {TOKENS.format('text')} AS t FROM q),
-k AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(t[1:6], lambda x: contains(lower(d.text), x))) AS intent, len(list_filter(t[7:8], lambda x: contains(lower(d.text), x))) AS anchor,
- len(list_filter({NEG}, lambda x: contains(lower(d.text), x))) AS neg, len(list_filter(t[9:12], lambda x: contains(lower(d.text), x))) AS safe, lower(d.text) AS body, t FROM ranked r JOIN documents d USING (doc_id) JOIN qtok USING (query_id) WHERE rank <= 20)"""
+k AS (SELECT r.query_id, r.doc_id, r.score, {', '.join(f"len(list_filter(t[{a}:{b}], lambda x: contains(lower(d.text), x))) AS {n}" for n, (a, b) in SLICES.items())},
+ len(list_filter({NEG}, lambda x: contains(lower(d.text), x))) AS neg, lower(d.text) AS body, t FROM ranked r JOIN documents d USING (doc_id) JOIN qtok USING (query_id) WHERE rank <= {SIZE})"""
 NEG_SQL = "CASE WHEN neg >= 4 THEN -3e0 WHEN neg >= 2 THEN -2e0 WHEN neg = 1 THEN -1e0 ELSE 0e0 END"
 
 
 def counted(spark, sf):
     t = T.tokens(F.col("query"))
-    n = lambda a, b: T.count_contained(F.slice(t, a, b - a + 1), F.lower("body"))
-    return shortlist(spark, sf).withColumns({"intent": n(1, 6), "anchor": n(7, 8), "safe": n(9, 12), "neg": T.count_contained(F.array(*[L(w) for w in NEG]), F.lower("body")), "t": t})
+    made = {n: T.count_contained(F.slice(t, a, b - a + 1), F.lower("body")) for n, (a, b) in SLICES.items()}
+    return shortlist(spark, sf).withColumns({**made, "neg": T.count_contained(F.array(*[L(w) for w in NEG]), F.lower("body")), "t": t})
 
 
-@add("rescore_additive", f"WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, CASE WHEN query_id % 3 = 0 THEN 0e0 ELSE score END + 0.3e0 * intent + 0.5e0 * anchor + {NEG_SQL} + least(0.21e0 * safe, 0.5e0)), 6) AS score FROM k")
+@add("rescore_additive", f"WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, CASE WHEN query_id % 3 = 0 THEN 0e0 ELSE score END + 0.3e0 * intent + 0.5e0 * anchor + {NEG_SQL} + least(0.21e0 * sub, 0.5e0)), 6) AS score FROM k")
 def _(spark, sf):
-    score = RS.additive(F.col("score"), F.col("intent"), F.col("anchor"), F.col("neg"), 0.21 * F.col("safe"), F.col("query_id") % 3 == 0)
+    score = RS.additive(F.col("score"), F.col("intent"), F.col("anchor"), F.col("neg"), 0.21 * F.col("sub"), F.col("query_id") % 3 == 0)
     return counted(spark, sf).select("query_id", "doc_id", F.round(score, 6).alias("score"))
 
 
-@add("rescore_tiered", f"""WITH {COUNTS_SQL} SELECT query_id, doc_id, round(CASE WHEN anchor >= 2 THEN 4e0 WHEN anchor = 1 THEN 2e0 ELSE 0e0 END + least(intent, 3) + 0.5e0 * anchor + least(0.2e0 * intent, 0.6e0) + least(safe, 3) + least(0.3e0 * safe, 0.5e0) + {NEG_SQL}, 6) AS score FROM k""")
+@add("rescore_tiered", f"""WITH {COUNTS_SQL}, s AS (SELECT query_id, doc_id, score, round(CASE WHEN high >= 2 THEN 4e0 WHEN high = 1 THEN 2e0 ELSE 0e0 END + least(pathway, 3) + 0.5e0 * procedure + least(0.2e0 * anchor, 0.6e0) + least(safe, 3) + least(0.3e0 * sub, 0.5e0) + {NEG_SQL}, 6) AS tier FROM k)
+SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, score DESC, doc_id) AS rank FROM s""")
 def _(spark, sf):
     c = F.col
-    return counted(spark, sf).select("query_id", "doc_id", F.round(RS.tiered(c("anchor"), c("intent"), c("anchor"), c("intent"), c("safe"), 0.3 * c("safe"), c("neg")), 6).alias("score"))
+    tier = RS.tiered(c("high"), c("pathway"), c("procedure"), c("anchor"), c("safe"), 0.3 * c("sub"), c("neg"))
+    rows = counted(spark, sf).select("query_id", "doc_id", "score", F.round(tier, 6).alias("tier"))
+    return ranked(rows, by=RS.tiered_order()).select("query_id", "doc_id", "tier", "rank")
 
 
-@add("rescore_multiplicative", f"""WITH {COUNTS_SQL} SELECT query_id, doc_id, round(score * CASE WHEN anchor >= 2 THEN 1.4e0 WHEN anchor = 1 THEN 1.2e0 ELSE 1e0 END * CASE WHEN intent >= 3 THEN 1.3e0 WHEN intent = 2 THEN 1.15e0 WHEN intent = 1 THEN 1.05e0 ELSE 1e0 END
- * CASE WHEN safe > 0 THEN 1.05e0 ELSE 1e0 END * (1 + least(0.2e0 * anchor, 0.6e0)) * (1 + least(0.05e0 * safe, 0.15e0)) * (1 + least(0.1e0 * safe, 0.5e0)) * CASE WHEN neg >= 4 THEN 0.7e0 WHEN neg >= 2 THEN 0.85e0 WHEN neg = 1 THEN 0.95e0 ELSE 1e0 END, 4) AS score FROM k""")
+@add("rescore_multiplicative", f"""WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, (score * CASE WHEN high >= 2 THEN 1.4e0 WHEN high = 1 THEN 1.2e0 ELSE 1e0 END * CASE WHEN pathway >= 3 THEN 1.3e0 WHEN pathway = 2 THEN 1.15e0 WHEN pathway = 1 THEN 1.05e0 ELSE 1e0 END
+ * CASE WHEN procedure > 0 THEN 1.05e0 ELSE 1e0 END + least(0.2e0 * anchor, 0.6e0) + least(safe, 3)) * (1 + least(0.1e0 * sub, 0.5e0)) * CASE WHEN neg >= 4 THEN 0.7e0 WHEN neg >= 2 THEN 0.85e0 WHEN neg = 1 THEN 0.95e0 ELSE 1e0 END), 4) AS score FROM k""")
 def _(spark, sf):
     c = F.col
-    return counted(spark, sf).select("query_id", "doc_id", F.round(RS.multiplicative(c("score"), c("anchor"), c("intent"), c("safe"), c("anchor"), c("safe"), 0.1 * c("safe"), c("neg")), 4).alias("score"))
+    return counted(spark, sf).select("query_id", "doc_id", F.round(RS.multiplicative(c("score"), c("high"), c("pathway"), c("procedure"), c("anchor"), c("safe"), 0.1 * c("sub"), c("neg")), 4).alias("score"))
 
 
 @add("rescore_negatives_only", f"WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, score + {NEG_SQL}), 6) AS score FROM k")
@@ -326,13 +338,36 @@ def _(spark, sf):
     return counted(spark, sf).select("query_id", "doc_id", F.round(RS.negatives_only(F.col("score"), F.col("neg")), 6).alias("score"))
 
 
-@add("ideal_profile_match", f"""WITH {COUNTS_SQL}, h AS (SELECT query_id, doc_id, score, list_transform(t[1:8], lambda x: CASE WHEN contains(body, x) THEN 1 ELSE 0 END) AS h, len(list_filter(['trash', 'scum'], lambda x: contains(body, x))) AS bad FROM k WHERE len(t) >= 8)
-SELECT query_id, doc_id, round(score + greatest(0e0, (CASE WHEN h[1] = 1 THEN 5e0 ELSE -2e0 END) + 3e0 * h[2] + 4e0 * h[3] + 2e0 * h[4] + 3e0 * h[5] + 1.5e0 * h[6] + h[7] + h[8] - 2e0 * bad), 6) AS score FROM h""")
+# Profiles and an ideal, each field of its own kind of value.
+FUZZY_SQL = "(lower(trim({a})) = lower(trim({b})) OR contains(lower(trim({a})), lower(trim({b}))) OR contains(lower(trim({b})), lower(trim({a}))))"
+ANY_SQL = lambda held, b: f"len(list_filter({held}, lambda h: {FUZZY_SQL.format(a='h', b=b)})) > 0"
+HELD_SQL = "p AS (SELECT p_partkey AS doc_id, string_split(p_type, ' ') AS subs, [p_brand, p_name] AS procs, ['size ' || p_size::VARCHAR] AS conds, p_type AS expertise, p_name || ' ' || p_type AS description, [p_brand] AS quals, ['adult' || (p_size % 3)::VARCHAR] AS ages, [CASE WHEN p_size % 2 = 0 THEN 'French' ELSE 'german' END] AS langs, CASE p_size % 4 WHEN 0 THEN 'Male' WHEN 1 THEN 'female' END AS gender FROM part)"
+
+
+@add("ideal_profile_match", f"""WITH {HELD_SQL} SELECT doc_id, round(greatest(0e0,
+ (CASE WHEN {ANY_SQL('subs', "'Steel'")} THEN 5e0 ELSE -2e0 END) + (CASE WHEN {ANY_SQL('subs', "'BRUSHED x'")} THEN 3e0 ELSE 0e0 END) + (CASE WHEN {ANY_SQL('subs', "'tin'")} THEN 1e0 ELSE 0e0 END)
+ + (CASE WHEN {ANY_SQL('procs', "'brand#1'")} THEN 4e0 ELSE 0e0 END) + (CASE WHEN {ANY_SQL('procs', "'brand#2'")} THEN 2e0 ELSE 0e0 END) + (CASE WHEN {ANY_SQL('procs', "'7'")} THEN 0.5e0 ELSE 0e0 END)
+ + (CASE WHEN {ANY_SQL('conds', "'size 1'")} THEN 3e0 ELSE 0e0 END) + (CASE WHEN {ANY_SQL('conds', "'size 2'")} THEN 1.5e0 ELSE 0e0 END)
+ + (CASE WHEN contains(lower(expertise), 'promo') THEN 2e0 ELSE 0e0 END) + (CASE WHEN contains(lower(description), 'part') THEN 1e0 ELSE 0e0 END) + (CASE WHEN contains(lower(description), 'copper') THEN 1e0 ELSE 0e0 END)
+ - (CASE WHEN {ANY_SQL('subs', "'nickel'")} THEN 3e0 ELSE 0e0 END) - (CASE WHEN {ANY_SQL('procs', "'brand#5'")} THEN 2e0 ELSE 0e0 END)
+ + (CASE WHEN list_contains(list_transform(quals, lambda x: upper(x)), 'BRAND#3') THEN 1e0 ELSE 0e0 END) + (CASE WHEN list_contains(ages, 'adult1') THEN 1.5e0 ELSE 0e0 END)
+ + (CASE WHEN list_contains(list_transform(langs, lambda x: lower(x)), 'french') THEN 1e0 ELSE 0e0 END) + (CASE WHEN lower(gender) = 'female' THEN 1e0 ELSE 0e0 END)), 6) AS score FROM p""")
 def _(spark, sf):
-    need = lambda i, kind: F.struct(F.get("t", i).alias("name"), L(kind).alias("importance"))
-    two = lambda i: F.array(need(i, "required"), need(i + 1, "preferred"))
-    match = RS.ideal_match(F.lower("body"), two(0), two(2), two(4), F.slice("t", 7, 2), F.array(L("trash"), L("scum")))
-    return counted(spark, sf).where(F.size("t") >= 8).select("query_id", "doc_id", F.round(F.col("score") + match, 6).alias("score"))
+    c = F.col
+    text = lambda *values: F.array(*[L(v) for v in values])
+    need = lambda *pairs: F.array(*[F.struct(L(n).alias("name"), L(i).alias("importance")) for n, i in pairs])
+    part = table(spark, sf, "part")
+    profile = F.struct(
+        F.split("p_type", " ").alias("subspecialties"), F.array("p_brand", "p_name").alias("procedures"), F.array(F.concat(L("size "), c("p_size").cast("string"))).alias("conditions"),
+        c("p_type").alias("expertise"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.array("p_brand").alias("qualifications"), F.array(F.concat(L("adult"), (c("p_size") % 3).cast("string"))).alias("age_groups"),
+        F.array(F.when(c("p_size") % 2 == 0, "French").otherwise("german")).alias("languages"), F.when(c("p_size") % 4 == 0, "Male").when(c("p_size") % 4 == 1, "female").alias("gender"),
+    )
+    ideal = F.struct(
+        need(("Steel", "required"), ("BRUSHED x", "preferred"), ("tin", "optional"), ("", "required")).alias("subspecialties"), need(("brand#1", "required"), ("brand#2", "preferred"), ("7", "optional")).alias("procedures"),
+        need(("size 1", "required"), ("size 2", "preferred")).alias("conditions"), text("PROMO").alias("areas"), text("part", "Copper").alias("keywords"), text("nickel").alias("avoid_subspecialties"), text("brand#5").alias("avoid_procedures"),
+        text("brand#3").alias("qualifications"), text("adult1").alias("age_groups"), text("FRENCH").alias("languages"), L("Female").alias("gender"),
+    )
+    return part.select(c("p_partkey").alias("doc_id"), F.round(RS.ideal_match(profile, ideal), 6).alias("score"))
 
 
 @add("subspecialty_weight", """WITH h AS (SELECT p_partkey AS doc_id, lower(p_type) AS held FROM part), l(name, confidence) AS (VALUES ('steel', 0.9e0), ('promo brushed', 0.5e0), ('brass', 0.4e0))
@@ -348,16 +383,21 @@ def _(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.round(B.session(F.col("o_orderpriority").startswith("1"), F.col("o_orderstatus") == "O", k % 2 == 0, k % 3 == 0, k % 5 == 0, k % 7 == 0), 6).alias("boost"))
 
 
-@add("checklist_boost", """WITH c AS (SELECT p_partkey AS doc_id, ' ' || lower(concat_ws(' ', p_type, p_name)) || ' ' AS t FROM part), r AS (SELECT doc_id, list_sum(list_transform(['promo', 'steel', 'bru'], lambda v: CASE WHEN contains(t, ' ' || v || ' ') THEN 1e0 WHEN contains(t, v) THEN 0.5e0 ELSE 0e0 END)) / 3 AS r FROM c)
+CHECK_SQL = "CASE WHEN trim({h}) = '' THEN NULL WHEN contains(' ' || lower(trim({h})) || ' ', ' ' || {v} || ' ') THEN 1e0 WHEN contains(lower(trim({h})), {v}) OR contains({v}, lower(trim({h}))) THEN 0.5e0 END"
+
+
+@add("checklist_boost", f"""WITH c AS (SELECT p_partkey AS doc_id, CASE WHEN p_size % 5 = 0 THEN '' ELSE split_part(p_type, ' ', 1) || 'x' END AS a, p_type AS b, p_brand AS d FROM part), e AS (SELECT *, trim(concat_ws(' ', nullif(a, ''), b, d)) AS every FROM c),
+r AS (SELECT doc_id, list_sum(list_transform(['promo', 'steel', 'bru', 'brand#1'], lambda v: coalesce({', '.join(CHECK_SQL.format(h=h, v='v') for h in ('a', 'b', 'd', 'every'))}, 0e0))) / 5 AS r FROM e)
 SELECT doc_id, round(r, 6) AS ratio, round(CASE WHEN r >= 0.3e0 THEN least(1 + 0.2e0 * r, 1.2e0) ELSE 1e0 END, 6) AS boost FROM r""")
 def _(spark, sf):
-    ratio, boost = RS.checklist(F.array(L("promo"), L("steel"), L("bru")), [F.col("p_type"), F.col("p_name")])
+    sets = [F.when(F.col("p_size") % 5 == 0, "").otherwise(F.concat(F.split_part("p_type", L(" "), L(1)), L("x"))), F.col("p_type"), F.col("p_brand")]
+    ratio, boost = RS.checklist(F.array(L(" Promo"), L("steel"), L("bru"), L("brand#1"), L(" ")), sets)
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.round(ratio, 6).alias("ratio"), F.round(boost, 6).alias("boost"))
 
 
-@add("term_classes", f"WITH {TERMS_SQL}, x AS (SELECT query_id, list_concat(list_distinct(t), ['expert', 'surgery', 'lead']) AS t FROM t) SELECT query_id, len(list_filter(t, lambda x: x IN ('specialist', 'expert', 'fellowship', 'lead', 'consultant', 'complex', 'advanced'))) AS high, len(list_filter(t, lambda x: x IN ('surgery', 'ablation', 'replacement', 'repair', 'injection'))) AS procedure, len(list_filter(t, lambda x: x NOT IN ('specialist', 'expert', 'fellowship', 'lead', 'consultant', 'complex', 'advanced', 'surgery', 'ablation', 'replacement', 'repair', 'injection'))) AS pathway FROM x")
+@add("term_classes", f"WITH {TERMS_SQL}, x AS (SELECT query_id, list_concat(t, ['angina', 'pci', 'stent', 'chest pain', 'angina']) AS t FROM t) SELECT query_id, len(list_filter(t, lambda x: x IN ('angina', 'chest pain'))) AS high, len(list_filter(t, lambda x: x IN ('pci', 'stent'))) AS procedure, len(list_filter(t, lambda x: x NOT IN ('angina', 'chest pain', 'pci', 'stent'))) AS pathway FROM x")
 def _(spark, sf):
-    high, procedure, pathway = RS.term_classes(F.concat(F.array_distinct("t"), F.array(L("expert"), L("surgery"), L("lead"))))
+    high, procedure, pathway = RS.term_classes(F.concat("t", F.array(*[L(x) for x in ("Angina", "PCI", "stent", "chest pain", "angina")])))
     return term_lists(spark, sf).select("query_id", F.size(high).cast("long").alias("high"), F.size(procedure).cast("long").alias("procedure"), F.size(pathway).cast("long").alias("pathway"))
 
 
@@ -420,16 +460,37 @@ def _(spark, sf):
     return FU.progressive(bm25(*inputs(spark, sf)), view(spark, sf, TIER_SQL)).select("query_id", "doc_id", "score", "tier", "rounds_used", "rank")
 
 
+def stage_b_counts(rows):
+    t = T.tokens(F.col("query"))
+    n = lambda a, b: T.count_contained(F.slice(t, a, b - a + 1), F.lower("body"))
+    return rows.withColumns({"intent": n(1, 6), "anchor": n(7, 8), "negative": T.count_contained(F.array(*[L(w) for w in NEG]), F.lower("body")), "subspecialty": L(0.0), "ambiguous": L(False)})
+
+
 @add("shortlist_two_stage", f"WITH {COUNTS_SQL}, s AS (SELECT query_id, doc_id, round(greatest(0e0, score + 0.3e0 * intent + 0.5e0 * anchor + {NEG_SQL}), 6) AS score FROM k) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 12")
 def _(spark, sf):
-    score = RS.additive(F.col("score"), F.col("intent"), F.col("anchor"), F.col("neg"), L(0.0), L(False))
-    return out(ranked(counted(spark, sf).withColumn("score", F.round(score, 6)).drop("rank"), RankingConfig().top_k))
+    return out(SL.shortlist(*inputs(spark, sf), stage_b_counts))
+
+
+#: Signals of documents: those of the practitioner with the document's id, modulo their number.
+SIGNALS = f"""SELECT d.doc_id, p.rating, p.reviews, p.years, p.verified, p.lat, p.lon, d.doc_id % 3 AS negatives, CASE WHEN d.doc_id % 4 <> 0 THEN (d.doc_id % 13) * 1e-1 END AS given
+FROM documents d JOIN ({PRACTITIONERS}) p ON d.doc_id % 10 + 1 = p.doc_id WHERE d.doc_id % 7 <> 0"""
+SIGNALS_SQL = f"sig AS (SELECT doc_id, {TIERS_SQL} AS quality, {PROX_SQL} AS proximity, least(1e0, greatest(0e0, given)) AS semantic, negatives FROM (SELECT *, {HAV.format(**CENTRE)} / 40 AS d FROM ({SIGNALS})))"
+PAIRS_SQL = PHRASES_SQL.replace("ph AS", "ph2 AS (SELECT query_id, q, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS p FROM qw), ph AS")
+
+
+def signals(spark, sf):
+    s = view(spark, sf, SIGNALS)
+    quality = B.quality(F.col("rating"), F.col("reviews"), F.col("years"), F.col("verified"))
+    return s.select("doc_id", quality.alias("quality"), B.proximity(miles() / 40).alias("proximity"), F.least(L(1.0), F.greatest(L(0.0), "given")).alias("semantic"), "negatives")
+
+
+@add("production_rank", f"""WITH {bm25_sql()}, {PHRASES_SQL}, {SIGNALS_SQL}, raw AS (SELECT s.query_id, s.doc_id, round(s.score * coalesce(quality, 1e0) * coalesce(proximity, 1e0) + {PHRASE_SQL}, 6) AS score, coalesce(semantic, 0e0) AS semantic FROM scores s JOIN documents d ON s.doc_id = d.doc_id JOIN ph ON s.query_id = ph.query_id LEFT JOIN sig ON s.doc_id = sig.doc_id),
+n AS (SELECT query_id, doc_id, round(round({MINMAX_SQL}, 6) + 0.3e0 * semantic, 6) AS score FROM raw WINDOW w AS (PARTITION BY query_id)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n) WHERE rank <= 50""")
+def _(spark, sf):
+    return out(SL.production(*inputs(spark, sf), signals(spark, sf)).where("rank <= 50"))
 
 
-@add("production_rank", f"""WITH p AS ({PRACTITIONERS}), m AS (SELECT *, {HAV.format(**CENTRE)} / 40 AS d FROM p), s AS (SELECT nation % 5 AS query_id, doc_id, round((reviews + 1) * {TIERS_SQL} * {PROX_SQL}, 6) AS raw FROM m),
-n AS (SELECT query_id, doc_id, round(CASE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) ELSE 1e0 END, 6) AS score FROM s WINDOW w AS (PARTITION BY query_id)) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM n""")
+@add("local_rank", f"""WITH {bm25_sql(variant='local')}, {PAIRS_SQL}, {SIGNALS_SQL}, raw AS (SELECT s.query_id, s.doc_id, round(greatest(0e0, (s.score * coalesce(quality, 1e0) + {PHRASE_SQL.replace('p,', 'ph2.p,')}) * CASE WHEN negatives >= 2 THEN 0.85e0 WHEN negatives = 1 THEN 0.95e0 ELSE 1e0 END), 6) AS score FROM scores s JOIN documents d ON s.doc_id = d.doc_id JOIN ph2 ON s.query_id = ph2.query_id LEFT JOIN sig ON s.doc_id = sig.doc_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM raw) WHERE rank <= 50""")
 def _(spark, sf):
-    p = view(spark, sf, PRACTITIONERS)
-    raw = (F.col("reviews") + 1) * B.quality(F.col("rating"), F.col("reviews"), F.col("years"), F.col("verified")) * B.proximity(miles() / 40)
-    s = p.select((F.col("nation") % 5).alias("query_id"), "doc_id", F.round(raw, 6).alias("score"))
-    return out(ranked(s.withColumn("score", F.round(min_max("score"), 6))))
+    return out(SL.local(*inputs(spark, sf), signals(spark, sf)).where("rank <= 50"))

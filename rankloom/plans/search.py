@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geo as G
@@ -80,11 +79,12 @@ def _(spark, sf):
     return view(spark, sf, PRACTITIONERS).where(FL.gender_allows(gender, "male")).select("doc_id", "title")
 
 
-@add("filter_specialty_terms", r"""WITH n AS (SELECT p_partkey AS doc_id, trim(regexp_replace(lower(p_type), '[^a-z0-9\s]', ' ', 'g')) AS own, trim(regexp_replace(lower(p_name), '[^a-z0-9\s]', ' ', 'g')) AS other FROM part)
-SELECT doc_id FROM n WHERE (own <> '' AND (contains(own, 'promo steel') OR contains('promo steel', own))) OR contains(other, 'promo steel') OR contains(other, 'promo') OR contains(other, 'steel') OR contains(own, 'promo')""")
+@add("filter_specialty_terms", r"""WITH n AS (SELECT p_partkey AS doc_id, p_brand, trim(regexp_replace(lower(p_type), '[^a-z0-9\s]', ' ', 'g')) AS own, p_size % 4 = 0 AS has_subs, trim(regexp_replace(lower(p_name), '[^a-z0-9\s]', ' ', 'g')) AS sub, CASE WHEN p_size % 3 = 0 THEN lower(p_name) || ' promoted' ELSE '' END AS expertise, CASE WHEN p_size % 7 = 0 THEN 'steelworker' END AS title FROM part)
+SELECT doc_id FROM n WHERE contains(own, 'promo  steel') OR contains('promo  steel', own) OR (has_subs AND (contains(sub, 'promo') OR contains(sub, 'steel'))) OR contains(expertise, 'promo') OR contains(expertise, 'steel') OR coalesce(contains(title, 'promo') OR contains(title, 'steel'), false)""")
 def _(spark, sf):
-    match = FL.specialty_matches(F.col("p_type"), [F.col("p_name")], "Promo, Steel") | F.contains(T.normalise_specialty(F.col("p_type")), L("promo"))
-    return table(spark, sf, "part").where(match).select(F.col("p_partkey").alias("doc_id"))
+    c = F.col
+    match = FL.specialty_matches(c("p_type"), F.when(c("p_size") % 4 == 0, F.array("p_name")), F.when(c("p_size") % 3 == 0, F.concat("p_name", L(" Promoted"))).otherwise(""), F.when(c("p_size") % 7 == 0, "Steelworker"), "Promo, Steel")
+    return table(spark, sf, "part").where(match).select(c("p_partkey").alias("doc_id"))
 
 
 HAV = "3958.8::DOUBLE * 2 * atan2(sqrt({h}), sqrt(1 - {h}))".format(h="(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))")
@@ -98,7 +98,7 @@ def miles():
 @add("haversine_matrix", f"WITH p AS (SELECT n_name, 499e-1 + 4e-1 * n_nationkey AS lat, -75e-1 + 35e-2 * n_nationkey AS lon FROM nation) SELECT a.n_name AS a, b.n_name AS b, round({HAV.format(lat1='a.lat', lon1='a.lon', lat2='b.lat', lon2='b.lon')}, 4) AS miles FROM p a JOIN p b ON a.n_name < b.n_name")
 def _(spark, sf):
     p = view(spark, sf, "SELECT n_name, 499e-1 + 4e-1 * n_nationkey AS lat, -75e-1 + 35e-2 * n_nationkey AS lon FROM nation")
-    a, b = p.alias("a"), F.broadcast(p.alias("b"))  # the nations are a fixed list
+    a, b = p.alias("a"), p.alias("b")
     d = G.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     return a.join(b, F.col("a.n_name") < F.col("b.n_name")).select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.round(d, 4).alias("miles"))
 
@@ -132,10 +132,9 @@ def _(spark, sf):
     return view(spark, sf, PRACTITIONERS).select("doc_id", G.compact(pc).alias("compact"), G.district(pc).alias("district"), G.area(pc).alias("area"), G.find_postcode(F.concat(L("at "), pc, L(" near"))).alias("found"))
 
 
-@add("name_search", f"WITH {MEMBERS_SQL} SELECT doc_id, name, count(*) OVER () AS total FROM m WHERE contains(lower(name), '00001')")
+@add("name_search", f"WITH {MEMBERS_SQL} SELECT doc_id, name, count(*) OVER () AS total FROM m WHERE contains(lower(name), '00001') ORDER BY doc_id LIMIT 100")
 def _(spark, sf):
-    hit = members(spark, sf).where(FL.name_matches(F.col("name"), F.array(F.col("segment")), "00001"))
-    return hit.select("doc_id", "name", F.count(F.lit(1)).over(Window.partitionBy()).alias("total"))
+    return FL.name_search(members(spark, sf).withColumn("alternatives", F.array("segment")), "00001", 100).select("doc_id", "name", "total")
 
 
 @add("name_normalise", f"""WITH p AS ({PRACTITIONERS}), t AS (SELECT doc_id, coalesce(title || '. ', '') || name AS raw FROM p)
@@ -190,10 +189,10 @@ def _(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(t.rlike(r"(?<![a-z0-9_])th[a-z]*(ing|tion)(?![a-z0-9_])"), "a").when(t.rlike("que|eau"), "b").alias("specialty"))
 
 
-@add("remote_consultation", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 3 = 0 OR c_mktsegment = 'BUILDING' OR c_nationkey = 4 END AS remote FROM customer")
+@add("remote_consultation", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 2 = 0 ELSE c_custkey % 3 = 0 OR c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_nationkey IN (4, 6) END AS remote FROM customer")
 def _(spark, sf):
     k = F.col("c_custkey")
-    remote = MG.remote_consultation(F.when(k % 5 == 0, k % 2 == 0), [k % 3 == 0], F.array(F.when(F.col("c_mktsegment") == "BUILDING", "Video call").otherwise("in person")), F.array(F.when(F.col("c_nationkey") == 4, "Online clinic").otherwise("Main site")))
+    remote = MG.remote_consultation(F.when(k % 5 == 0, k % 2 == 0), [k % 3 == 0], F.array(F.when(F.col("c_mktsegment") == "BUILDING", "Video call").when(F.col("c_mktsegment") == "MACHINERY", "Telehealth").otherwise("in person")), F.array(F.when(F.col("c_nationkey") == 4, "Online clinic").when(F.col("c_nationkey") == 5, "Remote valley").when(F.col("c_nationkey") == 6, "Video consultation").when(F.col("c_nationkey") == 7, "Video hire").otherwise("Main site")))
     return table(spark, sf, "customer").select(k.alias("doc_id"), remote.alias("remote"))
 
 

@@ -37,14 +37,19 @@ def csv_records(spark: SparkSession, path: str, schema: T.StructType, key: list[
 
 
 def questions(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
-    """specialty (from the file's name) and question: one per line, quotes stripped, headings and blanks left out, the first ``most``."""
+    """specialty (from the file's name), n and question: one per line, wrapping quotes stripped, the first ``most``.
+
+    Lines under 30 characters, marker lines and headings of up to four plain words are left out.
+    """
     lines = spark.read.text(path).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1).alias("specialty"),
         F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), strip_quotes(F.col("value")).alias("question"),
     )
-    kept = lines.where((F.length("question") > 10) & ~F.lower("question").rlike(r"^(question|specialty|#|total)\b"))
+    q = F.col("question")
+    marker = q.rlike(r"(?i)^[\"']?practical,?\s+intent-heavy[\"']?$")
+    heading = q.rlike(r"(?i)^[\"']?[a-z\s&-]+[\"']?$") & (F.size(F.split(q, r"\s+")) <= 4)
     first = Window.partitionBy("specialty").orderBy("block", "line")
-    return kept.withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("specialty", "n", "question")
+    return lines.where((F.length(q) >= 30) & ~marker & ~heading).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("specialty", "n", "question")
 
 
 def chats(spark: SparkSession, path: str) -> DataFrame:
@@ -53,13 +58,93 @@ def chats(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("session"), F.col("value").alias("text"))
 
 
-def profiles_with_canonical(profiles: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Left join on any of the canonical rows' legacy ids; the last writer of an id wins."""
-    ids = canonical.select(F.posexplode("legacy_ids").alias("pos", "doc_id"), "canonical_id", "checklist")
-    last = ids.groupBy("doc_id").agg(F.max_by(F.struct("canonical_id", "checklist"), F.struct("canonical_id", "pos")).alias("c"))
+def profiles_with_canonical(profiles: DataFrame, canonical: DataFrame, order: str = "seq") -> DataFrame:
+    """Left join with canonical rows (canonical_id, legacy_ids, checklist) on any legacy id, or on the canonical id where it is no one's legacy id.
+
+    Of rows that claim the same id, the last by ``order`` wins, then the last in its list.
+    """
+    ids = canonical.select(F.posexplode("legacy_ids").alias("pos", "doc_id"), "canonical_id", "checklist", order, F.lit(1).alias("kind"))
+    own = canonical.select(F.lit(-1).alias("pos"), F.col("canonical_id").alias("doc_id"), "canonical_id", "checklist", order, F.lit(0).alias("kind"))
+    last = ids.unionByName(own).groupBy("doc_id").agg(F.max_by(F.struct("canonical_id", "checklist"), F.struct("kind", order, "pos")).alias("c"))
     return profiles.join(last, "doc_id", "left").select(profiles["*"], "c.canonical_id", "c.checklist")
 
 
+def lookup(spark: SparkSession, path: str, value: T.DataType = T.StringType(), key: str = "key") -> DataFrame:
+    """(key, value) of JSON files that hold one object used as a table: aliases, centroids, lexicons."""
+    whole = spark.read.text(path, wholetext=True)
+    rows = whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), value))).alias(key, "v"))
+    return rows.select(key, "v.*") if isinstance(value, T.StructType) else rows.withColumnRenamed("v", "value")
+
+
+def convert_to_lines(source: str, target: str, wrappers: tuple[str, ...] = WRAPPERS, chunk: int = 1 << 20) -> int:
+    """Copy the records of one JSON file of any size (an array, or an object with the array under a wrapper) to a file of lines, which splits; how many.
+
+    A JSON array cannot be split, so this is one pass by one reader that holds a chunk
+    and a record.  Both are paths or addresses that ``pyarrow.fs`` knows.
+    """
+    import json
+
+    from pyarrow import fs
+
+    def opened(place: str):
+        return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
+
+    (read_from, a), (write_to, b) = opened(source), opened(target)
+    decode, count = json.JSONDecoder(), 0
+    with read_from.open_input_stream(a) as raw, write_to.open_output_stream(b) as out:
+        import codecs
+
+        text, held, done = codecs.getincrementaldecoder("utf-8-sig")(), "", False
+
+        def more() -> bool:
+            nonlocal held, done
+            data = raw.read(chunk)
+            done = not data
+            held += text.decode(data, done)
+            return not done
+
+        def skip(what: str) -> None:
+            nonlocal held
+            while True:
+                held = held.lstrip(what)
+                if held or not more():
+                    return
+
+        def value():
+            nonlocal held
+            while True:
+                try:
+                    found, end = decode.raw_decode(held)
+                    if end < len(held) or done:
+                        held = held[end:]
+                        return found
+                except ValueError:
+                    if done:
+                        raise
+                more()
+
+        skip(" \t\r\n")
+        inside = held[:1] == "["
+        if not inside:
+            held = held[1:]
+            while not inside:
+                skip(" \t\r\n,")
+                if held[:1] in ("}", ""):
+                    return 0
+                name = value()
+                skip(" \t\r\n:")
+                inside = name in wrappers and held[:1] == "["
+                if not inside:
+                    value()
+        held = held[1:]
+        while True:
+            skip(" \t\r\n,")
+            if held[:1] in ("]", ""):
+                return count
+            out.write((json.dumps(value(), ensure_ascii=False, separators=(",", ":")) + "\n").encode())
+            count += 1
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with doubled quotes."""
     df.write.csv(path, header=True, quote='"', escape='"', quoteAll=True)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import RankingConfig
 from rankloom.functions import geo, text
-from rankloom.operators import boosts, filters, fusion, metrics, rescore, rewrite, sessions
+from rankloom.operators import boosts, filters, fusion, locations, metrics, rescore, rewrite, sessions
 from rankloom.operators.bm25 import bm25, ranked
 
 DOCS = [(1, "knee surgery knee"), (2, "hip surgery café"), (3, ""), (4, "knee surgery knee"), (5, None), (6, "heart_valve repair")]
@@ -112,3 +112,80 @@ def test_plan_stays_in_the_jvm(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     plan = bm25(spark.createDataFrame([(1, "knee")], "query_id long, text string"), docs)._jdf.queryExecution().toString()
     assert "Python" not in plan.replace("LogicalRDD", "") and "Cartesian" not in plan
+
+
+def test_second_stage_golden(spark):
+    n = F.lit
+    # (10 x 1.4 x 1.15 x 1.05 + min(5 x 0.2, 0.6) + 3) x 1.3 x 0.85
+    assert value(spark, F.round(rescore.multiplicative(n(10.0), n(2), n(2), n(1), n(5), n(4), n(0.3), n(3)), 9)) == round((10 * 1.4 * 1.15 * 1.05 + 0.6 + 3) * 1.3 * 0.85, 9)
+    assert value(spark, rescore.multiplicative(n(0.0), n(0), n(0), n(0), n(1), n(1), n(0.0), n(0))) == pytest.approx(1.2)
+    # 2 + 3 + 2 x 0.5 + 0.4 + 2 + 0.5 - 2
+    assert value(spark, rescore.tiered(n(1), n(7), n(2), n(2), n(2), n(0.9), n(2))) == pytest.approx(6.9)
+    terms = F.array(*[n(t) for t in ("Angina", "PCI", "knee", "chest pain", "knee")])
+    assert [value(spark, c) for c in rescore.term_classes(terms)] == [["angina", "chest pain"], ["pci"], ["knee", "knee"]]
+
+
+def test_checklist_takes_the_first_set_that_has_it(spark):
+    n = F.lit
+    ratio, boost = rescore.checklist(F.array(n("knee"), n("hip")), [n("kneecap repair"), n("knee pain"), n("")])
+    assert (value(spark, ratio), value(spark, boost)) == (0.25, 1.0)  # a part of the first goes before the whole word of the second
+    ratio, boost = rescore.checklist(F.array(n(" Knee "), n("hip repair clinic")), [n(""), n("knee pain"), n("hip")])
+    assert (value(spark, ratio), round(value(spark, boost), 6)) == (0.75, 1.15)
+    assert value(spark, rescore.checklist(F.array().cast("array<string>"), [n("x")])[1]) == 1.0
+
+
+def test_ideal_profile_golden(spark):
+    texts = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    need = lambda *v: F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("importance")) for a, b in v])
+    profile = F.struct(texts("Hip Surgery").alias("subspecialties"), texts("hip", "replacement").alias("procedures"), texts("arthritis").alias("conditions"), F.lit("Hips and knees").alias("expertise"), F.lit("kind").alias("description"), texts("frcs").alias("qualifications"), texts("Adults").alias("age_groups"), texts("french").alias("languages"), F.lit("female").alias("gender"))
+    ideal = F.struct(need(("hip", "required"), ("spine", "required")).alias("subspecialties"), need(("Hip Replacement", "preferred")).alias("procedures"), need(("arthritis", "optional")).alias("conditions"), texts("HIPS").alias("areas"), texts("Kind", "rude").alias("keywords"), texts("hand").alias("avoid_subspecialties"), texts("replacement").alias("avoid_procedures"), texts("FRCS").alias("qualifications"), texts("adults").alias("age_groups"), texts("French").alias("languages"), F.lit("Female").alias("gender"))
+    assert value(spark, rescore.ideal_match(profile, ideal)) == 5 - 2 + 2 + 1.5 + 2 + 1 - 2 + 1 + 0 + 1 + 1
+    nothing = F.struct(*[F.lit(None).cast("array<string>").alias(c) for c in ("subspecialties", "procedures", "conditions", "qualifications", "age_groups", "languages")], *[F.lit(None).cast("string").alias(c) for c in ("expertise", "description", "gender")])
+    assert value(spark, rescore.ideal_match(nothing, ideal)) == 0
+
+
+def test_places_in_addresses(spark):
+    at = lambda a: value(spark, locations.parse_city(F.lit(a)))
+    assert [at("1 Road, Camden, London"), at("Greater Manchester Hospital\nUK"), at("Bath Road, Slough"), at("nowhere"), at(None)] == ["camden", "manchester", "slough", None, None]
+    match = lambda a, p, h, c: value(spark, locations.match_city(F.lit(a).cast("string"), F.lit(p).cast("string"), F.lit(h).cast("string"), c))
+    assert match("Soho", None, None, "London") and match(None, "EC1A 1BB", None, "london") and not match("Leeds", "M1 1AA", None, "london")
+    assert match("Leeds, York", None, None, "york") and match(None, None, "York Clinic", "york") and not match("Yorkville", None, None, "leeds")
+
+
+def test_centre_of_an_unknown_district(spark):
+    cen = spark.createDataFrame([("B70", 1.0, 1.0), ("B90", 2.0, 2.0), ("BA77", 3.0, 3.0)], "district string, lat double, lon double")
+    assert locations.centre_of(cen, "b77 1bz") == (1.0, 1.0) and locations.centre_of(cen, "B90") == (2.0, 2.0) and locations.centre_of(cen, "ZZ1") is None
+
+
+def test_distance_join_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = lambda n, name: spark.createDataFrame([(i, rng.uniform(49, 60.9), rng.uniform(-8, 2)) for i in range(n)], f"{name} long, lat double, lon double")
+    a, b = rows(120, "left_id"), rows(90, "right_id")
+    every = a.crossJoin(b.select("right_id", F.col("lat").alias("la"), F.col("lon").alias("lo"))).where(geo.haversine(F.col("lat"), F.col("lon"), F.col("la"), F.col("lo")) <= 40)
+    assert {(r.left_id, r.right_id) for r in locations.distance_join(a, b, 40).collect()} == {(r.left_id, r.right_id) for r in every.collect()}
+
+
+def test_fetch_depth():
+    from rankloom.operators.shortlist import fetch_depth
+
+    assert [fetch_depth(0, 12, 1000), fetch_depth(0, 12, 20), fetch_depth(100, 12, 110)] == [60, 36, 124]
+
+
+def test_event_time_windows(spark, tmp_path):
+    import datetime as dt
+
+    from rankloom.streaming import tracker
+
+    rows = [("a", dt.datetime(2024, 1, d)) for d in (1, 2, 20, 21)]
+    spark.createDataFrame(rows, "who string, ts timestamp").write.parquet(str(tmp_path / "in"))
+    log = tracker.read_log(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    out = tracker.windowed_tally(log, "who").writeStream.format("memory").queryName("weeks").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert sum(r.n for r in spark.table("weeks").collect()) == 4
+
+
+def test_configuration():
+    c = RankingConfig().merged(k1=1.2, b=None)
+    assert (c.k1, c.b, c.stage_a_size()) == (1.2, 0.75, 150)

@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import types as T
 
 from rankloom.sources import readers
@@ -19,9 +21,10 @@ def test_csv_quotes_and_lines(spark, tmp_path):
 
 def test_questions_and_chats(spark, tmp_path):
     (tmp_path / "q").mkdir()
-    (tmp_path / "q" / "hips.csv").write_text('"“Who can mend my hip?”"\n\nQuestion list here\nAnother long question\n')
+    lines = ['"“Who can mend my hip after a second fall?”"', "", "Who can mend my hip?", "Practical, intent-heavy", "Musculoskeletal rehabilitation & recovery", "# Which surgeon sees children with hip pain?"]
+    (tmp_path / "q" / "hips.csv").write_text("\n".join(lines) + "\n")
     got = readers.questions(spark, str(tmp_path / "q")).orderBy("n").collect()
-    assert [(r.specialty, r.question) for r in got] == [("hips", "Who can mend my hip?"), ("hips", "Another long question")]
+    assert [(r.specialty, r.question) for r in got] == [("hips", "Who can mend my hip after a second fall?"), ("hips", lines[-1])]
     (tmp_path / "c" / "s1").mkdir(parents=True)
     (tmp_path / "c" / "s1" / "chat.txt").write_text("a\nb")
     assert [tuple(r) for r in readers.chats(spark, str(tmp_path / "c")).collect()] == [("s1", "a\nb")]
@@ -35,3 +38,33 @@ def test_append_and_exports(spark, tmp_path):
     readers.write_csv(df, str(tmp_path / "out"))
     assert '"a ""b"""' in "".join(p.read_text() for p in (tmp_path / "out").glob("*.csv"))
     assert df.select(readers.as_json("id", "name")).first()[0] == '{"id":"1","name":"a \\"b\\""}'
+
+
+def test_lookups(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"Bldg": "Building", "Mach": "Machines"}')
+    (tmp_path / "c.json").write_text('{"SW1": {"lat": 51.5, "lon": -0.1}}')
+    assert sorted(tuple(r) for r in readers.lookup(spark, str(tmp_path / "a.json")).collect()) == [("Bldg", "Building"), ("Mach", "Machines")]
+    place = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+    assert [tuple(r) for r in readers.lookup(spark, str(tmp_path / "c.json"), place, "district").collect()] == [("SW1", 51.5, -0.1)]
+
+
+def test_large_json_becomes_lines(spark, tmp_path):
+    records = [{"id": str(i), "name": 'quote " and {brace} é 日本' * (i % 3), "more": [i, {"x": None}]} for i in range(50)]
+    for i, whole in enumerate((records, {"total": 50, "statistics": {"records": [1]}, "records": records, "z": 1}, {"other": 1}, [])):
+        (tmp_path / f"{i}.json").write_text("\ufeff" * (i == 0) + json.dumps(whole, indent=i), encoding="utf-8")
+        n = readers.convert_to_lines(str(tmp_path / f"{i}.json"), str(tmp_path / f"{i}.ndjson"), chunk=7)
+        assert n == (50 if i < 2 else 0)
+        assert [json.loads(x) for x in (tmp_path / f"{i}.ndjson").read_text(encoding="utf-8").splitlines()] == (records if i < 2 else [])
+    assert readers.json_lines(spark, str(tmp_path / "0.ndjson"), REC).count() == 50
+
+
+def test_the_last_canonical_row_wins(spark):
+    profiles = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "doc_id string")
+    canonical = spark.createDataFrame([("z", ["a", "b"], "first", 1), ("y", ["a"], "second", 2), ("c", ["q"], "own", 3), ("b", ["r"], "own b", 4)], "canonical_id string, legacy_ids array<string>, checklist string, seq int")
+    got = {r.doc_id: r.checklist for r in readers.profiles_with_canonical(profiles, canonical).collect()}
+    assert got == {"a": "second", "b": "first", "c": "own", "d": None}
+
+
+def test_write_json(spark, tmp_path):
+    readers.write_json(spark.createDataFrame([("1", "a")], REC), str(tmp_path / "j"))
+    assert readers.json_lines(spark, str(tmp_path / "j"), REC).count() == 1
