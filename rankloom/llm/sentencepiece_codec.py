@@ -16,6 +16,7 @@ units, and each block later looks up the ids of its distinct units.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -41,6 +42,9 @@ CHUNK = 1 << 18
 SPREAD = 4
 #: Units or documents whose ids are put together at a time.
 PART, LISTS = 1 << 18, 256
+#: Bytes of a row of a block about: long rows cost a JVM several times their length.
+SHORT = 1 << 18
+CHANGED = "a block changed while it was being encoded: the documents must be the same rows whenever they are read"
 #: A unit's place is its block, the block being a task's number and a number within the task, and its number in the block.
 UNIT_BITS, SEQ_BITS = 28, 13
 #: The hash comes first: sorting then seldom compares more than its bits.
@@ -323,8 +327,8 @@ class _Block:
             self.units[i] = rank[numbers]
         return self.units
 
-    def pack(self, pieces: Pieces, slots: int) -> bytes:
-        """Compressed: ids of documents, their numbers of units, the units, the ids of units left out of the lattice, and all units in order.
+    def rows(self, block: int, pieces: Pieces, slots: int) -> pa.RecordBatch:
+        """The block as rows of block, seq and pack, all of them short: whole rows of units (seq -1), and the rest in numbered parts.
 
         Units are in the order of their slots, then of code points: those of a slot are
         listed together, and neighbours are alike.  In the texts, a unit stands as its
@@ -341,24 +345,38 @@ class _Block:
         rank, place = np.empty(len(names), np.uint32), np.empty(len(names), np.uint32)
         rank[often] = np.arange(len(names), dtype=np.uint32)
         place[order] = np.arange(len(names), dtype=np.uint32)
-        units = [names[i] for i in order.tolist()]
+        slot = slot[order]
         apart = int((slot < 0).sum())
         ids = pa.concat_arrays(self.doc_ids)
-        return _compressed(
+        rest = _compressed(
             {
                 "doc_id": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                 "count": pa.array([np.concatenate(self.counts)]),
-                "unit": pa.array([units], pa.list_(pa.string())),
-                "slot": pa.array([slot[order]]),
-                "apart": pa.array([[encode_unit(u, pieces) for u in units[:apart]]], pa.list_(pa.list_(pa.int32()))),
+                "apart": pa.array([[encode_unit(names[i], pieces) for i in order[:apart].tolist()]], pa.list_(pa.list_(pa.int32()))),
                 **_thin(self._ranked(rank)),
                 **{"place" + k: v for k, v in _thin([place[often]]).items()},
             }
         )
+        packs = [rest[at : at + SHORT] for at in range(0, len(rest), SHORT)]
+        seqs = [*range(len(packs))]
+        starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+        starts = starts[slot[starts] >= 0].tolist()
+        listed: dict[str, list] = {"slot": [], "first": [], "units": []}
+        held = 0
+        for begin, end in zip(starts, [*starts[1:], len(names)]):
+            joined = SEPARATOR.join([names[i] for i in order[begin:end].tolist()])
+            for column, value in zip(listed.values(), (int(slot[begin]), (block << UNIT_BITS) + begin, joined)):
+                column.append(value)
+            held += len(joined)
+            if held >= SHORT or end == len(names):
+                packs.append(_compressed({"slot": pa.array(listed["slot"], pa.int32()), "first": pa.array(listed["first"], pa.int64()), "units": pa.array(listed["units"], pa.string())}))
+                seqs.append(-1)
+                listed, held = {"slot": [], "first": [], "units": []}, 0
+        return pa.RecordBatch.from_pydict({"block": pa.array([block] * len(packs), pa.int64()), "seq": pa.array(seqs, pa.int32()), "pack": pa.array(packs, pa.binary())})
 
 
 def _blocks(pieces: Pieces, slots: int):
-    """An Arrow map: (doc_id, text) to (block, pack), the block being this task's number and a number within it."""
+    """An Arrow map: (doc_id, text) to (block, seq, pack), the block being this task's number and a number within it."""
 
     def run(batches):
         first = TaskContext.get().partitionId() << SEQ_BITS
@@ -375,31 +393,27 @@ def _blocks(pieces: Pieces, slots: int):
                 block.add(batch.column(0).slice(at, end - at), texts.slice(at, end - at).to_pylist(), pieces)
                 at = end
                 if block.held >= BLOCK:
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([first + done]), "pack": pa.array([block.pack(pieces, slots)], pa.binary())})
+                    yield from _few(block.rows(first + done, pieces, slots))
                     block, done = _Block(), done + 1
         if block.counts:
-            yield pa.RecordBatch.from_pydict({"block": pa.array([first + done]), "pack": pa.array([block.pack(pieces, slots)], pa.binary())})
+            yield from _few(block.rows(first + done, pieces, slots))
         del block
         trim()
 
     return run
 
 
+def _few(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (rows.slice(at, 4) for at in range(0, rows.num_rows, 4))
+
+
 def _listed(batches):
-    """An Arrow map: (block, pack) to (slot, first, units): the units of a block in a slot, joined, and the place of their first."""
+    """An Arrow map: the rows of units as (slot, first, units): the units of a block in a slot, joined, and the place of their first."""
     for batch in batches:
-        for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            pack = _unpack(blob)
-            units, slot = pack.column("unit").values.to_pylist(), pack.column("slot").values.to_numpy()
-            starts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))[slot[:1] < 0 and 1 or 0 :] if len(slot) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(slot))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "slot": pa.array(slot[starts].astype(np.int32)),
-                    "first": pa.array((block << UNIT_BITS) + starts),
-                    "units": pa.array([SEPARATOR.join(units[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], pa.string()),
-                }
-            )
+        for seq, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if seq < 0:
+                yield _unpack(blob)
+    trim()
 
 
 def _returned(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
@@ -410,6 +424,8 @@ def _returned(rows: pa.Table, dictionary: pa.Table) -> pa.Table:
     for units in rows.column("units").to_pylist():
         chosen = lists.take(pa.array(np.fromiter(map(number.__getitem__, units.split(SEPARATOR)), np.int64)))
         packs.append(_compressed({"length": pa.array([np.diff(chosen.offsets.to_numpy()).astype(np.uint32)]), **_thin([chosen.flatten().to_numpy(zero_copy_only=False)])}))
+    del number, lists
+    trim()
     return pa.table({"home": pa.array(first >> UNIT_BITS), "first": pa.array(first & ((1 << UNIT_BITS) - 1)), "ids": pa.array(packs, pa.binary())})
 
 
@@ -419,14 +435,15 @@ def _one(column: pa.ChunkedArray) -> pa.Array:
 
 def _gathered(known: pa.Table, packs: pa.Table) -> pa.Table:
     """The ids of each document of a block, from the ids of its units."""
-    blobs = packs.column("pack").to_pylist()
-    block = _unpack(blobs[0]) if len(blobs) == 1 else None
+    rows = packs.filter(pa.compute.greater_equal(packs.column("seq"), 0)).sort_by("seq")
+    if rows.column("seq").to_pylist() != [*range(rows.num_rows)]:
+        raise RuntimeError(CHANGED)
+    block = _unpack(b"".join(rows.column("pack").to_pylist()))
     parts = [_unpack(x) for x in known.sort_by("first").column("ids").to_pylist()]
-    size = len(block.column("unit").values) if block else -1
-    apart = block.column("apart").values if block else None
-    lengths = np.concatenate([np.diff(apart.offsets.to_numpy()), *(p.column("length").values.to_numpy() for p in parts)]).astype(np.int64) if block else np.zeros(0)
-    if len(lengths) != size:
-        raise RuntimeError("a block changed while it was being encoded: the documents must be the same rows whenever they are read")
+    apart = block.column("apart").values
+    lengths = np.concatenate([np.diff(apart.offsets.to_numpy()), *(p.column("length").values.to_numpy() for p in parts)]).astype(np.int64)
+    if len(lengths) != block.column("placesize")[0].as_py():
+        raise RuntimeError(CHANGED)
     values = np.concatenate([apart.flatten().to_numpy(zero_copy_only=False).astype(np.int32), *(_thick(p, "").astype(np.int32) for p in parts)])
     place = _thick(block, "place")
     lengths, starts = lengths[place].astype(np.int32), (np.cumsum(lengths) - lengths)[place]
@@ -441,7 +458,8 @@ def _gathered(known: pa.Table, packs: pa.Table) -> pa.Table:
     upto = np.cumsum(np.concatenate(sizes), dtype=np.int32)
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     cuts = np.append(0, upto[np.cumsum(block.column("count").values.to_numpy())]).astype(np.int32)
-    out = pa.table({"doc_id": block.column("doc_id").values, "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))})
+    whole = pa.RecordBatch.from_pydict({"doc_id": block.column("doc_id").values, "ids": pa.ListArray.from_arrays(pa.array(cuts), pa.array(ids))})
+    out = pa.Table.from_batches([whole.slice(at, LISTS) for at in range(0, whole.num_rows, LISTS)], whole.schema)
     del block, used, parts, sizes, upto, place, starts, lengths
     trim()
     return out
@@ -472,7 +490,7 @@ def encode(documents: DataFrame, pieces: Pieces, *, fixed: bool = False) -> Data
         docs = stage(docs, "sentencepiece-documents")
     kind = documents.schema["doc_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.mapInArrow(_blocks(pieces, SPREAD * n), "block long, pack binary").repartition(n, "block")
+    dealt = docs.mapInArrow(_blocks(pieces, SPREAD * n), "block long, seq int, pack binary").repartition(n, "block")
     rows = dealt.mapInArrow(_listed, "slot int, first long, units string").repartition(SPREAD * n, "slot")
     listed = rows.select("slot", "first", F.posexplode(F.split("units", SEPARATOR)).alias("i", "unit")).select("slot", "unit", (F.col("first") + F.col("i")).alias("place"))
     # n is not needed, but makes both uses of the shuffle by slot read the same columns, so it is done once.
