@@ -38,16 +38,41 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Frees the shuffle files of a write as soon as it is done, instead of whenever the driver collects garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _written(df: DataFrame, path: str, mode: str = "error") -> None:
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, "false")
+    conf.set(CLEAN_UP, "true")
+    try:
+        df.write.mode(mode).option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEAN_UP, before)
+
+
+def stage(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     This cuts the lineage and fixes the rows: several consumers see the same
-    values, and a lost executor costs a re-read instead of a recomputation.
+    values, and a lost executor costs a re-read instead of a recomputation.  What was
+    written is noted in ``kept``, for :func:`discard`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written(df, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if kept is not None:
+        kept.append((path, out))
+    return out
+
+
+def discard(kept: list) -> None:
+    """Empty the staged frames that nothing will read any more; their folders stay."""
+    while kept:
+        path, df = kept.pop()
+        _written(df.sparkSession.createDataFrame([], df.schema), path, "overwrite")
 
 
 def small_batches(spark: SparkSession) -> None:

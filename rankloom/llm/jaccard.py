@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, trim
+from .common import discard, stage, trim
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _32 = np.uint64(32)
@@ -225,7 +225,8 @@ def components(edges: DataFrame) -> DataFrame:
     shuffle of its own on both sides and Spark can split the rows of a node with very
     many links.  Each round is written, which cuts the lineage.
     """
-    stars = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    work: list = []
+    stars = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links", work)
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -233,9 +234,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().persist(StorageLevel.DISK_ONLY)
         down = large.groupBy("a").agg(F.min("b").alias("m")).persist(StorageLevel.DISK_ONLY)
         small = large.join(down, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        stars = stage(small, "stars")
+        stars = stage(small, "stars", work)
         for kept in (least, large, down):
             kept.unpersist()
+        last = work.pop()
+        discard(work)
+        work.append(last)
         state = stars.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if state == before:
             return stars.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
@@ -254,6 +258,7 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     64-bit hashes of shingles; sets are identified by two 64-bit sums.
     """
     plan = Plan(num, den)
+    work: list = []  # what only this function reads
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     keys = stage(set_keys(docs, k), "jaccard-keys")
     named = keys.where("doc_id is not null and n_shingles > 0")
@@ -268,15 +273,16 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
         .withColumn("n", F.count(F.lit(1)).over(of_entry))
         .where("n > 1"),
         "jaccard-met",
+        work,
     )
     # Leave out each set's most widespread entries, as many as it can spare.
     often = met.where(F.col("n") >= COMMON)
-    slack = stage(set_entries(docs.join(often.select("doc_id").distinct(), "doc_id", "left_semi"), k, plan).select("doc_id", "slack0", "slack1"), "jaccard-slack")
+    slack = stage(set_entries(docs.join(often.select("doc_id").distinct(), "doc_id", "left_semi"), k, plan).select("doc_id", "slack0", "slack1"), "jaccard-slack", work)
     parity = F.expr("entry & 1")
     ranked = often.join(slack, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", parity).orderBy(F.desc("n"), "entry")))
     kept = ranked.where(F.col("rank") > F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")))
-    members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")), "jaccard-members")
-    tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens")
+    members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")), "jaccard-members", work)
+    tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens", work)
     facts = tokens.drop("tokens")
 
     real: DataFrame | None = None
@@ -289,7 +295,7 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
         else:
             rows = members.withColumn("label", F.col("doc_id"))
         spread = rows.groupBy("entry").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("entry", "n")
-        mixed = stage(rows.join(spread, "entry"), f"jaccard-mixed{step}")
+        mixed = stage(rows.join(spread, "entry"), f"jaccard-mixed{step}", work)
         if step < CENTRES:
             parts = F.greatest(F.lit(1), F.floor(F.col("n") / PART)) if step else F.lit(1)
             dealt = mixed.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(step)), parts))
@@ -303,22 +309,23 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
             pairs = pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"jaccard-pairs{step}")
+        pairs = stage(pairs, f"jaccard-pairs{step}", work)
         if pairs.isEmpty():
             continue
-        tested = pairs if tested is None else stage(tested.unionByName(pairs), "jaccard-tested")
-        found = stage(_verified(pairs, tokens, num, den), f"jaccard-links{step}")
+        tested = pairs if tested is None else stage(tested.unionByName(pairs), "jaccard-tested", work)
+        found = stage(_verified(pairs, tokens, num, den), f"jaccard-links{step}", work)
         if found.isEmpty():
             continue
         real = found if real is None else real.unionByName(found)
         labels = stage(components(real), "jaccard-labels")
     # An id with several sets links these.
     several = named.select("doc_id", *same).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    through = stage(named.join(several, "doc_id").join(firsts, same).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-repeats")
+    through = stage(named.join(several, "doc_id").join(firsts, same).select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct(), "jaccard-repeats", work)
     if not through.isEmpty():
         labels = stage(components(through if real is None else real.unionByName(through)), "jaccard-labels")
     # Equal sets have the label of the first of them, the least.
     of_set = firsts if labels is None else firsts.join(labels.withColumnRenamed("node", "first"), "first", "left").select(*same, F.coalesce("label", "first").alias("first"))
+    discard(work)
     nodes = named.select("doc_id", *same).join(of_set, same).groupBy("doc_id").agg(F.min("first").alias("label"))
     return keys.join(nodes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
