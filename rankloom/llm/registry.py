@@ -69,6 +69,24 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The checksum's table is made by its rule, and folded over the bytes of each text.
+ORACLES["op5_shard"] = r"""
+WITH RECURSIVE bits(i, b, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i)
+  UNION ALL SELECT i, b + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM bits WHERE b < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE b = 8),
+sized AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 16), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32
+  FROM sized, tab),
+placed AS (
+  SELECT *, sum(size) OVER w - size AS begin, sum(size) OVER () AS all_bytes FROM crc
+  WINDOW w AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT *, least(39, ((2 * begin + size) * 40) // (2 * all_bytes))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY begin) - 1 AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
+
 def pii_key(spark: SparkSession) -> str:
     """The secret that the session names; without one a public word, good for demonstrations and tests only."""
     return spark.conf.get("spark.rankloom.pii.key", None) or "demonstration"
@@ -131,6 +149,27 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("quality") >= 0.5)).alias("kept"), "quality")
 
 
+@query
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7 measures, and its base verdict: the part that SQL can state."""
+    out = quality.measure(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.base_failed().alias("base_failed"))
+
+
+ORACLES["quality_counts"] = r"""
+WITH texts AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts),
+windows AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM words WHERE len(w) >= 5),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2, 3, 4]) AS k) GROUP BY r),
+counted AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM words LEFT JOIN covered ON words.r = covered.r)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counted
+"""
+
+
 @query
 def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
