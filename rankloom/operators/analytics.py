@@ -136,3 +136,10 @@ def keyword_overlap(queries: DataFrame, documents: DataFrame) -> DataFrame:
 def top_counts(rows: DataFrame, column: str, top: int) -> DataFrame:
     """The ``top`` most frequent values and their counts, ties by value."""
     return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(top)
+
+
+def lexicons(rows: DataFrame, group: str, term: Column) -> DataFrame:
+    """Distinct lower-case terms of each group and of all (group null), sorted."""
+    each = rows.select(F.col(group).alias("grp"), F.lower(F.trim(term)).alias("term")).where("term <> ''").distinct()
+    both = each.unionByName(each.select(F.lit(None).cast(each.schema["grp"].dataType).alias("grp"), "term").distinct())
+    return both.groupBy("grp").agg(F.sort_array(F.collect_list("term")).alias("terms"))

@@ -72,3 +72,8 @@ def min_max(scores: DataFrame, column: str = "score") -> Column:
     w = Window.partitionBy("query_id")
     lo, hi = F.min(column).over(w), F.max(column).over(w)
     return F.when(hi > lo, (F.col(column) - lo) / (hi - lo)).otherwise(F.lit(1.0))
+
+
+def repeats(weights: dict[str, float]) -> dict[str, int]:
+    """Whole repetitions of fields for weights that may be fractions: rounded half up, at least one."""
+    return {c: max(1, int(w + 0.5)) for c, w in weights.items()}

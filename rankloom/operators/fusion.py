@@ -71,3 +71,18 @@ def progressive(scores: DataFrame, evaluations: DataFrame, *, batch: int = 12, r
     kept = seen.join(stop, "query_id", "left").withColumn("rounds_used", F.coalesce("rounds_used", full).cast("int"))
     kept = kept.where(F.col("rank") <= F.col("rounds_used") * batch).drop("rank")
     return ranked(kept, top, [F.asc("tier_order"), F.desc("score"), F.asc("doc_id")])
+
+
+def draw(candidates: DataFrame, n: int, seed: str = "draw") -> DataFrame:
+    """``n`` candidates (query_id, doc_id) of each query in an order that looks random and that any rerun draws again, with ``pos``."""
+    key = F.md5(F.concat_ws("/", F.lit(seed), F.col("query_id").cast("string"), F.col("doc_id").cast("string")).cast("binary"))
+    order = Window.partitionBy("query_id").orderBy(key, "doc_id")
+    return candidates.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n)
+
+
+def with_tier_by_name(scores: DataFrame, evaluations: DataFrame, default: str = "good") -> DataFrame:
+    """Like :func:`with_tier` for evaluations (name, tier) of documents by name, regardless of case; a repeated name: its best tier."""
+    order = F.when(F.col("tier") == "excellent", 0).when(F.col("tier") == "ill-fit", 2).otherwise(1)
+    by_name = evaluations.groupBy(F.lower(F.trim("name")).alias("__key")).agg(F.min_by("tier", order).alias("tier"))
+    joined = scores.join(by_name, F.lower(F.trim("name")) == F.col("__key"), "left").drop("__key")
+    return joined.withColumn("tier", F.coalesce("tier", F.lit(default))).withColumn("tier_order", order)

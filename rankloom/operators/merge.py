@@ -71,3 +71,12 @@ def remote_consultation(explicit: Column, flags: list[Column], kinds: Column, lo
 
 def stable_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+def volumes(completed: Column, published: Column) -> Column:
+    """Procedure volumes of two sources, tagged: arrays of struct<name, volume, count> as struct<name, volume, source>; a count that is text becomes a number, nameless ones go."""
+    none = F.expr("cast(array() as array<struct<name: string, volume: double, count: string>>)")
+    named = lambda a: F.filter(F.coalesce(a, none), lambda x: F.coalesce(x["name"], F.lit("")) != "")
+    number = lambda x: F.coalesce(x["volume"], x["count"].try_cast("double"))
+    one = lambda a, source: F.transform(named(a), lambda x: F.struct(x["name"].alias("name"), number(x).alias("volume"), F.lit(source).alias("source")))
+    return F.concat(one(completed, "BUPA"), one(published, "PHIN"))

@@ -65,3 +65,35 @@ def penalty_ab(base: DataFrame, penalised: DataFrame, top: int = 50) -> DataFram
         F.count_if(dropped).alias("dropped"), F.count_if(~dropped & (F.col("after") > F.col("before"))).alias("worse"),
         F.count_if(~dropped & (F.col("after") == F.col("before"))).alias("same"), F.count_if(~dropped & (F.col("after") < F.col("before"))).alias("better"),
     )
+
+
+def tier_rollup(shares: DataFrame, ks=(3, 5, 12)) -> DataFrame:
+    """One row over all queries of :func:`tier_share`: percentages of slots by tier, and of queries whose first three are all excellent."""
+    tiers = ("excellent", "good", "ill_fit")
+    total = {k: sum((F.sum(f"{t}_{k}") for t in tiers), F.lit(0)) for k in ks}
+    percents = [F.round(100 * F.sum(f"{t}_{k}") / total[k], 2).alias(f"{t}_{k}_percent") for k in ks for t in tiers]
+    return shares.agg(F.count(F.lit(1)).alias("queries"), *percents, F.round(100 * F.count_if("all_excellent_3") / F.count(F.lit(1)), 2).alias("all_excellent_percent"))
+
+
+def missing_picks(ranking: DataFrame, truth: DataFrame, n: int = 100) -> DataFrame:
+    """True documents that the first ``n`` ranks lack: their rank and score (null where they are not ranked), the score at rank n, and the gap to it."""
+    at = ranking.where(F.col("rank") == n).select("query_id", F.col("score").alias("score_at"))
+    rows = truth.distinct().join(ranking.select("query_id", "doc_id", "rank", "score"), ["query_id", "doc_id"], "left")
+    return rows.where(F.col("rank").isNull() | (F.col("rank") > n)).join(at, "query_id", "left").withColumn("gap", F.round(F.col("score_at") - F.coalesce("score", F.lit(0.0)), 6))
+
+
+def weight_search(features: DataFrame, truth: DataFrame, configs: DataFrame, names: list[str], k: int = 12) -> DataFrame:
+    """Mean recall@k of every configuration, all in one job.
+
+    features: (query_id, doc_id, score, one column for each name); configs: (config, a
+    weight for each name), a bounded grid or a draw within ranges.  A configuration ranks
+    by score plus the weighted features; queries without a truth do not count.
+    """
+    sizes = truth.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_true"))
+    rows = features.join(sizes, "query_id").join(truth.distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    grid = configs.agg(F.collect_list(F.struct("config", *[F.col(n).alias(f"w_{n}") for n in names])).alias("g"))  # one row
+    each = rows.join(F.broadcast(grid)).withColumn("x", F.explode("g")).select("*", "x.*").drop("g", "x")
+    total = F.round(F.col("score") + sum((F.col(n) * F.col(f"w_{n}") for n in names), F.lit(0.0)), 6)
+    rank = F.row_number().over(Window.partitionBy("config", "query_id").orderBy(F.desc(total), "doc_id"))
+    hits = each.withColumn("r", rank).groupBy("config", "query_id").agg((F.sum(F.when(F.col("r") <= k, F.coalesce("hit", F.lit(0))).otherwise(0)) / F.first("n_true")).alias("recall"))
+    return hits.groupBy("config").agg(F.round(F.avg(F.round("recall", 9)), 9).alias("recall"))

@@ -123,3 +123,37 @@ def context(intents: Column, anchors: Column, safe: Column, patient: Column, var
     """Session context of a query, as a struct; variants differ in what enters the enriched query."""
     extra = {"algorithmic": [], "sequential": [intents], "parallel": [anchors], "parallel-v2": [anchors, F.slice(intents, 1, 12)], "goal": [F.slice(intents, 1, 20)]}[variant]
     return F.struct(patient.alias("q_patient"), safe.alias("safe_lane_terms"), intents.alias("intent_terms"), anchors.alias("anchor_phrases"), F.concat_ws(" ", patient, *[F.array_join(x, " ") for x in extra]).alias("enriched_query"))
+
+
+def _named(items: Column, importance: str | None = None, most: int | None = None) -> Column:
+    """Names of struct<name, importance>, of one importance if it is given, the first ``most``."""
+    kept = F.filter(items, lambda x: x["importance"] == importance) if importance else items
+    names = F.transform(F.slice(kept, 1, most) if most else kept, lambda x: x["name"])
+    return F.coalesce(names, F.array().cast("array<string>"))
+
+
+def ideal_sentence(ideal: Column) -> Column:
+    """The query of an ideal profile: a sentence of what is required, then required, preferred and expertise terms.
+
+    ideal: struct of subspecialties, procedures, conditions (arrays of struct<name,
+    importance>) and areas.
+    """
+    areas = F.coalesce(F.slice(ideal["areas"], 1, 3), F.array().cast("array<string>"))
+    joined = lambda c: F.array_join(_named(ideal[c], "required"), " and ")
+    said = lambda text, before, after="": F.when(text != "", F.concat(F.lit(before), text, F.lit(after)))
+    sentence = F.concat_ws(", ", said(joined("subspecialties"), "", " specialist"), said(joined("procedures"), "who performs "), said(joined("conditions"), "specializes in "), said(F.array_join(areas, ", "), "with expertise in "))
+    terms = F.concat(*[_named(ideal[c], "required") for c in ("subspecialties", "procedures", "conditions")], _named(ideal["subspecialties"], "preferred", 2), _named(ideal["procedures"], "preferred", 3), areas)
+    return F.trim(F.concat_ws(" ", F.nullif(sentence, F.lit("")), F.nullif(F.array_join(terms, " "), F.lit(""))))
+
+
+def ideal_intents(ideal: Column) -> Column:
+    """Intent terms of an ideal profile: its names in lower case and the words of its areas longer than three, each once."""
+    low = lambda a: F.transform(F.filter(a, lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.lower(x))
+    areas = F.coalesce(ideal["areas"], F.array().cast("array<string>"))
+    words = F.filter(F.flatten(F.transform(areas, lambda a: F.split(F.lower(a), r"\s+"))), lambda w: F.length(w) > 3)
+    return F.array_distinct(F.concat(*[low(_named(ideal[c])) for c in ("subspecialties", "procedures", "conditions")], words))
+
+
+def ideal_anchors(ideal: Column, most: int = 5) -> Column:
+    """Anchor phrases of an ideal profile: what it requires, procedures and conditions first."""
+    return F.slice(F.concat(*[_named(ideal[c], "required") for c in ("procedures", "conditions", "subspecialties")]), 1, most)

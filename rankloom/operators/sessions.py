@@ -49,3 +49,13 @@ def best_same_day(left: DataFrame, right: DataFrame, similarity: Column, least:
 def migrate_log(first: Column, second: Column, n: int = 10) -> Column:
     """The newer field, or the older one in its place, at most n entries."""
     return F.slice(F.coalesce(first, second), 1, n)
+
+
+def match_sessions(left: DataFrame, right: DataFrame, similarity: Column, least: float = 0.08) -> DataFrame:
+    """Log entries of sessions: one with the session's telephone number first (the latest), else the most similar of the same day.
+
+    left: (left_id, day, phone, ...); right: (right_id, day, phone, seen, ...).
+    """
+    by_phone = left.where("phone is not null").select("left_id", "phone").join(right.select("right_id", "phone", "seen"), "phone").groupBy("left_id").agg(F.max_by("right_id", F.struct("seen", "right_id")).alias("right_id"))
+    rest = best_same_day(left.drop("phone").join(by_phone.select("left_id"), "left_id", "left_anti"), right.drop("phone"), similarity, least)
+    return by_phone.select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit("phone").alias("how")).unionByName(rest.withColumn("how", F.lit("day")))

@@ -13,13 +13,17 @@ from ..operators import filters as FL
 from ..operators import fusion as FU
 from ..operators import locations as LO
 from ..operators import merge as MG
+from ..operators import metrics as M
 from ..operators import profiles as PR
+from ..operators import providers as PV
 from ..operators import rewrite as RW
 from ..operators import semantic as SE
+from ..operators import sessions as SS
 from ..operators import shortlist as SL
-from ..operators.bm25 import bm25, ranked
+from ..operators.bm25 import bm25, ranked, repeats
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
 from .ranking import DOCS, TERMS_SQL, TIER_SQL, TOP, TWO_SQL, inputs, out, term_lists, two
+from .evaluation import JUDGED, TRUTH
 from .search import HAV
 
 BOOK = Book()
@@ -421,3 +425,108 @@ def _(spark, sf):
 @add("top_specialties", "SELECT p_type AS specialty, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, specialty LIMIT 5")
 def _(spark, sf):
     return AN.top_counts(table(spark, sf, "part").withColumnRenamed("p_type", "specialty"), "specialty", 5)
+
+
+# Ideal profiles, pools, tuning
+
+
+def ideal(t):
+    need = lambda a, *kinds: F.array(*[F.struct(F.get(t, a + i).alias("name"), L(k).alias("importance")) for i, k in enumerate(kinds)])
+    areas = F.array(F.concat_ws(" ", F.get(t, 9), L("Care of")), L("b"), L("c"), L("d"))
+    return F.struct(need(0, "required", "preferred", "preferred", "preferred").alias("subspecialties"), need(4, "required", "required", "preferred").alias("procedures"), need(7, "optional", "required").alias("conditions"), areas.alias("areas"))
+
+
+def ideal_lists(spark, sf):
+    return term_lists(spark, sf).where(F.size("t") >= 10).select("query_id", ideal(F.col("t")).alias("i"))
+
+
+@add("ideal_sentence", f"WITH {TERMS_SQL} SELECT query_id, t[1] || ' specialist, who performs ' || t[5] || ' and ' || t[6] || ', specializes in ' || t[9] || ', with expertise in ' || t[10] || ' Care of, b, c ' || array_to_string([t[1], t[5], t[6], t[9], t[2], t[3], t[7], t[10] || ' Care of', 'b', 'c'], ' ') AS text FROM t WHERE len(t) >= 10")
+def _(spark, sf):
+    return ideal_lists(spark, sf).select("query_id", RW.ideal_sentence(F.col("i")).alias("text"))
+
+
+@add("ideal_terms", f"WITH {TERMS_SQL} SELECT query_id, len(list_distinct(list_concat(t[1:9], list_filter([t[10], 'care'], lambda x: len(x) > 3))))::BIGINT AS n_intents, array_to_string([t[5], t[6], t[9], t[1]], '|') AS anchors FROM t WHERE len(t) >= 10")
+def _(spark, sf):
+    return ideal_lists(spark, sf).select("query_id", F.size(RW.ideal_intents(F.col("i"))).cast("long").alias("n_intents"), F.array_join(RW.ideal_anchors(F.col("i")), "|").alias("anchors"))
+
+
+@add("pool_with_draw", f"""WITH {TWO_SQL}, dr AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('pool/' || query_id::VARCHAR || '/' || doc_id::VARCHAR), doc_id) AS pos FROM ({PAIRS})), u AS (SELECT query_id, doc_id, rank AS pos, 0 AS p FROM a WHERE rank <= 18 UNION ALL SELECT query_id, doc_id, rank, 1 FROM b WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 51 - rank, 2 FROM a WHERE rank > 30 UNION ALL SELECT query_id, doc_id, pos, 3 FROM dr WHERE pos <= 9),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY p, pos) AS n FROM u), r AS (SELECT query_id, doc_id, ['ranking', 'bm25_only', 'keyword', 'random'][p + 1] AS pool_source, row_number() OVER (PARTITION BY query_id ORDER BY p, pos, doc_id) AS rank FROM f WHERE n = 1) SELECT * FROM r WHERE rank <= 50""")
+def _(spark, sf):
+    a, b = two(spark, sf)
+    at = lambda df, pos: df.withColumn("pos", pos)
+    return FU.pool([("ranking", at(a.where("rank <= 18"), F.col("rank"))), ("bm25_only", at(b.where("rank <= 20"), F.col("rank"))), ("keyword", at(a.where("rank > 30"), 51 - F.col("rank"))), ("random", FU.draw(view(spark, sf, PAIRS), 9, "pool"))])
+
+
+@add("tier_by_name", f"WITH {bm25_sql()}, e AS (SELECT lower(source) AS k, arg_min(tier, o) AS tier FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'excellent' WHEN doc_id % 3 = 1 THEN 'ill-fit' ELSE 'good' END AS tier, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS o FROM documents WHERE doc_id % 40 = 1) GROUP BY 1) SELECT query_id, r.doc_id, coalesce(tier, 'good') AS tier FROM ranked r JOIN documents d ON r.doc_id = d.doc_id LEFT JOIN e ON lower(d.source) = e.k WHERE rank <= 12")
+def _(spark, sf):
+    docs, k = table(spark, sf, "documents"), F.col("doc_id") % 3
+    evaluations = docs.where("doc_id % 40 = 1").select(F.upper("source").alias("name"), F.when(k == 0, "excellent").when(k == 1, "ill-fit").otherwise("good").alias("tier"))
+    top = ranked(bm25(*inputs(spark, sf)), 12).join(docs.select("doc_id", F.col("source").alias("name")), "doc_id")
+    return FU.with_tier_by_name(top, evaluations).select("query_id", "doc_id", "tier")
+
+
+SHARE = ", ".join(f"round(100e0 * sum({t}_{k}) / (sum(excellent_{k}) + sum(good_{k}) + sum(ill_fit_{k})), 2) AS {t}_{k}_percent" for k in (3, 5, 12) for t in ("excellent", "good", "ill_fit"))
+COUNTS = ", ".join(f"count(CASE WHEN rank <= {k} AND tier = '{t}' THEN 1 END) AS {t.replace('-', '_')}_{k}" for k in (3, 5, 12) for t in ("excellent", "good", "ill-fit"))
+
+
+@add("tier_rollup", f"WITH {bm25_sql()}, t AS ({TIER_SQL}), e AS (SELECT query_id, rank, coalesce(tier, 'good') AS tier FROM ranked r LEFT JOIN t ON r.doc_id = t.doc_id WHERE rank <= 12), s AS (SELECT query_id, {COUNTS} FROM e GROUP BY query_id) SELECT count(*) AS queries, {SHARE}, round(100e0 * count(*) FILTER (excellent_3 = 3) / count(*), 2) AS all_excellent_percent FROM s")
+def _(spark, sf):
+    top = ranked(bm25(*inputs(spark, sf)), 12).join(view(spark, sf, TIER_SQL), "doc_id", "left").withColumn("tier", F.coalesce("tier", L("good")))
+    return M.tier_rollup(M.tier_share(top))
+
+
+@add("missing_picks", f"WITH {bm25_sql()}, truth AS (SELECT DISTINCT * FROM ({TRUTH})), c AS (SELECT query_id, score AS score_at FROM ranked WHERE rank = 20) SELECT t.query_id, t.doc_id, r.rank, r.score, score_at, round(score_at - coalesce(r.score, 0), 6) AS gap FROM truth t LEFT JOIN ranked r ON t.query_id = r.query_id AND t.doc_id = r.doc_id LEFT JOIN c ON t.query_id = c.query_id WHERE r.rank IS NULL OR r.rank > 20")
+def _(spark, sf):
+    return M.missing_picks(ranked(bm25(*inputs(spark, sf))), view(spark, sf, TRUTH), 20)
+
+
+@add("weight_search", f"""WITH {JUDGED}, f AS (SELECT query_id, doc_id, rank, score, (doc_id % 7)::DOUBLE AS a, (doc_id % 5)::DOUBLE AS b FROM ranked WHERE rank <= 150), c AS (SELECT i AS config, i * 0.25e0 AS wa, (i % 3) * 0.5e0 AS wb FROM range(6) t(i)),
+x AS (SELECT config, f.query_id, n_true, CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE 0 END AS hit, row_number() OVER (PARTITION BY config, f.query_id ORDER BY round(score + a * wa + b * wb, 6) DESC, f.doc_id) AS r FROM f JOIN nt ON f.query_id = nt.query_id LEFT JOIN (SELECT DISTINCT * FROM truth) t ON f.query_id = t.query_id AND f.doc_id = t.doc_id, c),
+p AS (SELECT config, query_id, sum(CASE WHEN r <= 12 THEN hit ELSE 0 END) / any_value(n_true)::DOUBLE AS recall FROM x GROUP BY 1, 2) SELECT config, round(avg(round(recall, 9)), 9) AS recall FROM p GROUP BY config""")
+def _(spark, sf):
+    features = ranked(bm25(*inputs(spark, sf)), 150).select("query_id", "doc_id", "score", (F.col("doc_id") % 7).cast("double").alias("a"), (F.col("doc_id") % 5).cast("double").alias("b"))
+    configs = spark.range(6).select(F.col("id").alias("config"), (F.col("id") * 0.25).alias("a"), ((F.col("id") % 3) * 0.5).alias("b"))
+    return M.weight_search(features, view(spark, sf, TRUTH), configs, ["a", "b"])
+
+
+WITH_SOURCE = "SELECT item_id AS query_id, text || ' src1 src7' AS text FROM benchmark"
+REPEATED = "SELECT doc_id, coalesce(text, '') || ' ' || lang || ' ' || source || ' ' || source || ' ' || source AS text FROM documents"
+
+
+@add("bm25_tuned_fields", f"WITH {bm25_sql(corpus=REPEATED, queries=WITH_SOURCE)} {TOP.format(n=10)}")
+def _(spark, sf):
+    fields = repeats({"text": 1.49, "lang": 0.2, "source": 2.5})
+    return out(ranked(bm25(view(spark, sf, WITH_SOURCE), table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), fields=fields), 10))
+
+
+SAID = "SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id"
+
+
+@add("match_sessions", f"""WITH c AS (SELECT conv_id AS left_id, conv_id % 31 AS day, CASE WHEN conv_id % 5 = 0 THEN conv_id % 97 END AS phone, list_distinct({TOKENS.format('text')}) AS a FROM ({SAID})), d AS (SELECT doc_id AS right_id, doc_id % 31 AS day, doc_id % 101 AS phone, doc_id * 7 % 1000 AS seen, list_distinct({TOKENS.format('text')}) AS b FROM documents),
+p AS (SELECT left_id, arg_max(right_id, (seen, right_id)) AS right_id FROM c JOIN d ON c.phone = d.phone GROUP BY left_id), s AS (SELECT left_id, right_id, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS similarity FROM c JOIN d USING (day) WHERE left_id NOT IN (SELECT left_id FROM p))
+SELECT left_id, right_id, 1e0 AS similarity, 'phone' AS how FROM p UNION ALL SELECT left_id, right_id, similarity, 'day' FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS n FROM s WHERE similarity >= 0.08) WHERE n = 1""")
+def _(spark, sf):
+    c, d = F.col("conv_id"), F.col("doc_id")
+    said = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
+    left = said.select(c.alias("left_id"), (c % 31).alias("day"), F.when(c % 5 == 0, c % 97).alias("phone"), F.array_distinct(T.tokens(F.col("text"))).alias("a"))
+    right = table(spark, sf, "documents").select(d.alias("right_id"), (d % 31).alias("day"), (d % 101).alias("phone"), (d * 7 % 1000).alias("seen"), F.array_distinct(T.tokens(F.col("text"))).alias("b"))
+    return SS.match_sessions(left, right, T.jaccard(F.col("a"), F.col("b")))
+
+
+@add("record_volumes", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS volume, 'BUPA' AS source FROM supplier UNION ALL SELECT s_suppkey, 'count', TRY_CAST(right(s_name, 3) AS DOUBLE), 'BUPA' FROM supplier UNION ALL SELECT s_suppkey, 'p', NULL, 'PHIN' FROM supplier WHERE s_suppkey % 2 = 0")
+def _(spark, sf):
+    row = lambda name, volume, count: F.struct(name.alias("name"), volume.cast("double").alias("volume"), count.cast("string").alias("count"))
+    completed = F.array(row(F.col("s_name"), F.col("s_acctbal"), L(None)), row(L("count"), L(None), F.right("s_name", L(3))), row(L(""), L(1), L(None)))
+    made = MG.volumes(completed, F.when(F.col("s_suppkey") % 2 == 0, F.array(row(L("p"), L(None), L("many")))))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(made).alias("x")).select("id", "x.*")
+
+
+@add("lexicons", "WITH e AS (SELECT DISTINCT p_brand AS grp, lower(p_type) AS term FROM part) SELECT grp, array_to_string(list_sort(list(term)), ',') AS terms FROM e GROUP BY grp UNION ALL SELECT NULL, array_to_string(list_sort(list(DISTINCT term)), ',') FROM e")
+def _(spark, sf):
+    return AN.lexicons(table(spark, sf, "part"), "p_brand", F.col("p_type")).select("grp", F.array_join("terms", ",").alias("terms"))
+
+
+@add("context_fallback", "SELECT item_id AS query_id, 'diagnostic_workup' AS goal, 0.5e0 AS confidence, 0 AS n FROM benchmark")
+def _(spark, sf):
+    return PV.with_context(view(spark, sf, QUERIES)).select("query_id", "goal", "confidence", F.size("anchor_phrases").alias("n"))
