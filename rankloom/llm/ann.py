@@ -123,17 +123,19 @@ def _search(codes: Codes, k: int):
         ids = points["vec_id"].to_numpy()
         p_len, q_len = (np.sqrt((v * v).sum(axis=1)) for v in (p, q))
         index = Index(codes.of(p))
+        repeated = len(np.unique(ids)) < len(ids)  # an id with several vectors counts once
         out = []
         for vec_id, vector, length, code in zip(queries["vec_id"].to_numpy(), q, q_len, codes.of(q)):
             radius = codes.radius
             while True:  # widened until this cell alone could fill the answer, so no query comes out short
                 rows = index.within(code, radius)
                 rows = rows[ids[rows] != vec_id]
-                if len(rows) >= k or radius >= BITS:
+                if radius >= BITS or (len(np.unique(ids[rows])) if repeated else len(rows)) >= k:
                     break
                 radius = min(BITS, radius + 4)
             score = (p[rows] * vector).sum(axis=1) / (p_len[rows] * length)
-            best = np.lexsort((ids[rows], -score))[:k]
+            best = np.lexsort((ids[rows], -score))
+            best = best[np.sort(np.unique(ids[rows][best], return_index=True)[1])][:k] if repeated else best[:k]
             out.append(pd.DataFrame({"query_id": vec_id, "vec_id": ids[rows][best], "score": score[best]}))
         return pd.concat(out, ignore_index=True).astype({"query_id": "int64", "vec_id": "int64"})
 
@@ -143,25 +145,30 @@ def _search(codes: Codes, k: int):
 def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, sample: int = 20_000, reach: float = 0.98) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank (from 1), vec_id, score (cosine).
 
-    vectors: (vec_id, vector); every row but the query's own is a candidate.  Nearest
-    first, ties to the smaller vec_id; all candidates if there are fewer than k.  Rows
-    whose vector is null, zero or holds null or non-finite components, or whose length
-    is not the most common one, or whose id is null take no part.  Repeated rows count once.  No usable
-    rows: no result.
+    vectors: (vec_id, vector); extra columns are ignored, whatever their names.
+    ``is_query`` may look at vec_id and vector.  Every row but those with the query's own
+    id is a candidate.  Nearest first, ties to the smaller vec_id; all candidates if there
+    are fewer than k.  Rows whose vector is null, zero or holds null or non-finite
+    components, or whose id is null, take no part.  A cosine needs vectors of one length:
+    each length is searched on its own.  Rows that are equal throughout are one; an id
+    with several vectors is a candidate, or a query, by its nearest.  No usable rows: no
+    result.
     """
     good = stage(vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct(), "ann-vectors")
-    schema = "query_id long, vec_id long, score double"
-    sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.where(F.size("vector") == sizes["d"])
-    queries = good.where(is_query)
-    n, n_queries = sizes["count"], queries.count()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    sizes = good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).where("q > 0").orderBy("d").collect()  # a row for each length that is asked for
+    for d, n, n_queries in sizes:
+        out = out.unionByName(_of_length(good.where(F.size("vector") == d), is_query, n, n_queries, k, sample, reach))
+    single = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return single.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _of_length(good: DataFrame, is_query: Column, n: int, n_queries: int, k: int, sample: int, reach: float) -> DataFrame:
+    """The best few of each query in each cell, among vectors of one length."""
     codes = learn(good, most=sample, k=k, reach=reach)
     cells, blocks = max(1, -(-n // CELL)), max(1, -(-n_queries // BLOCK))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = good.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("block", every(blocks))
-    right = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))
-    found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(_search(codes, k), schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    right = good.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))
+    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(_search(codes, k), "query_id long, vec_id long, score double")

@@ -222,6 +222,9 @@ def test_neighbour_edges(spark):
     v = spark.createDataFrame(bad, "vec_id long, vector array<float>")
     got = [tuple(r) for r in ann.nearest(v, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 5, 1.0), (0, 2, 6, 1.0)]
+    more = spark.createDataFrame([*bad, (5, [2.0, 0.0]), (50, [0.0, 3.0, 4.0]), (8, [0.0, 3.0, 4.0]), (100, [1.0, 1.0, 1.0, 1.0]), (9, [0.0, 1.0])], "vec_id long, vector array<float>").withColumn("query_id", F.lit(1)).withColumn("score", F.lit("x"))
+    got = sorted(tuple(r) for r in ann.nearest(more, F.col("vec_id") % 50 == 0).collect())
+    assert got == [(0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 9, 0.0), (50, 1, 8, 1.0)]
     assert ann.nearest(v.limit(0), F.col("vec_id") == 0).count() == 0
 
 
