@@ -181,6 +181,23 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+ORACLES["op9_jaccard"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM texts),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes m ON a = m.doc_id JOIN sizes n ON b = n.doc_id WHERE 100 * shared >= 85 * (m.n + n.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, root) AS (SELECT doc_id, doc_id FROM texts UNION SELECT b, root FROM reach JOIN edges ON a = node)
+SELECT texts.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id
+FROM texts JOIN reach ON node = texts.doc_id LEFT JOIN sizes ON sizes.doc_id = texts.doc_id GROUP BY texts.doc_id
+"""
+
+
 #: The model of the registered query; the path is a parameter of the operator's loader.
 SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
