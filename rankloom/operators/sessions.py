@@ -33,7 +33,8 @@ def patient_text(turns: DataFrame, role: str = "user") -> DataFrame:
 def tally(log: DataFrame, target: str, top: int | None = None) -> DataFrame:
     """(event_id, ts, target) -> count, share in percent and first sighting of each target, most frequent first."""
     counts = log.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_seen"))
-    out = counts.withColumn("percent", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    total = counts.agg(F.sum("n").alias("__total"))  # one row
+    out = counts.join(F.broadcast(total)).withColumn("percent", F.round(100 * F.col("n") / F.col("__total"), 2)).drop("__total")
     if top:
         out = out.orderBy(F.desc("n"), target).limit(top)
     return out

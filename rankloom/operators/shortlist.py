@@ -10,29 +10,37 @@ from . import boosts as B
 from . import fusion as FU
 from . import rescore as RS
 from .bm25 import bm25, min_max, ranked
+from .phrases import phrase_hits
 
 PAIR = ["query_id", "doc_id"]
 
 
+def _with_bonus(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig, longest: int) -> DataFrame:
+    """Every scored pair with its signals and its bonus: 2 for the whole query in the text, 1 for every run of words."""
+    scores = bm25(queries, documents, config).join(phrase_hits(queries, documents, longest), PAIR, "left").join(signals, "doc_id", "left")
+    texts = documents.select("doc_id", F.lower("text").alias("body"))
+    asked = queries.select("query_id", F.lower(F.trim("text")).alias("whole"))
+    both = scores.join(texts, "doc_id").join(asked, "query_id")
+    full = F.when((F.col("whole") != "") & F.contains("body", "whole"), F.lit(2.0)).otherwise(F.lit(0.0))
+    return both.withColumn("bonus", F.coalesce("phrases", F.lit(0)) + full).drop("body", "whole", "phrases")
+
+
 def production(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig()) -> DataFrame:
     """The production ranker: (BM25 x quality x proximity) + phrase bonus, scaled to 0..1 within a query, plus weighted semantic scores.
 
     signals: doc_id, quality, proximity, semantic (null: 1, 1 and 0).  Every document that
     shares a term with a query is scored; the phrase bonus looks at their whole texts.
     """
-    scores = bm25(queries, documents, config)
-    texts = documents.select("doc_id", F.col("text").alias("body"))
-    both = scores.join(signals, "doc_id", "left").join(texts, "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id")
-    raw = F.round(F.col("score") * F.coalesce("quality", F.lit(1.0)) * F.coalesce("proximity", F.lit(1.0)) + B.phrase_bonus(F.col("query"), F.col("body")), 6)
+    both = _with_bonus(queries, documents, signals, config, 3)
+    raw = F.round(F.col("score") * F.coalesce("quality", F.lit(1.0)) * F.coalesce("proximity", F.lit(1.0)) + F.col("bonus"), 6)
     scaled = both.select(*PAIR, raw.alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic")).withColumn("scaled", F.round(min_max("score"), 6))
     return ranked(scaled.select(*PAIR, F.round(F.col("scaled") + config.semantic_weight * F.col("semantic"), 6).alias("score")))
 
 
 def local(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig(variant="local")) -> DataFrame:
     """The local ranker: max(0, (BM25 x quality + bonus for pairs of words) x negative penalty); signals: doc_id, quality, negatives."""
-    scores = bm25(queries, documents, config)
-    both = scores.join(signals, "doc_id", "left").join(documents.select("doc_id", F.col("text").alias("body")), "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id")
-    raw = (F.col("score") * F.coalesce("quality", F.lit(1.0)) + B.phrase_bonus(F.col("query"), F.col("body"), 2)) * B.negative(F.coalesce("negatives", F.lit(0)))
+    both = _with_bonus(queries, documents, signals, config, 2)
+    raw = (F.col("score") * F.coalesce("quality", F.lit(1.0)) + F.col("bonus")) * B.negative(F.coalesce("negatives", F.lit(0)))
     return ranked(both.select(*PAIR, F.round(F.greatest(F.lit(0.0), raw), 6).alias("score")))
 
 

@@ -111,7 +111,8 @@ def _(spark, sf):
 @add("coverage_by_source", r"""WITH s AS (SELECT doc_id, unnest([source, lang]) AS source, regexp_extract(text, '[a-z0-9.]+@[a-z0-9.]+') AS email, contains(text, 'http') AS has_url FROM documents)
 SELECT source, count(*) AS total, count(*) FILTER (email <> '') AS with_email, count(*) FILTER (has_url) AS with_url, round(100e0 * count(*) FILTER (email <> '') / count(*), 2) AS email_percent, count(DISTINCT nullif(email, '')) AS n_emails FROM s GROUP BY source""")
 def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.explode(F.array("source", "lang")).alias("source"), F.regexp_extract("text", r"[a-z0-9.]+@[a-z0-9.]+", 0).alias("email"), F.contains("text", L("http")).alias("u"))
+    each = table(spark, sf, "documents").select("source", "lang", F.regexp_extract("text", r"[a-z0-9.]+@[a-z0-9.]+", 0).alias("email"), F.contains("text", L("http")).alias("u"))
+    d = each.select(F.explode(F.array("source", "lang")).alias("source"), "email", "u")
     return d.groupBy("source").agg(F.count(L(1)).alias("total"), F.count_if(F.col("email") != "").alias("with_email"), F.count_if("u").alias("with_url"), F.round(100 * F.count_if(F.col("email") != "") / F.count(L(1)), 2).alias("email_percent"), F.countDistinct(F.nullif("email", L(""))).alias("n_emails"))
 
 

@@ -189,3 +189,22 @@ def test_event_time_windows(spark, tmp_path):
 def test_configuration():
     c = RankingConfig().merged(k1=1.2, b=None)
     assert (c.k1, c.b, c.stage_a_size()) == (1.2, 0.75, 150)
+
+
+def test_phrase_hits_equal_looking_everywhere(spark):
+    import random
+
+    from rankloom.operators.phrases import phrase_hits
+
+    rng = random.Random(8)
+    words = ["heart", "art", "pain", "painful", "Knee,", "an", "x", "chest", "(chest"]
+    text = lambda n: rng.choice(["", " "]) + "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n"]) for _ in range(n))
+    q = spark.createDataFrame([(i, text(rng.randint(0, 7))) for i in range(30)], "query_id long, text string")
+    d = spark.createDataFrame([(i, text(rng.randint(0, 40))) for i in range(40)] + [(99, None)], "doc_id long, text string")
+    got = {(r.query_id, r.doc_id): r.phrases for r in phrase_hits(q, d).collect()}
+    every = q.crossJoin(d.withColumnRenamed("text", "body")).select("query_id", "doc_id", text_count(F.col("text"), F.col("body")).alias("n")).where("n > 0").collect()
+    assert got == {(r.query_id, r.doc_id): r.n for r in every} and got
+
+
+def text_count(query, body):
+    return text.count_contained(text.phrases(query), F.lower(body))
