@@ -78,7 +78,7 @@ def _symbols(text: str, after_letter: bool = False) -> tuple[np.ndarray, np.ndar
 
 def _hashed(symbols: np.ndarray, owner: np.ndarray, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams within one owner's symbols, and their owners, without those among the ``known`` first symbols."""
-    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     rolled = np.zeros(symbols.size, np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, min(ORDERS, symbols.size) + 1):
@@ -95,7 +95,7 @@ def _hashed(symbols: np.ndarray, owner: np.ndarray, known: int = 0) -> tuple[np.
 
 
 def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Over all texts: which texts, their numbers of letters, buckets of n-grams, and the text of each n-gram.
+    """Over all texts: which texts, their numbers of letters, buckets of n-grams, and the place of each n-gram's text among these texts.
 
     Texts go together up to CHUNK characters.  A longer one goes in pieces that carry
     their last symbols over, so every n-gram counts once, as if it were one piece.
@@ -106,9 +106,8 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     def together(index: list[int]):
         lengths = np.fromiter((len(texts[i]) + 1 for i in index), np.int64, len(index))
         symbols, at = _symbols("\0".join([texts[i] for i in index]) + "\0")
-        owner = np.repeat(np.asarray(index), lengths)[at]
-        letters = np.bincount(np.searchsorted(index, owner), weights=symbols > 0, minlength=len(index)).astype(np.int64)
-        return np.asarray(index), letters, *_hashed(symbols, owner)
+        owner = np.repeat(np.arange(len(index), dtype=np.int32), lengths)[at]
+        return np.asarray(index), np.bincount(owner[symbols > 0], minlength=len(index)), *_hashed(symbols, owner)
 
     for i, text in enumerate(texts):
         if len(text) >= CHUNK:
@@ -118,7 +117,7 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                 symbols, where = _symbols(piece, after_letter)
                 after_letter = bool(where.size) and where[-1] == len(piece) - 1 and symbols[-1] > 0
                 both = np.append(carried, symbols)
-                yield np.array([i]), np.array([int((symbols > 0).sum())]), *_hashed(both, np.full(both.size, i), carried.size)
+                yield np.array([i]), np.array([int((symbols > 0).sum())]), *_hashed(both, np.zeros(both.size, np.int32), carried.size)
                 carried = both[max(0, both.size - ORDERS + 1) :]
         else:
             held.append(i)
@@ -156,8 +155,8 @@ def learn(labelled: DataFrame, *, per_language: int = 2000, languages: int = 256
                 for lang in langs:
                     docs[lang] = docs.get(lang, 0) + 1
                 names = np.array(langs, dtype=object)
-                for _, _, buckets, owners in _ngrams(texts):
-                    of = names[owners]
+                for index, _, buckets, owners in _ngrams(texts):
+                    of = names[index][owners]
                     for lang in set(of.tolist()):
                         sums[lang] = sums.get(lang, 0) + np.bincount(buckets[of == lang], minlength=BUCKETS)
         for lang, n in docs.items():
@@ -189,11 +188,12 @@ def score_texts(model: Model, texts: list[str | None]) -> tuple[list[str], list[
     sums = np.zeros((n, len(model.langs)))
     grams = np.zeros(n)
     letters = np.zeros(n, np.int64)
+    by_language = np.ascontiguousarray(model.log_p.T)
     for index, n_letters, buckets, owners in _ngrams([t or "" for t in texts]):
         letters[index] += n_letters
-        grams += np.bincount(owners, minlength=n)
-        for k in range(len(model.langs)):
-            sums[:, k] += np.bincount(owners, weights=model.log_p[:, k][buckets], minlength=n)
+        grams[index] += np.bincount(owners, minlength=len(index))
+        for k, log_p in enumerate(by_language):
+            sums[index, k] += np.bincount(owners, weights=log_p[buckets], minlength=len(index))
     if not model.langs:
         return [UNKNOWN] * n, [0.0] * n
     logits = sums / np.maximum(1.0, grams / TEMPER)[:, None] + model.prior
@@ -221,7 +221,8 @@ def identify(model: Model):
 
     # Annotated by name, for annotations of this module are strings.
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "lang_pred string, score double")
+    # So called, a filter on the result does not compute it a second time.
+    return F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()
 
 
 def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:

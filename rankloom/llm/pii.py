@@ -297,7 +297,8 @@ def pseudonyms(key: str):
 
     # Annotated by name, for annotations of this module are strings.
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "text string, n_replaced int, kinds map<string,int>")
+    # So called, a filter on the result does not compute it a second time.
+    return F.arrow_udf(run, "text string, n_replaced int, kinds map<string,int>").asNondeterministic()
 
 
 def apply_pseudonyms(documents: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:

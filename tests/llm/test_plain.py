@@ -81,7 +81,7 @@ def test_long_texts_count_every_gram_once(monkeypatch):
         for index, n, buckets, owners in langid._ngrams(texts):
             for i, k in zip(index.tolist(), n.tolist()):
                 letters[i] += k
-            for b, o in zip(buckets.tolist(), owners.tolist()):
+            for b, o in zip(buckets.tolist(), index[owners].tolist()):
                 found[o].append(b)
         for i, t in enumerate(texts):
             want, n = grams(t)
