@@ -6,7 +6,7 @@ order, their expected copies are prefix-summed within the source, one random
 offset per source is added, and a document is emitted once for each integer
 boundary that its interval crosses.
 
-The order is by size class, then by a hash of the id: neighbouring documents
+The order is by size class, then by a hash of id and text: neighbouring documents
 have nearly the same size, so every size class is taken at the same rate and
 the words taken come out near the target, not just the number of documents.
 
@@ -63,7 +63,8 @@ def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
     Returns one row per input row: doc_id, size (words), source_size, target
     (words, of its source) and copies (0 or more; never above ``cap`` rounded up).
     ``seed`` fixes the random offsets; reruns and other partitionings agree.
-    ``hash_digits`` hexadecimal digits of the id's hash split each size class.
+    ``hash_digits`` hexadecimal digits of the hash split each size class, so rows without
+    an id are spread like any others.
     ``keep`` columns follow, as they are; they break ties and must not be named like
     other columns here.
 
@@ -74,14 +75,14 @@ def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
     """
     doc_key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sized = stage(
-        documents.select("doc_id", "source", word_count("text").alias("size"), *keep).select(
+        documents.select("doc_id", "source", word_count("text").alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("said"), *keep).select(
             "doc_id",
             "source",
             *keep,
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
             "size",
             size_class("size").alias("class"),
-            F.md5(doc_key.cast("binary")).alias("hash"),
+            F.md5(F.concat(doc_key, F.lit("/"), "said").cast("binary")).alias("hash"),
         ).withColumn("cell", F.substring("hash", 1, hash_digits)),
         "mix-sizes",
     )

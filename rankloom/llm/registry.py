@@ -32,7 +32,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op3_mix"] = r"""
 WITH sized AS (
-  SELECT doc_id, coalesce('s' || source, 'n') AS skey, source,
+  SELECT doc_id, coalesce('s' || source, 'n') AS skey, source, md5(coalesce(text, '')) AS said,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
 totals AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
@@ -55,7 +55,7 @@ ranked AS (
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
          (('0x' || substr(md5('mix/' || s.skey), 1, 4))::BIGINT + 0.5::DOUBLE) / 65536 AS off,
          row_number() OVER (PARTITION BY s.skey ORDER BY lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 2, 3),
-                            md5(coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size) AS r
+                            md5(coalesce(doc_id::VARCHAR, '') || '/' || said), doc_id NULLS FIRST, size) AS r
   FROM sized s JOIN targets t ON s.skey = t.skey)
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
        (least(floor(rate * r + off) - floor(rate * (r - 1) + off), ceil(rate)) * size)::BIGINT AS taken
