@@ -15,8 +15,8 @@ def json_records(spark: SparkSession, path: str, record: T.StructType) -> DataFr
     """Records of JSON files that hold an array, or an object with the array under one of WRAPPERS.
 
     The file is read as text and parsed against the record's schema, so nothing is
-    inferred.  A file is one document: convert very large ones to lines once
-    (``json_lines``), which splits.
+    inferred.  A file is one row of one task: turn large ones into lines first
+    (``convert_to_lines``), which split.
     """
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     rows = T.ArrayType(record)
@@ -154,7 +154,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def as_json(*columns: str) -> Column:
+def as_json(*columns) -> Column:
     return F.to_json(F.struct(*columns))
 
 
