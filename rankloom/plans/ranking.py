@@ -163,11 +163,11 @@ def _(spark, sf):
     return out(ranked(both, 10))
 
 
-@add("negative_penalty", f"WITH {bm25_sql(variant='local')}, t AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(['trash', 'scum', 'loser', 'idiot'], lambda x: contains(lower(d.text), x))) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {SIZE}) SELECT query_id, doc_id, round(score * CASE WHEN n >= 2 THEN 0.85e0 WHEN n = 1 THEN 0.95e0 ELSE 1e0 END, 6) AS score FROM t")
+@add("negative_penalty", f"WITH {bm25_sql(variant='local')}, t AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(['trash', 'scum', 'loser', 'idiot'], lambda x: contains(lower(d.text), x))) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {SIZE}) SELECT query_id, doc_id, round(score * CASE WHEN n >= 2 THEN 0.85e0 WHEN n = 1 THEN 0.95e0 ELSE 1e0 END, 9) AS score FROM t")
 def _(spark, sf):
     bad = F.array(*[L(w) for w in ("trash", "scum", "loser", "idiot")])
     n = T.count_contained(bad, F.lower("body"))
-    return shortlist(spark, sf, config=RankingConfig(variant="local")).select("query_id", "doc_id", F.round(F.col("score") * B.negative(n), 6).alias("score"))
+    return shortlist(spark, sf, config=RankingConfig(variant="local")).select("query_id", "doc_id", F.round(F.col("score") * B.negative(n), 9).alias("score"))
 
 
 @add("empty_query_rank", f"WITH p AS ({PRACTITIONERS}) SELECT doc_id, locality, count(*) OVER (PARTITION BY locality) - row_number() OVER (PARTITION BY locality ORDER BY doc_id) + 1 AS score FROM p")
@@ -326,11 +326,11 @@ def _(spark, sf):
     return ranked(rows, by=RS.tiered_order()).select("query_id", "doc_id", "tier", "rank")
 
 
-@add("rescore_multiplicative", f"""WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, (score * CASE WHEN high >= 2 THEN 1.4e0 WHEN high = 1 THEN 1.2e0 ELSE 1e0 END * CASE WHEN pathway >= 3 THEN 1.3e0 WHEN pathway = 2 THEN 1.15e0 WHEN pathway = 1 THEN 1.05e0 ELSE 1e0 END
- * CASE WHEN procedure > 0 THEN 1.05e0 ELSE 1e0 END + least(0.2e0 * anchor, 0.6e0) + least(safe, 3)) * (1 + least(0.1e0 * sub, 0.5e0)) * CASE WHEN neg >= 4 THEN 0.7e0 WHEN neg >= 2 THEN 0.85e0 WHEN neg = 1 THEN 0.95e0 ELSE 1e0 END), 4) AS score FROM k""")
+@add("rescore_multiplicative", f"""WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, (score * (CASE WHEN high >= 2 THEN 1.4e0 WHEN high = 1 THEN 1.2e0 ELSE 1e0 END * CASE WHEN pathway >= 3 THEN 1.3e0 WHEN pathway = 2 THEN 1.15e0 WHEN pathway = 1 THEN 1.05e0 ELSE 1e0 END
+ * CASE WHEN procedure > 0 THEN 1.05e0 ELSE 1e0 END) + least(0.2e0 * anchor, 0.6e0) + least(safe, 3)) * (1 + least(0.1e0 * sub, 0.5e0)) * CASE WHEN neg >= 4 THEN 0.7e0 WHEN neg >= 2 THEN 0.85e0 WHEN neg = 1 THEN 0.95e0 ELSE 1e0 END), 9) AS score FROM k""")
 def _(spark, sf):
     c = F.col
-    return counted(spark, sf).select("query_id", "doc_id", F.round(RS.multiplicative(c("score"), c("high"), c("pathway"), c("procedure"), c("anchor"), c("safe"), 0.1 * c("sub"), c("neg")), 4).alias("score"))
+    return counted(spark, sf).select("query_id", "doc_id", F.round(RS.multiplicative(c("score"), c("high"), c("pathway"), c("procedure"), c("anchor"), c("safe"), 0.1 * c("sub"), c("neg")), 9).alias("score"))
 
 
 @add("rescore_negatives_only", f"WITH {COUNTS_SQL} SELECT query_id, doc_id, round(greatest(0e0, score + {NEG_SQL}), 6) AS score FROM k")
