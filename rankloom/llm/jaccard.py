@@ -173,24 +173,16 @@ def _per_text(k: int, make, names: list[str]):
     return run
 
 
-def set_keys(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles and two 64-bit sums that identify the set."""
+def set_entries(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
+    """doc_id, n_shingles, two 64-bit sums that identify the set, its index entries and how many it may leave out."""
 
     def make(sets):
         sums = [np.array([_mix(s, by).sum() for s in sets], np.uint64).view(np.int64) for by in (_B, _C)]
-        return [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(s, pa.int64()) for s in sums)]
-
-    names = ["n_shingles", "key1", "key2"]
-    return docs.mapInArrow(_per_text(k, make, names), "doc_id long, n_shingles long, key1 long, key2 long")
-
-
-def set_entries(docs: DataFrame, k: int, plan: Plan) -> DataFrame:
-    def make(sets):
         done = [signatures(s, plan) for s in sets]
-        return [_lists([d[0] for d in done]), pa.array([d[1][0] for d in done], pa.int32()), pa.array([d[1][1] for d in done], pa.int32())]
+        return [pa.array([len(s) for s in sets], pa.int64()), *(pa.array(s, pa.int64()) for s in sums), _lists([d[0] for d in done]), *(pa.array([d[1][i] for d in done], pa.int32()) for i in (0, 1))]
 
-    names = ["entries", "slack0", "slack1"]
-    return docs.mapInArrow(_per_text(k, make, names), "doc_id long, entries array<long>, slack0 int, slack1 int")
+    names = ["n_shingles", "key1", "key2", "entries", "slack0", "slack1"]
+    return docs.mapInArrow(_per_text(k, make, names), "doc_id long, n_shingles long, key1 long, key2 long, entries array<long>, slack0 int, slack1 int")
 
 
 def _parities(tokens: np.ndarray) -> np.ndarray:
@@ -260,28 +252,22 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     plan = Plan(num, den)
     work: list = []  # what only this function reads
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    keys = stage(set_keys(docs, k), "jaccard-keys")
-    named = keys.where("doc_id is not null and n_shingles > 0")
+    whole = stage(set_entries(docs, k, plan), "jaccard-sets", work)
     same = ["key1", "key2", "n_shingles"]
+    keys = stage(whole.select("doc_id", *same), "jaccard-keys")
+    named = keys.where("doc_id is not null and n_shingles > 0")
     firsts = stage(named.groupBy(*same).agg(F.min("doc_id").alias("first")), "jaccard-firsts")
 
-    entries = set_entries(docs.where("doc_id is not null"), k, plan)
-    entries = entries.join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    of_entry = Window.partitionBy("entry")
-    met = stage(
-        entries.select("doc_id", F.explode("entries").alias("entry"))
-        .withColumn("n", F.count(F.lit(1)).over(of_entry))
-        .where("n > 1"),
-        "jaccard-met",
-        work,
-    )
-    # Leave out each set's most widespread entries, as many as it can spare.
-    often = met.where(F.col("n") >= COMMON)
-    slack = stage(set_entries(docs.join(often.select("doc_id").distinct(), "doc_id", "left_semi"), k, plan).select("doc_id", "slack0", "slack1"), "jaccard-slack", work)
+    # Entries that several sets have: counted with a partial step, so one that very many have is no one task's work.
+    chosen = whole.where("doc_id is not null").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     parity = F.expr("entry & 1")
-    ranked = often.join(slack, "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", parity).orderBy(F.desc("n"), "entry")))
-    kept = ranked.where(F.col("rank") > F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")))
-    members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")), "jaccard-members", work)
+    each = chosen.select("doc_id", "n_shingles", "slack0", "slack1", F.explode("entries").alias("entry")).select("doc_id", "n_shingles", "entry", F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")).alias("slack"))
+    counts = stage(each.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-counts", work)
+    met = stage(each.join(counts, "entry"), "jaccard-met", work)
+    # Leave out each set's most widespread entries, as many as it can spare.
+    widest = Window.partitionBy("doc_id", "n_shingles", parity).orderBy(F.desc("n"), "entry")
+    kept = met.where(F.col("n") >= COMMON).withColumn("rank", F.row_number().over(widest)).where("rank > slack")
+    members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")).distinct(), "jaccard-members", work)
     tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens", work)
     facts = tokens.drop("tokens")
 
