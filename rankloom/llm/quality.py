@@ -164,7 +164,8 @@ def judge(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     One row per input row; rows are judged by their own text, so nulls, ties and
     repeated rows need no rule of their own: null and empty texts get the bad vote of
-    ``length`` only.  No rows: no rows.  ``keep`` must not name the columns added.
+    ``length`` only.  Whole texts count; a text is one row, so its words and windows must
+    fit into a task's memory.  No rows: no rows.  ``keep`` must not name the columns added.
     """
     votes = {f"vote_{k}": v for k, v in rules().items()}
     measured = stage(measure(documents, keep).select("*", *[v.alias(k) for k, v in votes.items()]), "quality-votes")

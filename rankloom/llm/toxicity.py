@@ -37,6 +37,7 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 #: Characters that stand in for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": "", "_": ""})
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+FOREIGN = re.compile(r"[^\x00-\x7F]+")
 EDGE = ".,;:!?\"'()[]{}…“”‘’«»¡¿*_-"
 NEAR = 5
 #: A learned entry is a whole word, or the beginning of one with a mark of that length.
@@ -103,7 +104,7 @@ def features(text: str, words: dict[str, float], stems: dict[str, float]) -> lis
         max(stem_hits.values(), default=0.0),
         near,
         100 * len(seen & SECOND_PERSON) / n,
-        kinds[1] / len(text),
+        (kinds[1] + sum(map(str.isupper, "".join(FOREIGN.findall(text))))) / len(text),
         sum(t.isupper() and len(t) > 2 for t in raw) / n,
         kinds[2] / n,
         kinds[3] / n,
@@ -191,8 +192,10 @@ def learn(documents: DataFrame, labels: DataFrame, *, most: int = 20_000) -> Mod
     Two fifths of it give the learned words, two fifths the trees, one fifth the
     calibration.  Null ids, labels or texts teach nothing; an id with several labels
     counts as toxic if one says so.  Without toxic or without clean rows in the
-    sample, every score is the lexicon's alone (see ``predict``).
+    sample, every score is the lexicon's alone (see ``predict``).  An id with several texts
+    teaches each of them.  Extra columns are ignored, whatever their names.
     """
+    kind = documents.schema["doc_id"].dataType.simpleString()
     order = F.xxhash64("doc_id")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = stage(known.orderBy(order, "doc_id").limit(most), "toxicity-sample")
@@ -229,7 +232,7 @@ def learn(documents: DataFrame, labels: DataFrame, *, most: int = 20_000) -> Mod
             rows = [features(t, words, stems) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2), batch.column(3)], names=["x", "toxic", "part", "doc_id"])
 
-    got = parts.where("part >= 2").select("text", "toxic", "part", "doc_id").mapInArrow(dense, "x array<double>, toxic int, part long, doc_id long").orderBy("doc_id", "x").collect()
+    got = parts.where("part >= 2").select("text", "toxic", "part", "doc_id").mapInArrow(dense, f"x array<double>, toxic int, part long, doc_id {kind}").orderBy("doc_id", "x").collect()
     if not got or len({r["toxic"] for r in got}) < 2:
         return Model(words, stems, [], 0.0, (np.zeros(0), np.zeros(0)))
     x = np.array([r["x"] for r in got])
@@ -254,7 +257,9 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
 
     Null text scores like an empty one: the features are all 0 and the score is the
     calibrated score of such a row.  Without trees (nothing to learn from) a text
-    scores 0 without any lexicon word and 0.5 or more with one.
+    scores 0 without any lexicon word and 0.5 or more with one.  Whole texts count,
+    however long.  Repeated rows are rows of their own.  No rows: no rows.  Extra columns
+    are ignored, whatever their names.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
 
