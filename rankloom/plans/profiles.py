@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import api
 from .. import config as C
 from ..functions import geo as G
 from ..functions import text as T
@@ -22,11 +23,13 @@ from ..operators import sessions as SS
 from ..operators import shortlist as SL
 from ..operators.bm25 import bm25, ranked, repeats
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
-from .ranking import DOCS, TERMS_SQL, TIER_SQL, TOP, TWO_SQL, inputs, out, term_lists, two
+from .ranking import BOOK as RANKING
+from .ranking import TERMS_SQL, TIER_SQL, TOP, TWO_SQL, inputs, out, signals, term_lists, two
 from .evaluation import JUDGED, TRUTH
 from .search import HAV
 
 BOOK = Book()
+PRODUCTION_SQL = RANKING.oracles["production_rank"]
 add = BOOK.add
 L = lambda s: F.lit(s)
 S = lambda c: F.col(c).cast("string")
@@ -530,3 +533,29 @@ def _(spark, sf):
 @add("context_fallback", "SELECT item_id AS query_id, 'diagnostic_workup' AS goal, 0.5e0 AS confidence, 0 AS n FROM benchmark")
 def _(spark, sf):
     return PV.with_context(view(spark, sf, QUERIES)).select("query_id", "goal", "confidence", F.size("anchor_phrases").alias("n"))
+
+
+# What a service would answer
+
+
+def profiles_of(spark, sf):
+    k = F.col("k")
+    return PR.normalise(rec(spark, sf).select(
+        k.cast("string").alias("id"), "name", F.col("segment").alias("specialty"), F.array("segment", F.concat(L("plan "), S("nation"))).alias("specialties"), places().alias("locations"), F.when(k % 2 == 0, S("k")).alias("gmc_number"),
+        F.when(k % 3 == 0, "Male").alias("gender"), F.when(k % 5 == 0, F.array(L("Urdu"))).alias("languages"), F.when(k % 4 == 0, F.array(L("p"))).alias("procedures"), F.when(k % 6 == 0, "Trust").otherwise(" ").alias("nhs_base"), (k % 13 == 0).alias("blacklisted"),
+    ))
+
+
+@add("service_stats", f"WITH {REC_SQL} SELECT count(*) AS profiles, count(*) FILTER (k % 2 = 0) AS verified, count(*) FILTER (NOT bare) AS with_postcode, count(*) FILTER (k % 3 = 0) AS with_gender, count(*) FILTER (k % 5 = 0) AS with_languages, count(*) FILTER (k % 4 = 0) AS with_procedures, count(*) FILTER (k % 13 = 0) AS blacklisted, count(DISTINCT segment) AS specialties FROM rec")
+def _(spark, sf):
+    return api.stats(profiles_of(spark, sf))
+
+
+@add("service_search", f"WITH {REC_SQL} SELECT k::VARCHAR AS id FROM rec WHERE k % 13 <> 0 AND k % 6 = 0 AND (segment = 'BUILDING' OR 'plan ' || nation::VARCHAR LIKE '%building%') AND contains(name, '0')")
+def _(spark, sf):
+    return api.search(profiles_of(spark, sf), name="0", specialty="Building", nhs=True).select("id")
+
+
+@add("service_production", f"SELECT query_id, doc_id, score, rank FROM ({PRODUCTION_SQL}) WHERE rank <= 12")
+def _(spark, sf):
+    return out(api.rank_production(*inputs(spark, sf), signals(spark, sf)))
