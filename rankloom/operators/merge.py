@@ -79,4 +79,5 @@ def volumes(completed: Column, published: Column) -> Column:
     named = lambda a: F.filter(F.coalesce(a, none), lambda x: F.coalesce(x["name"], F.lit("")) != "")
     number = lambda x: F.coalesce(x["volume"], x["count"].try_cast("double"))
     one = lambda a, source: F.transform(named(a), lambda x: F.struct(x["name"].alias("name"), number(x).alias("volume"), F.lit(source).alias("source")))
+    # The tags of the two sources.
     return F.concat(one(completed, "BUPA"), one(published, "PHIN"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .merge import first_present, stable_id
 
 STRINGS = "array<string>"
+# Sources whose addresses go first, in order.
 NAMED_URLS = ("cromwell", "hca", "bupa", "spire")
 
 
