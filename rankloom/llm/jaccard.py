@@ -38,6 +38,8 @@ from .common import discard, stage, trim
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _32 = np.uint64(32)
+#: Entries have 48 bits, which saves space; entries that agree by chance cost a comparison, nothing else.
+ENTRY_BITS = np.uint64((1 << 48) - 2)
 #: Segments that at least so many sets share are ranked by their number; rarer ones are never left out.
 COMMON = 8
 #: Rounds of comparing with centres before pairs are compared: one centre per entry first, then one per PART members.
@@ -126,7 +128,7 @@ def signatures(tokens: np.ndarray, plan: Plan) -> tuple[np.ndarray, tuple[int, i
         own = seg[cuts]
         sums = np.add.reduceat(weight, cuts)
         base = np.uint64(band) * _B
-        key = lambda s, where, kind: (_mix(s + where * _A + base + np.uint64(kind), _C) & ~np.uint64(1)) | np.uint64(band & 1)  # noqa: B023, E731
+        key = lambda s, where, kind: (_mix(s + where * _A + base + np.uint64(kind), _C) & ENTRY_BITS) | np.uint64(band & 1)  # noqa: B023, E731
         out.append(key(sums, own, 1))
         empty = m - own.size
         if empty <= spare:
@@ -238,7 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, keep_entries: bool = True) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of documents (doc_id, text).
 
     Documents link when den * |intersection| >= num * |union|; component_id is the least
@@ -248,25 +250,31 @@ def join_components(documents: DataFrame, *, k: int = 5, num: int = 80, den: int
     node: each row keeps its own n_shingles, and they share the links of all.  Equal
     sets, ties and repeated rows are linked by definition.  No rows: no rows.  Tokens are
     64-bit hashes of shingles; sets are identified by two 64-bit sums.
+
+    ``keep_entries`` writes the index entries of all sets once, about the size of the
+    documents; else they are made twice, which takes a third more time and less disk.
     """
     plan = Plan(num, den)
     work: list = []  # what only this function reads
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    whole = stage(set_entries(docs, k, plan), "jaccard-sets", work)
+    made = set_entries(docs, k, plan)
+    whole = stage(made, "jaccard-sets", work) if keep_entries else made
     same = ["key1", "key2", "n_shingles"]
-    keys = stage(whole.select("doc_id", *same), "jaccard-keys")
+    keys = stage(whole.select("doc_id", *same, "slack0", "slack1"), "jaccard-keys")
     named = keys.where("doc_id is not null and n_shingles > 0")
     firsts = stage(named.groupBy(*same).agg(F.min("doc_id").alias("first")), "jaccard-firsts")
 
     # Entries that several sets have: counted with a partial step, so one that very many have is no one task's work.
-    chosen = whole.where("doc_id is not null").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    parity = F.expr("entry & 1")
-    each = chosen.select("doc_id", "n_shingles", "slack0", "slack1", F.explode("entries").alias("entry")).select("doc_id", "n_shingles", "entry", F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")).alias("slack"))
+    chosen = whole.where("doc_id is not null").select("doc_id", "entries").join(firsts.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    each = chosen.select("doc_id", F.explode("entries").alias("entry"))
     counts = stage(each.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-counts", work)
     met = stage(each.join(counts, "entry"), "jaccard-met", work)
     # Leave out each set's most widespread entries, as many as it can spare.
-    widest = Window.partitionBy("doc_id", "n_shingles", parity).orderBy(F.desc("n"), "entry")
-    kept = met.where(F.col("n") >= COMMON).withColumn("rank", F.row_number().over(widest)).where("rank > slack")
+    parity = F.expr("entry & 1")
+    spare = named.select("doc_id", "n_shingles", "slack0", "slack1").distinct()
+    widest = Window.partitionBy("doc_id", "n_shingles", "slack0", "slack1", parity).orderBy(F.desc("n"), "entry")
+    ranked = met.where(F.col("n") >= COMMON).join(spare, "doc_id").withColumn("rank", F.row_number().over(widest))
+    kept = ranked.where(F.col("rank") > F.when(parity == 0, F.col("slack0")).otherwise(F.col("slack1")))
     members = stage(met.where(F.col("n") < COMMON).select("entry", "doc_id").unionByName(kept.select("entry", "doc_id")).distinct(), "jaccard-members", work)
     tokens = stage(set_tokens(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k), "jaccard-tokens", work)
     facts = tokens.drop("tokens")
@@ -338,7 +346,7 @@ def one_of_each(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
     words link with nothing and stay.
     """
     rows = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    joined = join_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=k, num=num, den=den)
+    joined = join_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=k, num=num, den=den, keep_entries=False)
     groups = joined.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
     return rows.join(first.select("first.__row"), "__row", "left_semi").select(*documents.columns)
