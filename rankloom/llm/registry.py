@@ -7,7 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, langid, mixing, pii, quality, sentencepiece_codec, sharding, toxicity
+from . import ann, chat, dedup, jaccard, langid, lexical, mixing, pii, quality, sentencepiece_codec, sharding, toxicity, whitening
 from .common import id_fold, small_batches, table
 
 QUERIES: dict = {}
@@ -208,3 +208,67 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = sentencepiece_codec.encode(docs, pieces, fixed=True)  # read from files
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(sentencepiece_codec.decode(F.col("ids"), pieces).cast("binary")).alias("decoded_md5"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))
+
+
+@query
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_search"] = r"""
+WITH asked AS (
+  SELECT item, any_value(item_id) AS item_id, unnest(list_distinct(any_value(t))) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM benchmark)
+  GROUP BY item),
+texts AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents),
+stats AS (SELECT count(*)::BIGINT AS docs, sum(len(t))::BIGINT AS occurrences FROM texts WHERE len(t) > 0),
+post AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM texts) GROUP BY ALL),
+weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM post, stats GROUP BY term, docs),
+scores AS (
+  SELECT item, item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // occurrences)))))::BIGINT AS score
+  FROM asked JOIN post USING (term) JOIN weighed USING (term), stats GROUP BY item, item_id, row, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST, row)::INT AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op13_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.mark_copies(table(spark, sf_dir, "documents"), largest=True)
+
+
+ORACLES["op13_dedup"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY text) AS keep_id, count(*) OVER (PARTITION BY text) AS group_size,
+       row_number() OVER (PARTITION BY text ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(text) AS text_sha256
+FROM texts
+"""
+
+
+@query
+def whitening_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11 measures in whole numbers: the part that SQL can state."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return whitening.whiten(vectors, components=1).select("vec_id", "n", "deviation")
+
+
+ORACLES["whitening_deviations"] = r"""
+WITH good AS (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT + 1000000) AS x
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+usual AS (SELECT len(x) AS d FROM good GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
+mine AS (SELECT good.* FROM good, usual WHERE len(x) = d),
+fit AS (SELECT DISTINCT x FROM mine),
+size AS (SELECT count(*)::BIGINT AS n FROM fit),
+totals AS (SELECT i, sum(c)::BIGINT AS s FROM (SELECT unnest(x) AS c, unnest(range(len(x))) AS i FROM fit) GROUP BY i),
+entries AS (SELECT row, vec_id, unnest(x) AS c, unnest(range(len(x))) AS i FROM mine)
+SELECT any_value(vec_id) AS vec_id, any_value(n) AS n, sum((n * c - s) * (n * c - s))::BIGINT AS deviation FROM entries JOIN totals USING (i), size GROUP BY row
+"""

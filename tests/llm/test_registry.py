@@ -15,7 +15,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
@@ -26,7 +26,7 @@ def test_query(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")) == list(range(1, 14))
 
 
 def test_pseudonyms_follow_the_key(spark):
