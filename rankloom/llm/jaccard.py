@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, stage, trim
+from .common import discard, fresh, stage, trim
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _32 = np.uint64(32)
@@ -345,8 +345,9 @@ def one_of_each(documents: DataFrame, *, k: int = 5, num: int = 80, den: int = 1
     an id and rows that repeat an id are compared like any others.  Texts without
     words link with nothing and stay.
     """
-    rows = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "jaccard-rows")
-    joined = join_components(rows.select(F.col("__row").alias("doc_id"), "text"), k=k, num=num, den=den, keep_entries=False)
-    groups = joined.select(F.col("doc_id").alias("__row"), "component_id").join(rows.select("__row", "doc_id"), "__row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
-    return rows.join(first.select("first.__row"), "__row", "left_semi").select(*documents.columns)
+    row = fresh("row", documents.columns)
+    rows = stage(documents.withColumn(row, F.monotonically_increasing_id()), "jaccard-rows")
+    joined = join_components(rows.select(F.col(row).alias("doc_id"), "text"), k=k, num=num, den=den, keep_entries=False)
+    groups = joined.select(F.col("doc_id").alias(row), "component_id").join(rows.select(row, "doc_id"), row)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", row)).alias("first"))
+    return rows.join(first.select(f"first.{row}"), row, "left_semi").select(*documents.columns)

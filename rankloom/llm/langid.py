@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, trim
+from .common import fresh, trim
 
 BUCKETS = 1 << 15
 ORDERS = 3
+#: Values of lang that a model may have; more are an error, not a sample.
+MOST_LANGUAGES = 4096
 #: Characters scored at a time: bounds a task's memory whatever the texts' lengths.
 CHUNK = 1 << 17
 #: n-grams that count as one independent piece of evidence when a score is made.
@@ -129,22 +131,27 @@ def _ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield together(held)
 
 
-def learn(labelled: DataFrame, *, per_language: int = 2000, languages: int = 256, alpha: float = 0.5) -> Model:
+def learn(labelled: DataFrame, *, per_language: int = 2000, alpha: float = 0.5) -> Model:
     """Fit on (doc_id, text, lang).
 
     Counts come from about ``per_language`` rows of each language (all, if it has
-    fewer), those with a small hash of the id: a sample of bounded size that any rerun
-    draws again.  The ``languages`` languages with the most rows are learned (ties: the
-    first by code point), which bounds the model.  Rows with null lang or null text teach
-    nothing.  Repeated rows teach as often as they are there.  No labelled rows: a model
-    without languages.  Extra columns are ignored.
+    fewer), those with a small hash of id and text: a sample of bounded size that any
+    rerun draws again.  Every language is learned, rare ones too; the model has a column of
+    BUCKETS numbers (256 KB) for each, and texts are scored a column at a time; more than
+    MOST_LANGUAGES raise a ValueError, for no corpus has so many.  Rows with
+    null lang or null text teach nothing; rows without an id, and rows that share one, teach
+    like any others.  Rows equal in id, language and text teach once, so no repeated row
+    outgrows the sample.  No labelled rows: a model without languages.  Extra columns
+    are ignored.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # Drawn by hash against each language's count, so no task ever holds a language.
-    share = F.broadcast(known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).orderBy(F.desc("of"), "lang").limit(languages))  # ``languages`` rows at most
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    ids = stage(known.select("doc_id", "lang").join(share, "lang").where(draw * F.col("of") < per_language).select("doc_id", "lang").distinct(), "langid-sample")
-    sample = known.join(ids, ["doc_id", "lang"])  # small enough to be broadcast when it is; Spark checks
+    totals = known.groupBy("lang").agg(F.count(F.lit(1)).alias("of")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang: these are not languages")
+    share = F.broadcast(labelled.sparkSession.createDataFrame(totals, "lang string, of long"))  # MOST_LANGUAGES rows at most
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(share, "lang").where(draw * F.col("of") < per_language).select("doc_id", "lang", "text").distinct()
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -237,4 +244,5 @@ def predict(documents: DataFrame, model: Model, keep: list[str] | None = None) -
     would clash and must be left out; other columns are ignored, whatever their names.
     """
     names = keep or ["doc_id"]
-    return documents.select(*names, identify(model)("text").alias("__found")).select(*names, "__found.lang_pred", "__found.score")
+    found = fresh("found", names)
+    return documents.select(*names, identify(model)("text").alias(found)).select(*names, f"{found}.lang_pred", f"{found}.score")

@@ -21,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, word_count
+from .common import fresh, stage, word_count
 
 #: Steps of the offset; coarse enough that adding it to a whole number below 2**35 is exact.
 OFFSET_STEPS = 65536
 
+#: Columns that ``mix`` makes; no column that it keeps may be named so.
+MADE = "doc_id source size said skey class hash cell rank base rate offset crossed source_size target copies".split()
+
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(skey, source, source_size) -> the same with ``target``.
@@ -66,7 +69,7 @@ def mix(documents: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, cap: flo
     ``hash_digits`` hexadecimal digits of the hash split each size class, so rows without
     an id are spread like any others.
     ``keep`` columns follow, as they are; they break ties and must not be named like
-    other columns here.
+    one of ``MADE``.
 
     Null or empty text: size 0; such rows are laid out like any other and take no
     words.  Null source: a source of its own.  Null or repeated ids: allowed, rows
@@ -120,6 +123,8 @@ def apply_mix(documents: DataFrame, **how) -> DataFrame:
     Rows are told apart by a number of their own, fixed by staging, so null and
     repeated ids are rows like any other.
     """
-    rows = stage(documents.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
-    taken = mix(rows, keep=("__row",), **how).where("copies > 0").select("__row", F.col("copies").alias("__n"))
-    return rows.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*documents.columns)
+    row = fresh("row", [*documents.columns, *MADE])
+    rows = stage(documents.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = mix(rows, keep=(row,), **how).where("copies > 0").select(row, F.col("copies").alias(fresh("n", [*documents.columns, row])))
+    times = taken.columns[1]
+    return rows.join(taken, row).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*documents.columns)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: Texts of a batch are handled so many at a time, which bounds what a task holds besides the batch.
 SLICE = 256
@@ -309,4 +311,6 @@ def apply_pseudonyms(documents: DataFrame, key: str, keep: list[str] | None = No
     Whole texts are searched, however long.  No rows: no rows.  Values that do not
     validate are left as they are.  ``keep`` must not name text, n_replaced or kinds.
     """
-    return documents.select(*(keep or ["doc_id"]), pseudonyms(key)("text").alias("__new")).select(*(keep or ["doc_id"]), "__new.text", "__new.n_replaced", "__new.kinds")
+    names = keep or ["doc_id"]
+    new = fresh("new", names)
+    return documents.select(*names, pseudonyms(key)("text").alias(new)).select(*names, f"{new}.text", f"{new}.n_replaced", f"{new}.kinds")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, stage, words
+from .common import GAP, fresh, stage, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -33,12 +33,12 @@ def measure(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     64-bit hashes chained over their words.
     """
     names = keep or ["doc_id"]
-    text = F.col("__text")
-    w, g = F.col("__w"), F.col("__g")
+    own = {c: fresh(c, names) for c in ("text", "words", "lines", "windows", "sorted")}
+    text, w, g, lines = (F.col(own[c]) for c in ("text", "words", "windows", "lines"))
     has_word = lambda line: F.length(F.translate(line, " \t\n\x0b\x0c\r", "")) > 0
     windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
     by_hash = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    s = F.col("__s")
+    s = F.col(own["sorted"])
     twice = F.sort_array(
         F.filter(
             F.transform(s, lambda x, k: F.when((x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]), x["i"])),
@@ -48,23 +48,23 @@ def measure(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
     start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate(twice, start, lambda acc, i: F.struct((i + WINDOW).alias("end"), (acc["n"] + i + WINDOW - F.greatest(i, acc["end"])).alias("n")), lambda acc: acc["n"])
     return (
-        documents.select(*names, F.coalesce("text", F.lit("")).alias("__text"))
-        .withColumn("__w", words(text))
-        .withColumn("__lines", F.filter(F.split(text, "\n"), has_word))
-        .withColumn("__g", windows)
-        .withColumn("__s", F.when(F.size(F.array_distinct(g)) < F.size(g), by_hash))
+        documents.select(*names, F.coalesce("text", F.lit("")).alias(own["text"]))
+        .withColumn(own["words"], words(text))
+        .withColumn(own["lines"], F.filter(F.split(text, "\n"), has_word))
+        .withColumn(own["windows"], windows)
+        .withColumn(own["sorted"], F.when(F.size(F.array_distinct(g)) < F.size(g), by_hash))
         .select(
             *names,
             F.size(w).cast("long").alias("n_words"),
             F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            F.size("__lines").cast("long").alias("n_lines"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
             F.when(s.isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
             (F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", ""))).cast("long").alias("n_letters"),
             (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
             F.regexp_count(text, F.lit("!!+")).cast("long").alias("n_bangs"),
-            F.size(F.filter("__lines", lambda x: F.rtrim(x).rlike(r"[.!?…。！？:;\"'”»)]$"))).cast("long").alias("n_ended"),
+            F.size(F.filter(lines, lambda x: F.rtrim(x).rlike(r"[.!?…。！？:;\"'”»)]$"))).cast("long").alias("n_ended"),
         )
     )
 

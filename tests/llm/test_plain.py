@@ -234,12 +234,13 @@ def test_pseudonyms_change_only_what_they_count(spark, documents):
 
 def test_stages_survive_clashing_columns(spark):
     rows = [(1, "This is the first text of all of them, with 2024-02-29 in it", "en", "s", 5), (2, None, None, None, None), (1, "", "fr", "s", 0), (None, "another text here of more words than five", "en", None, 1)] * 3
-    names = ["score", "lang_pred", "found", "new", "n_replaced", "kinds", "__row", "copies", "size", "class"]
-    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    names = ["score", "lang_pred", "found", "new", "n_replaced", "kinds", "__row", "row", "n", "copies", "size", "class", "lines", "rank"]
+    docs = spark.createDataFrame([(*r, *(1000 * i + k for k in range(len(names)))) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
     for name, f in corpus_pipeline.STAGES[:-1]:
         out = f(spark, docs, SF)
         assert out.columns == docs.columns, name
-        assert out.count() > 0, name
+        kept = [tuple(r[n] for n in names) for r in out.collect()]
+        assert kept and all(r == tuple(r[0] + k for k in range(len(names))) and r[0] % 1000 == 0 and r[0] < 1000 * len(rows) for r in kept), name
     assert corpus_pipeline.pseudonymise(spark, docs, SF).where("doc_id = 1 and n_chars > 0").count() == 3
     assert corpus_pipeline.encode(spark, docs, SF).count() == len(rows)
     for name, f in corpus_pipeline.STAGES:
@@ -248,3 +249,20 @@ def test_stages_survive_clashing_columns(spark):
 
 def test_no_control_characters_are_lost():
     assert unicodedata.category("\0") == "Cc" and pii.pseudonymise(pii.Permuter(b"k"), "\0 +1 (988) 555-2485 \0")[0].count("\0") == 2
+
+
+def test_kept_columns_may_be_named_like_working_ones(spark):
+    docs = spark.createDataFrame([(7, "some words here, twice some words here", "en", 8, 9)], "doc_id long, text string, lang string, found int, words int")
+    model = langid.learn(docs)
+    assert tuple(langid.predict(docs, model, ["doc_id", "found"]).first())[:3] == (7, 8, "en")
+    assert tuple(pii.apply_pseudonyms(docs.withColumnRenamed("found", "new"), "k", ["new"]).first())[0] == 8
+    assert tuple(quality.judge(docs, ["words", "found"]).first())[:3] == (9, 8, 7)
+
+
+def test_rows_without_ids_and_rare_languages_teach(spark):
+    rows = [(None, "ein kleiner Text der Sprache", "de"), (None, "un petit texte de la langue", "fr"), (4, "the same text", "en")] + [(4, "the same text", "en")] * 500
+    rows += [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} speech", f"x{i:03}") for i in range(300)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == {r[2] for r in rows}
+    assert [math.isclose(p, model.prior[0]) for p in model.prior] == [True] * 303  # a repeated row teaches once
+    assert langid.score_texts(model, ["kleiner Text"])[0] == ["de"]
