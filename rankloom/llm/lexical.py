@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import stage, trim
 
 #: A shard is closed as soon as it has so many documents, or so many terms with repeats.
-SHARD_DOCUMENTS, SHARD_TERMS = 4096, 1 << 21
+SHARD_DOCUMENTS, SHARD_TERMS = 4096, 1 << 20
 #: Bound of what is sent to the tasks at once: (query, term) pairs; more are searched in blocks.
 BLOCK = 1 << 19
 #: Nodes taken at a time for each query, and postings that queries searched together may have.
