@@ -47,6 +47,11 @@ SPECIALTY_ANCHORS = {
     "physiotherapist": ("physiotherapy", "pelvic pain", "pelvic floor"),
     "dietitian": ("dietitian", "nutrition", "dietetics"),
 }
+# What a query that names a specialty says (in lower case).
+SPECIALTY_PATTERNS = {
+    "Physiotherapy": (r"\bphysiotherapist\b", r"\bphysiotherapy\b", r"\bpelvic\s*physio\b", r"\bphysio\b.*pelvic", r"pelvic\s+pain\s+physio"),
+    "Dietitian": (r"\bdietitian\b", r"\bdietetics\b", r"\bnutrition\s*specialist\b"),
+}
 # Patterns of symptoms and conditions that may enter a query, and of procedures that may not.
 SAFE_PATTERNS = ("chest pain", "angina", r"coronary(?!\s+(angiography|intervention|stent|bypass))", "ischaemic", "heart disease", "palpitation", "arrhythmia", "breathless", "dyspnea")
 UNSAFE_PATTERNS = ("interventional", "angiography", "pci", "stent", "surgery", "procedure", "bypass", "catheter")

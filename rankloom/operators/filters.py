@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Words that put a patient among children.
-CHILD_WORDS = ("child", "children", "paediatric", "pediatric", "kid", "infant")
+#: Parts of words that put a patient, or an age group, among children.
+CHILD_WORDS = ("child", "paediatric", "pediatric")
 
 
 def not_blacklisted(flag: Column) -> Column:
@@ -29,8 +29,8 @@ def inferred_gender(title: Column, text: Column) -> Column:
     t = F.regexp_replace(F.lower(F.trim(F.coalesce(title, F.lit("")))), r"\.", "")
     body = F.lower(F.coalesce(text, F.lit("")))
     words = F.split(body, r"[^a-z0-9_]+")
-    he = F.size(F.filter(words, lambda w: w.isin("he", "him", "his")))
-    she = F.size(F.filter(words, lambda w: w.isin("she", "her", "hers")))
+    he = F.size(F.filter(words, lambda w: w.isin("he", "him", "his", "himself")))
+    she = F.size(F.filter(words, lambda w: w.isin("she", "her", "hers", "herself")))
     return F.when(t == "mr", "male").when(t.isin("mrs", "ms", "miss"), "female").when((he >= 2) & (he > she), "male").when((she >= 2) & (she > he), "female")
 
 
@@ -42,14 +42,17 @@ def gender_allows(gender: Column, wanted: str | None) -> Column:
 
 
 def treats_age(groups: Column, wanted: str) -> Column:
+    """A group that contains the wish or the reverse; a wish that speaks of children finds every group that does."""
     w = wanted.lower().strip()
     same = lambda g: F.contains(F.lower(g), F.lit(w)) | F.contains(F.lit(w), F.lower(g))
-    child = w in CHILD_WORDS
-    return F.coalesce(F.exists(groups, lambda g: same(g) | (F.lower(g).rlike("child|paediatric|pediatric") if child else F.lit(False))), F.lit(False))
+    child = any(c in w for c in CHILD_WORDS)
+    return F.coalesce(F.exists(groups, lambda g: same(g) | (F.lower(g).rlike("|".join(CHILD_WORDS)) if child else F.lit(False))), F.lit(False))
 
 
 def speaks(languages: Column, wanted: list[str]) -> Column:
-    return F.coalesce(F.exists(languages, lambda x: reduce(lambda a, b: a | b, (F.contains(F.lower(x), F.lit(w.lower())) for w in wanted))), F.lit(False))
+    """Any language that contains a wanted one or is contained in it."""
+    either = lambda x, w: F.contains(F.lower(x), F.lit(w.lower())) | F.contains(F.lit(w.lower()), F.lower(x))
+    return F.coalesce(F.exists(languages, lambda x: reduce(lambda a, b: a | b, (either(x, w) for w in wanted))), F.lit(False))
 
 
 def composite(insurers=None, gender=None, groups=None, languages=None, *, insurance=None, wanted_gender=None, age=None, wanted_languages=None) -> Column:

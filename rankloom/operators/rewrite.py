@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from . import dictionary
+from .containment import either_way, held_in
 
 
 def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 2) -> DataFrame:
     """Append the first alias of at most ``most`` terms that occur as whole words.
 
-    aliases: (term, alias, low_priority, context); a low-priority entry comes last and
-    needs its context word in the query (null: no condition).  Longer terms first.
+    aliases: (term, alias, low_priority, context); a low-priority entry comes last, longer
+    terms first.  An entry with a context (array of words; null: no condition) needs
+    any one of them among the query's words.
     """
-    text = F.lower("text")
-    has = lambda w: F.rlike(text, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))
-    hit = queries.join(aliases, has(F.col("term")) & (F.col("context").isNull() | has(F.col("context"))))
+    asked = queries.select(F.col("query_id").alias("text_id"), dictionary.words(F.col("text")).alias("words"))
+    entries = aliases.withColumn("phrase_id", F.monotonically_increasing_id())
+    found = dictionary.matches(asked, entries.select("phrase_id", dictionary.words(F.col("term")).alias("words"))).select(F.col("text_id").alias("query_id"), "phrase_id").distinct()
+    hit = found.join(entries, "phrase_id")
+    # The words of a context are one-word phrases of the same entry.
+    gates = entries.where(F.size("context") > 0).select("phrase_id", F.explode("context").alias("word")).select("phrase_id", F.array(F.lower("word")).alias("words"))
+    open_gates = dictionary.matches(asked, gates, 1).select(F.col("text_id").alias("query_id"), "phrase_id").distinct().withColumn("open", F.lit(True))
+    hit = hit.join(open_gates, ["query_id", "phrase_id"], "left").where("context is null or open")
     order = Window.partitionBy("query_id").orderBy("low_priority", F.desc(F.length("term")), "term")
     best = hit.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     added = best.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "alias"))), lambda x: x["alias"]), " ").alias("added"))
@@ -28,11 +36,22 @@ def expand_aliases(queries: DataFrame, aliases: DataFrame, most: int = 2) -> Dat
 
 def expand_concepts(queries: DataFrame, concepts: DataFrame) -> DataFrame:
     """Append every related term of each trigger found anywhere in the query; concepts: (trigger, related)."""
-    hit = queries.join(concepts, F.contains(F.lower("text"), F.col("trigger")))
+    asked = queries.select("query_id", F.lower("text").alias("holder"))
+    held = held_in(asked, concepts.select(F.col("trigger").alias("needle")))
+    hit = asked.join(held, "holder").join(concepts, F.col("needle") == F.col("trigger"))
     added = hit.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("related")), " ").alias("added"))
     return queries.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", "text", "added").alias("text"))
 
 
+def specialty_of(text: Column) -> Column:
+    """The specialty that a query names by itself; null if none."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(None).cast("string")
+    for name, patterns in reversed(C.SPECIALTY_PATTERNS.items()):
+        out = F.when(reduce(lambda a, b: a | b, (low.rlike(p) for p in patterns)), name).otherwise(out)
+    return out
+
+
 def assemble(patient: Column, safe: Column, name: Column, n_safe: int = 4) -> Column:
     return F.trim(F.concat_ws(" ", patient, F.array_join(F.slice(safe, 1, n_safe), " "), name))
 
@@ -115,8 +134,8 @@ def taxonomy_match(queries: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Entries (entry, names) that share a term with a query: a term of two characters or more contains a name or the reverse."""
     terms = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text"), least=2))).alias("term"))
     names = taxonomy.select("entry", F.explode("names").alias("name"))
-    hit = terms.join(names, F.contains("term", "name") | F.contains("name", "term"))
-    return hit.select("query_id", "entry").distinct()
+    pairs = either_way(terms.select(F.col("term").alias("a")), names.select(F.col("name").alias("b"))).select(F.col("a").alias("term"), F.col("b").alias("name"))
+    return terms.join(pairs, "term").join(names, "name").select("query_id", "entry").distinct()
 
 
 def context(intents: Column, anchors: Column, safe: Column, patient: Column, variant: str = "parallel") -> Column:

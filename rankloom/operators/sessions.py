@@ -5,23 +5,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STAMP = r"\[([^\]]+)\] ([^:\n]+): "
+STAMP = r"\[([^\]]+)\]\s*[^:]+:\s*"
+#: White space at either end of a line, as chat exports have it.
+_ENDS = r"^[\s\x0B\p{Z}\x{FEFF}]+|[\s\x0B\p{Z}\x{FEFF}]+$"
+# The marks of a recommendation's lines.
+PLACE, LINK = "📍", "🔗"
+WHY, BEST = r"(?i)^Why (he|she) may be a good fit:\s*", r"(?i)^Best for:\s*"
+FIRST_LINE = r"^(\d+)[.)]\s+(.+)$"
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, _ENDS, "")
 
 
 def messages(text: Column) -> Column:
-    """Array of struct<stamp, body> of a chat log: what follows each ``[stamp] sender: ``, blanks left out."""
+    """Array of struct<stamp, body> of a chat log: what follows each ``[stamp] sender:``, blanks left out."""
     stamps = F.regexp_extract_all(text, F.lit(STAMP), F.lit(1))
-    bodies = F.transform(F.slice(F.split(text, STAMP), F.lit(2), F.greatest(F.size(stamps), F.lit(1))), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    bodies = F.transform(F.slice(F.split(text, STAMP), F.lit(2), F.greatest(F.size(stamps), F.lit(1))), _strip)
     return F.filter(F.zip_with(stamps, bodies, lambda s, b: F.struct(s.alias("stamp"), b.alias("body"))), lambda m: F.coalesce(m["body"], F.lit("")) != "")
 
 
 def recommendation(block: Column) -> Column:
-    """rank, name, location, title, why, best_for, link of one ``N. Name`` block."""
-    get = lambda p: F.nullif(F.trim(F.regexp_extract(block, p, 1)), F.lit(""))
-    return F.struct(
-        get(r"(?m)^(\d+)\. ").alias("rank"), get(r"(?m)^\d+\. (.*)$").alias("name"), get(r"(?m)^📍 ?(.*)$").alias("location"), get(r"(?m)^🩺 ?(.*)$").alias("title"),
-        get(r"(?is)why .{0,40}?good fit: ?(.*?)(?=\n(?:best for|link)|\z)").alias("why"), get(r"(?im)^best for: ?(.*)$").alias("best_for"), get(r"(?im)^link: ?(\S+)").alias("link"),
+    """rank, name, location, title, why, best_for, link of a message ``N. Name`` (or ``N) Name``); null for other messages.
+
+    A fold over the lines after the first, with a state: after the place, blank lines are
+    passed over and the first line that opens no other part is the title; a reason goes on
+    until a blank line, ``Best for:`` or a link, what it is best for until a blank line or a
+    link, their lines joined by blanks.  A part that comes again replaces the former one.
+    """
+    none = F.lit(None).cast("string")
+    lines = F.transform(F.split(block, r"\r?\n"), _strip)
+    head = F.get(lines, 0)
+
+    def rest(x: Column, mark: str) -> Column:
+        return _strip(F.regexp_replace(x, mark, ""))
+
+    def longer(text: Column, x: Column) -> Column:
+        return F.when(text == "", x).otherwise(F.concat(text, F.lit(" "), x))
+
+    def step(acc: Column, x: Column) -> Column:
+        mode, filled, link = acc["mode"], x != "", F.startswith(x, F.lit(LINK))
+        title = (mode == "place") & filled & ~link & ~F.startswith(x, F.lit("Why ")) & ~F.startswith(x, F.lit("Best for"))
+        waits = (mode == "place") & ~filled
+        why_on = (mode == "why") & filled & ~link & ~x.rlike(BEST)
+        best_on = (mode == "best") & filled & ~link
+        opens = ~(title | waits | why_on | best_on)
+        place, why, best = opens & F.startswith(x, F.lit(PLACE)), opens & x.rlike(WHY), opens & x.rlike(BEST)
+        return F.struct(
+            F.when(waits | place, "place").when(why_on | why, "why").when(best_on | best, "best").otherwise("").alias("mode"),
+            F.when(place, rest(x, rf"^{PLACE}\s*")).otherwise(acc["location"]).alias("location"),
+            F.when(title, x).otherwise(acc["title"]).alias("title"),
+            F.when(why_on, longer(acc["why"], x)).when(why, rest(x, WHY)).otherwise(acc["why"]).alias("why"),
+            F.when(best_on, longer(acc["best_for"], x)).when(best, rest(x, BEST)).otherwise(acc["best_for"]).alias("best_for"),
+            F.when(opens & link, F.nullif(F.regexp_extract(x, rf"{LINK}\s*(https?:\S+)", 1), F.lit(""))).otherwise(acc["link"]).alias("link"),
+        )
+
+    start = F.struct(F.lit("").alias("mode"), none.alias("location"), none.alias("title"), F.lit("").alias("why"), F.lit("").alias("best_for"), none.alias("link"))
+    done = F.aggregate(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), start, step)
+    found = F.struct(
+        F.regexp_extract(head, FIRST_LINE, 1).try_cast("int").alias("rank"), _strip(F.regexp_extract(head, FIRST_LINE, 2)).alias("name"), done["location"].alias("location"), done["title"].alias("title"),
+        F.nullif(_strip(done["why"]), F.lit("")).alias("why"), F.nullif(_strip(done["best_for"]), F.lit("")).alias("best_for"), done["link"].alias("link"),
     )
+    return F.when(head.rlike(FIRST_LINE), found)
 
 
 def patient_text(turns: DataFrame, role: str = "user") -> DataFrame:

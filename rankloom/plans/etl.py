@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import merge as MG
 from ..operators import sessions as S
 from ..streaming import tracker
-from .base import TOKENS, Book, shared_dir, table
+from .base import TOKENS, Book, shared_dir, table, view
 
 BOOK = Book()
 add = BOOK.add
@@ -68,13 +68,35 @@ def _(spark, sf):
     return S.patient_text(table(spark, sf, "conversations")).select("conv_id", F.md5(F.col("patient_text").cast("binary")).alias("digest"))
 
 
-@add("chat_block_parse", r"SELECT conv_id, turn, make_date(2024, 1, (1 + conv_id % 28)::INT) AS day, (1 + turn)::VARCHAR AS rank, 'Dr ' || role AS name, 'Ward ' || turn::VARCHAR AS location, nullif(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '') AS why, 'http://x/' || conv_id::VARCHAR AS link FROM conversations")
+#: A chat log of each conversation: every turn as a message with a recommendation, parts of which are missing or in another order here and there.
+CHAT = """SELECT conv_id, turn, concat('[21:03, 11/02/2026] Jack: ', CAST(turn + 1 AS VARCHAR(9)), CASE WHEN turn % 2 = 0 THEN '. ' ELSE ')  ' END, 'Dr ', coalesce(role, ''), chr(10), chr(10),
+  CASE WHEN conv_id % 5 <> 4 THEN concat('📍 Ward ', CAST(turn AS VARCHAR(9)), chr(10)) ELSE '' END, CASE WHEN conv_id % 3 <> 0 THEN concat(chr(10), ' Consultant ', role, chr(10)) ELSE '' END, chr(10),
+  CASE WHEN turn % 3 = 0 THEN 'Why she may be a good fit: ' WHEN turn % 3 = 1 THEN concat('why HE may be a good fit:', chr(10)) ELSE concat('Best for: ', chr(10)) END, replace(coalesce(text, ''), '. ', concat('.', chr(10))), chr(10),
+  CASE WHEN conv_id % 2 = 0 THEN chr(10) ELSE '' END, CASE WHEN turn % 3 <> 2 THEN concat('Best for: ', chr(10), 'those who', chr(10), 'ask') ELSE '' END, chr(10), '🔗 ', CASE WHEN conv_id % 7 <> 0 THEN concat('https://x/', CAST(conv_id AS VARCHAR(20)), ' now') ELSE 'none' END) AS chat FROM conversations"""
+
+
+@add("chat_block_parse", rf"""WITH RECURSIVE chats AS ({CHAT}), bodies AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split_regex(chat, '\[[^\]]+\]\s*[^:]+:\s*'), lambda b: regexp_replace(b, '^[\s\x0B\p{{Z}}\x{{FEFF}}]+|[\s\x0B\p{{Z}}\x{{FEFF}}]+$', '', 'g')), lambda b: b <> '')) AS body FROM chats),
+blocks AS (SELECT row_number() OVER () AS b, conv_id, turn, list_transform(string_split_regex(body, '\r?\n'), lambda x: regexp_replace(x, '^[\s\x0B\p{{Z}}\x{{FEFF}}]+|[\s\x0B\p{{Z}}\x{{FEFF}}]+$', '', 'g')) AS lines FROM bodies),
+walk(b, i, mode, location, title, why, best, link) AS (
+  SELECT b, 1, '', NULL::VARCHAR, NULL::VARCHAR, ''::VARCHAR, ''::VARCHAR, NULL::VARCHAR FROM blocks WHERE regexp_matches(lines[1], '^\d+[.)]\s+.+$')
+  UNION ALL
+  SELECT b, i + 1, CASE kind WHEN 'place' THEN 'place' WHEN 'wait' THEN 'place' WHEN 'why' THEN 'why' WHEN 'why on' THEN 'why' WHEN 'best' THEN 'best' WHEN 'best on' THEN 'best' ELSE '' END,
+    CASE kind WHEN 'place' THEN trim(x[2:]) ELSE location END, CASE kind WHEN 'title' THEN x ELSE title END,
+    CASE kind WHEN 'why' THEN trim(regexp_replace(x, '(?i)^why (he|she) may be a good fit:', '')) WHEN 'why on' THEN trim(why || ' ' || x) ELSE why END,
+    CASE kind WHEN 'best' THEN trim(regexp_replace(x, '(?i)^best for:', '')) WHEN 'best on' THEN trim(best || ' ' || x) ELSE best END,
+    CASE kind WHEN 'link' THEN nullif(regexp_extract(x, '🔗\s*(https?:\S+)', 1), '') ELSE link END
+  FROM (SELECT w.*, lines[i + 1] AS x, CASE
+      WHEN mode = 'place' AND lines[i + 1] = '' THEN 'wait'
+      WHEN mode = 'place' AND NOT starts_with(lines[i + 1], 'Why ') AND NOT starts_with(lines[i + 1], 'Best for') AND NOT starts_with(lines[i + 1], '🔗') THEN 'title'
+      WHEN mode = 'why' AND lines[i + 1] <> '' AND NOT regexp_matches(lines[i + 1], '(?i)^best for:') AND NOT starts_with(lines[i + 1], '🔗') THEN 'why on'
+      WHEN mode = 'best' AND lines[i + 1] <> '' AND NOT starts_with(lines[i + 1], '🔗') THEN 'best on'
+      WHEN starts_with(lines[i + 1], '📍') THEN 'place' WHEN regexp_matches(lines[i + 1], '(?i)^why (he|she) may be a good fit:') THEN 'why' WHEN regexp_matches(lines[i + 1], '(?i)^best for:') THEN 'best'
+      WHEN starts_with(lines[i + 1], '🔗') THEN 'link' ELSE '' END AS kind
+    FROM walk w JOIN blocks USING (b) WHERE i < len(lines)))
+SELECT conv_id, turn, regexp_extract(lines[1], '^(\d+)[.)]\s+(.+)$', 1)::INT AS rank, regexp_extract(lines[1], '^(\d+)[.)]\s+(.+)$', 2) AS name, location, title, nullif(why, '') AS why, nullif(best, '') AS best_for, link FROM walk JOIN blocks USING (b) WHERE i = len(lines)""")
 def _(spark, sf):
-    s = lambda c: F.col(c).cast("string")
-    chat = F.concat(L("[1/"), (1 + F.col("conv_id") % 28).cast("string"), L("/24, 9:05:00] Ann: \n"), (1 + F.col("turn")).cast("string"), L(". Dr "), "role", L("\n📍 Ward "), s("turn"), L("\nWhy a good fit: "), F.col("text"), L("\nLink: http://x/"), s("conv_id"))
-    m = table(spark, sf, "conversations").select("conv_id", "turn", F.explode(S.messages(chat)).alias("m"))
-    r = S.recommendation(F.col("m.body"))
-    return m.select("conv_id", "turn", T.chat_day(F.col("m.stamp")).alias("day"), r["rank"].alias("rank"), r["name"].alias("name"), r["location"].alias("location"), r["why"].alias("why"), r["link"].alias("link"))
+    m = view(spark, sf, CHAT).select("conv_id", "turn", F.explode(S.messages(F.col("chat"))).alias("m"))
+    return m.select("conv_id", "turn", S.recommendation(F.col("m.body")).alias("r")).where("r is not null").select("conv_id", "turn", "r.*")
 
 
 @add("same_day_best_jaccard", f"""WITH c AS (SELECT conv_id AS left_id, conv_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS a FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)), d AS (SELECT doc_id AS right_id, doc_id % 31 AS day, list_distinct({TOKENS.format('text')}) AS b FROM documents),

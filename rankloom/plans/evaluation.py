@@ -103,9 +103,9 @@ def _(spark, sf):
     return table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("specialty")).agg(F.count(L(1)).alias("n"), F.countDistinct("c_nationkey").alias("n_places"), F.count_if(F.col("c_acctbal") > 0).alias("n_positive"))
 
 
-@add("distinct_sorted", "SELECT DISTINCT p_type AS specialty FROM part")
+@add("distinct_sorted", "SELECT DISTINCT p_type AS specialty FROM part ORDER BY 1")
 def _(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_type").alias("specialty")).distinct()
+    return table(spark, sf, "part").select(F.col("p_type").alias("specialty")).distinct().orderBy("specialty")
 
 
 @add("coverage_by_source", r"""WITH s AS (SELECT doc_id, unnest([source, lang]) AS source, regexp_extract(text, '[a-z0-9.]+@[a-z0-9.]+') AS email, contains(text, 'http') AS has_url FROM documents)

@@ -11,6 +11,7 @@ from ..config import GENERIC_TERMS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import boosts as B
+from ..operators import dictionary as DI
 from ..operators import fusion as FU
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
@@ -199,21 +200,40 @@ def _(spark, sf):
 
 # Rewriting
 
-ALIASES = [("the", "definite article", False, None), ("tion", "nominal", False, None), ("les", "plural article", False, None), ("der", "article", True, "die"), ("and", "conjunction", False, None), ("ing", "gerund", False, None)]
+ALIASES = [("the", "definite article", False, None), ("tion", "nominal", False, None), ("les", "plural article", False, None), ("der", "article", True, ["die", "und", "das"]), ("and", "conjunction", False, None), ("ing", "gerund", False, None), ("de la", "of the", False, None), ("in", "within", True, ["of", "to"])]
 ALIAS_VALUES = ", ".join(f"({t!r}, {a!r}, {str(p).lower()}, {'NULL' if c is None else repr(c)})" for t, a, p, c in ALIASES)
-WORD_SQL = r"regexp_matches(' ' || regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') || ' ', ' ' || {0} || ' ')"
 
 
-def ascii_queries(spark, sf):
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace(F.lower("text"), r"[^a-z0-9_]+", " ").alias("text"))
+@add("alias_expand", f"""WITH q AS (SELECT item_id AS query_id, text, ' ' || regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') || ' ' AS said FROM benchmark), a(term, alias, low, context) AS (VALUES {ALIAS_VALUES}),
+h AS (SELECT query_id, alias, row_number() OVER (PARTITION BY query_id ORDER BY low, len(term) DESC, term) AS n FROM q JOIN a ON contains(said, ' ' || term || ' ') AND (context IS NULL OR len(list_filter(context, lambda c: contains(said, ' ' || c || ' '))) > 0)),
+g AS (SELECT query_id, string_agg(alias, ' ' ORDER BY n) AS added FROM h WHERE n <= 2 GROUP BY query_id) SELECT q.query_id, added, md5(concat_ws(' ', text, added)) AS digest FROM q LEFT JOIN g ON q.query_id = g.query_id""")
+def _(spark, sf):
+    aliases = spark.createDataFrame(ALIASES, "term string, alias string, low_priority boolean, context array<string>")
+    q = view(spark, sf, QUERIES)
+    longer = RW.expand_aliases(q, aliases).withColumnRenamed("text", "longer").join(q, "query_id")
+    added = F.nullif(F.ltrim(F.substring("longer", F.length("text") + 1, F.length("longer"))), L(""))
+    return longer.select("query_id", added.alias("added"), F.md5(F.col("longer").cast("binary")).alias("digest"))
+
+
+#: A dictionary as large as the tables allow: every run of one to three words of the benchmark.
+RUNS_SQL = r"""b AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM benchmark), runs AS (SELECT DISTINCT array_to_string(w[i:i + n - 1], ' ') AS phrase, n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM b), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w))"""
+
+
+@add("phrase_dictionary", rf"""WITH {RUNS_SQL}, d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+h AS (SELECT doc_id, array_to_string(w[i:i + n - 1], ' ') AS phrase, n FROM p, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)) SELECT doc_id, n AS size, count(*) AS places, count(DISTINCT phrase) AS phrases FROM h JOIN runs USING (phrase, n) GROUP BY doc_id, n""")
+def _(spark, sf):
+    w = DI.words(F.col("text"))
+    runs = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(L(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n))).otherwise(F.expr("cast(array() as array<array<string>>)"))
+    phrases = table(spark, sf, "benchmark").select(w.alias("w")).select(F.explode(F.concat(runs(1), runs(2), runs(3))).alias("words")).distinct().select(F.array_join("words", " ").alias("phrase_id"), "words")
+    hits = DI.matches(table(spark, sf, "documents").select(F.col("doc_id").alias("text_id"), w.alias("words")), phrases, 3)
+    return hits.groupBy(F.col("text_id").alias("doc_id"), F.col("size").cast("long").alias("size")).agg(F.count(L(1)).alias("places"), F.countDistinct("phrase_id").alias("phrases"))
 
 
-@add("alias_expand", f"""WITH q AS (SELECT item_id AS query_id, regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g') AS text FROM benchmark), a(term, alias, low, context) AS (VALUES {ALIAS_VALUES}),
-h AS (SELECT query_id, alias, row_number() OVER (PARTITION BY query_id ORDER BY low, len(term) DESC, term) AS n FROM q JOIN a ON contains(' ' || text || ' ', ' ' || term || ' ') AND (context IS NULL OR contains(' ' || text || ' ', ' ' || context || ' '))),
-g AS (SELECT query_id, string_agg(alias, ' ' ORDER BY n) AS added FROM h WHERE n <= 2 GROUP BY query_id) SELECT q.query_id, md5(concat_ws(' ', text, added)) AS digest FROM q LEFT JOIN g ON q.query_id = g.query_id""")
+@add("query_specialty", r"""WITH q AS (SELECT item_id AS query_id, lower(text || CASE item_id % 8 WHEN 0 THEN ' Physiotherapist' WHEN 1 THEN ' a physio for the PELVIC floor' WHEN 2 THEN ' pelvicphysio' WHEN 3 THEN ' pelvic pain  physios' WHEN 4 THEN ' Dietetics' WHEN 5 THEN ' nutritionspecialist' WHEN 6 THEN ' physiotherapists, dietitians' ELSE '' END) AS t FROM benchmark)
+SELECT query_id, CASE WHEN regexp_matches(t, '\bphysiotherapist\b|\bphysiotherapy\b|\bpelvic\s*physio\b|\bphysio\b.*pelvic|pelvic\s+pain\s+physio') THEN 'Physiotherapy' WHEN regexp_matches(t, '\bdietitian\b|\bdietetics\b|\bnutrition\s*specialist\b') THEN 'Dietitian' END AS specialty FROM q""")
 def _(spark, sf):
-    aliases = spark.createDataFrame(ALIASES, "term string, alias string, low_priority boolean, context string")
-    return RW.expand_aliases(ascii_queries(spark, sf), aliases).select("query_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+    said = F.when(F.col("item_id") % 8 == 0, " Physiotherapist").when(F.col("item_id") % 8 == 1, " a physio for the PELVIC floor").when(F.col("item_id") % 8 == 2, " pelvicphysio").when(F.col("item_id") % 8 == 3, " pelvic pain  physios").when(F.col("item_id") % 8 == 4, " Dietetics").when(F.col("item_id") % 8 == 5, " nutritionspecialist").when(F.col("item_id") % 8 == 6, " physiotherapists, dietitians").otherwise("")
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), RW.specialty_of(F.concat("text", said)).alias("specialty"))
 
 
 CONCEPTS = [("eau", "water"), ("eau", "sea"), ("ung", "noun"), ("ción", "noun"), ("the", "word")]

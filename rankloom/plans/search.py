@@ -41,9 +41,9 @@ def _(spark, sf):
     return table(spark, sf, "documents").join(flags, "doc_id", "left").where(FL.not_blacklisted(F.col("blacklisted"))).select("doc_id", "source")
 
 
-@add("filter_language_any", f"WITH {MEMBERS_SQL} SELECT doc_id, name FROM m WHERE len(list_filter(languages, lambda x: contains(lower(x), 'german') OR contains(lower(x), 'french'))) > 0")
+@add("filter_language_any", f"WITH {MEMBERS_SQL} SELECT doc_id, name FROM m WHERE len(list_filter(languages, lambda x: contains(lower(x), 'german') OR contains('german', lower(x)) OR contains(lower(x), 'french (fluent)') OR contains('french (fluent)', lower(x)))) > 0")
 def _(spark, sf):
-    return members(spark, sf).where(FL.speaks(F.col("languages"), ["German", "french"])).select("doc_id", "name")
+    return members(spark, sf).where(FL.speaks(F.col("languages"), ["German", "french (fluent)"])).select("doc_id", "name")
 
 
 @add("filter_bidirectional_contains", f"WITH {MEMBERS_SQL} SELECT doc_id, segment FROM m WHERE coalesce(len(list_filter(insurers, lambda x: contains(lower(x), 'building') OR contains('building', lower(x)))) > 0, false)")
@@ -51,23 +51,23 @@ def _(spark, sf):
     return members(spark, sf).where(FL.insured_by(F.col("insurers"), " Building ")).select("doc_id", "segment")
 
 
-@add("filter_age_group", f"WITH {MEMBERS_SQL} SELECT doc_id FROM m WHERE coalesce(len(list_filter(groups, lambda g: contains(lower(g), 'child') OR contains('child', lower(g)) OR regexp_matches(lower(g), 'child|paediatric|pediatric'))) > 0, false)")
+@add("filter_age_group", f"WITH {MEMBERS_SQL} SELECT doc_id FROM m WHERE coalesce(len(list_filter(groups, lambda g: contains(lower(g), 'young children') OR contains('young children', lower(g)) OR regexp_matches(lower(g), 'child|paediatric|pediatric'))) > 0, false)")
 def _(spark, sf):
-    return members(spark, sf).where(FL.treats_age(F.col("groups"), "child")).select("doc_id")
+    return members(spark, sf).where(FL.treats_age(F.col("groups"), "Young children ")).select("doc_id")
 
 
 @add("filter_composite", f"""WITH {MEMBERS_SQL} SELECT doc_id, name FROM m
 WHERE coalesce(len(list_filter(insurers, lambda x: contains(lower(x), 'machinery') OR contains('machinery', lower(x)))) > 0, false)
   AND coalesce(lower(trim(gender)) = 'female', false)
   AND coalesce(len(list_filter(groups, lambda g: contains(lower(g), 'adults') OR contains('adults', lower(g)))) > 0, false)
-  AND len(list_filter(languages, lambda x: contains(lower(x), 'english') OR contains(lower(x), 'urdu'))) > 0""")
+  AND len(list_filter(languages, lambda x: contains(lower(x), 'english') OR contains('english', lower(x)) OR contains(lower(x), 'urdu') OR contains('urdu', lower(x)))) > 0""")
 def _(spark, sf):
     wanted = FL.composite(F.col("insurers"), F.col("gender"), F.col("groups"), F.col("languages"), insurance="machinery", wanted_gender="Female", age="adults", wanted_languages=["English", "Urdu"])
     return members(spark, sf).where(wanted).select("doc_id", "name")
 
 
 @add("infer_class_from_pronouns", r"""WITH t AS (SELECT doc_id, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+') AS w FROM documents),
-c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('he', 'him', 'his'))) AS he, len(list_filter(w, lambda x: x IN ('she', 'her', 'hers'))) AS she FROM t)
+c AS (SELECT doc_id, len(list_filter(w, lambda x: x IN ('he', 'him', 'his', 'himself'))) AS he, len(list_filter(w, lambda x: x IN ('she', 'her', 'hers', 'herself'))) AS she FROM t)
 SELECT doc_id, CASE WHEN he >= 2 AND he > she THEN 'male' WHEN she >= 2 AND she > he THEN 'female' END AS gender FROM c""")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", FL.inferred_gender(F.lit(None).cast("string"), F.col("text")).alias("gender"))

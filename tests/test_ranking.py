@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import RankingConfig
 from rankloom.functions import geo, text
-from rankloom.operators import boosts, filters, fusion, locations, metrics, rescore, rewrite, sessions
+from rankloom.operators import boosts, dictionary, filters, fusion, locations, metrics, rescore, rewrite, sessions
 from rankloom.operators.bm25 import bm25, ranked
 
 DOCS = [(1, "knee surgery knee"), (2, "hip surgery café"), (3, ""), (4, "knee surgery knee"), (5, None), (6, "heart_valve repair")]
@@ -208,3 +208,100 @@ def test_phrase_hits_equal_looking_everywhere(spark):
 
 def text_count(query, body):
     return text.count_contained(text.phrases(query), F.lower(body))
+
+
+# Chat blocks: golden rows by the format's own rules
+
+BLOCK = """1. Mr Oliver Example
+
+📍 Hospital One / Hospital Two (Bristol)
+
+Consultant Gynaecologist – Lead of a Centre
+
+Why he may be a good fit:
+First line.
+Second line.
+
+a stray line
+Best for:
+those who
+ask
+
+🔗 https://example.org/a?b=c more"""
+
+
+@pytest.mark.parametrize(
+    "block,want",
+    [
+        (BLOCK, (1, "Mr Oliver Example", "Hospital One / Hospital Two (Bristol)", "Consultant Gynaecologist – Lead of a Centre", "First line. Second line.", "those who ask", "https://example.org/a?b=c")),
+        ("12)  Dr A\n📍\n\n\nBest for: x\ny\n🔗 none\nWHY SHE MAY BE A GOOD FIT: a\nbest FOR: b", (12, "Dr A", "", None, "a", "b", None)),
+        ("2. B\n📍 P\nWhy ever not\n🔗https://e.org", (2, "B", "P", None, None, None, "https://e.org")),
+        ("3. C\n📍 P\n📍 T\nWhy he may be a good fit: one\n📍 two\n🔗 https://e.org", (3, "C", "P", "📍 T", "one 📍 two", None, "https://e.org")),
+        ("4. D\r\nWhy she may be a good fit:\r\n\r\nlost\r\n Best for: \r\n kept ", (4, "D", None, None, None, "kept", None)),
+        ("5.E\nno blank after the number", None),
+        ("hello", None),
+        ("", None),
+    ],
+)
+def test_recommendation_blocks(spark, block, want):
+    found = value(spark, sessions.recommendation(F.lit(block)))
+    assert (tuple(found) if found else None) == want
+
+
+def test_messages_of_both_stamp_forms(spark):
+    chat = "[21:03, 11/02/2026] Jack: 1. A\n📍 P\n[2/13/26, 19:15:29] DocMap:2. B"
+    assert [tuple(m) for m in value(spark, sessions.messages(F.lit(chat)))] == [("21:03, 11/02/2026", "1. A\n📍 P"), ("2/13/26, 19:15:29", "2. B")]
+
+
+# Filters: wishes that only partly equal what a profile says
+
+
+def test_wishes_that_contain_or_are_contained(spark):
+    groups = lambda *g: F.array(*[F.lit(x) for x in g])
+    assert value(spark, filters.treats_age(groups("Paediatrics"), "young children"))
+    assert value(spark, filters.treats_age(groups("Child health"), "Pediatric care"))
+    assert not value(spark, filters.treats_age(groups("Paediatrics"), "infants"))
+    assert value(spark, filters.treats_age(groups("Adults"), "older adults"))
+    assert value(spark, filters.speaks(groups("English"), ["English (fluent)"])) and value(spark, filters.speaks(groups("English (basic)"), ["english"]))
+    assert not value(spark, filters.speaks(groups("Urdu"), ["English"]))
+    assert value(spark, filters.inferred_gender(F.lit(None).cast("string"), F.lit("She prides herself on care"))) == "female"
+
+
+# Dictionaries
+
+
+def plain_matches(texts, phrases):
+    return sorted((t, p, i, len(ws)) for t, words in texts for p, ws in phrases for i in range(len(words)) if ws and words[i : i + len(ws)] == ws)
+
+
+def test_dictionary_equals_plain_search(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [(i, rng.choices("abcd", k=rng.randint(0, 25))) for i in range(30)]
+    phrases = [(i, rng.choices("abcd", k=rng.randint(1, 4))) for i in range(25)] + [(100, ["a", "b"]), (101, ["a", "b"]), (102, [])]
+    frame = spark.createDataFrame(texts, "text_id int, words array<string>"), spark.createDataFrame(phrases, "phrase_id int, words array<string>")
+    hits = dictionary.matches(*frame, 4)
+    assert sorted(map(tuple, hits.collect())) == plain_matches(texts, phrases)
+    assert sorted(map(tuple, dictionary.matches(*frame, 2).collect())) == plain_matches(texts, [p for p in phrases if len(p[1]) <= 2])
+    assert "NestedLoop" not in hits._jdf.queryExecution().toString() and "Cartesian" not in hits._jdf.queryExecution().toString()
+    chosen = dictionary.leftmost_longest(hits.withColumn("priority", -F.col("phrase_id"))).collect()
+    got = {}
+    for r in chosen:
+        got.setdefault(r.text_id, []).append((r.start, r.size, r.phrase_id))
+    for t, words in texts:
+        want, at = [], 0
+        while at < len(words):
+            here = [(len(ws), p) for p, ws in phrases if ws and words[at : at + len(ws)] == ws]
+            if here:
+                size, p = max(here)
+                want.append((at, size, p))
+            at += here and max(here)[0] or 1
+        assert sorted(got.get(t, [])) == want
+
+
+def test_aliases_take_any_word_of_a_context(spark):
+    aliases = spark.createDataFrame([("echo", "echocardiogram", True, ["cardiac", "heart"]), ("af", "atrial fibrillation", False, None), ("svt", "supraventricular tachycardia", False, None)], "term string, alias string, low_priority boolean, context array<string>")
+    queries = spark.createDataFrame([(1, "Echo of the Heart"), (2, "echo"), (3, "AF/SVT cardiac echo"), (4, None), (5, "echoes, heartless")], "query_id int, text string")
+    got = {r.query_id: r.text for r in rewrite.expand_aliases(queries, aliases).collect()}
+    assert got == {1: "Echo of the Heart echocardiogram", 2: "echo", 3: "AF/SVT cardiac echo supraventricular tachycardia atrial fibrillation", 4: "", 5: "echoes, heartless"}
