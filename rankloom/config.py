@@ -18,8 +18,11 @@ GENERIC_TERMS = tuple(
     service clinic hospital patient medical clinical health doctor specialist practitioner london want need help find looking
     require being referred person visit appointment see""".split()
 )
-# Field repetitions of the weighted text.
-FIELD_WEIGHTS = {"clinical_expertise": 3, "procedures": 3, "specialty": 2, "subspecialties": 3, "description": 1, "about": 1, "name": 1, "memberships": 1, "title": 1}
+# How often each part of a profile counts in the production ranker's text.
+PRODUCTION_FIELDS = {
+    "procedures": 3, "conditions": 3, "clinical_interests": 2, "expertise": 3, "procedure_groups": 3, "specialty": 3, "specialty_description": 2, "description": 2,
+    "about": 1, "name": 1, "address_locality": 1, "memberships": 1, "insurers": 1, "title": 1,
+}
 
 # Places that an address may name; those within London; postcode areas of London.
 CITIES = tuple(
@@ -74,7 +77,7 @@ class RankingConfig:
     subspecialty_weight: float = 0.3
     subspecialty_cap: float = 0.5
     safe_terms: int = 4
-    fields: dict = field(default_factory=lambda: dict(FIELD_WEIGHTS), hash=False)
+    fields: dict = field(default_factory=lambda: dict(PRODUCTION_FIELDS), hash=False)
 
     def merged(self, **changes) -> "RankingConfig":
         """A copy with the given values; None leaves a value as it is."""

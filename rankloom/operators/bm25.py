@@ -67,11 +67,15 @@ def ranked(scores: DataFrame, top: int | None = None, by: list | None = None) ->
     return out.where(F.col("rank") <= top) if top else out
 
 
-def min_max(scores: DataFrame, column: str = "score") -> Column:
-    """Scaled to 0..1 within each query; 1 where all are equal."""
-    w = Window.partitionBy("query_id")
-    lo, hi = F.min(column).over(w), F.max(column).over(w)
-    return F.when(hi > lo, (F.col(column) - lo) / (hi - lo)).otherwise(F.lit(1.0))
+def min_max(scores: DataFrame, column: str = "score") -> DataFrame:
+    """Adds ``scaled``: the column scaled to 0..1 within each query; 1 where all are equal.
+
+    A query's least and greatest are aggregates with a partial step, joined back, so no
+    task holds all rows of a query.
+    """
+    ends = scores.groupBy("query_id").agg(F.min(column).alias("__lo"), F.max(column).alias("__hi"))
+    scaled = F.when(F.col("__hi") > F.col("__lo"), (F.col(column) - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).otherwise(F.lit(1.0))
+    return scores.join(ends, "query_id").withColumn("scaled", scaled).drop("__lo", "__hi")
 
 
 def repeats(weights: dict[str, float]) -> dict[str, int]:

@@ -1,4 +1,4 @@
-"""Which documents hold which word runs of which queries, by equi-joins instead of looking for every phrase in every text."""
+"""Which documents hold which strings of words, by equi-joins instead of looking for every string in every text."""
 
 from __future__ import annotations
 
@@ -6,40 +6,78 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import stage
 
-#: The phrases' words are longer than two characters, so these many at their outer ends can be compared for equality.
+#: Words of a phrase are longer than two characters, so these many at its outer ends can be compared for equality.
 END = 3
+#: Queries of so few blank-separated pieces have no piece of their own that a text must hold; so many are looked for at once.
+FEW, TOGETHER = 2, 4096
 
 
-def _key(words: list[Column]) -> Column:
-    return F.concat_ws(" ", F.right(words[0], F.lit(END)), *words[1:-1], F.left(words[-1], F.lit(END)))
+def _keys(at) -> list[Column]:
+    """Hashes by which a place in a text meets what may stand there; ``at(i)`` is the i-th piece from the place on.
 
+    Two and three pieces by the ends of the outer ones, two pieces as they are, one piece as it is.
+    """
+    last, first = (lambda w: F.right(w, F.lit(END))), (lambda w: F.left(w, F.lit(END)))
+    return [F.xxhash64(F.lit(1), last(at(0)), first(at(1))), F.xxhash64(F.lit(2), last(at(0)), at(1), first(at(2))), F.xxhash64(F.lit(3), at(0), at(1)), F.xxhash64(F.lit(4), at(0))]
 
-def phrase_hits(queries: DataFrame, documents: DataFrame, longest: int = 3) -> DataFrame:
-    """(query_id, doc_id, phrases): how many of a query's runs of 2 to ``longest`` words a document's text contains; pairs without any are left out.
 
-    This counts what ``boosts.phrase_bonus`` counts beside the whole query.  A phrase is
-    contained where blank-separated words follow each other, the first ending with the
-    phrase's first word, the last beginning with its last, those between equal; so a
-    key of their ends and middles meets by equality, and the rest is checked after that.
+def _needles(phrases: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(needle) of both kinds -> needle, pieces, key, at: the hash of some of its pieces, and where in it these begin."""
+    p = phrases.select("needle", F.split("needle", " ").alias("pieces"))
+    two, three, _, _ = _keys(lambda i: F.get("pieces", F.lit(i)))
+    by_ends = p.select("needle", "pieces", F.when(F.size("pieces") == 2, two).otherwise(three).alias("key"), F.lit(0).alias("at"))
+    w = wholes.select("needle", F.split("needle", " ").alias("pieces")).where(F.size("pieces") > FEW)
+    # Of the pieces between the first and the last, the longest two neighbours are the least common; one, if there is just one.
+    inner = F.sequence(F.lit(1), F.greatest(F.size("pieces") - 3, F.lit(1)))
+    width = lambda i: F.length(F.get("pieces", i)) + F.when(F.size("pieces") > 3, F.length(F.get("pieces", i + 1))).otherwise(0)
+    w = w.withColumn("at", -F.array_max(F.transform(inner, lambda i: F.struct(width(i).alias("width"), (-i).alias("at"))))["at"])
+    _, _, pair, single = _keys(lambda i: F.get("pieces", F.col("at") + i))
+    return by_ends.unionByName(w.select("needle", "pieces", F.when(F.size("pieces") > 3, pair).otherwise(single).alias("key"), "at"))
+
+
+def holders(phrases: DataFrame, wholes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, needle) once for every document (doc_id, text) whose text contains the needle, both in lower case.
+
+    phrases: two or three words of three characters or more with a blank between; wholes: any
+    strings that are not empty.  A string is contained where blank-separated pieces of
+    the text follow each other, the first ending with the string's first piece, the last
+    beginning with its last, those between equal.  Places in a text are hashed and meet the
+    needles by equality; the pieces are compared where they are, so neither texts nor their
+    words are shuffled.  Wholes of one or two pieces have nothing to be hashed; they
+    are looked for in every text, many at a time.
     """
-    runs = queries.select("query_id", F.explode(T.phrases(F.col("text"), longest)).alias("phrase")).groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("times"))
-    words = F.split("phrase", " ")
-    at = lambda a, i: F.get(a, i)
-    wanted = runs.select("phrase").distinct().withColumn("w", words).withColumn("n", F.size("w"))
-    keyed = None
-    for n in range(2, longest + 1):
-        part = wanted.where(F.col("n") == n).select("phrase", "n", _key([at(F.col("w"), F.lit(i)) for i in range(n)]).alias("key"), at(F.col("w"), F.lit(0)).alias("head"), at(F.col("w"), F.lit(n - 1)).alias("tail"))
-        keyed = part if keyed is None else keyed.unionByName(part)
-    held = documents.select("doc_id", F.split(F.lower(F.coalesce("text", F.lit(""))), " ").alias("w"))
-
-    def made(n: int) -> Column:
-        starts = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(_key([at(F.col("w"), i + k) for k in range(n)]).alias("key"), at(F.col("w"), i).alias("a"), at(F.col("w"), i + n - 1).alias("c")))
-
-    found = None
-    for n in range(2, longest + 1):
-        rows = held.select("doc_id", F.explode(made(n)).alias("x")).select("doc_id", F.lit(n).alias("n"), "x.*").where((F.length("a") >= END) & (F.length("c") >= END))
-        found = rows if found is None else found.unionByName(rows)
-    hits = found.join(keyed, ["n", "key"]).where(F.endswith("a", "head") & F.startswith("c", "tail")).select("doc_id", "phrase").distinct()
-    return hits.join(runs, "phrase").groupBy("query_id", "doc_id").agg(F.sum("times").alias("phrases"))
+    asked = stage(_needles(phrases, wholes), "needles")
+    low = documents.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("body"))
+    places = low.select("doc_id", F.split("body", " ").alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
+    keys = _keys(lambda i: F.col("word") if i == 0 else F.get("w", F.col("pos") + i))
+    met = places.select("doc_id", "w", "pos", F.explode(F.array(*keys)).alias("key")).join(asked, "key")
+    n, begin = F.size("pieces"), F.col("pos") - F.col("at")
+    between = F.slice("w", begin + 2, n - 2) == F.slice("pieces", F.lit(2), n - 2)
+    here = F.endswith(F.get("w", begin), F.get("pieces", F.lit(0))) & F.startswith(F.get("w", begin + n - 1), F.element_at("pieces", -1))
+    found = met.where((begin >= 0) & (begin + n <= F.size("w"))).where(here & ((n == 2) | between)).select("doc_id", "needle")
+    short = wholes.where(F.size(F.split("needle", " ")) <= FEW).distinct().withColumn("b", F.floor(F.monotonically_increasing_id() / TOGETHER)).groupBy("b").agg(F.collect_list("needle").alias("q"))
+    short = stage(short.select("q"), "short-needles")
+    looked = low.join(F.broadcast(short)).select("doc_id", F.explode(F.filter("q", lambda q: F.contains(F.col("body"), q))).alias("needle"))  # TOGETHER short strings a row
+    return found.unionByName(looked).distinct()
+
+
+def _runs(queries: DataFrame, longest: int) -> DataFrame:
+    """(query_id, needle, times): a query's runs of 2 to ``longest`` words."""
+    return queries.select("query_id", F.explode(T.phrases(F.col("text"), longest)).alias("needle")).groupBy("query_id", "needle").agg(F.count(F.lit(1)).cast("double").alias("times"))
+
+
+def phrase_hits(queries: DataFrame, documents: DataFrame, longest: int = 3) -> DataFrame:
+    """(query_id, doc_id, phrases): how many of a query's runs of 2 to ``longest`` words a document's text contains; pairs without any are left out."""
+    runs = _runs(queries, longest)
+    hits = holders(runs.select("needle").distinct(), runs.select("needle").limit(0), documents)
+    return hits.join(runs, "needle").groupBy("query_id", "doc_id").agg(F.sum("times").cast("long").alias("phrases"))
+
+
+def bonuses(queries: DataFrame, documents: DataFrame, longest: int = 3) -> DataFrame:
+    """(query_id, doc_id, bonus) as ``boosts.phrase_bonus`` has it, pairs without any left out: 2 for the whole query, 1 for each of its runs of words."""
+    runs = stage(_runs(queries, longest), "runs")
+    wholes = stage(queries.select("query_id", F.lower(F.trim("text")).alias("needle"), F.lit(2.0).alias("times")).where("needle <> ''"), "wholes")
+    hits = holders(runs.select("needle").distinct(), wholes.select("needle").distinct(), documents)
+    return hits.join(runs.unionByName(wholes), "needle").groupBy("query_id", "doc_id").agg(F.sum("times").alias("bonus"))

@@ -8,38 +8,50 @@ from pyspark.sql import functions as F
 from ..config import RankingConfig
 from . import boosts as B
 from . import fusion as FU
+from . import index
 from . import rescore as RS
-from .bm25 import bm25, min_max, ranked
-from .phrases import phrase_hits
+from .bm25 import bm25, min_max, ranked, repeats
+from .phrases import bonuses
 
 PAIR = ["query_id", "doc_id"]
 
 
-def _with_bonus(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig, longest: int) -> DataFrame:
-    """Every scored pair with its signals and its bonus: 2 for the whole query in the text, 1 for every run of words."""
-    scores = bm25(queries, documents, config).join(phrase_hits(queries, documents, longest), PAIR, "left").join(signals, "doc_id", "left")
-    texts = documents.select("doc_id", F.lower("text").alias("body"))
-    asked = queries.select("query_id", F.lower(F.trim("text")).alias("whole"))
-    both = scores.join(texts, "doc_id").join(asked, "query_id")
-    full = F.when((F.col("whole") != "") & F.contains("body", "whole"), F.lit(2.0)).otherwise(F.lit(0.0))
-    return both.withColumn("bonus", F.coalesce("phrases", F.lit(0)) + full).drop("body", "whole", "phrases")
+def _with_bonus(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig, fields: dict[str, int] | None, longest: int) -> DataFrame:
+    """Every scored pair with its signals and its bonus: 2 for the whole query in the text, 1 for every run of words.
+
+    Texts become postings, and runs of words meet the queries' runs; no text goes further.
+    """
+    weights = repeats(fields) if fields else {"text": 1}
+    scores = index.build(documents, list(weights)).scores(queries, config, weights)
+    bonus = bonuses(queries, weighted_text(documents, weights), longest)
+    return scores.join(bonus, PAIR, "left").join(signals, "doc_id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
+
+
+def weighted_text(documents: DataFrame, weights: dict[str, int]) -> DataFrame:
+    """doc_id and text: the fields one after another, each as often as its weight says; empty ones are left out."""
+    if list(weights.values()) == [1]:
+        return documents.select("doc_id", F.col(next(iter(weights))).alias("text"))
+    part = lambda f: F.nullif(F.col(f), F.lit(""))
+    return documents.select("doc_id", F.concat_ws(" ", *[part(f) for f, n in weights.items() for _ in range(n)]).alias("text"))
 
 
-def production(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig()) -> DataFrame:
+def production(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig(), fields: dict[str, int] | None = None) -> DataFrame:
     """The production ranker: (BM25 x quality x proximity) + phrase bonus, scaled to 0..1 within a query, plus weighted semantic scores.
 
-    signals: doc_id, quality, proximity, semantic (null: 1, 1 and 0).  Every document that
-    shares a term with a query is scored; the phrase bonus looks at their whole texts.
+    signals: doc_id, quality, proximity, semantic (null: 1, 1 and 0).  ``fields`` names the
+    columns that make a document's text and how often each counts (``PRODUCTION_FIELDS``
+    for whole profiles); without it, ``text``.  Every document that shares a term with
+    a query is scored.
     """
-    both = _with_bonus(queries, documents, signals, config, 3)
+    both = _with_bonus(queries, documents, signals, config, fields, 3)
     raw = F.round(F.col("score") * F.coalesce("quality", F.lit(1.0)) * F.coalesce("proximity", F.lit(1.0)) + F.col("bonus"), 6)
-    scaled = both.select(*PAIR, raw.alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic")).withColumn("scaled", F.round(min_max("score"), 6))
-    return ranked(scaled.select(*PAIR, F.round(F.col("scaled") + config.semantic_weight * F.col("semantic"), 6).alias("score")))
+    scaled = min_max(both.select(*PAIR, raw.alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic")))
+    return ranked(scaled.select(*PAIR, F.round(F.round("scaled", 6) + config.semantic_weight * F.col("semantic"), 6).alias("score")))
 
 
-def local(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig(variant="local")) -> DataFrame:
+def local(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig(variant="local"), fields: dict[str, int] | None = None) -> DataFrame:
     """The local ranker: max(0, (BM25 x quality + bonus for pairs of words) x negative penalty); signals: doc_id, quality, negatives."""
-    both = _with_bonus(queries, documents, signals, config, 2)
+    both = _with_bonus(queries, documents, signals, config, fields, 2)
     raw = (F.col("score") * F.coalesce("quality", F.lit(1.0)) + F.col("bonus")) * B.negative(F.coalesce("negatives", F.lit(0)))
     return ranked(both.select(*PAIR, F.round(F.greatest(F.lit(0.0), raw), 6).alias("score")))
 

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..staging import shared_dir as shared_dir  # used by the modules of queries
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -25,14 +27,6 @@ class Book:
         return keep
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only a session within one process may leave it unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (named or "/tmp/checkpoints").rstrip("/")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,16 +7,18 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import GENERIC_TERMS, RankingConfig
+from ..config import GENERIC_TERMS, PRODUCTION_FIELDS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import boosts as B
 from ..operators import dictionary as DI
 from ..operators import fusion as FU
+from ..operators import index as IX
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
 from ..operators import shortlist as SL
 from ..operators.bm25 import bm25, min_max, ranked
+from ..staging import fresh_path
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
 from .search import HAV, CENTRE, miles
 
@@ -127,7 +129,7 @@ MINMAX_SQL = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(
 
 @add("minmax_normalise", f"WITH {bm25_sql()} SELECT query_id, doc_id, round({MINMAX_SQL}, 6) AS score FROM scores WINDOW w AS (PARTITION BY query_id)")
 def _(spark, sf):
-    return bm25(*inputs(spark, sf)).withColumn("score", F.round(min_max("score"), 6))
+    return min_max(bm25(*inputs(spark, sf))).select("query_id", "doc_id", F.round("scaled", 6).alias("score"))
 
 
 SEM_SQL = """c AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings GROUP BY label),
@@ -158,7 +160,7 @@ sem AS (SELECT vec_id AS doc_id, round(least(1e0, greatest(0e0, embedding[1]::DO
 h AS (SELECT query_id, n.doc_id, round(nb + 0.3e0 * coalesce(sem, 0), 6) AS score FROM n LEFT JOIN sem ON n.doc_id = sem.doc_id)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""")
 def _(spark, sf):
-    scaled = bm25(*inputs(spark, sf)).withColumn("nb", min_max("score"))
+    scaled = min_max(bm25(*inputs(spark, sf))).withColumnRenamed("scaled", "nb")
     sem = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get("embedding", 0).cast("double") * 4)), 6).alias("sem"))
     both = scaled.join(sem, "doc_id", "left").withColumn("score", F.round(F.col("nb") + RankingConfig().semantic_weight * F.coalesce("sem", L(0.0)), 6))
     return out(ranked(both, 10))
@@ -514,3 +516,42 @@ def _(spark, sf):
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM raw) WHERE rank <= 50""")
 def _(spark, sf):
     return out(SL.local(*inputs(spark, sf), signals(spark, sf)).where("rank <= 50"))
+
+
+# The index as a table
+
+
+@add("bm25_topk_pruned", f"WITH {bm25_sql()} {TOP.format(n=10)}")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    return out(IX.build(docs).topk(q, 10))
+
+
+@add("bm25_local_pruned", f"WITH {bm25_sql(variant='local', k1=1.2, b=0.8)} {TOP.format(n=25)}")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    return out(IX.build(docs).topk(q, 25, RankingConfig(variant="local", k1=1.2, b=0.8)))
+
+
+@add("index_segments", f"WITH {bm25_sql(corpus='SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0')} {TOP.format(n=10)}")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    store = IX.Segments(spark, fresh_path(spark, "segments"))
+    changed = F.col("doc_id") % 4 == 0
+    store.upsert(docs.withColumn("text", F.when(changed, F.concat(L("an older version of "), "text")).otherwise(F.col("text"))))
+    store.upsert(docs.where(changed))
+    store.delete(docs.where("doc_id % 11 = 0").select("doc_id"))
+    store.merge()
+    return out(ranked(store.open().scores(q), 10))
+
+
+#: Documents with several fields, and what production makes of them.
+FIELDED = "SELECT doc_id, lang AS specialty, text AS description, source AS name FROM documents"
+WEIGHTED = "SELECT doc_id, concat_ws(' ', nullif(lang, ''), nullif(lang, ''), nullif(lang, ''), nullif(text, ''), nullif(text, ''), nullif(source, '')) AS text FROM documents"
+NAMING = "SELECT item_id AS query_id, text || ' src1 en en' AS text FROM benchmark"
+
+
+@add("production_weighted_rank", BOOK.oracles["production_rank"].replace(bm25_sql(), bm25_sql(queries=NAMING, corpus=WEIGHTED)).replace("JOIN documents d ON", "JOIN corpus d ON"))
+def _(spark, sf):
+    fields = {f: PRODUCTION_FIELDS[f] for f in ("specialty", "description", "name")}
+    return out(SL.production(view(spark, sf, NAMING), view(spark, sf, FIELDED), signals(spark, sf), fields=fields).where("rank <= 50"))
