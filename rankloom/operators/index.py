@@ -25,7 +25,7 @@ from .bm25 import idf, query_terms, ranked
 BLOCK = 2
 #: A query's rarest terms are those before which fewer than so many documents per rank wanted hold a rarer one.
 RARE = 20
-ROW = "part int, block long, doc_id long, lengths array<int>, terms array<struct<term: string, field: int, n: int>>, gone boolean"
+ROW = "part int, number long, doc_id long, lengths array<int>, terms array<struct<term: string, field: int, n: int>>, gone boolean"
 
 
 def _counted(tokens: str, starts: str, field: int) -> Column:
@@ -43,17 +43,16 @@ def rows_of(documents: DataFrame, fields: list[str], tokenise=T.tokens) -> DataF
 
 
 def _parts(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows dealt into parts and, by length, into blocks."""
+    """Rows dealt into parts and numbered, neighbours within a part having like lengths."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(4 * n)).cast("int")).repartition(n, "part").sortWithinPartitions("part", size, "doc_id")
-    # Counts up within a partition from a multiple of BLOCK; a block over the end of a part is two.
-    return dealt.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), n
+    return dealt.withColumn("number", F.monotonically_increasing_id()), n
 
 
 def _write(rows: DataFrame, path: str) -> None:
     dealt, n = _parts(rows)
-    dealt.select("part", "block", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", path).saveAsTable("rankloom_index_" + uuid.uuid4().hex)
+    dealt.select("part", "number", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", path).saveAsTable("rankloom_index_" + uuid.uuid4().hex)
 
 
 def build(documents: DataFrame, fields: list[str] | None = None, tokenise=T.tokens) -> "Index":
@@ -66,13 +65,13 @@ def build(documents: DataFrame, fields: list[str] | None = None, tokenise=T.toke
     spark = documents.sparkSession
     dealt, n = _parts(rows_of(documents, fields, tokenise).withColumn("gone", F.lit(False)))
     name = "rankloom_index_" + uuid.uuid4().hex
-    dealt.select("part", "block", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", fresh_path(spark, "index")).saveAsTable(name)
+    dealt.select("part", "number", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", fresh_path(spark, "index")).saveAsTable(name)
     return Index(spark.table(name), fields)
 
 
 @dataclass
 class Index:
-    """Rows (part, block, doc_id, lengths, terms) and the names of their fields."""
+    """Rows (part, number, doc_id, lengths, terms) and the names of their fields; numbers are dense within a part."""
 
     rows: DataFrame
     fields: list[str]
@@ -81,9 +80,9 @@ class Index:
         return F.array(*[F.lit(int((weights or {}).get(f, 1))) for f in self.fields])
 
     def lengths(self, weights: dict[str, int] | None = None) -> DataFrame:
-        """part, block, doc_id, dl (all terms, each field as often as its weight says), terms."""
+        """part, block (neighbours in the order of numbers), number, doc_id, dl (all terms, each field as often as its weight says), terms."""
         dl = F.aggregate(F.zip_with("lengths", self._weights(weights), lambda a, w: a * w), F.lit(0), lambda a, x: a + x)
-        return self.rows.select("part", "block", "doc_id", dl.cast("long").alias("dl"), "terms")
+        return self.rows.select("part", F.floor(F.col("number") / BLOCK).alias("block"), "number", "doc_id", dl.cast("long").alias("dl"), "terms")
 
     def postings(self, weights: dict[str, int] | None = None, wanted: DataFrame | None = None) -> DataFrame:
         """part, block, doc_id, dl, term, tf; of the terms of ``wanted`` (term) only, if it is given."""
@@ -208,7 +207,7 @@ class Segments:
         parts = [(i, self.spark.read.schema(ROW).parquet(f"{self.path}/{s}")) for i, s in enumerate(self.manifest()[1])]
         out, later = None, None
         for i, rows in reversed(parts):
-            live = rows.withColumn("block", F.col("block") * 4096 + i % 4096)  # blocks of segments are told apart
+            live = rows.withColumn("number", F.col("number") + F.lit(i % 8192 << 50))  # numbers of segments are told apart
             live = live if later is None else live.join(later, "doc_id", "left_anti")
             out = live if out is None else out.unionByName(live)
             ids = rows.select("doc_id")

@@ -11,9 +11,11 @@ from ..config import GENERIC_TERMS, PRODUCTION_FIELDS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import boosts as B
+from ..operators import conditions as CO
 from ..operators import dictionary as DI
 from ..operators import fusion as FU
 from ..operators import index as IX
+from ..operators import progressive as PG
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
 from ..operators import shortlist as SL
@@ -555,3 +557,67 @@ NAMING = "SELECT item_id AS query_id, text || ' src1 en en' AS text FROM benchma
 def _(spark, sf):
     fields = {f: PRODUCTION_FIELDS[f] for f in ("specialty", "description", "name")}
     return out(SL.production(view(spark, sf, NAMING), view(spark, sf, FIELDED), signals(spark, sf), fields=fields).where("rank <= 50"))
+
+
+# A filter for every query
+
+#: What each query asks for, and what documents have to offer.
+ASKED = """SELECT item_id AS query_id, 'lang' AS attribute, 'equals' AS how, ' EN' AS value FROM benchmark WHERE item_id % 4 = 0
+UNION ALL SELECT item_id, 'source', 'either_way', 'SRC1' FROM benchmark WHERE item_id % 4 = 1
+UNION ALL SELECT item_id, 'lang', 'equals', CASE WHEN k = 0 THEN 'en' ELSE 'fr' END FROM (SELECT item_id, 0 AS k FROM benchmark UNION ALL SELECT item_id, 1 FROM benchmark) WHERE item_id % 4 = 1
+UNION ALL SELECT item_id, 'group', 'age', 'Young children' FROM benchmark WHERE item_id % 4 = 2 UNION ALL SELECT item_id, 'lang', 'equals', 'nowhere' FROM benchmark WHERE item_id % 20 = 2"""
+OFFERED = """SELECT doc_id, 'lang' AS attribute, lang AS value FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents
+UNION ALL SELECT doc_id, 'group', CASE doc_id % 5 WHEN 0 THEN 'Paediatrics' WHEN 1 THEN 'Child health' WHEN 2 THEN 'children ' WHEN 3 THEN 'Adults' END FROM documents UNION ALL SELECT doc_id, 'group', 'Older adults' FROM documents WHERE doc_id % 2 = 0"""
+ALLOWED_SQL = """allowed AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON CASE query_id % 4 WHEN 0 THEN lower(trim(lang)) = 'en' WHEN 1 THEN (contains(lower(source), 'src1') OR contains('src1', lower(source))) AND lang IN ('en', 'fr') WHEN 2 THEN doc_id % 5 IN (0, 1, 2) AND query_id % 20 <> 2 ELSE true END)"""
+
+
+@add("bm25_filter_per_query", f"""WITH q AS ({QUERIES}), {ALLOWED_SQL}, tok AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents),
+stats AS (SELECT query_id, count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM allowed JOIN tok USING (doc_id) GROUP BY query_id),
+post AS (SELECT doc_id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
+qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format('text')}) AS term FROM q) GROUP BY ALL),
+hits AS (SELECT query_id, doc_id, term, dl, tf, qtf FROM qt JOIN post USING (term) JOIN allowed USING (query_id, doc_id)),
+w AS (SELECT query_id, term, greatest(0::DOUBLE, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1)) AS idf FROM hits JOIN stats USING (query_id) GROUP BY query_id, term, n),
+scores AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM hits JOIN w USING (query_id, term) JOIN stats USING (query_id) GROUP BY query_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) {TOP.format(n=10)}""")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    catalogue = CO.Catalogue(IX.build(docs), view(spark, sf, OFFERED))
+    return out(ranked(catalogue.scores(q, view(spark, sf, ASKED)), 10))
+
+
+@add("filter_sizes", f"WITH q AS ({QUERIES}), {ALLOWED_SQL} SELECT q.query_id, count(doc_id) AS n FROM q LEFT JOIN allowed ON q.query_id = allowed.query_id GROUP BY q.query_id")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    return CO.passed(q, view(spark, sf, ASKED), CO.Catalogue(IX.build(docs), view(spark, sf, OFFERED)))
+
+
+# The evaluator in the loop
+
+#: What an evaluator says of a document: JSON, some of it in a fence, some broken, some of no known kind, some missing.
+SAYS = """SELECT d.doc_id, CASE WHEN d.doc_id % 13 = 0 THEN 'no JSON at all' WHEN d.doc_id % 17 = 0 THEN '{"fit_category": "perfect"}' WHEN d.doc_id % 19 = 0 THEN NULL
+  WHEN quality = 1 AND toxic = 0 THEN concat('```json', chr(10), '{"fit_category": " Excellent", "brief_reason": "', coalesce(source, ''), '"}', chr(10), '```') WHEN quality = 1 THEN '{"fit_category": "good"}' WHEN quality = 0 THEN '{"fit_category": "ill-fit", "brief_reason": null}' END AS answer
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
+LOOP_SQL = f"""WITH a AS (WITH {bm25_sql()} SELECT query_id, doc_id, score, rank, count(*) OVER (PARTITION BY query_id) AS n FROM ranked), k AS ({SAYS}),
+e AS (SELECT query_id, a.doc_id, score, rank, n, CASE WHEN contains(answer, ' Excellent') THEN 'excellent' WHEN contains(answer, 'ill-fit') THEN 'ill-fit' ELSE 'good' END AS tier,
+  CASE WHEN contains(answer, ' Excellent') THEN coalesce(source, '') WHEN contains(answer, 'ill-fit') OR contains(answer, '"good"') THEN '' ELSE 'Evaluation failed' END AS reason FROM a JOIN k ON a.doc_id = k.doc_id JOIN documents d ON a.doc_id = d.doc_id WHERE rank <= 30),
+x AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM e WHERE tier = 'excellent'), f AS (SELECT query_id, ceil(rank / 12e0)::INT AS rounds FROM x WHERE i = 3),
+s AS (SELECT query_id, n, coalesce(f.rounds, ceil(least(n, 30) / 12e0)::INT) AS rounds, CASE WHEN f.rounds IS NOT NULL THEN 'top-k-excellent' WHEN n >= 30 THEN 'max-profiles-reviewed' ELSE 'no-more-profiles' END AS stop_reason FROM (SELECT DISTINCT query_id, n FROM a) LEFT JOIN f USING (query_id)),
+seen AS (SELECT e.*, rounds, stop_reason FROM e JOIN s USING (query_id) WHERE rank <= rounds * 12)"""
+
+
+def loop(spark, sf):
+    q, docs = inputs(spark, sf)
+    says = view(spark, sf, SAYS)
+    # A provider in miniature: the answers travel with the rows, and come back from the Python side as a service's would.
+    return PG.progressive(bm25(q, docs), PG.by_provider(lambda batches: (b[["query_id", "doc_id", "answer"]] for b in batches), says, q))
+
+
+@add("progressive_loop", f"{LOOP_SQL}, r AS (SELECT query_id, doc_id, score, tier, reason, ceil(rank / 12e0)::INT - 1 AS iteration_found, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'excellent' THEN 0 WHEN 'good' THEN 1 ELSE 2 END, score DESC, doc_id) AS rank FROM seen) SELECT * FROM r WHERE rank <= 12")
+def _(spark, sf):
+    return loop(spark, sf)[0]
+
+
+@add("progressive_searches", f"{LOOP_SQL} SELECT query_id, any_value(stop_reason) AS stop_reason, any_value(rounds) AS rounds_used, count(*) AS reviewed, count(*) FILTER (tier = 'excellent') AS excellent, count(*) FILTER (tier = 'good') AS good, count(*) FILTER (tier = 'ill-fit') AS ill_fit FROM seen GROUP BY query_id")
+def _(spark, sf):
+    return loop(spark, sf)[1]
+
