@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import etl, evaluation, files, profiles, ranking, search
+from . import etl, evaluation, files, profiles, ranking, search, tuning
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, ranking, evaluation, etl, profiles, files):
+for _module in (search, ranking, evaluation, etl, profiles, files, tuning):
     QUERIES |= _module.BOOK.queries
     ORACLES |= _module.BOOK.oracles
