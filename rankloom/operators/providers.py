@@ -68,7 +68,7 @@ def evaluations(rows: DataFrame, provider: Provider) -> DataFrame:
 def orders(rows: DataFrame, provider: Provider) -> DataFrame:
     """(query_id, doc_id, pos) for ``fusion.back_fill``: the order that a reranker gives; queries without an answer have none."""
     given = ask(rows, ["query_id"], provider, ORDER).where("given is not null")
-    return given.select("query_id", F.posexplode("given.ranked").alias("pos", "doc_id")).where("doc_id is not null")
+    return given.select("query_id", F.posexplode("given.ranked").alias("pos", "doc_id")).where("doc_id is not null").select("query_id", "doc_id", "pos")
 
 
 def ideals(queries: DataFrame, provider: Provider) -> DataFrame:

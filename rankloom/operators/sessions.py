@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard
+from ..staging import stage
+
 STAMP = r"\[([^\]]+)\]\s*[^:]+:\s*"
 #: White space at either end of a line, as chat exports have it.
 _ENDS = r"^[\s\x0B\p{Z}\x{FEFF}]+|[\s\x0B\p{Z}\x{FEFF}]+$"
@@ -85,11 +88,41 @@ def tally(log: DataFrame, target: str, top: int | None = None) -> DataFrame:
     return out
 
 
-def best_same_day(left: DataFrame, right: DataFrame, similarity: Column, least: float = 0.08) -> DataFrame:
-    """Of the right rows of the same day, the most similar of each left row (ties: least right_id), if similar enough."""
-    both = left.join(right, "day").withColumn("similarity", F.round(similarity, 6)).where(F.col("similarity") >= least)
-    best = Window.partitionBy("left_id").orderBy(F.desc("similarity"), "right_id")
-    return both.withColumn("n", F.row_number().over(best)).where("n = 1").select("left_id", "right_id", "similarity")
+#: Rarest tokens that are looked up first, to know how good a match must be.
+PROBES = 4
+
+
+def best_same_day(left: DataFrame, right: DataFrame, least: float = 0.08) -> DataFrame:
+    """Of the right rows of the same day, the one with the most similar token set (Jaccard) for each left row (ties: least right_id), if similar enough.
+
+    left: (left_id, day, a); right: (right_id, day, b), arrays of distinct tokens.  Rows meet by
+    (day, token), so no day is in one place.  A left row's rarest tokens give it a first match;
+    whatever is at least as similar shares one of its tokens but the commonest few, the
+    more of which may be left out the better that match is, and has a size that allows it.
+    Sets are compared for such pairs only.
+    """
+    sized_l = left.select("left_id", "day", F.size("a").alias("na"), F.explode("a").alias("token"))
+    sized_r = right.select("right_id", "day", F.size("b").alias("nb"), F.explode("b").alias("token"))
+    df = sized_r.groupBy("day", "token").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("left_id", "day").orderBy("df", "token")
+    placed = stage(sized_l.join(df, ["day", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", F.row_number().over(by_rarity)).withColumn("met", F.sum((F.col("df") > 0).cast("int")).over(by_rarity)), "tokens-by-rarity")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(left.select("left_id", "day", "a"), ["left_id", "day"]).join(right.select("right_id", "day", "b"), ["right_id", "day"])
+        return both.select("left_id", "day", "right_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+    def met(tokens: DataFrame, bound: Column) -> DataFrame:
+        near = F.col("nb").between(F.floor(bound * F.col("na")), F.ceil(F.col("na") / bound))
+        return tokens.where("df > 0").join(sized_r, ["day", "token"]).where(near).select("left_id", "day", "right_id").distinct()
+
+    slack = 2e-6  # similarities are rounded to six places
+    first = stage(compared(met(placed.where(F.col("met") <= PROBES), F.lit(least - slack))), "first-matches")
+    best = first.groupBy("left_id", "day").agg(F.max("similarity").alias("best"))
+    bound = F.coalesce("best", F.lit(least)) - slack
+    rest = placed.join(best, ["left_id", "day"], "left").withColumn("bound", bound)
+    rest = rest.where((F.col("met") > PROBES) & (F.col("place") <= F.col("na") - F.ceil(F.col("bound") * F.col("na")) + 1))
+    more = met(rest, F.col("bound")).join(first.select("left_id", "day", "right_id"), ["left_id", "day", "right_id"], "left_anti")
+    return first.unionByName(compared(more)).groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "right_id")).alias("m")).select("left_id", "m.right_id", (-F.col("m.s")).alias("similarity"))
 
 
 def migrate_log(first: Column, second: Column, n: int = 10) -> Column:
@@ -97,11 +130,11 @@ def migrate_log(first: Column, second: Column, n: int = 10) -> Column:
     return F.slice(F.coalesce(first, second), 1, n)
 
 
-def match_sessions(left: DataFrame, right: DataFrame, similarity: Column, least: float = 0.08) -> DataFrame:
+def match_sessions(left: DataFrame, right: DataFrame, least: float = 0.08) -> DataFrame:
     """Log entries of sessions: one with the session's telephone number first (the latest), else the most similar of the same day.
 
-    left: (left_id, day, phone, ...); right: (right_id, day, phone, seen, ...).
+    left: (left_id, day, phone, a); right: (right_id, day, phone, seen, b), as ``best_same_day`` has them.
     """
     by_phone = left.where("phone is not null").select("left_id", "phone").join(right.select("right_id", "phone", "seen"), "phone").groupBy("left_id").agg(F.max_by("right_id", F.struct("seen", "right_id")).alias("right_id"))
-    rest = best_same_day(left.drop("phone").join(by_phone.select("left_id"), "left_id", "left_anti"), right.drop("phone"), similarity, least)
+    rest = best_same_day(left.join(by_phone.select("left_id"), "left_id", "left_anti"), right, least)
     return by_phone.select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit("phone").alias("how")).unionByName(rest.withColumn("how", F.lit("day")))

@@ -105,7 +105,7 @@ SELECT left_id, right_id, similarity FROM (SELECT *, row_number() OVER (PARTITIO
 def _(spark, sf):
     left = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text")).select(F.col("conv_id").alias("left_id"), (F.col("conv_id") % 31).alias("day"), F.array_distinct(T.tokens(F.col("text"))).alias("a"))
     right = table(spark, sf, "documents").select(F.col("doc_id").alias("right_id"), (F.col("doc_id") % 31).alias("day"), F.array_distinct(T.tokens(F.col("text"))).alias("b"))
-    return S.best_same_day(left, right, T.jaccard(F.col("a"), F.col("b")))
+    return S.best_same_day(left, right)
 
 
 @add("log_backfill", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'old' END AS first_entry FROM events")

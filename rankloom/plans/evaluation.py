@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import boosts as B
 from ..operators import metrics as M
+from ..operators import quantiles as QU
 from ..operators.bm25 import bm25, ranked
 from .base import QUERIES, TOKENS, Book, bm25_sql, table, view
 from .ranking import DOCS, NEG, TIER_SQL
@@ -170,10 +171,10 @@ def _(spark, sf):
     return both.select("user_id", F.size(F.array_intersect(a, b)).cast("long").alias("both_halves"), F.size(F.array_except(a, b)).cast("long").alias("only_first"))
 
 
-@add("trial_statistics", "SELECT event_type AS study, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(quantile_cont(value, 0.5), 4) AS median, round(avg(CASE WHEN r <= 0.25 THEN value END), 4) AS top_quarter FROM (SELECT event_type, value, percent_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r FROM events) GROUP BY 1")
+@add("trial_statistics", "SELECT event_type AS study, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, round(quantile_cont(value, 0.5), 4) AS median, round(avg(CASE WHEN r <= 0.25 THEN value END), 4) AS top_quarter, round(avg(CASE WHEN s <= 0.25 THEN value END), 4) AS bottom_quarter FROM (SELECT event_type, value, percent_rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS r, percent_rank() OVER (PARTITION BY event_type ORDER BY value) AS s FROM events) GROUP BY 1")
 def _(spark, sf):
-    r = F.percent_rank().over(Window.partitionBy("event_type").orderBy(F.desc("value")))
-    return table(spark, sf, "events").withColumn("r", r).groupBy(F.col("event_type").alias("study")).agg(F.count(L(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("sd"), F.round(F.percentile("value", 0.5), 4).alias("median"), F.round(F.avg(F.when(F.col("r") <= 0.25, F.col("value"))), 4).alias("top_quarter"))
+    found = QU.study_statistics(table(spark, sf, "events").select(F.col("event_type").alias("grp"), "value"))
+    return found.select(F.col("grp").alias("study"), "n", *[F.round(F.col(c), 4).alias(n) for c, n in (("mean", "mean"), ("sd", "sd"), ("median", "median"), ("top", "top_quarter"), ("bottom", "bottom_quarter"))])
 
 
 @add("weight_grid", f"""WITH {JUDGED}, f AS (SELECT query_id, doc_id, hit, n_true, rank, score FROM j JOIN ranked USING (query_id, doc_id, rank) WHERE rank <= 150), c AS (SELECT unnest([0e0, 0.5e0, 1e0, 2e0]) AS w),

@@ -514,7 +514,7 @@ def _(spark, sf):
     said = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text"))
     left = said.select(c.alias("left_id"), (c % 31).alias("day"), F.when(c % 5 == 0, c % 97).alias("phone"), F.array_distinct(T.tokens(F.col("text"))).alias("a"))
     right = table(spark, sf, "documents").select(d.alias("right_id"), (d % 31).alias("day"), (d % 101).alias("phone"), (d * 7 % 1000).alias("seen"), F.array_distinct(T.tokens(F.col("text"))).alias("b"))
-    return SS.match_sessions(left, right, T.jaccard(F.col("a"), F.col("b")))
+    return SS.match_sessions(left, right)
 
 
 @add("record_volumes", "SELECT s_suppkey AS id, s_name AS name, s_acctbal AS volume, 'BUPA' AS source FROM supplier UNION ALL SELECT s_suppkey, 'count', TRY_CAST(right(s_name, 3) AS DOUBLE), 'BUPA' FROM supplier UNION ALL SELECT s_suppkey, 'p', NULL, 'PHIN' FROM supplier WHERE s_suppkey % 2 = 0")
