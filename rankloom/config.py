@@ -60,6 +60,38 @@ SAFE_PATTERNS = ("chest pain", "angina", r"coronary(?!\s+(angiography|interventi
 UNSAFE_PATTERNS = ("interventional", "angiography", "pci", "stent", "surgery", "procedure", "bypass", "catheter")
 # Short names of specialties.
 SLUGS = {"cardiology": "cardio", "general surgery": "general", "obstetrics and gynaecology": "obsgynae", "ophthalmology": "ophthal", "trauma & orthopaedic surgery": "ortho"}
+# How patients name a place (in this order), and what is cut from what they say (one after another).
+_NAME = r"([A-Z][a-z]+(?:\s+[a-z]+)?(?:\s+[A-Z][a-z]+){0,2})"
+PLACE_PATTERNS = (
+    rf"(?i)based\s+in\s+{_NAME}(?:\s|\z|,|\.|and)",
+    rf"(?i)\bin\s+{_NAME}(?:\s|\z|,|\.|and)",
+    rf"(?i)location[:\s]+{_NAME}(?:\s|\z|,|\.)",
+    rf"(?i)near\s+{_NAME}(?:\s|\z|,|\(|\.)",
+    rf"(?i)from\s+{_NAME}(?:\s|\z|,|\.)",
+    rf"(?i)(?:within\s+)?(?:\d+\s+)?(?:hour|miles?|km)?\s+from\s+{_NAME}(?:\s|\z|,|\.)",
+    rf"(?m)(?:^|,\s*){_NAME}(?:\s|$|,|\.)",
+)
+_TRAILING = r"(?i)\s+(and|or|but|no|don|do|have|has|does|did|can|could|would|will|should|not|doesn|didn|won|can't|couldn|wouldn|terms|but)"
+PLACE_CLEANING = (
+    (r"\s*\([^)]+\)\z", ""), (r"(?i)^(the|a|an)\s+", ""), (rf"{_TRAILING}\s*\z", ""), (rf"{_TRAILING}\s+.*\z", ""), (r"\s*\n\s*", " "), (r"\s+", " "), (r"(?i)\s+(No|Yes|Not)\z", ""),
+    (r"(?i)^(in|at|on|for|with|from|to|the|a|an)\s+", ""),
+)
+# Places that are known, first names that are not places, and words that no place may hold.
+KNOWN_PLACES = tuple(
+    """London,Birmingham,Manchester,Liverpool,Leeds,Sheffield,Bristol,Cardiff,Edinburgh,Glasgow,Newcastle,Nottingham,Leicester,Coventry,Belfast,
+    Worcester,Oxford,Cambridge,Brighton,Southampton,Portsmouth,Norwich,Wales,Scotland,England,Northern Ireland,Yorkshire,Surrey,Kent,Essex,
+    Merseyside,Greater Manchester,West Midlands,East Midlands,South West,South East,Swansea,Bath,York,Canterbury,Durham,Exeter,Plymouth,Reading,
+    Milton Keynes,Bridgend,Surbiton,High Wycombe,Kingston Upon Thames,Kingston,Midlands,South Wales,North Wales,West London,East London,
+    North London,South London""".replace("\n    ", "").split(",")
+)
+FIRST_NAMES = ("Laura", "Emily", "Jess", "Caitlin", "Michelle", "Raph", "Abbie", "Sarah", "Estelle", "Bethany")
+NO_PLACES = tuple(
+    """Patient She He They Within About Around Travel Hospital Centre Center Clinic Surgery Therapy Treatment Management Understanding Whether
+    Related Pelvic Floor Tension Nerve Sensitisation Muscular Imbalance Factors Goal Learn Manage Reduce Flare Exercise Safely Without
+    Exacerbating Symptoms Improve Overall Quality Life Avoiding Further Seeking Specific Experience Post Surgical Pain Physiotherapist
+    Specialist Doctor Consultant Endometriosis Adenomyosis Gastroenterology Gynaecology Cardiology Great Thank Thanks Hello Hi Hey Please
+    Help Looking Find Someone Insurance Have Don Does Can Could Would""".split()
+)
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import text as T
 
 # Labels of reasons that name a field instead of a concept.
@@ -104,18 +105,46 @@ def session_terms(*phrases: Column) -> Column:
     return F.array_distinct(F.concat(words, F.transform(F.filter(every, lambda p: F.length(p) >= 2), lambda p: F.lower(p))))
 
 
-def places_said(text: Column, known: list[str], refused: list[str]) -> Column:
-    """Places that a text names after ``based in``, ``in``, ``near``, ``from`` or ``location``: one to three capitalised words.
+def places_said(text: Column, known: tuple[str, ...] = C.KNOWN_PLACES, refused: tuple[str, ...] = C.NO_PLACES, names: tuple[str, ...] = C.FIRST_NAMES, whole_words: bool = False) -> Column:
+    """Array of struct<place, pattern, at>: the places that a text names, each once regardless of case.
 
-    A name is kept if it holds a known place, or is one capitalised word of four letters
-    or more; never if it holds a refused word.  Equal names (regardless of case) once, the
-    first spelling, in the order of the text.
+    The seven ways of naming one are tried in order over the whole text; what they catch is
+    cleaned and kept if it looks like a place: four words at most, the first in capitals,
+    with a known place among more than two words, no first name with a surname, no refused
+    word.  ``pattern`` says which way found it first (from 1), ``at`` where the words stand (from 1).
+    A refused word counts wherever its letters stand, even within a longer one (so
+    Sheffield, which holds "he", is never a place); ``whole_words`` takes words only.
+    Null text: no places.
     """
-    said = F.regexp_extract_all(text, F.lit(r"(?:\bbased\s+in|\bin|\bnear|\bfrom|\blocation[:\s])\s*((?:[A-Z][a-z]+)(?:\s+[A-Z][a-z]+){0,2})(?=\s|$|[,.(])"), F.lit(1))
-    low = lambda x: F.lower(x)
-    holds = lambda x, values: F.exists(F.array(*[F.lit(v.lower()) for v in values]), lambda v: F.contains(low(x), v))
-    good = F.filter(F.transform(said, lambda x: F.regexp_replace(x, r"\s+", " ")), lambda x: ~holds(x, refused) & (holds(x, known) | x.rlike("^[A-Z][a-z]{3,}$")))
-    return F.filter(good, lambda x, i: ~F.exists(F.slice(good, F.lit(1), i), lambda y: low(y) == low(x)))
+    none = F.expr("cast(array() as array<struct<pattern: int, raw: string>>)")
+
+    def by(n: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: F.struct(F.lit(n).alias("pattern"), x.alias("raw")))
+
+    caught = F.coalesce(F.concat(*[by(n, p) for n, p in enumerate(C.PLACE_PATTERNS, 1)]), none)
+
+    def cleaned(x: Column) -> Column:
+        for pattern, by in C.PLACE_CLEANING:
+            x = F.trim(F.regexp_replace(x, pattern, by))
+        return x
+
+    lists = {n: F.array(*[F.lit(v.lower()) for v in values]) for n, values in (("known", known), ("refused", refused), ("names", names))}
+
+    def looks(place: Column) -> Column:
+        low, n, words = F.lower(place), F.size(F.split(place, " ")), F.split(F.lower(place), " ")
+        holds = lambda v: F.contains(low, v)
+        some = F.exists(lists["known"], holds)
+        real = F.exists(lists["known"], lambda v: (low == v) | F.startswith(low, F.concat(v, F.lit(" "))) | F.contains(low, F.concat(F.lit(" "), v)) | (F.contains(v, F.lit(" ")) & F.contains(low, F.get(F.split(v, " "), F.lit(0)))))
+        bad = F.arrays_overlap(words, lists["refused"]) if whole_words else F.exists(lists["refused"], holds)
+        form = real | ((n == 1) & place.rlike("^[A-Z][a-z]{3,}$")) | n.between(2, 3)
+        person = (n == 2) & F.array_contains(lists["names"], F.get(words, 0))
+        return (n <= 4) & place.rlike("^[A-Z]") & ~person & ~(holds(F.lit("terms")) | (holds(F.lit("but")) & (n == 2))) & (some | (n <= 2)) & ~bad & form & F.length(place).between(3, 50)
+
+    # Each step is taken once: the next looks at its result.
+    made = F.transform(caught, lambda c: F.struct(cleaned(c["raw"]).alias("place"), c["pattern"].alias("pattern"), F.instr(text, c["raw"]).alias("at")))
+    good = F.filter(made, lambda m: looks(m["place"]))
+    first = lambda acc, m: F.when(F.exists(acc, lambda y: F.lower(y["place"]) == F.lower(m["place"])), acc).otherwise(F.concat(acc, F.array(m)))
+    return F.aggregate(good, F.expr("cast(array() as array<struct<place: string, pattern: int, at: int>>)"), first)
 
 
 def keyword_overlap(queries: DataFrame, documents: DataFrame) -> DataFrame:

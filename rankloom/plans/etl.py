@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import merge as MG
 from ..operators import sessions as S
+from ..sources.store import Store
+from ..staging import fresh_path
 from ..streaming import tracker
 from .base import TOKENS, Book, shared_dir, table, view
 
@@ -30,6 +32,16 @@ def _(spark, sf):
     return MG.upsert(generations(spark, sf), "id").select("id", "v", "origin")
 
 
+@add("store_changes", f"WITH {GENERATIONS}, w AS (SELECT id, v, row_number() OVER (PARTITION BY id ORDER BY origin DESC) AS n FROM g WHERE id IS NOT NULL), k AS (SELECT id, v FROM w WHERE n = 1 AND id % 7 <> 0) SELECT id, v FROM k UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT id FROM k)")
+def _(spark, sf):
+    store = Store(spark, fresh_path(spark, "store"), "id long, v string", "id", 16)
+    for generation in generations(spark, sf):
+        store.upsert(generation)
+    store.delete(table(spark, sf, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("id")))
+    store.insert_new(table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("v")))
+    return store.read()
+
+
 @add("insert_new_only", f"WITH {GENERATIONS} SELECT id, v FROM g WHERE origin = 0 UNION ALL SELECT id, v FROM g WHERE origin = 2 AND (id IS NULL OR id NOT IN (SELECT id FROM g WHERE origin = 0))")
 def _(spark, sf):
     base, _, new = generations(spark, sf)
@@ -114,12 +126,12 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get(S.migrate_log(new, F.array(L("old"))), 0).alias("first_entry"))
 
 
-@add("tracker_tally", "SELECT user_id, count(*) AS n, max(ts) AS last_seen FROM events GROUP BY user_id")
+@add("tracker_tally", "SELECT user_id, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM events GROUP BY user_id")
 def _(spark, sf):
     events = table(spark, sf, "events")
     log = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     folder = shared_dir(spark)
-    return tracker.drain(tracker.running_tally(log, "user_id"), f"{folder}/tracker", ["user_id"])
+    return tracker.with_shares(tracker.drain(tracker.running_tally(log, "user_id"), f"{folder}/tracker", ["user_id"]))
 
 
 @add("page_text", r"SELECT page_id, len(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))::BIGINT AS n_chars FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from .. import api
@@ -403,12 +405,23 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(F.sort_array(AN.session_terms(F.array(L("Chest pain")), F.array("c_mktsegment"), F.array(L("X-ray"), L("a")))), "|").alias("terms"))
 
 
-@add("places_said", "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Milton Keynes|Leeds' WHEN 1 THEN 'York' ELSE '' END AS places FROM customer")
+#: What patients say, with a place in most of it.
+SAYING = """SELECT conv_id, turn, concat(CASE conv_id % 12 WHEN 0 THEN 'I am based in Leeds and ' WHEN 1 THEN 'Laura Smith, living in High Wycombe. ' WHEN 2 THEN 'Swansea, or anything near Cardiff (the city) ' WHEN 3 THEN 'within 2 hour from Bath. '
+  WHEN 4 THEN concat('My location: South Wales,', chr(10), 'not from Yorkshire. ') WHEN 5 THEN 'in the Clinic, in Sheffield, from Kent, FROM KENT. ' WHEN 6 THEN 'based in Bridgend south Wales but no. ' WHEN 7 THEN 'From Milton Keynes No, in January. '
+  WHEN 8 THEN concat('Kingston Upon Thames', chr(10), 'York, ') WHEN 9 THEN 'based in a Village. In Some Other Long Place Name. ' ELSE '' END, text) AS said FROM conversations"""
+CUT = lambda x: reduce(lambda e, pb: f"trim(regexp_replace({e}, '{pb[0].replace(chr(39), chr(39) * 2)}', '{pb[1]}', 'g'))", C.PLACE_CLEANING, x)
+LIST = lambda values: "[" + ", ".join(f"'{v.lower()}'" for v in values) + "]"
+LOOKS = f"""len(w) <= 4 AND regexp_matches(place, '^[A-Z]') AND NOT (len(w) = 2 AND list_contains({LIST(C.FIRST_NAMES)}, w[1])) AND NOT (contains(low, 'terms') OR (contains(low, 'but') AND len(w) = 2)) AND (len(w) <= 2 OR len(list_filter({LIST(C.KNOWN_PLACES)}, lambda v: contains(low, v))) > 0)
+ AND len(list_filter({LIST(C.NO_PLACES)}, lambda v: contains(low, v))) = 0 AND len(place) BETWEEN 3 AND 50
+ AND (len(list_filter({LIST(C.KNOWN_PLACES)}, lambda v: low = v OR starts_with(low, v || ' ') OR contains(low, ' ' || v) OR (contains(v, ' ') AND contains(low, string_split(v, ' ')[1])))) > 0 OR (len(w) = 1 AND regexp_matches(place, '^[A-Z][a-z]{{3,}}$')) OR len(w) BETWEEN 2 AND 3)"""
+
+
+@add("places_said", f"""WITH s AS ({SAYING}), c AS ({' UNION ALL '.join(f"SELECT conv_id, turn, {n} AS pattern, unnest(m) AS raw, generate_subscripts(m, 1) AS i FROM (SELECT conv_id, turn, regexp_extract_all(said, '{p}', 1) AS m FROM s)" for n, p in enumerate(C.PLACE_PATTERNS, 1))}),
+k AS (SELECT conv_id, turn, pattern, i, {CUT('raw')} AS place FROM c), l AS (SELECT *, lower(place) AS low, string_split(lower(place), ' ') AS w FROM k), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, low ORDER BY pattern, i) AS n FROM l WHERE {LOOKS})
+SELECT conv_id, turn, place, pattern FROM g WHERE n = 1""")
 def _(spark, sf):
-    says = ("I am based in Milton Keynes, or near Leeds. Not in Leeds Clinic or in leeds", "location: York. from Aa", "Seen in the Clinic from Someone New Here")
-    k = F.col("c_custkey") % 3
-    text = F.when(k == 0, says[0]).when(k == 1, says[1]).otherwise(says[2])
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(AN.places_said(text, ["Leeds", "York", "Milton Keynes"], ["Clinic"]), "|").alias("places"))
+    found = view(spark, sf, SAYING).select("conv_id", "turn", F.explode(AN.places_said(F.col("said"))).alias("p"))
+    return found.select("conv_id", "turn", "p.place", "p.pattern")
 
 
 @add("specialty_slug", "SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 'cardio' ELSE left(replace(lower(c_mktsegment), ' ', '-') || '-and-x', 10) END AS slug FROM customer")
