@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .merge import first_present, stable_id
+from .merge import canonical_names, first_present, remote_consultation, stable_id, volumes
 
 STRINGS = "array<string>"
+VOLUMES = "array<struct<name: string, volume: double, count: string>>"
 # Sources whose addresses go first, in order.
 NAMED_URLS = ("cromwell", "hca", "bupa", "spire")
 
@@ -44,12 +45,19 @@ def normalise(records: DataFrame) -> DataFrame:
     clinical_interests, bio, gmc_number, profile_url, profile_urls (map), urls, gender,
     languages, qualifications, professional_memberships, patient_age_group, nhs_base,
     nhs_posts, sources, year_qualified, years_experience, blacklisted and rating_value,
-    review_count; columns that a source lacks count as null.  The blacklist flag is
-    carried.  The record itself goes along as JSON.
+    review_count; for insurers insurance_details and accepted_insurers (names), for
+    remote consultation the explicit remote_consultation, the flags remote_consultations,
+    remote_video_consultations and remote_audio_consultations and consultation_types,
+    for volumes procedures_completed and procedures_published; trials, feedback and notes
+    are carried.  Columns that a source lacks count as null.  The blacklist flag is carried.
+    The record itself goes along as JSON.
     """
     kinds = {"specialties": STRINGS, "procedures": STRINGS, "urls": STRINGS, "languages": STRINGS, "qualifications": STRINGS, "professional_memberships": STRINGS, "patient_age_group": STRINGS, "nhs_posts": STRINGS, "sources": STRINGS,
-             "locations": "array<struct<hospital: string, address: string, postcode: string>>", "profile_urls": "map<string, string>", "blacklisted": "boolean", "rating_value": "double", "review_count": "long", "year_qualified": "long", "years_experience": "long"}
-    strings = "id name title specialty about clinical_expertise clinical_interests bio gmc_number profile_url gender nhs_base".split()
+             "locations": "array<struct<hospital: string, address: string, postcode: string>>", "profile_urls": "map<string, string>", "blacklisted": "boolean", "rating_value": "double", "review_count": "long", "year_qualified": "long", "years_experience": "long",
+             "insurance_details": STRINGS, "accepted_insurers": STRINGS, "remote_consultation": "boolean", "remote_consultations": "boolean", "remote_video_consultations": "boolean", "remote_audio_consultations": "boolean", "consultation_types": STRINGS,
+             "procedures_completed": VOLUMES, "procedures_published": VOLUMES, "isrctn_trials": STRINGS, "isrctn_relational_trial_links": STRINGS, "reddit_recommendation_sources": STRINGS}
+    shown = "patient_feedback patient_satisfaction research_interests reddit_patient_notes reddit_recommendation_level".split()
+    strings = "id name title specialty about clinical_expertise clinical_interests bio gmc_number profile_url gender nhs_base".split() + shown
     have = {c.lower() for c in records.columns}
     r = {c: F.col(c) if c in have else F.lit(None).cast(kinds.get(c, "string")) for c in (*kinds, *strings)}
     text = lambda c: F.nullif(r[c], F.lit(""))
@@ -57,6 +65,8 @@ def normalise(records: DataFrame) -> DataFrame:
     listed = lambda c: F.coalesce(r[c], _none())
     others = F.filter(F.transform(F.filter(listed("specialties"), lambda s: s != F.coalesce(r["specialty"], F.lit(""))), lambda s: F.trim(s)), lambda s: s != "")
     procedures = listed("procedures")
+    insurers = F.filter(F.transform(F.concat(listed("insurance_details"), listed("accepted_insurers")), lambda x: F.trim(x)), lambda x: x != "")
+    remote = remote_consultation(r["remote_consultation"], [r[c] for c in ("remote_consultations", "remote_video_consultations", "remote_audio_consultations")], listed("consultation_types"), F.transform(r["locations"], lambda x: x["hospital"]))
     record = F.to_json(F.struct(*records.columns))
     return records.select(
         profile_id(r["id"], otherwise=stable_id(record)).alias("practitioner_id"), r["id"].alias("id"),
@@ -70,10 +80,20 @@ def normalise(records: DataFrame) -> DataFrame:
         text("gender").alias("gender"), *[listed(c).alias(c) for c in ("languages", "qualifications", "professional_memberships")], listed("professional_memberships").alias("memberships"),
         listed("patient_age_group").alias("patient_age_group"), text("nhs_base").alias("nhs_base"), listed("nhs_posts").alias("nhs_posts"), listed("sources").alias("sources"),
         r["rating_value"].alias("rating_value"), F.coalesce(r["review_count"], F.lit(0)).alias("review_count"), F.transform(procedures, lambda p: F.struct(p.alias("procedure_group_name"))).alias("procedure_groups"),
-        F.size(procedures).alias("procedure_count"), F.coalesce(r["blacklisted"], F.lit(False)).alias("blacklisted"), r["locations"].alias("locations"), record.alias("original"),
+        F.size(procedures).alias("procedure_count"), F.coalesce(r["blacklisted"], F.lit(False)).alias("blacklisted"), r["locations"].alias("locations"),
+        insurers.alias("insurers"), F.lit(0).cast("long").alias("total_admission_count"), remote.alias("remote_consultation"), volumes(r["procedures_completed"], r["procedures_published"]).alias("procedure_volumes"),
+        r["isrctn_trials"].alias("isrctn_trials"), r["isrctn_relational_trial_links"].alias("isrctn_relational_trial_links"), (F.coalesce(F.size("isrctn_trials") if "isrctn_trials" in have else F.lit(0), F.lit(0)) > 0).alias("has_isrctn_trials"), r["reddit_recommendation_sources"].alias("reddit_recommendation_sources"),
+        *[r[c].alias(c) for c in shown], record.alias("original"),
     )
 
 
+def complete(records: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``normalise`` with ``insurers`` by their canonical names, each once, in the order given; aliases: (variant, canonical)."""
+    made = normalise(records)
+    named = canonical_names(made.select(F.col("practitioner_id").alias("id"), F.col("insurers").alias("names")).distinct(), aliases)
+    return made.drop("insurers").join(named.select(F.col("id").alias("practitioner_id"), F.col("names").alias("insurers")), "practitioner_id", "left").withColumn("insurers", F.coalesce("insurers", _none()))
+
+
 def from_rated_source(rows: DataFrame) -> DataFrame:
     """(url, name, score, ...) of a source that rates to ten: rating to five and an id hashed from address, name and row."""
     row = F.to_json(F.struct(*rows.columns))

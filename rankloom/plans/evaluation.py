@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import boosts as B
 from ..operators import metrics as M
 from ..operators import quantiles as QU
+from ..operators import reports as RP
 from ..operators.bm25 import bm25, ranked
 from .base import QUERIES, TOKENS, Book, bm25_sql, table, view
 from .ranking import DOCS, NEG, TIER_SQL
@@ -140,9 +141,24 @@ def _(spark, sf):
     return table(spark, sf, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(10).select("event_id", "ts", "user_id")
 
 
-@add("master_list", "SELECT user_id, count(*) AS n, arg_min(event_type, event_id) AS first_type, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types, count(DISTINCT props) AS n_queries FROM events GROUP BY user_id")
+#: Recommendations: a name in several spellings, parts of which are missing, and what is known besides.
+ENTRIES = """SELECT event_id AS seq, concat(CASE event_id % 4 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'prof ' ELSE '' END, CASE WHEN event_id % 97 = 0 THEN '' WHEN event_id % 3 = 0 THEN concat('USER  ', CAST(user_id AS VARCHAR(20))) ELSE concat('User ', CAST(user_id AS VARCHAR(20))) END) AS name,
+  CASE WHEN event_id % 3 = 1 THEN event_type WHEN event_id % 3 = 2 THEN '' END AS location, CASE WHEN event_id % 5 = 0 THEN concat('Consultant ', event_type) END AS title, CASE WHEN event_id % 6 <> 0 THEN concat('+44', CAST(event_id % 11 AS VARCHAR(20))) END AS phone,
+  CASE WHEN event_id % 2 = 0 THEN props END AS query FROM events"""
+
+
+@add("master_list", f"""WITH e AS (SELECT *, trim(regexp_replace(regexp_replace(lower(trim(name)), '^(dr|mr|mrs|ms|miss|prof|professor)\\.?\\s+', ''), '\\s+', ' ', 'g')) AS name_key FROM ({ENTRIES})), k AS (SELECT * FROM e WHERE name_key <> ''),
+h AS (SELECT name_key, arg_min(name, seq) AS name, count(*) AS tally, arg_min(location, seq) FILTER (coalesce(location, '') <> '') AS location, arg_min(title, seq) FILTER (coalesce(title, '') <> '') AS title, array_to_string(list_sort(list(DISTINCT phone)), ',') AS phones FROM k GROUP BY name_key),
+q AS (SELECT name_key, string_agg(query, ' ' ORDER BY seq) AS queries FROM (SELECT name_key, query, min(seq) AS seq FROM k WHERE query <> '' GROUP BY 1, 2) GROUP BY name_key),
+p AS (SELECT name_key, string_agg(place, ',' ORDER BY seq, i) AS places FROM (SELECT name_key, place, min(seq) AS seq, arg_min(i, seq) AS i FROM (SELECT name_key, seq, unnest([location, title, 'UK']) AS place, unnest([0, 1, 2]) AS i FROM k) WHERE place <> '' GROUP BY 1, 2) GROUP BY name_key)
+SELECT h.name_key, name, CASE WHEN contains(h.name_key, '7') THEN 'mail@' || replace(h.name_key, ' ', '.') ELSE '' END AS email, tally, location, title, nullif(phones, '') AS phones, md5(queries) AS queries, places FROM h LEFT JOIN q ON h.name_key = q.name_key LEFT JOIN p ON h.name_key = p.name_key""")
 def _(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count(L(1)).alias("n"), F.min_by("event_type", "event_id").alias("first_type"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("types"), F.countDistinct("props").alias("n_queries"))
+    entries = view(spark, sf, ENTRIES).withColumn("places", F.array("location", "title", L("UK")))
+    names = entries.select(T.normalise_name(F.col("name")).alias("name_key")).distinct()
+    contacts = names.select("name_key", F.when(F.contains("name_key", L("7")), F.concat(L("mail@"), F.regexp_replace("name_key", " ", "."))).otherwise("").alias("email"))
+    made = RP.master_list(entries, contacts)
+    joined = lambda c, by: F.when(F.col(c).isNotNull(), F.array_join(c, by))
+    return made.select("name_key", "name", "email", "tally", "location", "title", joined("phones", ",").alias("phones"), F.md5(joined("queries", " ").cast("binary")).alias("queries"), joined("places", ",").alias("places"))
 
 
 @add("holdout_split", "SELECT p_partkey AS case_id, p_brand AS specialty, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) <= 5 THEN 'holdout' ELSE 'train' END AS split FROM part")
@@ -187,3 +203,42 @@ def _(spark, sf):
     grid = f.withColumn("w", F.explode(F.array(*[L(x) for x in (0.0, 0.5, 1.0, 2.0)])))
     order = Window.partitionBy("w", "query_id").orderBy(F.desc(F.round(F.col("score") + F.col("w") * (F.col("doc_id") % 7), 6)), "doc_id")
     return grid.withColumn("r", F.row_number().over(order)).groupBy("w").agg(F.round(F.sum(F.when(F.col("r") <= 12, F.col("hit")).otherwise(0)) / (12.0 * F.countDistinct("query_id")), 6).alias("precision_12"))
+
+
+# Why true documents were missed
+
+FIELDS_OF = """SELECT doc_id, text, lang AS specialty, source AS name, text AS description FROM documents"""
+MISSED_SQL = f"""{bm25_sql()}, qq AS (SELECT query_id, {TOKENS.format('text')} AS t FROM q), truth AS (SELECT DISTINCT * FROM ({TRUTH})), cut AS (SELECT query_id, score AS score_at FROM ranked WHERE rank = 20),
+mm AS (SELECT t.query_id, t.doc_id, r.rank, r.score, score_at FROM truth t LEFT JOIN ranked r ON t.query_id = r.query_id AND t.doc_id = r.doc_id LEFT JOIN cut ON t.query_id = cut.query_id WHERE r.rank IS NULL OR r.rank > 20),
+o AS (SELECT mm.*, len(list_filter(t, lambda x: contains(lower(coalesce(d.text, '')), x))) AS overlap, len(list_filter(t, lambda x: contains(lower(coalesce(lang, '')), x))) AS overlap_specialty, len(list_filter(t, lambda x: contains(lower(coalesce(source, '')), x))) AS overlap_name FROM mm JOIN qq USING (query_id) JOIN documents d ON d.doc_id = mm.doc_id),
+z AS (SELECT *, CASE WHEN overlap_specialty > 0 AND overlap + overlap_name > 0 THEN 'mixed' WHEN overlap_specialty > 0 THEN 'high_only' WHEN overlap + overlap_name > 0 THEN 'low_only' ELSE 'none' END AS dominant FROM o)"""
+
+
+def missed(spark, sf):
+    q = view(spark, sf, QUERIES)
+    picks = M.missing_picks(ranking(spark, sf), view(spark, sf, TRUTH), 20)
+    terms = q.select("query_id", T.tokens(F.col("text")).alias("terms"))
+    return RP.overlaps(picks, terms, view(spark, sf, FIELDS_OF), ("specialty",), ("description", "name"))
+
+
+@add("missed_tendencies", f"""WITH {MISSED_SQL} SELECT 'rank' AS kind, CASE WHEN rank IS NULL THEN 'none' WHEN rank <= 50 THEN '21-50' WHEN rank <= 100 THEN '51-100' ELSE '101+' END AS bucket, count(*) AS n FROM z GROUP BY ALL
+UNION ALL SELECT 'overlap', CASE WHEN overlap <= 2 THEN '0-2' WHEN overlap <= 4 THEN '3-4' ELSE '5+' END, count(*) FROM z GROUP BY ALL UNION ALL SELECT 'dominant', dominant, count(*) FROM z GROUP BY ALL""")
+def _(spark, sf):
+    return RP.tendencies(missed(spark, sf), 20, (50, 100))
+
+
+@add("missed_weak_fields", f"WITH {MISSED_SQL} SELECT count(*) AS missed, round(avg(score_at - score), 6) AS avg_gap, count(*) FILTER (overlap > 0) AS description_documents, sum(overlap)::BIGINT AS description_matches, count(*) FILTER (overlap_name > 0) AS name_documents, sum(overlap_name)::BIGINT AS name_matches FROM z")
+def _(spark, sf):
+    return RP.weak_fields(missed(spark, sf), ("description", "name"))
+
+
+SAID_TERMS = f"SELECT conv_id AS query_id, {TOKENS.format('text')} AS terms FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"
+
+
+@add("term_overlaps", f"""WITH w AS (SELECT item_id AS query_id, list_distinct({TOKENS.format('text')}) AS w FROM benchmark), s AS (SELECT query_id, list_distinct(terms) AS s FROM ({SAID_TERMS})), b AS (SELECT w.query_id, w, coalesce(s, []) AS s, list_sort(list_filter(w, lambda x: list_contains(coalesce(s, []), x))) AS o, list_sort(list_filter(w, lambda x: NOT list_contains(coalesce(s, []), x))) AS m FROM w LEFT JOIN s ON w.query_id = s.query_id)
+SELECT query_id, len(w)::BIGINT AS n_wanted, len(s)::BIGINT AS n_said, len(o)::BIGINT AS n_overlap, len(m)::BIGINT AS n_missing, array_to_string(m[1:30], ' ') AS missing, array_to_string(o[1:20], ' ') AS overlap FROM b""")
+def _(spark, sf):
+    wanted = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("terms"))
+    said = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ").alias("text")).select("query_id", T.tokens(F.col("text")).alias("terms"))
+    return RP.term_overlaps(wanted, said).withColumns({c: F.array_join(c, " ") for c in ("missing", "overlap")})
+

@@ -73,6 +73,27 @@ def _(spark, sf):
     return made.select("about", F.when(F.length("practitioner_id") == 64, "hashed").otherwise(F.col("practitioner_id")).alias("practitioner_id"), F.array_join("subspecialties", "|").alias("subspecialties"), "address_locality", "postal_code", "clinical_expertise", "verified", "profile_url", "procedure_count", "blacklisted")
 
 
+@add("profile_complete", f"""WITH {REC_SQL}, r AS (SELECT *, [' ' || segment || ' ', CASE WHEN nation % 2 = 0 THEN 'bldg' ELSE '' END] AS d, ['plan ' || (nation % 3)::VARCHAR, lower(segment)] AS a FROM rec),
+e AS (SELECT k, trim(unnest(list_concat(d, a))) AS raw, generate_subscripts(list_concat(d, a), 1) AS pos FROM r), m AS (SELECT k, pos, CASE lower(raw) WHEN 'bldg' THEN 'Building' WHEN 'machinery' THEN 'Machines' WHEN 'plan 1' THEN 'Plan One' ELSE raw END AS name FROM e WHERE raw <> ''),
+f AS (SELECT k, lower(name) AS key, min(pos) AS pos, arg_min(name, pos) AS name FROM m GROUP BY 1, 2), i AS (SELECT k, string_agg(name, '|' ORDER BY pos) AS insurers FROM f GROUP BY k)
+SELECT r.k::VARCHAR AS about, insurers, CASE WHEN r.k % 6 = 0 THEN r.k % 12 = 0 ELSE coalesce(r.k % 5 = 0, false) OR r.k % 9 = 4 OR (NOT bare AND nation = 3 AND coalesce(hospital, '') <> '') END AS remote_consultation,
+ CASE WHEN r.k % 4 = 0 THEN 'knee:' || (r.k % 50)::DOUBLE::VARCHAR || ':BUPA|hip:12.0:PHIN' ELSE 'hip:12.0:PHIN' END AS volumes, r.k % 3 = 0 AS has_isrctn_trials, CASE WHEN r.k % 2 = 0 THEN 'fine' END AS patient_feedback FROM r JOIN i ON r.k = i.k""")
+def _(spark, sf):
+    k, none = F.col("k"), F.expr("cast(null as array<struct<name: string, volume: double, count: string>>)")
+    volume = lambda name, v, c: F.struct(L(name).alias("name"), v.cast("double").alias("volume"), c.cast("string").alias("count"))
+    site = lambda x: F.struct(F.when(F.col("nation") == 3, F.concat(x["hospital"], L(" Online"))).otherwise(x["hospital"]).alias("hospital"), x["address"].alias("address"), x["postcode"].alias("postcode"))
+    records = rec(spark, sf).select(
+        "id", "name", k.cast("string").alias("about"), F.transform(places(), site).alias("locations"), F.array(F.concat(L(" "), "segment", L(" ")), F.when(F.col("nation") % 2 == 0, "bldg").otherwise("")).alias("insurance_details"),
+        F.array(F.concat(L("plan "), (F.col("nation") % 3).cast("string")), F.lower("segment")).alias("accepted_insurers"), F.when(k % 6 == 0, k % 12 == 0).alias("remote_consultation"), (k % 5 == 0).alias("remote_video_consultations"),
+        F.when(k % 9 == 4, F.array(L("In person"), L("VIDEO call"))).alias("consultation_types"), F.when(k % 4 == 0, F.array(volume("knee", L(None), k % 50), volume("", L(3), L(None)))).otherwise(none).alias("procedures_completed"), F.array(volume("hip", L(12), L(None))).alias("procedures_published"),
+        F.when(k % 3 == 0, F.array(L("ISRCTN1"))).alias("isrctn_trials"), F.when(k % 2 == 0, "fine").alias("patient_feedback"),
+    )
+    aliases = spark.createDataFrame([("bldg", "Building"), ("MACHINERY", "Machines"), ("plan 1", "Plan One")], "variant string, canonical string")
+    made = PR.complete(records, aliases)
+    volumes = F.array_join(F.transform("procedure_volumes", lambda v: F.concat_ws(":", v["name"], v["volume"].cast("string"), v["source"])), "|")
+    return made.select("about", F.array_join("insurers", "|").alias("insurers"), "remote_consultation", volumes.alias("volumes"), "has_isrctn_trials", "patient_feedback")
+
+
 @add("rated_source", """SELECT md5('http://x/' || s_suppkey::VARCHAR || s_name || '{"url":"http://x/' || s_suppkey::VARCHAR || '","name":"' || s_name || '","score":' || (s_suppkey % 10)::VARCHAR || '}') AS practitioner_id, s_name AS name, (s_suppkey % 10) / 2e0 AS rating_value FROM supplier""")
 def _(spark, sf):
     rows = table(spark, sf, "supplier").select(F.concat(L("http://x/"), S("s_suppkey")).alias("url"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 10).alias("score"))
