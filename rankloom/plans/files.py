@@ -38,6 +38,17 @@ def _(spark, sf):
     return RD.json_records(spark, path, RECORD).select("id", "name")
 
 
+@add("json_stream_scan", """SELECT c_custkey::VARCHAR AS id, '}"{' || c_name || chr(92) || '"]' || chr(10) || c_mktsegment AS name FROM customer""")
+def _(spark, sf):
+    path, k = folder(spark, "stream"), F.col("c_custkey")
+    name = F.concat(L('}"{'), "c_name", L('\\"]\n'), "c_mktsegment")
+    # One array over the lines of one file: a first line, one for each record, a last line.
+    rows = table(spark, sf, "customer").select(k.alias("place"), F.concat(F.when(k == F.lit(0), "").otherwise(","), RD.as_json(k.cast("string").alias("id"), F.struct(F.array(name).alias("all")).alias("more"), name.alias("name"))).alias("value"))
+    ends = spark.createDataFrame([(-1, '{"total_records": 3, "by": {"who": "x]"}, "records": [{"id": null, "name": "none"}'), (1 << 62, "]}")], "place long, value string")
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("place").select("value").write.text(path)
+    return RD.json_stream(spark, path, RECORD).where("id is not null").select("id", "name")
+
+
 @add("json_lines_scan", "SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier")
 def _(spark, sf):
     path = folder(spark, "lines")
@@ -45,11 +56,11 @@ def _(spark, sf):
     return RD.json_lines(spark, path, RECORD)
 
 
-@add("chat_files_scan", "SELECT 'conv=' || conv_id::VARCHAR AS session, md5(text || chr(10)) AS digest FROM conversations WHERE turn = 0 AND conv_id % 10 = 3")
+@add("chat_files_scan", "SELECT 'conv=' || conv_id::VARCHAR AS session, md5(string_agg(replace(coalesce(text, ''), chr(10), ' ') || chr(10), '' ORDER BY turn, role)) AS digest FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     path = folder(spark, "chats")
-    first = table(spark, sf, "conversations").where("turn = 0 and conv_id % 10 = 3")
-    first.select(F.col("conv_id").alias("conv"), "text").repartition("conv").write.partitionBy("conv").text(path)
+    said = table(spark, sf, "conversations").select(F.col("conv_id").alias("conv"), "turn", "role", F.regexp_replace(F.coalesce("text", L("")), "\n", " ").alias("value"))
+    said.repartition("conv").sortWithinPartitions("conv", "turn", "role").select("conv", "value").write.partitionBy("conv").text(path)
     return RD.chats(spark, path).where(F.col("session").startswith("conv=")).select("session", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -62,18 +73,18 @@ def _(spark, sf):
     return RD.lookup(spark, path, T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]), "district")
 
 
-@add("append_log", "SELECT event_id, user_id FROM events WHERE event_id % 4 IN (1, 2)")
+@add("append_log", "SELECT event_id, user_id FROM events")
 def _(spark, sf):
     path, events = folder(spark, "log"), table(spark, sf, "events").select("event_id", "user_id")
-    for part in (1, 2):
-        RD.append(events.where(F.col("event_id") % 4 == part), path)
+    for part in (0, 1):
+        RD.append(events.where(F.col("event_id") % 2 == part), path)
     return spark.read.schema(events.schema).parquet(path)
 
 
-@add("canonical_profiles", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 = 0 THEN 'b' WHEN c_custkey % 3 = 0 THEN 'c' WHEN c_custkey % 2 = 0 THEN 'a' END || (c_custkey // 6)::VARCHAR AS checklist FROM customer WHERE c_custkey < 600")
+@add("canonical_profiles", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 6 = 0 THEN 'b' WHEN c_custkey % 3 = 0 THEN 'c' WHEN c_custkey % 2 = 0 THEN 'a' END || (c_custkey // 6)::VARCHAR AS checklist FROM customer")
 def _(spark, sf):
     k = F.col("c_custkey")
-    c = table(spark, sf, "customer").where("c_custkey < 600")
+    c = table(spark, sf, "customer")
     name = lambda letter: F.concat(L(letter), F.floor(k / 6).cast("string"))
     rows = [c.where(cond).select(F.concat(L(letter), k.cast("string")).alias("canonical_id"), F.array(k).alias("legacy_ids"), name(letter).alias("checklist"), L(seq).alias("seq")) for letter, seq, cond in (("a", 1, k % 2 == 0), ("b", 3, k % 6 == 0), ("c", 2, k % 3 == 0))]
     canonical = rows[0].unionByName(rows[1]).unionByName(rows[2]).withColumn("legacy_ids", F.transform("legacy_ids", lambda x: x.cast("string")))

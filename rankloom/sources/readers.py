@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_quotes
+from ..staging import stage
 
 WRAPPERS = ("records", "practitioners", "dietitians", "profiles")
 
@@ -15,8 +16,7 @@ def json_records(spark: SparkSession, path: str, record: T.StructType) -> DataFr
     """Records of JSON files that hold an array, or an object with the array under one of WRAPPERS.
 
     The file is read as text and parsed against the record's schema, so nothing is
-    inferred.  A file is one row of one task: turn large ones into lines first
-    (``convert_to_lines``), which split.
+    inferred.  A file is one row of one task; ``json_stream`` reads large ones in splits.
     """
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
     rows = T.ArrayType(record)
@@ -76,73 +76,44 @@ def lookup(spark: SparkSession, path: str, value: T.DataType = T.StringType(), k
     return rows.select(key, "v.*") if isinstance(value, T.StructType) else rows.withColumnRenamed("v", "value")
 
 
-def convert_to_lines(source: str, target: str, wrappers: tuple[str, ...] = WRAPPERS, chunk: int = 1 << 20) -> int:
-    """Copy the records of one JSON file of any size (an array, or an object with the array under a wrapper) to a file of lines, which splits; how many.
+def _running(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before, in the order of split and place, file by file.
 
-    A JSON array cannot be split, so this is one pass by one reader that holds a chunk
-    and a record.  Both are paths or addresses that ``pyarrow.fs`` knows.
+    Only the totals of the splits meet file by file; a window stays within one split.
     """
-    import json
-
-    from pyarrow import fs
-
-    def opened(place: str):
-        return fs.FileSystem.from_uri(place) if "://" in place else (fs.LocalFileSystem(), place)
-
-    (read_from, a), (write_to, b) = opened(source), opened(target)
-    decode, count = json.JSONDecoder(), 0
-    with read_from.open_input_stream(a) as raw, write_to.open_output_stream(b) as out:
-        import codecs
-
-        text, held, done = codecs.getincrementaldecoder("utf-8-sig")(), "", False
-
-        def more() -> bool:
-            nonlocal held, done
-            data = raw.read(chunk)
-            done = not data
-            held += text.decode(data, done)
-            return not done
-
-        def skip(what: str) -> None:
-            nonlocal held
-            while True:
-                held = held.lstrip(what)
-                if held or not more():
-                    return
-
-        def value():
-            nonlocal held
-            while True:
-                try:
-                    found, end = decode.raw_decode(held)
-                    if end < len(held) or done:
-                        held = held[end:]
-                        return found
-                except ValueError:
-                    if done:
-                        raise
-                more()
-
-        skip(" \t\r\n")
-        inside = held[:1] == "["
-        if not inside:
-            held = held[1:]
-            while not inside:
-                skip(" \t\r\n,")
-                if held[:1] in ("}", ""):
-                    return 0
-                name = value()
-                skip(" \t\r\n:")
-                inside = name in wrappers and held[:1] == "["
-                if not inside:
-                    value()
-        held = held[1:]
-        while True:
-            skip(" \t\r\n,")
-            if held[:1] in ("]", ""):
-                return count
-            out.write((json.dumps(value(), ensure_ascii=False, separators=(",", ":")) + "\n").encode())
-            count += 1
+    totals = rows.groupBy("file", "split").agg(F.sum(value).alias("t"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("file", "split", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("file", "split").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(bases, ["file", "split"]).withColumn(out, F.col(out) + F.col("base")).drop("base")
+
+
+def json_stream(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """Records of JSON files of any size: an array, or an object with the array under one of WRAPPERS (and no other array of objects beside it).
+
+    A file is read in splits, cut behind every closing brace.  Whether a piece begins
+    within a string is told by the parity of all quotes before it, how deep it lies by
+    the braces and brackets outside strings, which record it belongs to by the records that
+    have ended: three prefix sums over splits.  Pieces of a record meet wherever the splits
+    cut it.  A file of one line splits as well as one of many.
+    """
+    read = spark.read.text(path, lineSep="}").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
+    bare = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda c, chars: (F.length(c) - F.length(F.translate(c, chars, ""))).cast("long")
+    pieces = _running(stage(read.withColumn("quotes", count(bare, '"')), "json-pieces"), "quotes", "before")
+    within = F.col("before") % 2 == 1
+    outside = F.regexp_replace(F.regexp_replace(F.concat(F.when(within, '"').otherwise(""), bare), r'"[^"]*"', ""), r'(?s)".*\z', "")
+    closed = (F.col("before") + F.col("quotes")) % 2 == 0  # the brace behind the piece is outside strings
+    pieces = pieces.withColumn("outside", outside).withColumn("closed", closed).withColumn("step", count(F.col("outside"), "{[") - count(F.col("outside"), "}]") - F.when(F.col("closed"), 1).otherwise(0))
+    pieces = _running(pieces.drop("outside"), "step", "depth").withColumn("depth", F.col("depth") + F.col("step"))
+    first = pieces.groupBy("file").agg(F.min_by("value", F.struct("split", "place")).alias("head")).select("file", F.when(F.col("head").rlike(r"^[\s\uFEFF]*\["), 1).otherwise(2).alias("level"))
+    ends = pieces.join(F.broadcast(first), "file").withColumn("end", F.when(F.col("closed") & (F.col("depth") == F.col("level")), 1).otherwise(0))  # one row for each file
+    numbered = _running(ends, "end", "number")
+    whole = numbered.groupBy("file", "number").agg(F.max("end").alias("ended"), F.sort_array(F.collect_list(F.struct("split", "place", "value"))).alias("p")).where("ended = 1")
+    text = F.array_join(F.transform("p", lambda x: F.concat(x["value"], F.lit("}"))), "")
+    opening = rf'(?s)^[\s\uFEFF]*(?:\[|\{{.*?"(?:{"|".join(WRAPPERS)})"\s*:\s*\[(?=\s*\{{))'
+    text = F.when(F.col("number") == 0, F.regexp_replace(text, opening, "")).otherwise(F.regexp_replace(text, r"^\s*,", ""))
+    return whole.select(F.from_json(text, record).alias("r")).select("r.*")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import types as T
 
 from rankloom.sources import readers
@@ -48,14 +50,27 @@ def test_lookups(spark, tmp_path):
     assert [tuple(r) for r in readers.lookup(spark, str(tmp_path / "c.json"), place, "district").collect()] == [("SW1", 51.5, -0.1)]
 
 
-def test_large_json_becomes_lines(spark, tmp_path):
-    records = [{"id": str(i), "name": 'quote " and {brace} é 日本' * (i % 3), "more": [i, {"x": None}]} for i in range(50)]
-    for i, whole in enumerate((records, {"total": 50, "statistics": {"records": [1]}, "records": records, "z": 1}, {"other": 1}, [])):
-        (tmp_path / f"{i}.json").write_text("\ufeff" * (i == 0) + json.dumps(whole, indent=i), encoding="utf-8")
-        n = readers.convert_to_lines(str(tmp_path / f"{i}.json"), str(tmp_path / f"{i}.ndjson"), chunk=7)
-        assert n == (50 if i < 2 else 0)
-        assert [json.loads(x) for x in (tmp_path / f"{i}.ndjson").read_text(encoding="utf-8").splitlines()] == (records if i < 2 else [])
-    assert readers.json_lines(spark, str(tmp_path / "0.ndjson"), REC).count() == 50
+AWKWARD = [{"id": "1", "name": 'a}b{c]"d\\'}, {"id": "2", "more": {"x": [{"y": "}"}, {}], "z": "\\\\"}, "name": "é\u2028\n}{"}, {"id": None, "name": ""}, {}, {"name": "{\"id\": 5}", "id": "6"}]
+
+
+@pytest.mark.parametrize("form", ["array", "records", "profiles"])
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("split", ["200b", "128m"])
+def test_json_streams_are_cut_anywhere(spark, tmp_path, form, indent, split):
+    rows = AWKWARD * 4
+    whole = rows if form == "array" else {"total_records": 5, "by": {"who": "[x", "records": [1]}, form: rows, "end": {"ok": True}}
+    for n in range(2):
+        (tmp_path / f"{n}.json").write_text(json.dumps(whole, indent=indent, ensure_ascii=n == 0), encoding="utf-8-sig" if n else "utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        got = sorted(((r.id, r.name) for r in readers.json_stream(spark, str(tmp_path), REC).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(((r.get("id"), r.get("name")) for r in rows * 2), key=str)
+
 
 
 def test_the_last_canonical_row_wins(spark):
