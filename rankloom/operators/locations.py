@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import geo as G
+from ..staging import stage
+from . import dictionary
+from .containment import held_in
 
 #: Miles in a degree of latitude, a little less than there are, so that cells err to the large side.
 DEGREE = 69.0
@@ -126,6 +129,68 @@ def distance_join(left: DataFrame, right: DataFrame, miles: float, farthest_nort
     return pairs.where(F.col("miles") <= miles).select("left_id", "right_id", "miles")
 
 
+def centres(centroids: DataFrame, codes: DataFrame) -> DataFrame:
+    """(code) -> (code, lat, lon) by the rule of ``centre_of``, for many codes at once; codes of unknown areas are left out.
+
+    centroids: (district, lat, lon).  A code meets the districts of its own area by equality.
+    """
+    number = lambda d: F.coalesce(F.regexp_extract(d, r"^[A-Z]+(\d+)", 1).try_cast("int"), F.lit(0))
+    letters = lambda d: F.regexp_extract(d, r"^[A-Z]+", 0)
+    asked = codes.select("code").where("code <> ''").distinct().withColumn("outward", G.district(F.col("code"))).withColumn("area", letters(F.col("outward"))).where("area <> ''")
+    met = asked.join(centroids.withColumn("area", letters(F.col("district"))), "area")
+    best = F.struct((F.col("district") != F.col("outward")).alias("other"), F.abs(number(F.col("district")) - number(F.col("outward"))).alias("gap"), "district")
+    return met.groupBy("code").agg(F.min_by(F.struct("lat", "lon"), best).alias("at")).select("code", "at.lat", "at.lon")
+
+
+def located_for(profiles: DataFrame, centroids: DataFrame, requests: DataFrame, farthest: float = 200.0) -> DataFrame:
+    """(query_id, doc_id): the profiles that ``where_located`` leaves each request, for many requests at once.
+
+    requests: (query_id, city, postcode, radius_center, radius_miles), null where a thing is not
+    asked; miles are at most ``farthest``.  Requests that ask nothing let everything through and
+    are not in the result.  Places meet requests by equality: parsed places and words of an
+    address, runs of characters of a name, beginnings of a postcode, districts near a centre.
+    """
+    city, code, ask = F.lower(F.trim("city")), G.compact(F.coalesce("radius_center", "postcode")), F.coalesce
+    asked = requests.select("query_id", F.nullif(city, F.lit("")).alias("city"), F.nullif(code, F.lit("")).alias("code"), F.nullif(G.compact(F.col("postcode")), F.lit("")).alias("postcode"), ask(F.col("radius_miles").cast("double"), F.lit(10.0)).alias("miles"))
+    asked = stage(asked.where("city is not null or code is not null"), "location-requests")
+
+    # Spots: a profile's locations, or its own fields where it has none.
+    some = F.filter(F.coalesce("locations", F.expr("cast(array() as array<struct<hospital: string, address: string, postcode: string>>)")), lambda x: reduce(lambda a, b: a | b, (F.coalesce(x[c], F.lit("")) != "" for c in ("hospital", "address", "postcode"))))
+    none, low = F.lit("").alias, lambda c: F.lower(F.coalesce(c, F.lit("")))
+    each = profiles.select("doc_id", F.posexplode(some).alias("n", "x")).select("doc_id", "n", low(F.col("x.address")).alias("address"), low(F.col("x.hospital")).alias("name"), none("areas"), own_postcode(F.col("x.postcode"), F.col("x.address")).alias("code"), F.coalesce(parse_city(F.col("x.address")), F.lit("")).alias("place"), in_london(F.col("x.postcode")).alias("own"), in_london(G.find_postcode(F.coalesce("x.address", F.lit("")))).alias("found"))
+    bare = profiles.where(F.size(some) == 0).select("doc_id", F.posexplode(F.array_distinct(F.array(G.compact(F.col("postal_code")), G.compact(G.find_postcode(F.coalesce("contact_address", F.lit("")))))).alias("codes")).alias("n", "code"), low("contact_address").alias("address"), low("address_locality").alias("name"), low("areas_served").alias("areas"))
+    bare = bare.select("doc_id", (-1 - F.col("n")).alias("n"), "address", "name", "areas", "code", none("place"), F.lit(False).alias("own"), F.lit(False).alias("found"))
+    spots = stage(each.unionByName(bare), "location-spots")
+
+    # Cities: by parsed place, by the words of an address or of the areas served, by a name that holds it; London also by borough and postcode.
+    cities = asked.where("city is not null").select("city").distinct()
+    spot = ["doc_id", "n"]
+    by_place = spots.join(cities, F.col("place") == F.col("city")).select(*spot, "city")
+    texts = spots.select(F.struct(*spot).alias("text_id"), dictionary.words(F.concat_ws(" | ", "address", "areas")).alias("words"))
+    named = dictionary.matches(texts, cities.select(F.col("city").alias("phrase_id"), dictionary.words(F.col("city")).alias("words"))).select("text_id.*", F.col("phrase_id").alias("city")).distinct()
+    whole = lambda c: F.rlike(c, F.concat(F.lit(r"\b\Q"), "city", F.lit(r"\E\b")))
+    by_word = spots.join(named, spot).where(whole(F.col("address")) | whole(F.col("areas"))).select(*spot, "city")
+    held = held_in(spots.select(F.col("name").alias("holder")), cities.select(F.col("city").alias("needle")))
+    by_name = spots.join(held, F.col("name") == F.col("holder")).select(*spot, F.col("needle").alias("city"))
+    in_town = (F.col("n") >= 0) & (F.col("place").isin(*C.LONDON_BOROUGHS) | F.contains("address", F.lit("london")) | F.coalesce("own", F.lit(False)) | F.coalesce("found", F.lit(False)))
+    by_town = spots.where(in_town).select(*spot, F.lit("london").alias("city"))
+    cities_met = by_place.unionByName(by_word).unionByName(by_name).unionByName(by_town).distinct()
+
+    # Postcodes: districts near a centre where one is known, else codes that are or begin with what is asked.
+    known = stage(centres(centroids, asked.select("code")), "location-centres")
+    near = distance_join(known.select(F.col("code").alias("left_id"), "lat", "lon"), centroids.select(F.col("district").alias("right_id"), "lat", "lon"), farthest)
+    places = asked.where("code is not null").join(near.select(F.col("left_id").alias("code"), F.col("right_id").alias("district"), F.col("miles").alias("away")), "code").where("away <= miles").select("query_id", "district")
+    by_centre = spots.withColumn("district", G.district(F.col("code"))).join(places, "district").select("query_id", *spot)
+    rest = asked.where("postcode is not null").join(known.select("code"), "code", "left_anti").select("query_id", "postcode", G.is_full(F.col("postcode")).alias("full"))
+    begins = lambda c: F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
+    prefixes = spots.select(*spot, "code", F.explode(begins(F.col("code"))).alias("postcode"))
+    by_code = prefixes.join(rest, "postcode").where(~F.col("full") | (F.col("code") == F.col("postcode"))).select("query_id", *spot)
+
+    kinds = asked.select("query_id", (F.col("city").isNotNull().cast("int") + F.col("code").isNotNull().cast("int")).alias("needs"))
+    met = asked.where("city is not null").join(cities_met, "city").select("query_id", *spot, F.lit("city").alias("kind")).unionByName(by_centre.unionByName(by_code).withColumn("kind", F.lit("code"))).distinct()
+    return met.groupBy("query_id", *spot).agg(F.count(F.lit(1)).alias("met")).join(kinds, "query_id").where("met = needs").select("query_id", "doc_id").distinct()
+
+
 def statistics(profiles: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:
     """Coverage in one row (profiles, with_locations, locations, with_postcode, with_city), and the ``top`` parsed places by count."""
     n = F.coalesce(F.size("locations"), F.lit(0))

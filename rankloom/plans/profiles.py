@@ -143,10 +143,10 @@ def _(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), card["description"].alias("description"), F.array_join(card["procedures"], "|").alias("procedures"))
 
 
-@add("upsert_counts", "WITH g AS (SELECT c_custkey AS id, 0 AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey % 3 = 0), f AS (SELECT id, min(origin) AS first FROM g GROUP BY id) SELECT origin, count(*) FILTER (origin > first) AS replaced, count(*) FILTER (origin = first) AS added FROM g JOIN f USING (id) GROUP BY origin")
+@add("upsert_counts", "WITH g AS (SELECT c_custkey AS id, 0 AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1 FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 2 FROM customer), f AS (SELECT id, min(origin) AS first FROM g GROUP BY id) SELECT origin, count(*) FILTER (origin > first) AS replaced, count(*) FILTER (origin = first) AS added FROM g JOIN f USING (id) GROUP BY origin")
 def _(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return MG.upsert_counts([c.where("id % 2 = 0"), c.where("id % 3 = 0")], "id")
+    return MG.upsert_counts([c.where("id % 2 = 0"), c.where("id % 3 = 0"), c], "id")
 
 
 # Locations
@@ -202,6 +202,17 @@ def _(spark, sf):
     return LO.where_located(located(spark, sf), view(spark, sf, CENTROIDS), postcode="M2").select("doc_id")
 
 
+#: A request of every nation: a city, a radius, a district without a centre, or two of them; some ask for nothing.
+REQUESTS = """SELECT n_nationkey AS query_id, CASE WHEN n_nationkey % 5 IN (0, 3) THEN ' LONDON' END AS city, CASE n_nationkey % 5 WHEN 1 THEN 'sw6 1aa' WHEN 2 THEN 'M2' WHEN 3 THEN 'm 2' END AS postcode, CAST(NULL AS VARCHAR(9)) AS radius_center, CASE WHEN n_nationkey % 5 = 1 THEN 150 END AS radius_miles FROM nation"""
+
+
+@add("location_requests", f"""WITH {REC_SQL}, {FIELDS_SQL}, {NEAR_SQL}, r AS ({REQUESTS}) SELECT query_id, k AS doc_id FROM f JOIN r ON CASE query_id % 5 WHEN 0 THEN CASE WHEN NOT bare THEN nation % 6 IN (0, 1) OR k % 2 = 0 ELSE nation % 4 = 0 OR (k % 9 <> 0 AND k % 6 = 0) OR k % 15 = 0 END
+WHEN 1 THEN CASE WHEN NOT bare THEN k % 2 = 0 AND 'SW' || (nation + 1)::VARCHAR IN (SELECT district FROM ok) ELSE (k % 4 = 0 AND 'SW' || (nation + 1)::VARCHAR IN (SELECT district FROM ok)) OR (k % 9 = 0 AND 'SW9' IN (SELECT district FROM ok)) END
+WHEN 2 THEN NOT bare AND k % 2 <> 0 AND k % 5 = 0 AND starts_with('M' || (nation + 1)::VARCHAR, 'M2') WHEN 3 THEN NOT bare AND nation % 6 IN (0, 1) AND k % 2 <> 0 AND k % 5 = 0 AND starts_with('M' || (nation + 1)::VARCHAR, 'M2') ELSE false END""")
+def _(spark, sf):
+    return LO.located_for(located(spark, sf), view(spark, sf, CENTROIDS), view(spark, sf, REQUESTS))
+
+
 @add("distance_join", f"WITH p AS ({PRACTITIONERS}), n AS (SELECT n_nationkey AS right_id, 502e-1 + 4e-1 * n_nationkey AS lat, -77e-1 + 35e-2 * n_nationkey AS lon FROM nation) SELECT p.doc_id AS left_id, right_id, round({HAV.format(lat1='p.lat', lon1='p.lon', lat2='n.lat', lon2='n.lon')}, 4) AS miles FROM p, n WHERE {HAV.format(lat1='p.lat', lon1='p.lon', lat2='n.lat', lon2='n.lon')} <= 75")
 def _(spark, sf):
     left = view(spark, sf, PRACTITIONERS).select(F.col("doc_id").alias("left_id"), "lat", "lon")
@@ -244,10 +255,10 @@ def _(spark, sf):
     return SE.resolve(profiles, by_id, names).select("doc_id", F.round("semantic", 6).alias("semantic"))
 
 
-@add("containment_pairs", "WITH t AS (SELECT DISTINCT lower(p_name) AS a FROM part), w AS (SELECT DISTINCT lower(substr(p_type, 2, 4)) AS b FROM part UNION SELECT 'rt' UNION SELECT 'a ' || lower(p_name) || ' b' FROM part WHERE p_partkey % 9 = 0) SELECT a, b FROM t, w WHERE contains(a, b) OR contains(b, a)")
+@add("containment_pairs", "WITH t AS (SELECT DISTINCT lower(p_name) AS a FROM part), w AS (SELECT DISTINCT lower(substr(p_type, 2, 4)) AS b FROM part UNION SELECT 'rt' UNION SELECT 'a ' || lower(p_name) || ' b' FROM part) SELECT a, b FROM t, w WHERE contains(a, b) OR contains(b, a)")
 def _(spark, sf):
     part = table(spark, sf, "part")
-    longer = part.where("p_partkey % 9 = 0").select(F.concat(L("a "), F.lower("p_name"), L(" b")).alias("b"))
+    longer = part.select(F.concat(L("a "), F.lower("p_name"), L(" b")).alias("b"))
     words = part.select(F.lower(F.substring("p_type", 2, 4)).alias("b")).unionByName(spark.createDataFrame([("rt",), ("",)], "b string")).unionByName(longer)
     return CT.either_way(part.select(F.lower("p_name").alias("a")), words)
 
@@ -314,10 +325,11 @@ def _(spark, sf):
 
 # Rewriting
 
-@add("specialty_anchors", "SELECT c_custkey AS k, CASE c_mktsegment WHEN 'BUILDING' THEN 'physiotherapy|pelvic pain|pelvic floor|x' WHEN 'MACHINERY' THEN 'dietitian|nutrition|dietetics|pelvic pain|x' ELSE 'pelvic pain|x' END AS anchors FROM customer")
+@add("specialty_anchors", "WITH a AS (SELECT c_custkey AS k, c_mktsegment AS s, [c_name, 'pelvic pain', lower(c_mktsegment)] AS x FROM customer), o AS (SELECT k, x, CASE s WHEN 'BUILDING' THEN ['physiotherapy', 'pelvic pain', 'pelvic floor'] WHEN 'MACHINERY' THEN ['dietitian', 'nutrition', 'dietetics'] ELSE [] END AS own FROM a) SELECT k, array_to_string(list_concat(own, list_filter(x, lambda y: NOT list_contains(own, y))), '|') AS anchors FROM o")
 def _(spark, sf):
     name = F.when(F.col("c_mktsegment") == "BUILDING", " Physiotherapist").when(F.col("c_mktsegment") == "MACHINERY", "DIETITIAN")
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(RW.specialty_anchors(F.array(L("pelvic pain"), L("x")), name), "|").alias("anchors"))
+    anchors = F.array(F.col("c_name"), L("pelvic pain"), F.lower("c_mktsegment"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(RW.specialty_anchors(anchors, name), "|").alias("anchors"))
 
 
 @add("required_terms", r"SELECT item_id AS query_id, len(list_distinct(list_concat(list_filter(string_split_regex(lower(text), '\s+'), lambda x: len(x) >= 2), ['sore', 'knee'])))::BIGINT AS n FROM benchmark")
@@ -331,16 +343,21 @@ def _(spark, sf):
     return term_lists(spark, sf).select("query_id", F.md5(text.cast("binary")).alias("digest"))
 
 
-@add("safe_lane_terms", "SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'Angina|chest pain' WHEN 1 THEN 'coronary disease|breathless' ELSE '' END AS safe FROM customer")
+#: Terms of parts with symptoms and procedures among them.
+SYMPTOMS = """SELECT p_partkey AS k, split(concat(p_type, '|', CASE p_partkey % 4 WHEN 0 THEN 'Angina' WHEN 1 THEN 'chest pain' WHEN 2 THEN 'coronary disease' ELSE 'Breathless' END, ' ', p_brand, '|coronary  ', CASE p_partkey % 3 WHEN 0 THEN 'stent' WHEN 1 THEN 'Angiography' ELSE p_name END, '|', p_name, ' palpitations|', p_name, ' palpitations|', CASE WHEN p_partkey % 5 = 0 THEN 'PCI angina' ELSE 'arrhythmia' END, '|dyspnea'), '[|]') AS terms FROM part"""
+
+
+@add("safe_lane_terms", r"""WITH p AS (""" + SYMPTOMS.replace("split(", "string_split_regex(") + r"""), f AS (SELECT k, list_filter(terms, lambda x: (regexp_matches(lower(x), 'chest pain|angina|ischaemic|heart disease|palpitation|arrhythmia|breathless|dyspnea') OR (contains(lower(x), 'coronary') AND NOT regexp_matches(lower(x), 'coronary\s+(angiography|intervention|stent|bypass)')))
+ AND NOT regexp_matches(lower(x), 'interventional|angiography|pci|stent|surgery|procedure|bypass|catheter')) AS t FROM p), u AS (SELECT k, x, min(i) AS i FROM (SELECT k, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM f) GROUP BY k, x), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY i) AS n FROM u)
+SELECT f.k, coalesce(string_agg(x, '|' ORDER BY i), '') AS safe FROM f LEFT JOIN n ON f.k = n.k AND n <= 4 GROUP BY f.k""")
 def _(spark, sf):
-    lists = (("Angina", "chest pain", "PCI angina", "knee"), ("coronary disease", "coronary angiography", "breathless", "coronary  stent"), ("knee", "stent"))
-    terms = F.when(F.col("c_custkey") % 3 == 0, F.array(*map(L, lists[0]))).when(F.col("c_custkey") % 3 == 1, F.array(*map(L, lists[1]))).otherwise(F.array(*map(L, lists[2])))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(RW.safe_lane(terms), "|").alias("safe"))
+    return view(spark, sf, SYMPTOMS).select("k", F.array_join(RW.safe_lane(F.col("terms")), "|").alias("safe"))
 
 
-@add("query_assembled", "SELECT item_id AS query_id, md5(trim(text) || ' a b c d name') AS digest FROM benchmark")
+@add("query_assembled", f"WITH {TERMS_SQL}, q AS ({QUERIES}) SELECT q.query_id, md5(trim(concat_ws(' ', trim(text), array_to_string(t[3:6], ' '), t[1]))) AS digest FROM q JOIN t ON q.query_id = t.query_id")
 def _(spark, sf):
-    return view(spark, sf, QUERIES).select("query_id", F.md5(RW.assemble(F.trim("text"), F.array(*[L(x) for x in "abcde"]), L("name")).cast("binary")).alias("digest"))
+    made = RW.assemble(F.trim("text"), F.slice("t", 3, 9), F.get("t", 0))
+    return term_lists(spark, sf).select("query_id", F.md5(made.cast("binary")).alias("digest"))
 
 
 @add("confident_subspecialties", "SELECT p_partkey AS doc_id, CASE WHEN p_size % 10 >= 4 THEN 'a|' ELSE '' END || 'b|c' || CASE WHEN p_size % 10 >= 4 THEN '' ELSE '|d' END AS names FROM part")
@@ -364,10 +381,10 @@ def _(spark, sf):
     return AN.membership(table(spark, sf, "customer"), sources, ["build", "BDA"])
 
 
-@add("variant_tallies", "WITH a AS (SELECT event_type AS variant, count(*) AS bookings FROM events WHERE event_id % 5 = 0 GROUP BY 1), b AS (SELECT event_type AS variant, count(*) FILTER (value > 50) AS flags FROM events WHERE event_id % 5 = 1 GROUP BY 1), c AS (SELECT event_type AS variant, round(avg(CASE WHEN event_id % 2 = 0 THEN (event_id % 4) / 3e0 END), 6) AS mean_precision FROM events WHERE event_id % 5 = 2 GROUP BY 1) SELECT variant, coalesce(bookings, 0) AS bookings, coalesce(flags, 0) AS flags, mean_precision FROM a FULL JOIN b USING (variant) FULL JOIN c USING (variant)")
+@add("variant_tallies", "WITH a AS (SELECT event_type AS variant, count(*) AS bookings FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT event_type AS variant, count(*) FILTER (value > 50) AS flags FROM events WHERE event_id % 3 = 1 GROUP BY 1), c AS (SELECT event_type AS variant, round(avg(CASE WHEN event_id % 2 = 0 THEN (event_id % 4) / 3e0 END), 6) AS mean_precision FROM events WHERE event_id % 3 = 2 GROUP BY 1) SELECT variant, coalesce(bookings, 0) AS bookings, coalesce(flags, 0) AS flags, mean_precision FROM a FULL JOIN b USING (variant) FULL JOIN c USING (variant)")
 def _(spark, sf):
     e = table(spark, sf, "events").withColumnRenamed("event_type", "variant")
-    part = lambda i: e.where(F.col("event_id") % 5 == i)
+    part = lambda i: e.where(F.col("event_id") % 3 == i)
     return AN.variant_tallies(part(0), part(1).withColumn("flagged", F.col("value") > 50), part(2).withColumn("precision", F.when(F.col("event_id") % 2 == 0, (F.col("event_id") % 4) / 3.0)))
 
 
@@ -393,11 +410,11 @@ def _(spark, sf):
     return AN.unknown_names(c.where("case_id % 3 = 0"), c.where("case_id % 2 = 0").select(F.initcap("name").alias("name")))
 
 
-@add("flag_and_booking", "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'No reason provided' ELSE c_mktsegment END AS reason, true AS flagged, 'v2' AS variant FROM customer")
+@add("flag_and_booking", "SELECT c_custkey AS doc_id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN 'No reason provided' ELSE c_mktsegment END AS reason, true AS flagged, CASE WHEN c_nationkey > 5 THEN 'v' || c_nationkey::VARCHAR END AS variant FROM customer")
 def _(spark, sf):
     k, n = F.col("c_custkey"), F.col("c_name")
-    rows = table(spark, sf, "customer").select(AN.flag_record(k, n, F.when(k % 2 != 0, F.col("c_mktsegment"))).alias("f"), AN.booking_record(k, n, L("v2")).alias("b"))
-    return rows.select("f.doc_id", "f.reason", "f.flagged", "b.variant")
+    rows = table(spark, sf, "customer").select(AN.flag_record(k, n, F.when(k % 2 != 0, F.col("c_mktsegment"))).alias("f"), AN.booking_record(k, n, F.when(F.col("c_nationkey") > 5, F.concat(L("v"), F.col("c_nationkey").cast("string")))).alias("b"))
+    return rows.select("f.doc_id", "b.name", "f.reason", "f.flagged", "b.variant")
 
 
 @add("session_counts", "SELECT conv_id AS session, count(*) AS messages, sum(turn) AS recommendations, min(turn) AS first_stamp FROM conversations GROUP BY conv_id")
@@ -414,11 +431,12 @@ def _(spark, sf):
     return AN.best_by_detail(left, right)
 
 
-@add("reason_terms", "SELECT c_custkey AS k, array_to_string(list_sort(list_distinct(list_concat(['knee pain', 'knee', 'pain', 'hip', 'surgery', 'hip surgery', 'x ray', 'ray'], [lower(c_mktsegment)], string_split(lower(c_mktsegment), ' ')))), '|') AS terms FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, array_to_string(list_sort(list_distinct(list_concat(['hip surgery', 'hip', 'surgery', 'spine'], [lower(c_mktsegment)], string_split(lower(c_mktsegment), ' ')))), '|') FROM customer WHERE c_custkey % 2 <> 0")
+@add("reason_terms", r"""WITH p AS (SELECT p_partkey AS k, lower(p_type) AS t, lower(p_name) AS n, lower(p_brand) AS b FROM part), w AS (SELECT *, list_filter(string_split_regex(regexp_replace(t, '[^\w\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2) AS tw, list_filter(string_split_regex(regexp_replace(n, '[^\w\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2) AS nw, list_filter(string_split_regex(regexp_replace(b, '[^\w\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2) AS bw FROM p)
+SELECT k, array_to_string(list_sort(list_distinct(CASE k % 4 WHEN 0 THEN list_concat(list_concat(tw, [t]), list_concat(list_concat(nw, [n]), bw)) WHEN 1 THEN list_concat(tw, [t]) WHEN 2 THEN list_concat(list_concat(nw, [n]), tw) ELSE list_concat(list_concat(bw, [b]), list_concat(nw, [n])) END)), '|') AS terms FROM w""")
 def _(spark, sf):
-    even = F.array(L("subspecialty: Knee Pain"), L("hip surgery in clinical expertise"), L("Procedures: x ray"), F.col("c_mktsegment"))
-    odd = F.array(L("Hip Surgery in spine"), F.col("c_mktsegment"))
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.array_join(F.sort_array(AN.reason_terms(F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd))), "|").alias("terms"))
+    k, t, n, b = (F.col(c) for c in ("p_partkey", "p_type", "p_name", "p_brand"))
+    factors = F.when(k % 4 == 0, F.array(F.concat(L("subspecialty: "), t), F.concat(n, L(" IN "), b))).when(k % 4 == 1, F.array(F.concat(L("Procedures:  "), t), F.concat(t, L(" in clinical expertise")))).when(k % 4 == 2, F.array(F.concat(n, L("  in "), t))).otherwise(F.array(b, F.concat(L(" "), n, L(" ")), L("x")))
+    return table(spark, sf, "part").select(k.alias("k"), F.array_join(F.sort_array(AN.reason_terms(factors)), "|").alias("terms"))
 
 
 @add("session_terms", "SELECT c_custkey AS k, array_to_string(list_sort(list_distinct(list_concat(['chest', 'pain', 'chest pain', 'x-ray'], [lower(c_mktsegment)], string_split(lower(c_mktsegment), ' ')))), '|') AS terms FROM customer")
@@ -450,13 +468,29 @@ def _(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), T.specialty_slug(F.when(F.col("c_mktsegment") == "BUILDING", "Cardiology").otherwise(F.concat("c_mktsegment", L(" & x!")))).alias("slug"))
 
 
-@add("text_variants", r"""SELECT c_custkey AS k, 'x-ray|a-1' AS hyphen, 'ray' AS plain, 'ann lee' AS bare, floor(c_acctbal + 0.5)::BIGINT AS whole, strftime(TIMESTAMP '2024-01-31 23:30:00', '%Y-%m-%d') AS day FROM customer""")
+@add("text_variants", r"""SELECT conv_id, turn, md5(array_to_string(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2), '|')) AS hyphen,
+ md5(array_to_string(list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', ' ', 'g'), ' +'), lambda x: len(x) >= 2 AND x NOT IN ('the', 'de')), '|')) AS plain FROM conversations""")
 def _(spark, sf):
-    given = L("X-Ray  a-1 b !")
-    return table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("k"), F.array_join(T.hyphen_tokens(given), "|").alias("hyphen"), F.array_join(T.plain_tokens(given), "|").alias("plain"), T.strip_titles(L("Dr. Ann  Miss Lee")).alias("bare"),
-        T.whole_number_round(F.col("c_acctbal")).alias("whole"), F.date_format(T.iso_day(L("2024-01-31T23:30:00Z")), "yyyy-MM-dd").alias("day"),
-    )
+    text = F.col("text")
+    digest = lambda tokens: F.md5(F.array_join(tokens, "|").cast("binary"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", digest(T.hyphen_tokens(text)).alias("hyphen"), digest(T.plain_tokens(text, ("the", "de"))).alias("plain"))
+
+
+@add("name_variants", r"""WITH n AS (SELECT c_custkey AS k, c_acctbal AS x, concat(CASE c_custkey % 4 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'MRS ' WHEN 2 THEN 'Professor  ' ELSE 'Dram ' END, c_name, CASE WHEN c_custkey % 3 = 0 THEN ' (miss)  ' ELSE ' ' END, c_mktsegment) AS name FROM customer)
+SELECT k, trim(regexp_replace(regexp_replace(lower(name), '\b(dr|mr|mrs|ms|miss|prof|professor)\b\.?', ' ', 'g'), '\s+', ' ', 'g')) AS bare, floor(x + 0.5)::BIGINT AS whole FROM n""")
+def _(spark, sf):
+    k = F.col("c_custkey")
+    title = F.when(k % 4 == 0, "Dr. ").when(k % 4 == 1, "MRS ").when(k % 4 == 2, "Professor  ").otherwise("Dram ")
+    name = F.concat(title, "c_name", F.when(k % 3 == 0, " (miss)  ").otherwise(" "), "c_mktsegment")
+    return table(spark, sf, "customer").select(k.alias("k"), T.strip_titles(name).alias("bare"), T.whole_number_round(F.col("c_acctbal")).alias("whole"))
+
+
+@add("day_keys", "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS iso, CASE WHEN event_id % 5 <> 0 THEN strftime(ts, '%Y-%m-%d') END AS chat FROM events")
+def _(spark, sf):
+    e, i, ts = table(spark, sf, "events"), F.col("event_id"), F.col("ts")
+    iso = F.when(i % 7 != 0, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), L(".123Z"))).otherwise("yesterday")
+    chat = F.when(i % 5 != 0, F.date_format(ts, "M/d/yy, HH:mm:ss")).otherwise(F.date_format(ts, "dd.MM.yy"))
+    return e.select("event_id", F.date_format(T.iso_day(iso), "yyyy-MM-dd").alias("iso"), F.date_format(T.chat_day(chat), "yyyy-MM-dd").alias("chat"))
 
 
 @add("top_specialties", "SELECT p_type AS specialty, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, specialty LIMIT 5")
@@ -474,15 +508,16 @@ def ideal(t):
 
 
 def ideal_lists(spark, sf):
-    return term_lists(spark, sf).where(F.size("t") >= 10).select("query_id", ideal(F.col("t")).alias("i"))
+    padded = F.concat("t", F.array(*[L(f"more{i}") for i in range(10)]))  # short texts have ten terms, too
+    return term_lists(spark, sf).withColumn("t", padded).select("query_id", ideal(F.col("t")).alias("i"))
 
 
-@add("ideal_sentence", f"WITH {TERMS_SQL} SELECT query_id, t[1] || ' specialist, who performs ' || t[5] || ' and ' || t[6] || ', specializes in ' || t[9] || ', with expertise in ' || t[10] || ' Care of, b, c ' || array_to_string([t[1], t[5], t[6], t[9], t[2], t[3], t[7], t[10] || ' Care of', 'b', 'c'], ' ') AS text FROM t WHERE len(t) >= 10")
+@add("ideal_sentence", f"WITH {TERMS_SQL} SELECT query_id, t[1] || ' specialist, who performs ' || t[5] || ' and ' || t[6] || ', specializes in ' || t[9] || ', with expertise in ' || t[10] || ' Care of, b, c ' || array_to_string([t[1], t[5], t[6], t[9], t[2], t[3], t[7], t[10] || ' Care of', 'b', 'c'], ' ') AS text FROM (SELECT query_id, list_concat(t, ['more0', 'more1', 'more2', 'more3', 'more4', 'more5', 'more6', 'more7', 'more8', 'more9']) AS t FROM t)")
 def _(spark, sf):
     return ideal_lists(spark, sf).select("query_id", RW.ideal_sentence(F.col("i")).alias("text"))
 
 
-@add("ideal_terms", f"WITH {TERMS_SQL} SELECT query_id, len(list_distinct(list_concat(t[1:9], list_filter([t[10], 'care'], lambda x: len(x) > 3))))::BIGINT AS n_intents, array_to_string([t[5], t[6], t[9], t[1]], '|') AS anchors FROM t WHERE len(t) >= 10")
+@add("ideal_terms", f"WITH {TERMS_SQL} SELECT query_id, len(list_distinct(list_concat(t[1:9], list_filter([t[10], 'care'], lambda x: len(x) > 3))))::BIGINT AS n_intents, array_to_string([t[5], t[6], t[9], t[1]], '|') AS anchors FROM (SELECT query_id, list_concat(t, ['more0', 'more1', 'more2', 'more3', 'more4', 'more5', 'more6', 'more7', 'more8', 'more9']) AS t FROM t)")
 def _(spark, sf):
     return ideal_lists(spark, sf).select("query_id", F.size(RW.ideal_intents(F.col("i"))).cast("long").alias("n_intents"), F.array_join(RW.ideal_anchors(F.col("i")), "|").alias("anchors"))
 
@@ -495,10 +530,10 @@ def _(spark, sf):
     return FU.pool([("ranking", at(a.where("rank <= 18"), F.col("rank"))), ("bm25_only", at(b.where("rank <= 20"), F.col("rank"))), ("keyword", at(a.where("rank > 30"), 51 - F.col("rank"))), ("random", FU.draw(view(spark, sf, PAIRS), 9, "pool"))])
 
 
-@add("tier_by_name", f"WITH {bm25_sql()}, e AS (SELECT lower(source) AS k, arg_min(tier, o) AS tier FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'excellent' WHEN doc_id % 3 = 1 THEN 'ill-fit' ELSE 'good' END AS tier, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS o FROM documents WHERE doc_id % 40 = 1) GROUP BY 1) SELECT query_id, r.doc_id, coalesce(tier, 'good') AS tier FROM ranked r JOIN documents d ON r.doc_id = d.doc_id LEFT JOIN e ON lower(d.source) = e.k WHERE rank <= 12")
+@add("tier_by_name", f"WITH {bm25_sql()}, e AS (SELECT lower(source) AS k, arg_min(tier, o) AS tier FROM (SELECT source, CASE WHEN doc_id % 3 = 0 THEN 'excellent' WHEN doc_id % 3 = 1 THEN 'ill-fit' ELSE 'good' END AS tier, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS o FROM documents) GROUP BY 1) SELECT query_id, r.doc_id, coalesce(tier, 'good') AS tier FROM ranked r JOIN documents d ON r.doc_id = d.doc_id LEFT JOIN e ON lower(d.source) = e.k WHERE rank <= 12")
 def _(spark, sf):
     docs, k = table(spark, sf, "documents"), F.col("doc_id") % 3
-    evaluations = docs.where("doc_id % 40 = 1").select(F.upper("source").alias("name"), F.when(k == 0, "excellent").when(k == 1, "ill-fit").otherwise("good").alias("tier"))
+    evaluations = docs.select(F.upper("source").alias("name"), F.when(k == 0, "excellent").when(k == 1, "ill-fit").otherwise("good").alias("tier"))
     top = ranked(bm25(*inputs(spark, sf)), 12).join(docs.select("doc_id", F.col("source").alias("name")), "doc_id")
     return FU.with_tier_by_name(top, evaluations).select("query_id", "doc_id", "tier")
 
@@ -564,9 +599,15 @@ def _(spark, sf):
     return AN.lexicons(table(spark, sf, "part"), "p_brand", F.col("p_type")).select("grp", F.array_join("terms", ",").alias("terms"))
 
 
-@add("context_fallback", "SELECT item_id AS query_id, 'diagnostic_workup' AS goal, 0.5e0 AS confidence, 0 AS n FROM benchmark")
+#: What a provider says of a query: a context as JSON, in a fence, broken, or nothing.
+CONTEXTS = """SELECT item_id AS query_id, text, CASE item_id % 5 WHEN 0 THEN concat('{"goal": "', substr(coalesce(text, ''), 1, 3), '", "confidence": 0.', CAST(item_id % 9 + 1 AS VARCHAR(9)), ', "anchor_phrases": ["a b", "c"]}') WHEN 1 THEN concat('```json', chr(10), '{"specificity": "named_procedure", "anchor_phrases": []}', chr(10), '```') WHEN 2 THEN '{"goal": ' END AS answer FROM benchmark"""
+
+
+@add("context_fallback", r"""SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 THEN substr(text, 1, 3) ELSE 'diagnostic_workup' END AS goal, CASE WHEN item_id % 5 = 0 THEN (item_id % 9 + 1) / 10e0 ELSE 0.5e0 END AS confidence, CASE WHEN item_id % 5 = 1 THEN 'named_procedure' ELSE 'symptom_only' END AS specificity, CASE WHEN item_id % 5 = 0 THEN 2 ELSE 0 END AS n FROM benchmark""")
 def _(spark, sf):
-    return PV.with_context(view(spark, sf, QUERIES)).select("query_id", "goal", "confidence", F.size("anchor_phrases").alias("n"))
+    said = view(spark, sf, CONTEXTS)
+    given = PV.with_context(said.select("query_id", F.col("answer").alias("text")), lambda batches: (b.rename(columns={"text": "answer"})[["query_id", "answer"]] for b in batches))
+    return given.select("query_id", "goal", "confidence", "specificity", F.size("anchor_phrases").alias("n"))
 
 
 # What a service would answer
