@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_fences
+from .rewrite import default_importance
 
 #: Takes batches of rows; gives their keys and ``answer``, a JSON text with or without a Markdown fence (null: no answer).
 Provider = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -18,8 +19,9 @@ CONTEXT = "goal string, specificity string, confidence double, intent_terms arra
 EVALUATION = "fit_category string, brief_reason string"
 ORDER = "ranked array<long>"
 CHECKLIST = "items array<string>"
-_NEED = "array<struct<name: string, importance: string>>"
-IDEAL = f"subspecialties {_NEED}, procedures {_NEED}, conditions {_NEED}, areas array<string>"
+_NEED = "array<struct<name: string, importance: string, confidence: double>>"
+_LISTS = ("areas", "preferred_qualifications", "patient_age_group", "languages", "description_keywords", "avoid_subspecialties", "avoid_procedures")
+IDEAL = f"subspecialties {_NEED}, procedures {_NEED}, conditions {_NEED}, {', '.join(f'{c} array<string>' for c in _LISTS)}, gender_preference string"
 # What an evaluation may say; what is assumed where none can be had.
 TIERS = ("excellent", "good", "ill-fit")
 ASSUMED, FAILED = "good", "Evaluation failed"
@@ -72,12 +74,12 @@ def orders(rows: DataFrame, provider: Provider) -> DataFrame:
 
 
 def ideals(queries: DataFrame, provider: Provider) -> DataFrame:
-    """(query_id, ideal): the ideal profile as a struct, every list there, unknown importances optional."""
+    """(query_id, ideal): the ideal profile as a struct, every list there; an importance of no known kind is preferred, a confidence outside 0 to 1 is 0.8."""
     given = ask(queries, ["query_id"], provider, IDEAL)
     none = F.expr(f"cast(array() as {_NEED})")
-    allowed = lambda i: F.when(i.isin("required", "preferred", "optional"), i).otherwise(F.lit("optional"))
-    need = lambda c: F.transform(F.filter(F.coalesce(F.col("given")[c], none), lambda x: F.coalesce(F.trim(x["name"]), F.lit("")) != ""), lambda x: F.struct(F.trim(x["name"]).alias("name"), allowed(x["importance"]).alias("importance")))
-    return given.select("query_id", F.struct(*[need(c).alias(c) for c in ("subspecialties", "procedures", "conditions")], F.coalesce("given.areas", F.array().cast("array<string>")).alias("areas")).alias("ideal"))
+    sure = lambda x: F.when(x["confidence"].between(0, 1), x["confidence"]).otherwise(F.lit(0.8)).alias("confidence")
+    need = lambda c: F.transform(F.filter(F.coalesce(F.col("given")[c], none), lambda x: F.coalesce(F.trim(x["name"]), F.lit("")) != ""), lambda x: F.struct(F.trim(x["name"]).alias("name"), default_importance(x["importance"]).alias("importance"), sure(x)))
+    return given.select("query_id", F.struct(*[need(c).alias(c) for c in ("subspecialties", "procedures", "conditions")], *[F.coalesce(f"given.{c}", F.array().cast("array<string>")).alias(c) for c in _LISTS], F.col("given.gender_preference").alias("gender_preference")).alias("ideal"))
 
 
 def checklists(queries: DataFrame, provider: Provider, most: int = 10) -> DataFrame:

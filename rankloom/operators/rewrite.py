@@ -127,7 +127,7 @@ def ideal_query(subspecialties: Column, procedures: Column, conditions: Column,
 
 
 def default_importance(value: Column) -> Column:
-    return F.when(value.isin("required", "preferred", "optional"), value).otherwise(F.lit("optional"))
+    return F.when(value.isin("required", "preferred", "optional"), value).otherwise(F.lit("preferred"))
 
 
 def taxonomy_match(queries: DataFrame, taxonomy: DataFrame) -> DataFrame:

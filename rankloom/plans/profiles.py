@@ -12,6 +12,7 @@ from ..functions import geo as G
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import containment as CT
+from ..operators import contexts as CX
 from ..operators import filters as FL
 from ..operators import fusion as FU
 from ..operators import locations as LO
@@ -367,9 +368,9 @@ def _(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.array_join(F.transform(kept, lambda s: s["name"]), "|").alias("names"))
 
 
-@add("importance_default", "SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'required' WHEN c_custkey % 4 = 1 THEN 'preferred' ELSE 'optional' END AS importance FROM customer")
+@add("importance_default", "SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'required' WHEN c_custkey % 4 = 1 THEN 'preferred' WHEN c_nationkey > 9 THEN 'optional' ELSE 'preferred' END AS importance FROM customer")
 def _(spark, sf):
-    given = F.when(F.col("c_custkey") % 4 == 0, "required").when(F.col("c_custkey") % 4 == 1, "preferred").when(F.col("c_custkey") % 4 == 2, "must")
+    given = F.when(F.col("c_custkey") % 4 == 0, "required").when(F.col("c_custkey") % 4 == 1, "preferred").when(F.col("c_nationkey") > 9, "optional").when(F.col("c_custkey") % 4 == 2, "must")
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), RW.default_importance(given).alias("importance"))
 
 
@@ -634,3 +635,44 @@ def _(spark, sf):
 @add("service_production", f"SELECT query_id, doc_id, score, rank FROM ({PRODUCTION_SQL}) WHERE rank <= 12")
 def _(spark, sf):
     return out(api.rank_production(*inputs(spark, sf), signals(spark, sf)))
+
+
+# Session contexts
+
+#: Terms of a query, ten at least, and readings of it that differ in how clear they are.
+READ = f"""SELECT query_id, text, list_concat(t, ['more0', 'more1', 'more2', 'more3', 'more4', 'more5', 'more6', 'more7', 'more8', 'more9']) AS t FROM (SELECT item_id AS query_id, text, {TOKENS.format('text')} AS t FROM benchmark)"""
+UNION_SQL = lambda a, b: f"list_concat({a}, list_filter({b}, lambda x, i: NOT list_contains({a}, x) AND list_position({b}, x) = i))"
+CONTEXT_SQL = f"""r AS ({READ}), v AS (SELECT *, query_id % 10 / 10e0 AS c, CASE query_id % 3 WHEN 0 THEN 'named_procedure' WHEN 1 THEN 'confirmed_diagnosis' ELSE 'symptom_only' END AS specificity, t[1:4] AS ce, list_concat(t[3:8], ['chest pain', 'Angina', 'PCI stent']) AS ge, t[5:6] AS cn, t[6:8] AS gn, ['Anchor A', t[2]] AS ca, [upper(t[2]), 'anchor a', t[4], t[5], t[6], t[7]] AS ga FROM r),
+i AS (SELECT *, {UNION_SQL('ce', 'ge')} AS terms, {UNION_SQL('cn', 'gn')} AS negs, c >= 0.75e0 AND specificity IN ('named_procedure', 'confirmed_diagnosis') AS clear,
+  list_filter(list_concat(string_split_regex(lower(text), '\\s+'), ['sore', 'knee', t[9]]), lambda x: len(x) >= 2) AS req2 FROM v),
+j AS (SELECT *, list_filter(req2, lambda x, k: list_position(req2, x) = k) AS req FROM i),
+w AS (SELECT *, unnest(['algorithmic', 'sequential', 'parallel', 'parallel-v2', 'goal-specificity', 'v5']) AS variant FROM j),
+x AS (SELECT *, CASE variant WHEN 'algorithmic' THEN [] WHEN 'sequential' THEN ge WHEN 'v5' THEN {UNION_SQL("[t[1], t[2]]", "(CASE WHEN len(t[3]) > 3 THEN [t[3]] ELSE [] END)")} ELSE terms END AS intents FROM w)
+SELECT query_id, variant, md5(CASE variant WHEN 'algorithmic' THEN trim(concat_ws(' ', nullif(text, ''), 'Sore knee ' || t[9], 'evening', CASE WHEN query_id % 2 = 0 THEN 'urgent' END)) WHEN 'v5' THEN t[1] || ' specialist, with expertise in ' || t[3] || ' ' || t[1] || ' ' || t[2] || ' ' || t[3] ELSE trim(text) END) AS q_patient,
+ array_to_string(intents, ' ') AS intents, CASE variant WHEN 'algorithmic' THEN '' WHEN 'parallel-v2' THEN array_to_string((list_filter(list_concat(ca, ga), lambda y, k: list_position(list_transform(list_concat(ca, ga), lambda z: lower(trim(z))), lower(trim(y))) = k))[1:5], '|') WHEN 'v5' THEN t[1] ELSE array_to_string(ga, '|') END AS anchors,
+ CASE WHEN variant IN ('parallel', 'parallel-v2') THEN CASE WHEN clear THEN array_to_string(negs, ' ') ELSE '' END WHEN variant = 'sequential' THEN array_to_string(gn, ' ') WHEN variant = 'goal-specificity' THEN array_to_string(negs, ' ') WHEN variant = 'v5' THEN 'avoid ' || t[4] ELSE '' END AS negatives,
+ CASE variant WHEN 'parallel-v2' THEN 'chest pain|Angina' ELSE '' END AS safe, CASE WHEN variant IN ('parallel', 'parallel-v2') THEN NOT clear WHEN variant = 'v5' THEN false END AS ambiguous,
+ CASE WHEN variant = 'algorithmic' THEN '' WHEN variant = 'sequential' THEN 'hand|Knee|foot' WHEN variant = 'v5' THEN t[1] ELSE CASE WHEN c >= 0.7e0 THEN 'Hand|Knee|hip' ELSE 'Knee|hip' || CASE WHEN c >= 0.4e0 THEN '|Hand' ELSE '' END END END AS likely,
+ CASE WHEN variant = 'algorithmic' THEN NULL ELSE md5(array_to_string((list_concat(req, list_filter(list_transform(intents, lambda y: lower(y)), lambda y, k: list_position(list_transform(intents, lambda z: lower(z)), y) = k AND NOT list_contains(req, y) AND len(list_filter(req, lambda q: contains(y, q) OR contains(q, y))) = 0)))[1:60], ' ')) END AS enriched FROM x"""
+
+
+@add("context_variants", f"WITH {CONTEXT_SQL}")
+def _(spark, sf):
+    q, k = F.col("query_id"), F.col
+    rows = term_lists(spark, sf).withColumn("t", F.concat("t", F.array(*[L(f"more{i}") for i in range(10)])))
+    at = lambda i: F.get("t", i - 1)
+    part = lambda a, b: F.slice("t", a, b - a + 1)
+    c = (q % 10) / 10.0
+    named = lambda *pairs: F.array(*[F.struct(L(n).alias("name"), v.cast("double").alias("confidence")) for n, v in pairs])
+    insights = F.struct(F.array(L("Sore knee"), at(9)).alias("symptoms"), F.array(L("evening")).alias("preferences"), F.when(q % 2 == 0, "urgent").otherwise("routine").alias("urgency")).cast(CX.INSIGHTS)
+    specificity = F.when(q % 3 == 0, "named_procedure").when(q % 3 == 1, "confirmed_diagnosis").otherwise("symptom_only")
+    general = F.struct(L("goal").alias("goal"), specificity.alias("specificity"), c.alias("confidence"), F.concat(part(3, 8), F.array(L("chest pain"), L("Angina"), L("PCI stent"))).alias("expansion_terms"), F.array(F.upper(at(2)), L("anchor a"), at(4), at(5), at(6), at(7)).alias("anchor_phrases"), part(6, 8).alias("negative_terms"), named(("hand", L(0.3)), ("Knee", L(0.7)), ("foot", L(0.39))).alias("likely_subspecialties")).cast(CX.GENERAL)
+    clinical = F.struct(L("intent").alias("primary_intent"), part(1, 4).alias("expansion_terms"), F.array(L("Anchor A"), at(2)).alias("anchor_phrases"), part(5, 6).alias("negative_terms"), named(("Hand", c), ("knee", L(0.5)), ("hip", L(0.65)), ("", L(0.9))).alias("likely_subspecialties")).cast(CX.CLINICAL)
+    need = lambda name, importance: F.struct(name.alias("name"), L(importance).alias("importance"), F.lit(None).cast("double").alias("confidence"))
+    none = F.expr("cast(array() as array<struct<name: string, importance: string, confidence: double>>)")
+    ideal = F.struct(F.array(need(at(1), "required")).alias("subspecialties"), F.array(need(at(2), "preferred")).alias("procedures"), none.alias("conditions"), F.array(at(3)).alias("areas"), F.array(F.concat(L("avoid "), at(4))).alias("avoid_subspecialties"), F.lit(None).cast("array<string>").alias("avoid_procedures")).cast(CX.IDEAL)
+    made = rows.select("query_id", F.explode(F.array(*[F.struct(L(v).alias("variant"), CX.session_context(v, k("text"), insights, general, clinical, ideal).alias("c")) for v in CX.VARIANTS])).alias("x")).select("query_id", "x.variant", "x.c.*")
+    names = F.array_join(F.transform("likely_subspecialties", lambda s: s["name"]), "|")
+    digest = lambda x: F.md5(x.cast("binary"))
+    return made.select("query_id", "variant", digest(k("q_patient")).alias("q_patient"), F.array_join("intent_terms", " ").alias("intents"), F.array_join("anchor_phrases", "|").alias("anchors"), F.array_join("negative_terms", " ").alias("negatives"), F.array_join("safe_lane_terms", "|").alias("safe"), "ambiguous", names.alias("likely"), F.when(k("variant") != "algorithmic", digest(k("enriched_query"))).alias("enriched"))
+

@@ -148,7 +148,7 @@ def test_providers_parse_check_and_fall_back(spark):
     order = providers.orders(queries, answering({1: '{"ranked": [5, 3, null, 5]}', 2: "{}"})).collect()
     assert sorted(map(tuple, order)) == [(1, 3, 1), (1, 5, 0), (1, 5, 3)]
     ideal = {r.query_id: r.ideal for r in providers.ideals(queries, answering({1: '{"procedures": [{"name": " knee ", "importance": "must"}, {"name": ""}], "areas": ["x"]}'})).collect()}
-    assert [tuple(x) for x in ideal[1].procedures] == [("knee", "optional")] and ideal[1].areas == ["x"] and ideal[2].subspecialties == []
+    assert [tuple(x) for x in ideal[1].procedures] == [("knee", "preferred", 0.8)] and ideal[1].areas == ["x"] and ideal[2].subspecialties == []
     lists = {r.query_id: r["items"] for r in providers.checklists(queries, answering({1: '{"items": ["a", " a ", "", "b", "c"]}'}), 2).collect()}
     assert lists[1] == ["a", "b"] and lists[2] == []
 
