@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .config import RankingConfig
-from .operators import filters, sessions, shortlist
+from .operators import conditions, filters, sessions, shortlist
 
 search_doctor = filters.name_search
 
@@ -32,9 +32,10 @@ def search(profiles: DataFrame, *, name: str | None = None, specialty: str | Non
     return found.where(where) if where is not None else found
 
 
-def rank(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None) -> DataFrame:
-    """The two-stage short list of every query."""
-    return shortlist.shortlist(queries, documents, counts, config, where)
+def rank(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None, asked: DataFrame | None = None, catalogue: conditions.Catalogue | None = None) -> DataFrame:
+    """The two-stage short list of every query, over the documents that its conditions (``asked``, by a catalogue of what documents offer) let through."""
+    first = catalogue.scores(queries, asked, config) if catalogue is not None and asked is not None else None
+    return shortlist.shortlist(queries, documents, counts, config, where, first)
 
 
 def rank_production(queries: DataFrame, documents: DataFrame, signals: DataFrame, config: RankingConfig = RankingConfig(), top: int | None = None) -> DataFrame:

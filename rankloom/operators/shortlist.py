@@ -61,15 +61,17 @@ def stage_a(queries: DataFrame, documents: DataFrame, config: RankingConfig = Ra
     return ranked(bm25(queries, documents, config), top or config.stage_a_size())
 
 
-def shortlist(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None) -> DataFrame:
+def shortlist(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None, first: DataFrame | None = None) -> DataFrame:
     """Filter, first stage, second stage, best ``top_k``.
 
-    ``where`` filters documents first, so document frequencies are those of what is left.
+    ``where`` filters documents first, so document frequencies are those of what is left;
+    ``first`` gives the first stage's scores (query_id, doc_id, score) instead, such as those of
+    ``conditions.Catalogue.scores``, where every query has a filter of its own.
     ``counts`` adds the columns intent, anchor, negative, subspecialty and ambiguous to
     the first stage's rows, which have query_id, doc_id, score, body and query.
     """
     kept = documents.where(where) if where is not None else documents
-    top = stage_a(queries, kept, config)
+    top = stage_a(queries, kept, config) if first is None else ranked(first, config.stage_a_size())
     rows = counts(top.join(kept.select("doc_id", F.col("text").alias("body")), "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id"))
     score = RS.additive(*[F.col(c) for c in ("score", "intent", "anchor", "negative", "subspecialty", "ambiguous")], config.intent_weight, config.anchor_weight, config.subspecialty_cap)
     return ranked(rows.select(*PAIR, F.round(score, 6).alias("score")), config.top_k)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..config import GENERIC_TERMS, PRODUCTION_FIELDS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
@@ -571,20 +572,31 @@ UNION ALL SELECT doc_id, 'group', CASE doc_id % 5 WHEN 0 THEN 'Paediatrics' WHEN
 ALLOWED_SQL = """allowed AS (SELECT q.query_id, d.doc_id FROM q JOIN documents d ON CASE query_id % 4 WHEN 0 THEN lower(trim(lang)) = 'en' WHEN 1 THEN (contains(lower(source), 'src1') OR contains('src1', lower(source))) AND lang IN ('en', 'fr') WHEN 2 THEN doc_id % 5 IN (0, 1, 2) AND query_id % 20 <> 2 ELSE true END)"""
 
 
-@add("bm25_filter_per_query", f"""WITH q AS ({QUERIES}), {ALLOWED_SQL}, tok AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents),
+FILTERED_SQL = f"""WITH q AS ({QUERIES}), {ALLOWED_SQL}, tok AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents),
 stats AS (SELECT query_id, count(*)::DOUBLE AS n, avg(len(t)) AS avgdl FROM allowed JOIN tok USING (doc_id) GROUP BY query_id),
 post AS (SELECT doc_id, dl, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY ALL),
 qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS.format('text')}) AS term FROM q) GROUP BY ALL),
 hits AS (SELECT query_id, doc_id, term, dl, tf, qtf FROM qt JOIN post USING (term) JOIN allowed USING (query_id, doc_id)),
 w AS (SELECT query_id, term, greatest(0::DOUBLE, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1)) AS idf FROM hits JOIN stats USING (query_id) GROUP BY query_id, term, n),
 scores AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM hits JOIN w USING (query_id, term) JOIN stats USING (query_id) GROUP BY query_id, doc_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores) {TOP.format(n=10)}""")
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"""
+
+
+@add("bm25_filter_per_query", f"{FILTERED_SQL} {TOP.format(n=10)}")
 def _(spark, sf):
     q, docs = inputs(spark, sf)
     catalogue = CO.Catalogue(IX.build(docs), view(spark, sf, OFFERED))
     return out(ranked(catalogue.scores(q, view(spark, sf, ASKED)), 10))
 
 
+@add("shortlist_filter_per_query", f"""{FILTERED_SQL}, qtok AS (SELECT query_id, {TOKENS.format('text')} AS t FROM q), k AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(t[1:6], lambda x: contains(lower(d.text), x))) AS intent, len(list_filter(t[7:8], lambda x: contains(lower(d.text), x))) AS anchor, len(list_filter({NEG}, lambda x: contains(lower(d.text), x))) AS neg FROM ranked r JOIN documents d USING (doc_id) JOIN qtok USING (query_id) WHERE rank <= {SIZE}),
+s AS (SELECT query_id, doc_id, round(greatest(0e0, score + 0.3e0 * intent + 0.5e0 * anchor + {NEG_SQL}), 6) AS score FROM k) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 12""")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    catalogue = CO.Catalogue(IX.build(docs), view(spark, sf, OFFERED))
+    return out(api.rank(q, docs, stage_b_counts, asked=view(spark, sf, ASKED), catalogue=catalogue))
+
+
 @add("filter_sizes", f"WITH q AS ({QUERIES}), {ALLOWED_SQL} SELECT q.query_id, count(doc_id) AS n FROM q LEFT JOIN allowed ON q.query_id = allowed.query_id GROUP BY q.query_id")
 def _(spark, sf):
     q, docs = inputs(spark, sf)
