@@ -134,6 +134,16 @@ def _(spark, sf):
     return tracker.with_shares(tracker.drain(tracker.running_tally(log, "user_id"), f"{folder}/tracker", ["user_id"]))
 
 
+@add("windowed_tally", "SELECT time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01') AS start, user_id, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    log = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    # The table's stamps have no zone: they are taken as UTC, whatever the session's zone, and given back so.
+    log = log.withColumn("ts", F.convert_timezone(L("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"))
+    counts = tracker.drain(tracker.windowed_tally(log, "user_id"), f"{shared_dir(spark)}/tracker", ["w", "user_id"])
+    return counts.select(F.convert_timezone(F.current_timezone(), L("UTC"), F.col("w.start").cast("timestamp_ntz")).alias("start"), "user_id", "n")
+
+
 @add("page_text", r"SELECT page_id, len(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')))::BIGINT AS n_chars FROM pages")
 def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.length(F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"\s+", " "))).cast("long").alias("n_chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import text as T
 from ..operators import boosts as B
 from ..operators import metrics as M
@@ -131,9 +132,7 @@ def _(spark, sf):
 
 @add("tally_top_targets", "SELECT * FROM (SELECT user_id, count(*) AS n, min(ts) AS first_seen, round(100e0 * count(*) / sum(count(*)) OVER (), 2) AS percent FROM events GROUP BY user_id) ORDER BY n DESC, user_id LIMIT 20")
 def _(spark, sf):
-    from ..operators.sessions import tally
-
-    return tally(table(spark, sf, "events"), "user_id", 20).select("user_id", "n", "first_seen", "percent")
+    return api.tracker_stats(table(spark, sf, "events"), "user_id").select("user_id", "n", "first_seen", "percent")
 
 
 @add("last_log_rows", "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import readers as RD
-from .base import Book, shared_dir, table
+from .base import Book, shared_dir, table, view
 
 BOOK = Book()
 add = BOOK.add
@@ -64,6 +64,19 @@ def _(spark, sf):
     return RD.chats(spark, path).where(F.col("session").startswith("conv=")).select("session", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+#: Lines of a bank of questions: whole texts, some in quotes, with headings, markers and short lines between them.
+LINES = """SELECT item_id, 0 AS k, concat(CASE item_id % 3 WHEN 0 THEN '"' WHEN 1 THEN '“' ELSE '' END, replace(coalesce(text, ''), chr(10), ' '), CASE item_id % 3 WHEN 0 THEN '"' WHEN 1 THEN '”' ELSE '' END) AS value FROM benchmark
+UNION ALL SELECT item_id, 1, CASE item_id % 4 WHEN 0 THEN 'Practical, intent-heavy' WHEN 1 THEN 'Gastroenterology hepatobiliary medicine services' WHEN 2 THEN 'too short a line' ELSE '' END FROM benchmark"""
+
+
+@add("question_bank", f"""WITH l AS ({LINES}), q AS (SELECT item_id, k, trim(CASE WHEN k = 0 AND item_id % 3 < 2 THEN value[2:-2] ELSE value END) AS question FROM l)
+SELECT n::INT AS n, question FROM (SELECT question, row_number() OVER (ORDER BY item_id, k) AS n FROM q WHERE len(question) >= 30 AND NOT (k = 1 AND item_id % 4 IN (0, 1))) WHERE n <= 20""")
+def _(spark, sf):
+    path = folder(spark, "questions")
+    view(spark, sf, LINES).repartition(1).sortWithinPartitions("item_id", "k").select("value").write.text(path)
+    return RD.questions(spark, path).select("n", "question")
+
+
 @add("lookup_scan", "SELECT 'D' || n_nationkey::VARCHAR AS district, 499e-1 + n_nationkey AS lat, n_regionkey::DOUBLE AS lon FROM nation")
 def _(spark, sf):
     path = folder(spark, "lookup")

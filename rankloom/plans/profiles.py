@@ -77,7 +77,7 @@ def _(spark, sf):
 @add("profile_complete", f"""WITH {REC_SQL}, r AS (SELECT *, [' ' || segment || ' ', CASE WHEN nation % 2 = 0 THEN 'bldg' ELSE '' END] AS d, ['plan ' || (nation % 3)::VARCHAR, lower(segment)] AS a FROM rec),
 e AS (SELECT k, trim(unnest(list_concat(d, a))) AS raw, generate_subscripts(list_concat(d, a), 1) AS pos FROM r), m AS (SELECT k, pos, CASE lower(raw) WHEN 'bldg' THEN 'Building' WHEN 'machinery' THEN 'Machines' WHEN 'plan 1' THEN 'Plan One' ELSE raw END AS name FROM e WHERE raw <> ''),
 f AS (SELECT k, lower(name) AS key, min(pos) AS pos, arg_min(name, pos) AS name FROM m GROUP BY 1, 2), i AS (SELECT k, string_agg(name, '|' ORDER BY pos) AS insurers FROM f GROUP BY k)
-SELECT r.k::VARCHAR AS about, insurers, CASE WHEN r.k % 6 = 0 THEN r.k % 12 = 0 ELSE coalesce(r.k % 5 = 0, false) OR r.k % 9 = 4 OR (NOT bare AND nation = 3 AND coalesce(hospital, '') <> '') END AS remote_consultation,
+SELECT r.k::VARCHAR AS about, insurers, CASE WHEN r.k % 6 = 0 THEN r.k % 12 = 0 ELSE coalesce(r.k % 5 = 0, false) OR r.k % 9 = 4 OR (NOT bare AND nation = 3) END AS remote_consultation,
  CASE WHEN r.k % 4 = 0 THEN 'knee:' || (r.k % 50)::DOUBLE::VARCHAR || ':BUPA|hip:12.0:PHIN' ELSE 'hip:12.0:PHIN' END AS volumes, r.k % 3 = 0 AS has_isrctn_trials, CASE WHEN r.k % 2 = 0 THEN 'fine' END AS patient_feedback FROM r JOIN i ON r.k = i.k""")
 def _(spark, sf):
     k, none = F.col("k"), F.expr("cast(null as array<struct<name: string, volume: double, count: string>>)")

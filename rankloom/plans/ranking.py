@@ -55,6 +55,12 @@ def _(spark, sf):
     return out(ranked(bm25(*inputs(spark, sf), RankingConfig(variant="mini", k1=1.2, b=0.8)).where("score > 0"), 10))
 
 
+@add("bm25_merged_config", f"WITH {bm25_sql(k1=1.2)} {TOP.format(n=12)}")
+def _(spark, sf):
+    config = RankingConfig().merged(k1=1.2, b=None, top_n=None, top_k=12)
+    return out(ranked(bm25(*inputs(spark, sf), config), config.top_k))
+
+
 @add("bm25_field_weighted", f"WITH {bm25_sql(corpus='''SELECT doc_id, coalesce(text, '') || ' ' || lang || ' ' || lang || ' ' || lang || ' ' || source || ' ' || source AS text FROM documents''', queries='''SELECT item_id AS query_id, text || ' src1 src7' AS text FROM benchmark''')} {TOP.format(n=10)}")
 def _(spark, sf):
     q = view(spark, sf, "SELECT item_id AS query_id, text || ' src1 src7' AS text FROM benchmark")
