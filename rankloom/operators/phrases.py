@@ -10,31 +10,27 @@ from ..staging import stage
 
 #: Words of a phrase are longer than two characters, so these many at its outer ends can be compared for equality.
 END = 3
-#: Queries of so few blank-separated pieces have no piece of their own that a text must hold; so many are looked for at once.
-FEW, TOGETHER = 2, 4096
+#: Queries of so few blank-separated pieces have no two pieces that a text must hold as they are; so many are looked for at once.
+FEW, TOGETHER = 3, 4096
 
 
 def _keys(at) -> list[Column]:
-    """Hashes by which a place in a text meets what may stand there; ``at(i)`` is the i-th piece from the place on.
-
-    Two and three pieces by the ends of the outer ones, two pieces as they are, one piece as it is.
-    """
+    """Hashes by which a place in a text meets what may stand there, of two and of three pieces; ``at(i)`` is the i-th piece from the place on."""
     last, first = (lambda w: F.right(w, F.lit(END))), (lambda w: F.left(w, F.lit(END)))
-    return [F.xxhash64(F.lit(1), last(at(0)), first(at(1))), F.xxhash64(F.lit(2), last(at(0)), at(1), first(at(2))), F.xxhash64(F.lit(3), at(0), at(1)), F.xxhash64(F.lit(4), at(0))]
+    return [F.xxhash64(F.lit(1), last(at(0)), first(at(1))), F.xxhash64(F.lit(2), last(at(0)), at(1), first(at(2)))]
 
 
 def _needles(phrases: DataFrame, wholes: DataFrame) -> DataFrame:
     """(needle) of both kinds -> needle, pieces, key, at: the hash of some of its pieces, and where in it these begin."""
     p = phrases.select("needle", F.split("needle", " ").alias("pieces"))
-    two, three, _, _ = _keys(lambda i: F.get("pieces", F.lit(i)))
+    two, three = _keys(lambda i: F.get("pieces", F.lit(i)))
     by_ends = p.select("needle", "pieces", F.when(F.size("pieces") == 2, two).otherwise(three).alias("key"), F.lit(0).alias("at"))
     w = wholes.select("needle", F.split("needle", " ").alias("pieces")).where(F.size("pieces") > FEW)
-    # Of the pieces between the first and the last, the longest two neighbours are the least common; one, if there is just one.
+    # Of the pieces between the first and the last, the longest two neighbours are the least common.
     inner = F.sequence(F.lit(1), F.greatest(F.size("pieces") - 3, F.lit(1)))
-    width = lambda i: F.length(F.get("pieces", i)) + F.when(F.size("pieces") > 3, F.length(F.get("pieces", i + 1))).otherwise(0)
+    width = lambda i: F.least(F.length(F.get("pieces", i)), F.lit(END)) + F.least(F.length(F.get("pieces", i + 1)), F.lit(END))
     w = w.withColumn("at", -F.array_max(F.transform(inner, lambda i: F.struct(width(i).alias("width"), (-i).alias("at"))))["at"])
-    _, _, pair, single = _keys(lambda i: F.get("pieces", F.col("at") + i))
-    return by_ends.unionByName(w.select("needle", "pieces", F.when(F.size("pieces") > 3, pair).otherwise(single).alias("key"), "at"))
+    return by_ends.unionByName(w.select("needle", "pieces", _keys(lambda i: F.get("pieces", F.col("at") + i))[0].alias("key"), "at"))
 
 
 def holders(phrases: DataFrame, wholes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -45,7 +41,7 @@ def holders(phrases: DataFrame, wholes: DataFrame, documents: DataFrame) -> Data
     the text follow each other, the first ending with the string's first piece, the last
     beginning with its last, those between equal.  Places in a text are hashed and meet the
     needles by equality; the pieces are compared where they are, so neither texts nor their
-    words are shuffled.  Wholes of one or two pieces have nothing to be hashed; they
+    words are shuffled.  Wholes of three pieces or fewer have nothing to be hashed; they
     are looked for in every text, many at a time.
     """
     asked = stage(_needles(phrases, wholes), "needles")

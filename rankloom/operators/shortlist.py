@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RankingConfig
+from ..staging import stage
 from . import boosts as B
 from . import fusion as FU
 from . import index
@@ -45,7 +46,8 @@ def production(queries: DataFrame, documents: DataFrame, signals: DataFrame, con
     """
     both = _with_bonus(queries, documents, signals, config, fields, 3)
     raw = F.round(F.col("score") * F.coalesce("quality", F.lit(1.0)) * F.coalesce("proximity", F.lit(1.0)) + F.col("bonus"), 6)
-    scaled = min_max(both.select(*PAIR, raw.alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic")))
+    # Written once: a query's least and greatest score are read before the pairs are scaled by them.
+    scaled = min_max(stage(both.select(*PAIR, raw.alias("score"), F.coalesce("semantic", F.lit(0.0)).alias("semantic")), "production-scores"))
     return ranked(scaled.select(*PAIR, F.round(F.round("scaled", 6) + config.semantic_weight * F.col("semantic"), 6).alias("score")))
 
 

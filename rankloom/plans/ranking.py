@@ -42,7 +42,8 @@ def out(df):
 
 @add("bm25_topk", f"WITH {bm25_sql()} {TOP.format(n=10)}")
 def _(spark, sf):
-    return out(ranked(bm25(*inputs(spark, sf)), 10))
+    q, docs = inputs(spark, sf)
+    return out(ranked(IX.build(docs).scores(q), 10))
 
 
 @add("bm25_local_topk", f"WITH {bm25_sql(variant='local')} {TOP.format(n=10)}")

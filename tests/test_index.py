@@ -88,7 +88,7 @@ def test_a_failed_writer_leaves_the_former_state(spark, corpus, queries, tmp_pat
 
 def test_no_text_is_shuffled_by_the_production_ranker(spark, corpus, queries):
     signals = corpus.select("doc_id", F.lit(1.0).alias("quality"), F.lit(1.0).alias("proximity"), F.lit(0.5).alias("semantic"))
-    df = shortlist.production(queries, corpus, signals)
+    df = shortlist._with_bonus(queries, corpus, signals, RankingConfig(), None, 3)  # what is written once and then scaled
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     inputs = re.findall(r"\(\d+\) (?:BroadcastExchange|Exchange)\n(?:Input \[\d+\]: \[([^\]]*)\])", plan)
     assert inputs
