@@ -210,6 +210,15 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(sentencepiece_codec.decode(F.col("ids"), pieces).cast("binary")).alias("decoded_md5"))
 
 
+@query
+def unigram_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's operator with the same pieces as a unigram model, where the lattice is folded by Viterbi."""
+    pieces = sentencepiece_codec.as_unigram(sentencepiece_codec.load(SENTENCEPIECE_MODEL))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = sentencepiece_codec.encode(docs, pieces, fixed=True)  # read from files
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.md5(sentencepiece_codec.decode(F.col("ids"), pieces).cast("binary")).alias("decoded_md5"))
+
+
 @query
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")))

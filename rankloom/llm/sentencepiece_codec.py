@@ -15,9 +15,10 @@ units, and each block later looks up the ids of its distinct units.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -106,6 +107,13 @@ def load(path: str) -> Pieces:
     return Pieces(normal, {p.piece: float(p.score) for i, p in enumerate(model.pieces) if kind[i] == 1}, byte_ids[0] if byte_ids else None, unknown, model.trainer_spec.model_type == 1, texts)
 
 
+def as_unigram(pieces: Pieces) -> Pieces:
+    """The same pieces as a unigram model, for which the fold is Viterbi: log-probabilities that fall with a piece's rank by Zipf's law."""
+    order = sorted(pieces.ids, key=lambda p: (-pieces.scores[p], pieces.ids[p]))
+    total = math.log(sum(1 / r for r in range(1, len(order) + 1)))
+    return replace(pieces, unigram=True, scores={p: -math.log(r) - total for r, p in enumerate(order, 1)})
+
+
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     """piece, id, score, rank; and an empty piece that gives every unit an edge, so units of unknown characters stay."""
     ranks = {score: r for r, score in enumerate(sorted(set(pieces.scores.values()), reverse=True))}

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from rankloom.llm import dedup, lexical, registry, whitening
+from rankloom.llm import dedup, lexical, registry, sentencepiece_codec, whitening
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string"
@@ -203,3 +203,36 @@ def test_search_takes_few_nodes_where_bounds_tell():
 def test_search_of_nothing(spark):
     docs, items = spark.createDataFrame(ODD, DOCS), spark.createDataFrame([(1, "fox")], "item_id long, text string")
     assert lexical.search(items, docs.limit(0)).count() == 0 == lexical.search(items.limit(0), docs).count() == lexical.search(items, docs.where("doc_id = 10")).count()
+
+
+# Viterbi on the lattice, through the registered query
+
+
+def best_score(unit, pieces, memo):
+    """The greatest total over all ways to cut a unit, by trying every first piece."""
+    if not unit:
+        return 0.0
+    if unit not in memo:
+        worst = min(pieces.scores.values()) - sentencepiece_codec.UNKNOWN_PENALTY
+        memo[unit] = max(pieces.scores.get(unit[:n], worst if n == 1 else -math.inf) + best_score(unit[n:], pieces, memo) for n in range(1, min(len(unit), pieces.longest) + 1))
+    return memo[unit]
+
+
+def test_unigram_query_finds_the_best_cuts(spark):
+    pieces = sentencepiece_codec.as_unigram(sentencepiece_codec.load(registry.SENTENCEPIECE_MODEL))
+    named = {i: p for p, i in pieces.ids.items()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = registry.QUERIES["unigram_encode"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    memo, checked = {}, 0
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert r.decoded_md5 == hashlib.md5(text.encode()).hexdigest() and r.n_tokens == len(r.ids)
+        if 0 < len(text) < 4000 and all(i in named for i in r.ids):
+            whole = sentencepiece_codec.SPACE + text.replace(" ", sentencepiece_codec.SPACE)
+            assert "".join(named[i] for i in r.ids) == whole
+            # Blanks begin words here: no piece has one behind another character.
+            words = re.findall(f"{sentencepiece_codec.SPACE}*[^{sentencepiece_codec.SPACE}]*", whole)
+            assert sum(pieces.scores[named[i]] for i in r.ids) == pytest.approx(sum(best_score(w, pieces, memo) for w in words if w))
+            checked += 1
+    assert checked > 20
