@@ -52,9 +52,14 @@ def rank_buckets(rows: DataFrame, edges=(10, 50, 100, 150)) -> DataFrame:
 
 
 def hold_out(cases: DataFrame, group: str, n: int = 5) -> DataFrame:
-    """The last ``n`` ids of each group are held out."""
-    last = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("case_id")))
-    return cases.withColumn("split", F.when(last <= n, "holdout").otherwise("train"))
+    """The last ``n`` ids of each group are held out.
+
+    Only the last few of each task are sorted by group; their least id cuts the rest.
+    """
+    last = cases.select(group, "case_id").distinct().withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("case_id")))).where(F.col("__n") <= n)
+    cut = last.groupBy(F.col(group).alias("__group")).agg(F.min("case_id").alias("__cut"))
+    joined = cases.join(cut, F.col(group).eqNullSafe(F.col("__group")), "left")
+    return joined.withColumn("split", F.when(F.col("case_id") >= F.col("__cut"), "holdout").otherwise("train")).drop("__group", "__cut")
 
 
 def penalty_ab(base: DataFrame, penalised: DataFrame, top: int = 50) -> DataFrame:

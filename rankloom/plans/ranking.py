@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import api
@@ -16,11 +15,13 @@ from ..operators import conditions as CO
 from ..operators import dictionary as DI
 from ..operators import fusion as FU
 from ..operators import index as IX
+from ..operators import positions as PO
 from ..operators import progressive as PG
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
 from ..operators import shortlist as SL
 from ..operators.bm25 import bm25, min_max, ranked
+from ..operators.phrases import bonuses
 from ..staging import fresh_path
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
 from .search import HAV, CENTRE, miles
@@ -131,7 +132,9 @@ def shortlist(spark, sf, config=RankingConfig()):
 
 @add("phrase_bonus", f"WITH {bm25_sql()}, {PHRASES_SQL} SELECT r.query_id, r.doc_id, {PHRASE_SQL} AS bonus FROM ranked r JOIN documents d USING (doc_id) JOIN ph USING (query_id) WHERE rank <= {SIZE}")
 def _(spark, sf):
-    return shortlist(spark, sf).select("query_id", "doc_id", B.phrase_bonus(F.col("query"), F.col("body")).alias("bonus"))
+    q, docs = inputs(spark, sf)
+    top = ranked(bm25(q, docs), SIZE).select("query_id", "doc_id")
+    return top.join(bonuses(q, docs, 3), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("bonus", L(0.0)).alias("bonus"))
 
 
 MINMAX_SQL = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1e0 END"
@@ -148,15 +151,21 @@ m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY label, i),
 s AS (SELECT m.label AS query_id, e.vec_id AS doc_id, round(least(1e0, greatest(0e0, sum(m.x * e.x))), 6) AS score FROM e JOIN m USING (i) GROUP BY 1, 2)"""
 
 
+#: Labels whose means travel in one row, about.
+LABELS = 256
+
+
 def semantic(spark, sf):
     """Similarity of every vector to the mean vector of each label, clamped to 0..1."""
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", "embedding")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x"))
     means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     dot = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-    # The labels are the query set: all of them in one row beside every vector.
-    every = means.agg(F.collect_list(F.struct(F.col("label").alias("query_id"), "mean")).alias("m"))
-    pairs = e.drop("label").join(F.broadcast(every)).select("*", F.explode("m").alias("x")).select("*", "x.query_id", "x.mean")
+    # The labels are the query set: every vector meets them in blocks of at most so many, a row for each block.
+    block = F.pmod(F.xxhash64("label"), F.greatest(L(1), F.ceil(F.col("labels") / LABELS)))
+    sized = means.join(F.broadcast(means.agg(F.count(L(1)).alias("labels"))))
+    every = sized.groupBy(block.alias("b")).agg(F.collect_list(F.struct(F.col("label").alias("query_id"), "mean")).alias("m"))
+    pairs = e.drop("label").crossJoin(every.select("m")).select("*", F.explode("m").alias("x")).select("*", "x.query_id", "x.mean")
     return pairs.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot)), 6).alias("score"))
 
 
@@ -185,8 +194,8 @@ def _(spark, sf):
 
 @add("empty_query_rank", f"WITH p AS ({PRACTITIONERS}) SELECT doc_id, locality, count(*) OVER (PARTITION BY locality) - row_number() OVER (PARTITION BY locality ORDER BY doc_id) + 1 AS score FROM p")
 def _(spark, sf):
-    w = Window.partitionBy("locality")
-    return view(spark, sf, PRACTITIONERS).select("doc_id", "locality", (F.count(L(1)).over(w) - F.row_number().over(w.orderBy("doc_id")) + 1).alias("score"))
+    made = PO.numbered(view(spark, sf, PRACTITIONERS).select("doc_id", "locality"), "locality", "doc_id")
+    return made.select("doc_id", "locality", (F.col("of") - F.col("position") + 1).alias("score"))
 
 
 HYPHEN = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s-]', ' ', 'g'), '\s+'), lambda x: len(x) >= 2)"

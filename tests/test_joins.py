@@ -165,3 +165,18 @@ def test_tuning_equals_scoring_each_configuration(spark):
         assert 1 <= c.k1 <= 2 and 0.5 <= c.b <= 0.9
         for r in ranked(bm25(queries, docs, RankingConfig(k1=c.k1, b=c.b), repeats({"text": c.text, "title": c.title})), 8).collect():
             assert got[c.config, r.query_id, r["rank"]] == (r.doc_id, r.score)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_positions_within_groups(spark, parts):
+    from rankloom.operators import positions
+
+    rng = random.Random(12)
+    rows = [("hot", rng.randint(0, 50)) for _ in range(200)] + [("b", 3), ("b", 1), (None, 2), (None, None), ("c", None)]
+    got = positions.numbered(spark.createDataFrame(rows, "grp string, v int").repartition(3), "grp", "v", parts).collect()
+    assert len(got) == len(rows)
+    for g in {r[0] for r in rows}:
+        mine = sorted((r.position, r.v) for r in got if r.grp == g)
+        values = sorted((v for k, v in rows if k == g), key=lambda v: (v is not None, v or 0))
+        assert [p for p, _ in mine] == list(range(1, len(values) + 1)) and [v for _, v in mine] == values
+        assert {r.of for r in got if r.grp == g} == {len(values)}
