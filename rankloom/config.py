@@ -92,6 +92,12 @@ NO_PLACES = tuple(
     Specialist Doctor Consultant Endometriosis Adenomyosis Gastroenterology Gynaecology Cardiology Great Thank Thanks Hello Hi Hey Please
     Help Looking Find Someone Insurance Have Don Does Can Could Would""".split()
 )
+# What counts for a pelvic-pain physiotherapist, besides: specialties with their points, and words of a personal statement.
+PELVIC_SPECIALTIES = (("urogynaecology", 12), ("musculo skeletal", 8), ("sexual dysfunction", 5), ("sports", 5))
+PELVIC_WORDS = (
+    "endometriosis", "pelvic pain", "chronic pain", "post-surgical", "surgery", "flare", "exercise", "pelvic floor", "nerve",
+    "muscular", "tension", "pain management", "rehabilitation", "urogynaecology", "women",
+)
 
 
 @dataclass(frozen=True)

@@ -53,3 +53,26 @@ def session(urgent: Column, available: Column, emergency: Column, specialty: Col
     """Product of the session's boosts; each argument is a condition."""
     factors = ((urgent & available, 1.2), (urgent & emergency, 1.15), (specialty, 1.3), (location, 1.2), (symptom, 1.15))
     return reduce(lambda a, b: a * b, (F.when(c, F.lit(f)).otherwise(F.lit(1.0)) for c, f in factors))
+
+
+def heuristic(required: list[tuple[Column, float]], optional: list[tuple[Column, float]]) -> Column:
+    """Points of conditions: -1, which leaves a profile out, unless all that are required hold; else their points and those of the others that hold.
+
+    A condition that is null does not hold.
+    """
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    total = reduce(lambda a, b: a + b, (F.when(holds(c), F.lit(n)).otherwise(F.lit(0)) for c, n in (*required, *optional)), F.lit(0))
+    allowed = reduce(lambda a, b: a & b, (holds(c) for c, _ in required), F.lit(True))
+    return F.when(allowed, total).otherwise(F.lit(-1))
+
+
+def pelvic_specialist(region: Column, specialty: Column, specialties: Column, member: Column, statement: Column, website: Column, practice: Column) -> Column:
+    """The heuristic for pelvic-pain physiotherapists in London, best above; -1 for all others."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    says = lambda what: F.contains(low(statement), F.lit(what))
+    any_holds = lambda what: F.exists(specialties, lambda s: F.contains(low(s), F.lit(what)))
+    there = lambda c: F.coalesce(c, F.lit("")) != ""
+    exact = F.coalesce(F.exists(specialties, lambda s: low(s) == "pelvic pain"), F.lit(False))
+    required = [(F.contains(low(region), F.lit("london")), 10), (exact | F.contains(low(specialty), F.lit("pelvic pain")), 50)]
+    optional = [(F.contains(low(member), F.lit("full member")), 15), *((any_holds(what), n) for what, n in C.PELVIC_SPECIALTIES), *((says(word), 6) for word in C.PELVIC_WORDS)]
+    return heuristic(required, [*optional, (says("pelvic pain"), 10), (says("chronic") | says("pain management"), 5), (there(website), 5), (there(practice), 3)])

@@ -161,3 +161,34 @@ def card(description: Column, procedures: Column, most_chars: int = 500, most: i
     """What a reviewer sees of a profile: the beginning of its description and its distinct procedures, the first ``most``."""
     seen = F.filter(procedures, lambda p, i: ~F.exists(F.slice(procedures, F.lit(1), i), lambda q: F.lower(q) == F.lower(p)))
     return F.struct(F.substring(description, 1, most_chars).alias("description"), F.slice(seen, 1, most).alias("procedures"))
+
+
+def fees(value: Column) -> Column:
+    """struct<new_appointment, follow_up, currency> as text: ``£250 (new), £175 (follow-up)``; null if neither is known."""
+    symbol = F.when(value["currency"] == "GBP", "£").otherwise(F.coalesce(value["currency"], F.lit("")))
+    plain = lambda x: F.when(x == F.floor(x), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    part = lambda name, kind: F.concat(symbol, plain(value[name].cast("double")), F.lit(f" ({kind})"))
+    return F.nullif(F.concat_ws(", ", part("new_appointment", "new"), part("follow_up", "follow-up")), F.lit(""))
+
+
+def response(ranking: DataFrame, profiles: DataFrame, shown: int = 200) -> DataFrame:
+    """What a search answers for each ranked profile.
+
+    ranking: (query_id, doc_id, rank, score, bm25_score) and, where there is an evaluation, tier,
+    reason and iteration_found; profiles: doc_id and what ``normalise`` makes, with fees (see ``fees``)
+    where they are known.  The expertise is cut to ``shown`` characters beside its full text; the gain of the second stage
+    is the score less the first stage's, null where there was no second stage.
+    """
+    have, ranked_by = set(profiles.columns), set(ranking.columns)
+    p = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+    r = lambda c, kind="string": F.col(c) if c in ranked_by else F.lit(None).cast(kind)
+    both = ranking.join(profiles.drop(*(ranked_by - {"doc_id"})), "doc_id")
+    text = F.nullif(p("clinical_expertise"), F.lit(""))
+    kept = [p(c).alias(c) for c in ("name", "title", "specialty", "subspecialties", "gmc_number", "about", "procedure_groups", "locations", "profile_url", "sources", "has_isrctn_trials", "research_interests", "remote_consultation", "nhs_base", "nhs_posts", "procedure_volumes")]
+    count = F.coalesce(F.when(F.size(p("procedure_volumes", VOLUMES)) > 0, F.size(p("procedure_volumes", VOLUMES))), p("procedure_count", "int"), F.lit(0))
+    return both.select(
+        "query_id", "doc_id", "rank", "score", r("bm25_score", "double").alias("bm25_score"), (F.col("score") - r("bm25_score", "double")).alias("rescoring_score"), *kept,
+        F.when(text.isNotNull(), F.concat(F.substring(text, 1, shown), F.lit("..."))).alias("clinical_expertise"), text.alias("clinical_expertise_full"),
+        (fees(F.col("fees")) if "fees" in have else F.lit(None).cast("string")).alias("pricing"), count.alias("procedure_count"),
+        r("tier").alias("fit_category"), r("reason").alias("evaluation_reason"), r("iteration_found", "int").alias("iteration_found"),
+    )

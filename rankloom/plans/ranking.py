@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import api
-from ..config import GENERIC_TERMS, PRODUCTION_FIELDS, RankingConfig
+from ..config import GENERIC_TERMS, PELVIC_SPECIALTIES, PELVIC_WORDS, PRODUCTION_FIELDS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import boosts as B
@@ -16,6 +16,7 @@ from ..operators import dictionary as DI
 from ..operators import fusion as FU
 from ..operators import index as IX
 from ..operators import positions as PO
+from ..operators import profiles as PR
 from ..operators import progressive as PG
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
@@ -649,3 +650,32 @@ def _(spark, sf):
 def _(spark, sf):
     return loop(spark, sf)[1]
 
+
+# A heuristic by points, and what a search answers
+
+STATED = """SELECT s_suppkey AS doc_id, concat(n_name, CASE WHEN s_suppkey % 5 <> 0 THEN ' Greater London' ELSE '' END) AS region, CASE WHEN s_suppkey % 3 = 0 THEN 'Chronic Pelvic Pain' END AS specialty, CASE WHEN s_suppkey % 7 <> 0 THEN concat(CASE s_suppkey % 4 WHEN 0 THEN 'Pelvic Pain|Sports injuries' WHEN 1 THEN 'pelvic pain|Urogynaecology' WHEN 2 THEN 'Musculo Skeletal' ELSE 'pelvic pains' END, '|', s_name) END AS listed,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'Full Member' ELSE 'Associate' END AS member, CASE WHEN s_suppkey % 6 <> 0 THEN concat('I treat ', CASE s_suppkey % 4 WHEN 0 THEN 'endometriosis and pelvic pain' WHEN 1 THEN 'CHRONIC tension, pain management' ELSE 'women' END, ' in ', n_name) END AS statement, CASE WHEN s_suppkey % 3 = 1 THEN s_name ELSE '' END AS website, CASE WHEN s_suppkey % 4 = 1 THEN s_name END AS practice FROM supplier JOIN nation ON s_nationkey = n_nationkey"""
+HOLDS = lambda c, v: f"contains(lower(coalesce({c}, '')), '{v}')"
+POINTS_SQL = " + ".join([f"CASE WHEN {HOLDS('member', 'full member')} THEN 15 ELSE 0 END", *(f"CASE WHEN {HOLDS('listed', w)} THEN {n} ELSE 0 END" for w, n in PELVIC_SPECIALTIES), *(f"CASE WHEN {HOLDS('statement', w)} THEN 6 ELSE 0 END" for w in PELVIC_WORDS)])
+
+
+@add("heuristic_score", f"""SELECT doc_id, CASE WHEN {HOLDS('region', 'london')} AND (coalesce(list_contains(string_split(lower(listed), '|'), 'pelvic pain'), false) OR {HOLDS('specialty', 'pelvic pain')}) THEN 60 + {POINTS_SQL} + CASE WHEN {HOLDS('statement', 'pelvic pain')} THEN 10 ELSE 0 END + CASE WHEN {HOLDS('statement', 'chronic')} OR {HOLDS('statement', 'pain management')} THEN 5 ELSE 0 END
+ + CASE WHEN website <> '' THEN 5 ELSE 0 END + CASE WHEN practice <> '' THEN 3 ELSE 0 END ELSE -1 END AS score FROM ({STATED})""")
+def _(spark, sf):
+    c = F.col
+    points = B.pelvic_specialist(c("region"), c("specialty"), F.split("listed", "[|]"), c("member"), c("statement"), c("website"), c("practice"))
+    return view(spark, sf, STATED).select("doc_id", points.alias("score"))
+
+
+ANSWERED = """SELECT doc_id, source AS name, lang AS specialty, text AS clinical_expertise, CASE WHEN doc_id % 3 <> 0 THEN 100e0 + doc_id % 7 * 25e-1 END AS new_fee, CASE WHEN doc_id % 4 <> 0 THEN 80e0 END AS later_fee, CASE doc_id % 5 WHEN 0 THEN 'EUR ' WHEN 1 THEN NULL ELSE 'GBP' END AS currency FROM documents"""
+
+
+@add("search_response", f"""WITH {bm25_sql()}, d AS ({ANSWERED}), y AS (SELECT *, CASE WHEN currency = 'GBP' THEN '£' ELSE coalesce(currency, '') END AS s FROM d)
+SELECT query_id, y.doc_id, rank, score * 2 AS score, score AS rescoring_score, name, CASE WHEN clinical_expertise <> '' THEN md5(substr(clinical_expertise, 1, 200) || '...') END AS expertise,
+ nullif(concat_ws(', ', s || CASE WHEN new_fee = floor(new_fee) THEN new_fee::BIGINT::VARCHAR ELSE new_fee::VARCHAR END || ' (new)', s || later_fee::BIGINT::VARCHAR || ' (follow-up)'), '') AS pricing FROM ranked r JOIN y ON r.doc_id = y.doc_id WHERE rank <= 12""")
+def _(spark, sf):
+    top = ranked(bm25(*inputs(spark, sf)), 12).withColumn("bm25_score", F.col("score")).withColumn("score", F.col("score") * 2)
+    fees = F.struct(F.col("new_fee").alias("new_appointment"), F.col("later_fee").alias("follow_up"), "currency")
+    made = PR.response(top, view(spark, sf, ANSWERED).withColumn("fees", fees))
+    return made.select("query_id", "doc_id", "rank", "score", F.round("rescoring_score", 6).alias("rescoring_score"), "name", F.md5(F.col("clinical_expertise").cast("binary")).alias("expertise"), "pricing")
+
