@@ -142,7 +142,7 @@ def _search(codes: Codes, k: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, sample: int = 20_000, reach: float = 0.98) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, sample: int = 20_000, reach: float = 0.98, cell: int = CELL, block: int = BLOCK) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank (from 1), vec_id, score (cosine).
 
     vectors: (vec_id, vector); extra columns are ignored, whatever their names.
@@ -152,22 +152,22 @@ def nearest(vectors: DataFrame, is_query: Column, *, k: int = 5, sample: int = 2
     components, or whose id is null, take no part.  A cosine needs vectors of one length:
     each length is searched on its own.  Rows that are equal throughout are one; an id
     with several vectors is a candidate, or a query, by its nearest.  No usable rows: no
-    result.
+    result.  ``cell`` candidates and ``block`` queries, about, meet in a task.
     """
     good = stage(vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).distinct(), "ann-vectors")
     out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     sizes = good.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).where("q > 0").orderBy("d").collect()  # a row for each length that is asked for
     for d, n, n_queries in sizes:
-        out = out.unionByName(_of_length(good.where(F.size("vector") == d), is_query, n, n_queries, k, sample, reach))
+        out = out.unionByName(_of_length(good.where(F.size("vector") == d), is_query, n, n_queries, k, sample, reach, cell, block))
     single = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return single.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _of_length(good: DataFrame, is_query: Column, n: int, n_queries: int, k: int, sample: int, reach: float) -> DataFrame:
+def _of_length(good: DataFrame, is_query: Column, n: int, n_queries: int, k: int, sample: int, reach: float, cell: int, block: int) -> DataFrame:
     """The best few of each query in each cell, among vectors of one length."""
     codes = learn(good, most=sample, k=k, reach=reach)
-    cells, blocks = max(1, -(-n // CELL)), max(1, -(-n_queries // BLOCK))
+    cells, blocks = max(1, -(-n // cell)), max(1, -(-n_queries // block))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     left = good.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("block", every(blocks))
     right = good.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("cell", every(cells))

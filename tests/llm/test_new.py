@@ -236,3 +236,30 @@ def test_unigram_query_finds_the_best_cuts(spark):
             assert sum(pieces.scores[named[i]] for i in r.ids) == pytest.approx(sum(best_score(w, pieces, memo) for w in words if w))
             checked += 1
     assert checked > 20
+
+
+# Nearest neighbours over many cells and blocks
+
+
+def test_nearest_over_many_cells_equals_brute_force_nearly(spark):
+    from rankloom.llm import ann
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", _col("embedding").alias("vector"))
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.vector for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(len(ids)):
+        if ids[i] % 10 == 0:
+            best = [j for j in np.lexsort((ids, -(x @ x[i]))) if j != i][:5]
+            want[ids[i]] = {int(ids[j]) for j in best}
+    got = ann.nearest(table, _col("vec_id") % 10 == 0, cell=60, block=7).collect()
+    found = defaultdict(set)
+    for r in got:
+        found[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(float(x[ids == r.query_id][0] @ x[ids == r.vec_id][0]), abs=1e-9)
+    assert set(found) == set(want) and all(len(v) == 5 for v in found.values())
+    recall = sum(len(found[q] & want[q]) for q in want) / (5 * len(want))
+    assert len(want) == 50 and recall >= 0.9
+    one = {(r.query_id, r.vec_id) for r in ann.nearest(table, _col("vec_id") % 10 == 0).collect()}
+    assert len(one & {(q, v) for q, vs in found.items() for v in vs}) >= 0.9 * len(one)
