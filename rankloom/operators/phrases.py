@@ -54,8 +54,7 @@ def holders(phrases: DataFrame, wholes: DataFrame, documents: DataFrame) -> Data
     here = F.endswith(F.get("w", begin), F.get("pieces", F.lit(0))) & F.startswith(F.get("w", begin + n - 1), F.element_at("pieces", -1))
     found = met.where((begin >= 0) & (begin + n <= F.size("w"))).where(here & ((n == 2) | between)).select("doc_id", "needle")
     short = wholes.where(F.size(F.split("needle", " ")) <= FEW).distinct().withColumn("b", F.floor(F.monotonically_increasing_id() / TOGETHER)).groupBy("b").agg(F.collect_list("needle").alias("q"))
-    short = stage(short.select("q"), "short-needles")
-    looked = low.join(F.broadcast(short)).select("doc_id", F.explode(F.filter("q", lambda q: F.contains(F.col("body"), q))).alias("needle"))  # TOGETHER short strings a row
+    looked = low.join(F.broadcast(short.select("q"))).select("doc_id", F.explode(F.filter("q", lambda q: F.contains(F.col("body"), q))).alias("needle"))  # TOGETHER short strings a row
     return found.unionByName(looked).distinct()
 
 
@@ -73,7 +72,7 @@ def phrase_hits(queries: DataFrame, documents: DataFrame, longest: int = 3) -> D
 
 def bonuses(queries: DataFrame, documents: DataFrame, longest: int = 3) -> DataFrame:
     """(query_id, doc_id, bonus) as ``boosts.phrase_bonus`` has it, pairs without any left out: 2 for the whole query, 1 for each of its runs of words."""
-    runs = stage(_runs(queries, longest), "runs")
-    wholes = stage(queries.select("query_id", F.lower(F.trim("text")).alias("needle"), F.lit(2.0).alias("times")).where("needle <> ''"), "wholes")
+    runs = _runs(queries, longest)
+    wholes = queries.select("query_id", F.lower(F.trim("text")).alias("needle"), F.lit(2.0).alias("times")).where("needle <> ''")
     hits = holders(runs.select("needle").distinct(), wholes.select("needle").distinct(), documents)
     return hits.join(runs.unionByName(wholes), "needle").groupBy("query_id", "doc_id").agg(F.sum("times").alias("bonus"))

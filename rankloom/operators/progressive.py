@@ -96,3 +96,13 @@ def progressive(scores: DataFrame, evaluator: Evaluator, *, batch: int = 12, rou
     results = ranked(rows.drop("rank"), top, [F.asc("tier_order"), F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "tier", "reason", "iteration_found", "rank")
     counts = seen.groupBy("query_id").agg(F.count_if("evaluated").alias("reviewed"), *[F.count_if(F.col("tier") == t).alias(t.replace("-", "_")) for t in _ORDER])
     return results, stops.join(counts, "query_id")
+
+
+def progressive_with_checklist(scores: DataFrame, boosts: DataFrame, evaluator: Evaluator, **how) -> tuple[DataFrame, DataFrame]:
+    """``progressive`` on scores raised by what documents have of a query's checklist.
+
+    boosts: (query_id, doc_id, boost), such as ``rescore.checklist`` makes of ``providers.checklists``; a pair
+    without one keeps its score.
+    """
+    raised = scores.join(boosts, ["query_id", "doc_id"], "left").withColumn("score", F.round(F.col("score") * F.coalesce("boost", F.lit(1.0)), 6)).drop("boost")
+    return progressive(raised, evaluator, **how)

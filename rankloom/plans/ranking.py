@@ -646,6 +646,24 @@ def _(spark, sf):
     return loop(spark, sf)[0]
 
 
+#: A checklist of every query: its first two terms.
+LISTED_SQL = f"""tk AS (SELECT query_id, {TOKENS.format('text')} AS t FROM (SELECT item_id AS query_id, text FROM benchmark)), bo AS (SELECT r.query_id, r.doc_id, (CASE WHEN contains(lower(coalesce(d.text, '')), t[1]) THEN 1e0 ELSE 0e0 END + CASE WHEN contains(lower(coalesce(d.text, '')), t[2]) THEN 1e0 ELSE 0e0 END) / 2 AS ratio FROM u r JOIN tk USING (query_id) JOIN documents d ON d.doc_id = r.doc_id)"""
+
+
+@add("progressive_checklist_loop", LOOP_SQL.replace(f"WITH a AS (WITH {bm25_sql()} SELECT query_id, doc_id, score, rank, count(*) OVER (PARTITION BY query_id) AS n FROM ranked)", f"WITH u AS (WITH {bm25_sql()} SELECT query_id, doc_id, score FROM scores), {LISTED_SQL}, a AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM (SELECT u.query_id, u.doc_id, round(u.score * CASE WHEN ratio >= 0.3e0 THEN least(1 + 0.2e0 * ratio, 1.2e0) ELSE 1e0 END, 6) AS score FROM u JOIN bo USING (query_id, doc_id)))")
+     + ", r AS (SELECT query_id, doc_id, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'excellent' THEN 0 WHEN 'good' THEN 1 ELSE 2 END, score DESC, doc_id) AS rank FROM seen) SELECT * FROM r WHERE rank <= 12")
+def _(spark, sf):
+    q, docs = inputs(spark, sf)
+    scores, t = IX.build(docs).scores(q), T.tokens(F.col("query"))
+    held = lambda i: F.contains(F.lower(F.coalesce("text", L(""))), F.get(t, i)).cast("int")
+    # What a checklist asks for is looked for in the documents that a query scores.
+    ratio = (F.coalesce(held(0), L(0)) + F.coalesce(held(1), L(0))) / 2
+    pairs = scores.select("query_id", "doc_id").join(docs, "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
+    boosts = pairs.select("query_id", "doc_id", F.when(ratio >= 0.3, F.least(1 + 0.2 * ratio, L(1.2))).otherwise(1.0).alias("boost"))
+    evaluator = PG.by_provider(lambda batches: (b[["query_id", "doc_id", "answer"]] for b in batches), view(spark, sf, SAYS), q)
+    return PG.progressive_with_checklist(scores, boosts, evaluator)[0].select("query_id", "doc_id", "score", "tier", "rank")
+
+
 @add("progressive_searches", f"{LOOP_SQL} SELECT query_id, any_value(stop_reason) AS stop_reason, any_value(rounds) AS rounds_used, count(*) AS reviewed, count(*) FILTER (tier = 'excellent') AS excellent, count(*) FILTER (tier = 'good') AS good, count(*) FILTER (tier = 'ill-fit') AS ill_fit FROM seen GROUP BY query_id")
 def _(spark, sf):
     return loop(spark, sf)[1]
@@ -678,4 +696,3 @@ def _(spark, sf):
     fees = F.struct(F.col("new_fee").alias("new_appointment"), F.col("later_fee").alias("follow_up"), "currency")
     made = PR.response(top, view(spark, sf, ANSWERED).withColumn("fees", fees))
     return made.select("query_id", "doc_id", "rank", "score", F.round("rescoring_score", 6).alias("rescoring_score"), "name", F.md5(F.col("clinical_expertise").cast("binary")).alias("expertise"), "pricing")
-
