@@ -52,7 +52,9 @@ def _parts(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def _write(rows: DataFrame, path: str) -> None:
     dealt, n = _parts(rows)
-    dealt.select("part", "number", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", path).saveAsTable("rankloom_index_" + uuid.uuid4().hex)
+    name = "rankloom_index_" + uuid.uuid4().hex
+    dealt.select("part", "number", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", path).saveAsTable(name)
+    rows.sparkSession.sql(f"DROP TABLE {name}")  # segments are read by their paths; an external table's files stay
 
 
 def build(documents: DataFrame, fields: list[str] | None = None, tokenise=T.tokens) -> "Index":
@@ -66,7 +68,7 @@ def build(documents: DataFrame, fields: list[str] | None = None, tokenise=T.toke
     dealt, n = _parts(rows_of(documents, fields, tokenise).withColumn("gone", F.lit(False)))
     name = "rankloom_index_" + uuid.uuid4().hex
     dealt.select("part", "number", "doc_id", "lengths", "terms", "gone").write.bucketBy(n, "part").sortBy("part").option("path", fresh_path(spark, "index")).saveAsTable(name)
-    return Index(spark.table(name), fields)
+    return Index(spark.table(name), fields, name)
 
 
 @dataclass
@@ -75,6 +77,12 @@ class Index:
 
     rows: DataFrame
     fields: list[str]
+    table: str | None = None
+
+    def forget(self) -> None:
+        """Take the table's name out of the catalogue, where it is kept for its buckets; the files have the lifetime of the shared folder."""
+        if self.table:
+            self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def _weights(self, weights: dict[str, int] | None) -> Column:
         return F.array(*[F.lit(int((weights or {}).get(f, 1))) for f in self.fields])

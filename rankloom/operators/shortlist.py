@@ -22,12 +22,17 @@ def _with_bonus(queries: DataFrame, documents: DataFrame, signals: DataFrame, co
 
     Texts become postings, and runs of words meet the queries' runs; no text goes further.
     """
-    weights = repeats(fields) if fields else {"text": 1}
+    weights = repeats(fields) if fields else fields_of(documents, config)
     scores = index.build(documents, list(weights)).scores(queries, config, weights)
     bonus = bonuses(queries, weighted_text(documents, weights), longest)
     return scores.join(bonus, PAIR, "left").join(signals, "doc_id", "left").withColumn("bonus", F.coalesce("bonus", F.lit(0.0)))
 
 
+def fields_of(documents: DataFrame, config: RankingConfig) -> dict[str, int]:
+    """``text`` if the documents have it, else those of the configuration's fields that they have, with their repetitions."""
+    return {"text": 1} if "text" in documents.columns else repeats({f: w for f, w in config.fields.items() if f in documents.columns})
+
+
 def weighted_text(documents: DataFrame, weights: dict[str, int]) -> DataFrame:
     """doc_id and text: the fields one after another, each as often as its weight says; empty ones are left out."""
     if list(weights.values()) == [1]:
@@ -40,8 +45,8 @@ def production(queries: DataFrame, documents: DataFrame, signals: DataFrame, con
     """The production ranker: (BM25 x quality x proximity) + phrase bonus, scaled to 0..1 within a query, plus weighted semantic scores.
 
     signals: doc_id, quality, proximity, semantic (null: 1, 1 and 0).  ``fields`` names the
-    columns that make a document's text and how often each counts (``PRODUCTION_FIELDS``
-    for whole profiles); without it, ``text``.  Every document that shares a term with
+    columns that make a document's text and how often each counts; without it, that is
+    ``text``, or the fields of the configuration (``PRODUCTION_FIELDS``) for whole profiles.  Every document that shares a term with
     a query is scored.
     """
     both = _with_bonus(queries, documents, signals, config, fields, 3)
@@ -60,7 +65,7 @@ def local(queries: DataFrame, documents: DataFrame, signals: DataFrame, config:
 
 def stage_a(queries: DataFrame, documents: DataFrame, config: RankingConfig = RankingConfig(), top: int | None = None) -> DataFrame:
     """The first stage's best ``top`` (the configured size by default) of every query."""
-    return ranked(bm25(queries, documents, config), top or config.stage_a_size())
+    return ranked(bm25(queries, documents, config, fields_of(documents, config)), top or config.stage_a_size())
 
 
 def shortlist(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None, first: DataFrame | None = None) -> DataFrame:
@@ -74,7 +79,8 @@ def shortlist(queries: DataFrame, documents: DataFrame, counts, config: RankingC
     """
     kept = documents.where(where) if where is not None else documents
     top = stage_a(queries, kept, config) if first is None else ranked(first, config.stage_a_size())
-    rows = counts(top.join(kept.select("doc_id", F.col("text").alias("body")), "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id"))
+    texts = weighted_text(kept, fields_of(kept, config)).withColumnRenamed("text", "body")
+    rows = counts(top.join(texts, "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id"))
     score = RS.additive(*[F.col(c) for c in ("score", "intent", "anchor", "negative", "subspecialty", "ambiguous")], config.intent_weight, config.anchor_weight, config.subspecialty_cap)
     return ranked(rows.select(*PAIR, F.round(score, 6).alias("score")), config.top_k)
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from .. import api
-from ..config import GENERIC_TERMS, PELVIC_SPECIALTIES, PELVIC_WORDS, PRODUCTION_FIELDS, RankingConfig
+from ..config import GENERIC_TERMS, PELVIC_SPECIALTIES, PELVIC_WORDS, RankingConfig
 from ..functions import text as T
 from ..operators import analytics as AN
 from ..operators import boosts as B
@@ -573,8 +573,13 @@ NAMING = "SELECT item_id AS query_id, text || ' src1 en en' AS text FROM benchma
 
 @add("production_weighted_rank", BOOK.oracles["production_rank"].replace(bm25_sql(), bm25_sql(queries=NAMING, corpus=WEIGHTED)).replace("JOIN documents d ON", "JOIN corpus d ON"))
 def _(spark, sf):
-    fields = {f: PRODUCTION_FIELDS[f] for f in ("specialty", "description", "name")}
-    return out(SL.production(view(spark, sf, NAMING), view(spark, sf, FIELDED), signals(spark, sf), fields=fields).where("rank <= 50"))
+    # The fields are those of the configuration that the documents have.
+    return out(SL.production(view(spark, sf, NAMING), view(spark, sf, FIELDED), signals(spark, sf)).where("rank <= 50"))
+
+
+@add("shortlist_weighted", BOOK.oracles["shortlist_two_stage"].replace(bm25_sql(), bm25_sql(queries=NAMING, corpus=WEIGHTED)).replace("JOIN documents d USING", "JOIN corpus d USING"))
+def _(spark, sf):
+    return out(SL.shortlist(view(spark, sf, NAMING), view(spark, sf, FIELDED), stage_b_counts))
 
 
 # A filter for every query
