@@ -29,7 +29,7 @@ from .common import stage, trim
 
 #: A shard is closed as soon as it has so many documents, or so many terms with repeats.
 SHARD_DOCUMENTS, SHARD_TERMS = 4096, 1 << 20
-#: Bound of what is sent to the tasks at once: (query, term) pairs; more are searched in blocks.
+#: Bound of what is sent to the tasks at once: (query, term) pairs, a term counting once more for every 16 bytes; more are searched in blocks.
 BLOCK = 1 << 19
 #: Nodes taken at a time for each query, and postings that queries searched together may have.
 BEAM, TOGETHER = 48, 1 << 18
@@ -296,7 +296,8 @@ def search(queries: DataFrame, documents: DataFrame, *, k: int = 10, index: Data
     documents of their own; rows with the same item_id are items of their own, each ranked
     from 1.  Texts of every length are indexed whole.  No documents or items: no rows.  Other
     columns are ignored, whatever their names.  ``index`` is what ``build_index`` gave, if
-    it is there already; more than ``block`` (item, term) pairs are searched in blocks.
+    it is there already; more than ``block`` (item, term) pairs are searched in blocks, long
+    terms counting as several.
     """
     index = build_index(documents) if index is None else index
     numbered = stage(queries.select("item_id", "text").withColumn("number", F.monotonically_increasing_id()), "lexical-items")
@@ -311,9 +312,8 @@ def search(queries: DataFrame, documents: DataFrame, *, k: int = 10, index: Data
     df = pairs.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2.0 * known + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
     asked = stage(terms.join(df.select("term", weight.alias("weight")), "term"), "lexical-asked")
-    # Blocks of whole queries, by running totals of their terms.
-    sizes = asked.groupBy("number").agg(F.count(F.lit(1)).alias("n"))
-    pairs_asked = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # Blocks of whole queries, dealt by a hash.
+    pairs_asked = asked.agg(F.sum(1 + F.floor(F.octet_length("term") / 16)).alias("n")).first()["n"] or 0
     blocks = -(-pairs_asked // block)
     if not blocks:
         return spark.createDataFrame([], f"item_id {numbered.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long")
