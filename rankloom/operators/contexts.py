@@ -21,7 +21,7 @@ def _list(c: Column, kind: str = _STRINGS) -> Column:
     return F.coalesce(c, F.expr(f"cast(array() as {kind})"))
 
 
-def _then(first: Column, more: Column) -> Column:
+def then(first: Column, more: Column) -> Column:
     """All of ``first``, then what of ``more`` is not among it, each once."""
     return F.concat(first, F.array_distinct(F.filter(more, lambda x: ~F.array_contains(first, x))))
 
@@ -63,8 +63,8 @@ def session_context(variant: str, query: Column, insights: Column, general: Colu
     else:
         clear = F.coalesce(RW.is_clear(general["confidence"], general["specificity"]), F.lit(False))
         said = {"goal": general["goal"], "specificity": general["specificity"], "confidence": general["confidence"]}
-        terms = _then(_list(clinical["expansion_terms"]), _list(general["expansion_terms"]))
-        negatives = _then(_list(clinical["negative_terms"]), _list(general["negative_terms"]))
+        terms = then(_list(clinical["expansion_terms"]), _list(general["expansion_terms"]))
+        negatives = then(_list(clinical["negative_terms"]), _list(general["negative_terms"]))
         subspecialties = likely(clinical["likely_subspecialties"], general["likely_subspecialties"])
         if variant == "sequential":
             out |= said | {"intent_terms": _list(general["expansion_terms"]), "anchor_phrases": _list(general["anchor_phrases"]), "negative_terms": _list(general["negative_terms"]), "likely_subspecialties": _list(general["likely_subspecialties"], _NAMED)}
