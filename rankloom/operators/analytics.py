@@ -63,6 +63,15 @@ def session_counts(messages: DataFrame) -> DataFrame:
     return messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.sum("recommendations").alias("recommendations"), F.min("stamp").alias("first_stamp"))
 
 
+def latest_by_phone(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(left_id, right_id): the latest right row (right_id, phone, seen) with a left row's (left_id, phone) telephone number, ties to the greatest right_id.
+
+    Each number's latest row is found before the two sides meet, so a number is joined with one row, however many have it.
+    """
+    latest = right.where("phone is not null").groupBy("phone").agg(F.max(F.struct("seen", "right_id")).alias("r"))
+    return left.where("phone is not null").select("left_id", "phone").join(latest, "phone").groupBy("left_id").agg(F.max("r").alias("r")).select("left_id", "r.right_id")
+
+
 def best_by_detail(left: DataFrame, right: DataFrame, long: int = 50) -> DataFrame:
     """Of the log entries of a session's day the most detailed: with filters and a query longer than ``long`` counts 2, one of them 1; ties to the earliest.
 
@@ -71,7 +80,7 @@ def best_by_detail(left: DataFrame, right: DataFrame, long: int = 50) -> DataFra
     """
     points = F.when(F.col("filters").isNotNull(), 1).otherwise(0) + F.when(F.length("query") > long, 1).otherwise(0)
     log = right.withColumn("points", points)
-    by_phone = left.where("phone is not null").join(log.select("right_id", "phone", "seen"), "phone").groupBy("left_id").agg(F.max_by("right_id", F.struct("seen", "right_id")).alias("right_id"))
+    by_phone = latest_by_phone(left, log)
     # The best entry of a day is the same for all its sessions, so the join meets one row a day.
     best = log.groupBy("day").agg(F.min(F.struct((-F.col("points")).alias("p"), "seen", "right_id")).alias("b")).select("day", F.col("b.right_id").alias("right_id"))
     by_day = left.join(by_phone, "left_id", "left_anti").join(best, "day").select("left_id", "right_id")
