@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard
 from ..staging import stage
+from .analytics import latest_by_phone
 
 STAMP = r"\[([^\]]+)\]\s*[^:]+:\s*"
 #: White space at either end of a line, as chat exports have it.
@@ -88,41 +91,95 @@ def tally(log: DataFrame, target: str, top: int | None = None) -> DataFrame:
     return out
 
 
-#: Rarest tokens that are looked up first, to know how good a match must be.
-PROBES = 4
+#: Rows of either side that meet in one task at most, about.
+SIDE = 4096
+#: Left rows that are compared at a time, and how many times more a pair of postings costs than a place in a product of matrices.
+CHUNK, COSTLIER = 128, 150
 
 
-def best_same_day(left: DataFrame, right: DataFrame, least: float = 0.08) -> DataFrame:
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Sizes of a column of lists, and what is in them."""
+    whole = column.combine_chunks()
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten()
+
+
+def _positions(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every run, one run after another."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+    """left_id, right_id, shared, united: for each left row the most similar right rows, as near as rounding to six places cannot tell; of equal sizes the least right_id.
+
+    Tokens of both sides are numbered.  Those that many rows have are multiplied as
+    matrices, the others meet as pairs of postings.
+    """
+    (na, a), (nb, b) = _lists(left["a"]), _lists(right["b"])
+    words = pc.unique(a)
+    a, b = (pc.index_in(x, words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+    row_a, row_b = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    row_b, b = row_b[b >= 0], b[b >= 0]
+    df_a, df_b = (np.bincount(x, minlength=len(words)) for x in (a, b))
+    common = np.flatnonzero(df_a * df_b * COSTLIER > len(na) * len(nb))
+    place = np.full(len(words), -1, np.int64)
+    place[common] = np.arange(len(common))
+    dense = np.zeros((len(common), len(nb)), np.float32)
+    hit = place[b] >= 0
+    dense[place[b[hit]], row_b[hit]] = 1
+    order = np.argsort(b, kind="stable")
+    holders, starts = row_b[order], np.cumsum(df_b) - df_b
+    ids = right["right_id"].combine_chunks().to_numpy(zero_copy_only=False)
+    out = []
+    for lo in range(0, len(na), CHUNK):
+        n = min(CHUNK, len(na) - lo)
+        mine = slice(*np.searchsorted(row_a, [lo, lo + n]))
+        token, row = a[mine], row_a[mine] - lo
+        own = np.zeros((n, len(common)), np.float32)
+        often = place[token] >= 0
+        own[row[often], place[token[often]]] = 1
+        shared = (own @ dense).astype(np.int64)
+        token, row = token[~often], row[~often]
+        keys = np.repeat(row, df_b[token]) * len(nb) + holders[_positions(starts[token], df_b[token])]
+        if len(keys):
+            shared += np.bincount(keys, minlength=n * len(nb)).reshape(n, len(nb))
+        united = na[lo : lo + n, None] + nb[None, :] - shared
+        similar = shared / np.maximum(united, 1)
+        r, c = np.nonzero((shared > 0) & (similar >= similar.max(axis=1, keepdims=True) - 2e-6))
+        s, u = shared[r, c], united[r, c]
+        order = np.lexsort((ids[c], u, s, r))
+        r, c, s, u = r[order], c[order], s[order], u[order]
+        first = np.ones(len(r), bool)
+        first[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1]) | (u[1:] != u[:-1])
+        out.append((r[first] + lo, c[first], s[first], u[first]))
+    r, c, s, u = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"left_id": left["left_id"].take(pa.array(r)), "right_id": right["right_id"].take(pa.array(c)), "shared": pa.array(s, pa.int64()), "united": pa.array(u, pa.int64())})
+
+
+def best_same_day(left: DataFrame, right: DataFrame, least: float = 0.08, side: int = SIDE) -> DataFrame:
     """Of the right rows of the same day, the one with the most similar token set (Jaccard) for each left row (ties: least right_id), if similar enough.
 
-    left: (left_id, day, a); right: (right_id, day, b), arrays of distinct tokens.  Rows meet by
-    (day, token), so no day is in one place.  A left row's rarest tokens give it a first match;
-    whatever is at least as similar shares one of its tokens but the commonest few, the
-    more of which may be left out the better that match is, and has a size that allows it.
-    Sets are compared for such pairs only.
+    left: (left_id, day, a); right: (right_id, day, b), arrays of distinct tokens.  The rows of
+    each side and day are dealt into blocks of about ``side``; every left block of a day
+    meets every right block, and only the best of each row leave a task: no day is in
+    one place, and no pair in a shuffle.
     """
-    sized_l = left.select("left_id", "day", F.size("a").alias("na"), F.explode("a").alias("token"))
-    sized_r = right.select("right_id", "day", F.size("b").alias("nb"), F.explode("b").alias("token"))
-    df = sized_r.groupBy("day", "token").agg(F.count(F.lit(1)).alias("df"))
-    by_rarity = Window.partitionBy("left_id", "day").orderBy("df", "token")
-    placed = stage(sized_l.join(df, ["day", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("place", F.row_number().over(by_rarity)).withColumn("met", F.sum((F.col("df") > 0).cast("int")).over(by_rarity)), "tokens-by-rarity")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(left.select("left_id", "day", "a"), ["left_id", "day"]).join(right.select("right_id", "day", "b"), ["right_id", "day"])
-        return both.select("left_id", "day", "right_id", F.round(jaccard(F.col("a"), F.col("b")), 6).alias("similarity")).where(F.col("similarity") >= least)
-
-    def met(tokens: DataFrame, bound: Column) -> DataFrame:
-        near = F.col("nb").between(F.floor(bound * F.col("na")), F.ceil(F.col("na") / bound))
-        return tokens.where("df > 0").join(sized_r, ["day", "token"]).where(near).select("left_id", "day", "right_id").distinct()
-
-    slack = 2e-6  # similarities are rounded to six places
-    first = stage(compared(met(placed.where(F.col("met") <= PROBES), F.lit(least - slack))), "first-matches")
-    best = first.groupBy("left_id", "day").agg(F.max("similarity").alias("best"))
-    bound = F.coalesce("best", F.lit(least)) - slack
-    rest = placed.join(best, ["left_id", "day"], "left").withColumn("bound", bound)
-    rest = rest.where((F.col("met") > PROBES) & (F.col("place") <= F.col("na") - F.ceil(F.col("bound") * F.col("na")) + 1))
-    more = met(rest, F.col("bound")).join(first.select("left_id", "day", "right_id"), ["left_id", "day", "right_id"], "left_anti")
-    return first.unionByName(compared(more)).groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "right_id")).alias("m")).select("left_id", "m.right_id", (-F.col("m.s")).alias("similarity"))
+    sized = lambda df, n: df.where("day is not null").groupBy("day").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / side)).cast("int").alias(n))
+    blocks = stage(sized(left, "of_left").join(sized(right, "of_right"), "day"), "days")  # days of both sides
+    dealt = lambda df, key, n: df.join(blocks, "day").withColumn(n, F.pmod(F.xxhash64(key), F.col(f"of_{n}")).cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(f"of_{n}") - 1)).alias(n)
+    mine = dealt(left.where(F.size("a") > 0), "left_id", "left").select("day", "left", every("right"), "left_id", "a")
+    theirs = dealt(right.where(F.size("b") > 0), "right_id", "right").select("day", every("left"), "right", "right_id", "b")
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((left, "left_id"), (right, "right_id"))}
+    keys = ["day", "left", "right"]
+    near = mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInArrow(lambda a, b: _nearest(a, b) if a.num_rows and b.num_rows else _none(a, b), f"left_id {kinds['left_id']}, right_id {kinds['right_id']}, shared long, united long")
+    scored = near.select("left_id", "right_id", F.round(F.col("shared") / F.col("united"), 6).alias("similarity")).where(F.col("similarity") >= least)
+    return scored.groupBy("left_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "right_id")).alias("m")).select("left_id", "m.right_id", (-F.col("m.s")).alias("similarity"))
+
+
+def _none(left: pa.Table, right: pa.Table) -> pa.Table:
+    return pa.table({"left_id": left["left_id"].slice(0, 0), "right_id": right["right_id"].slice(0, 0), "shared": pa.array([], pa.int64()), "united": pa.array([], pa.int64())})
 
 
 def migrate_log(first: Column, second: Column, n: int = 10) -> Column:
@@ -135,6 +192,6 @@ def match_sessions(left: DataFrame, right: DataFrame, least: float = 0.08) -> Da
 
     left: (left_id, day, phone, a); right: (right_id, day, phone, seen, b), as ``best_same_day`` has them.
     """
-    by_phone = left.where("phone is not null").select("left_id", "phone").join(right.select("right_id", "phone", "seen"), "phone").groupBy("left_id").agg(F.max_by("right_id", F.struct("seen", "right_id")).alias("right_id"))
+    by_phone = latest_by_phone(left, right)
     rest = best_same_day(left.join(by_phone.select("left_id"), "left_id", "left_anti"), right, least)
     return by_phone.select("left_id", "right_id", F.lit(1.0).alias("similarity"), F.lit("phone").alias("how")).unionByName(rest.withColumn("how", F.lit("day")))

@@ -37,3 +37,23 @@ def test_latest_by_phone_meets_one_row_of_each_number(spark):
     found = AN.latest_by_phone(left, right)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 38), (2, 38), (4, 39)]
     assert "Aggregate [phone" in below_joins(found)
+
+
+def test_same_day_matches_over_many_blocks(spark):
+    import random
+
+    from rankloom.operators.sessions import best_same_day
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    some = lambda: rng.sample(words[: rng.choice((8, 40))], rng.randint(0, 6))
+    left, right = ([(i, rng.choice((1, 2, None)), some()) for i in range(n)] for n in (60, 150))
+    got = best_same_day(spark.createDataFrame(left, "left_id long, day int, a array<string>"), spark.createDataFrame(right, "right_id long, day int, b array<string>"), side=16)
+    assert "CoGroup" in got._jdf.queryExecution().optimizedPlan().toString() and not [c for c in got.columns if c in ("a", "b")]
+    want = {}
+    for i, d, a in left:
+        all_ = [(-round(len(set(a) & set(b)) / len(set(a) | set(b)), 6), j) for j, e, b in right if d is not None and d == e and a and b]
+        best = min(all_, default=(0, 0))
+        if best[0] <= -0.08:
+            want[i] = (best[1], -best[0])
+    assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
