@@ -42,26 +42,27 @@ def fresh(name: str, taken: list[str]) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _written(df: DataFrame, path: str, mode: str = "error") -> None:
+def _written(df: DataFrame, path: str, mode: str = "error", rows_per_file: int = 0) -> None:
     conf = df.sparkSession.conf
     before = conf.get(CLEAN_UP, "false")
     conf.set(CLEAN_UP, "true")
     try:
-        df.write.mode(mode).option("compression", "zstd").parquet(path)
+        df.write.mode(mode).option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
     finally:
         conf.set(CLEAN_UP, before)
 
 
-def stage(df: DataFrame, label: str, kept: list | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, kept: list | None = None, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     This cuts the lineage and fixes the rows: several consumers see the same
     values, and a lost executor costs a re-read instead of a recomputation.  What was
-    written is noted in ``kept``, for :func:`discard`.
+    written is noted in ``kept``, for :func:`discard`.  ``rows_per_file`` bounds the rows of
+    a file (0: no bound): where a row has megabytes, a writer and a reader hold a whole file.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    _written(df, path)
+    _written(df, path, rows_per_file=rows_per_file)
     out = spark.read.schema(df.schema).parquet(path)
     if kept is not None:
         kept.append((path, out))

@@ -29,6 +29,8 @@ from .common import stage, trim
 
 #: A shard is closed as soon as it has so many documents, or so many terms with repeats.
 SHARD_DOCUMENTS, SHARD_TERMS = 4096, 1 << 20
+#: Shards of a file. Spark's reader decodes up to 4096 rows at once, so all shards of a file, however large its task's share of the texts.
+FILE_SHARDS = 2
 #: Bound of what is sent to the tasks at once: (query, term) pairs, a term counting once more for every 16 bytes; more are searched in blocks.
 BLOCK = 1 << 19
 #: Nodes taken at a time for each query, and postings that queries searched together may have.
@@ -96,7 +98,7 @@ def build_index(documents: DataFrame, *, shard_documents: int = SHARD_DOCUMENTS,
     terms in byte order, df: in how many documents of the shard; members and tf: places in
     ``documents`` and occurrences, term by term.
     """
-    return stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sharded(shard_documents, shard_terms), INDEX), "lexical-index")
+    return stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sharded(shard_documents, shard_terms), INDEX), "lexical-index", rows_per_file=FILE_SHARDS)
 
 
 def _asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
