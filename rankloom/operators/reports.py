@@ -21,8 +21,13 @@ def overlaps(missed: DataFrame, queries: DataFrame, documents: DataFrame, high:
     terms); documents: doc_id, text and the fields.  A term counts if it stands anywhere in
     the lower-case text, also within a longer word.
     """
-    both = missed.join(queries.select("query_id", "terms"), "query_id").join(documents, "doc_id", "left")
-    count = lambda c: T.count_contained(F.col("terms"), F.lower(F.coalesce(F.col(c), F.lit(""))))
+    # A document's rows are gathered before its text comes to them, so a text is shuffled once, however many queries lack it.
+    gathered = missed.groupBy("doc_id").agg(F.collect_list(F.struct(*missed.columns)).alias("__rows"))
+    low_case = {f"__{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in dict.fromkeys(("text", *high, *low))}
+    texts = documents.select("doc_id", *[c.alias(n) for n, c in low_case.items()])
+    each = gathered.join(texts, "doc_id", "left").select(F.explode("__rows").alias("__row"), *[F.coalesce(n, F.lit("")).alias(n) for n in low_case]).select("__row.*", *low_case)
+    both = each.join(F.broadcast(queries.select("query_id", "terms")), "query_id")
+    count = lambda c: T.count_contained(F.col("terms"), F.col(f"__{c}"))
     made = both.withColumns({f"overlap_{f}": count(f) for f in (*high, *low)} | {"overlap": count("text")})
     total = lambda fields: reduce(lambda a, b: a + b, (F.col(f"overlap_{f}") for f in fields), F.lit(0))
     dominant = F.when((total(high) > 0) & (total(low) > 0), "mixed").when(total(high) > 0, "high_only").when(total(low) > 0, "low_only").otherwise("none")
