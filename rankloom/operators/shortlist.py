@@ -65,7 +65,8 @@ def local(queries: DataFrame, documents: DataFrame, signals: DataFrame, config:
 
 def stage_a(queries: DataFrame, documents: DataFrame, config: RankingConfig = RankingConfig(), top: int | None = None) -> DataFrame:
     """The first stage's best ``top`` (the configured size by default) of every query."""
-    return ranked(bm25(queries, documents, config, fields_of(documents, config)), top or config.stage_a_size())
+    size = top or config.stage_a_size()
+    return ranked(bm25(queries, documents, config, fields_of(documents, config), top=size), size)
 
 
 def shortlist(queries: DataFrame, documents: DataFrame, counts, config: RankingConfig = RankingConfig(), where: Column | None = None, first: DataFrame | None = None) -> DataFrame:

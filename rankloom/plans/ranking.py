@@ -50,24 +50,24 @@ def _(spark, sf):
 
 @add("bm25_local_topk", f"WITH {bm25_sql(variant='local')} {TOP.format(n=10)}")
 def _(spark, sf):
-    return out(ranked(bm25(*inputs(spark, sf), RankingConfig(variant="local")), 10))
+    return out(ranked(bm25(*inputs(spark, sf), RankingConfig(variant="local"), top=10), 10))
 
 
 @add("bm25_dedup_terms", f"WITH {bm25_sql(variant='mini', k1=1.2, b=0.8)} SELECT query_id, doc_id, score, rank FROM ranked WHERE score > 0 AND rank <= 10")
 def _(spark, sf):
-    return out(ranked(bm25(*inputs(spark, sf), RankingConfig(variant="mini", k1=1.2, b=0.8)).where("score > 0"), 10))
+    return out(ranked(bm25(*inputs(spark, sf), RankingConfig(variant="mini", k1=1.2, b=0.8), top=10).where("score > 0"), 10))
 
 
 @add("bm25_merged_config", f"WITH {bm25_sql(k1=1.2)} {TOP.format(n=12)}")
 def _(spark, sf):
     config = RankingConfig().merged(k1=1.2, b=None, top_n=None, top_k=12)
-    return out(ranked(bm25(*inputs(spark, sf), config), config.top_k))
+    return out(ranked(bm25(*inputs(spark, sf), config, top=config.top_k), config.top_k))
 
 
 @add("bm25_field_weighted", f"WITH {bm25_sql(corpus='''SELECT doc_id, coalesce(text, '') || ' ' || lang || ' ' || lang || ' ' || lang || ' ' || source || ' ' || source AS text FROM documents''', queries='''SELECT item_id AS query_id, text || ' src1 src7' AS text FROM benchmark''')} {TOP.format(n=10)}")
 def _(spark, sf):
     q = view(spark, sf, "SELECT item_id AS query_id, text || ' src1 src7' AS text FROM benchmark")
-    return out(ranked(bm25(q, table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), fields={"text": 1, "lang": 3, "source": 2}), 10))
+    return out(ranked(bm25(q, table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), fields={"text": 1, "lang": 3, "source": 2}, top=10), 10))
 
 
 @add("bm25_filtered_corpus", f"WITH {bm25_sql(corpus='''SELECT d.doc_id, text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang = 'en' AND NOT coalesce(toxic = 1, false)''')} {TOP.format(n=10)}")
@@ -75,7 +75,7 @@ def _(spark, sf):
     q, _ = inputs(spark, sf)
     bad = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
     docs = table(spark, sf, "documents").where("lang = 'en'").join(bad, "doc_id", "left_anti").select("doc_id", "text")
-    return out(ranked(bm25(q, docs), 10))
+    return out(ranked(bm25(q, docs, top=10), 10))
 
 
 VOLUME_SQL = f"""g AS (SELECT l_suppkey AS doc_id, lower(p_type) AS name, l_quantity AS n FROM lineitem JOIN part ON l_partkey = p_partkey),
@@ -127,14 +127,14 @@ SIZE = RankingConfig().stage_a_size()
 def shortlist(spark, sf, config=RankingConfig()):
     """The first stage's short list of every query, with both texts for the checks that follow."""
     q, docs = inputs(spark, sf)
-    top = ranked(bm25(q, docs, config), SIZE)
+    top = ranked(bm25(q, docs, config, top=SIZE), SIZE)
     return top.join(docs.withColumnRenamed("text", "body"), "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
 
 
 @add("phrase_bonus", f"WITH {bm25_sql()}, {PHRASES_SQL} SELECT r.query_id, r.doc_id, {PHRASE_SQL} AS bonus FROM ranked r JOIN documents d USING (doc_id) JOIN ph USING (query_id) WHERE rank <= {SIZE}")
 def _(spark, sf):
     q, docs = inputs(spark, sf)
-    top = ranked(bm25(q, docs), SIZE).select("query_id", "doc_id")
+    top = ranked(bm25(q, docs, top=SIZE), SIZE).select("query_id", "doc_id")
     return top.join(bonuses(q, docs, 3), ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("bonus", L(0.0)).alias("bonus"))
 
 
@@ -451,7 +451,7 @@ b AS (SELECT * FROM (WITH {bm25_sql(variant='local', k1=1.2, b=0.8)} SELECT quer
 
 def two(spark, sf):
     q, docs = inputs(spark, sf)
-    return ranked(bm25(q, docs), 50), ranked(bm25(q, docs, RankingConfig(variant="local", k1=1.2, b=0.8)), 50)
+    return ranked(bm25(q, docs, top=50), 50), ranked(bm25(q, docs, RankingConfig(variant="local", k1=1.2, b=0.8), top=50), 50)
 
 
 @add("rrf_fusion", f"WITH {TWO_SQL}, f AS (SELECT query_id, doc_id, round(1e0 / coalesce(a.rank, 51) + 1e0 / coalesce(b.rank, 51), 6) AS score FROM a FULL JOIN b USING (query_id, doc_id)) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 12")
@@ -491,7 +491,7 @@ TIER_SQL = "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'excellent'
 @add("tier_rerank", f"""WITH a AS (WITH {bm25_sql()} SELECT query_id, doc_id, score FROM ranked WHERE rank <= 50), t AS ({TIER_SQL}), e AS (SELECT query_id, a.doc_id, score, coalesce(tier, 'good') AS tier FROM a LEFT JOIN t ON a.doc_id = t.doc_id)
 SELECT * FROM (SELECT query_id, doc_id, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'excellent' THEN 0 WHEN 'good' THEN 1 ELSE 2 END, score DESC, doc_id) AS rank FROM e) WHERE rank <= 12""")
 def _(spark, sf):
-    return FU.tier_rerank(ranked(bm25(*inputs(spark, sf)), 50).drop("rank"), view(spark, sf, TIER_SQL)).select("query_id", "doc_id", "score", "tier", "rank")
+    return FU.tier_rerank(ranked(bm25(*inputs(spark, sf), top=50), 50).drop("rank"), view(spark, sf, TIER_SQL)).select("query_id", "doc_id", "score", "tier", "rank")
 
 
 @add("progressive_rerank", f"""WITH a AS (WITH {bm25_sql()} SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 30), t AS ({TIER_SQL}), e AS (SELECT query_id, a.doc_id, score, rank AS seen, coalesce(tier, 'good') AS tier FROM a LEFT JOIN t ON a.doc_id = t.doc_id),
@@ -499,7 +499,7 @@ x AS (SELECT query_id, seen, row_number() OVER (PARTITION BY query_id ORDER BY s
 k AS (SELECT e.*, coalesce(rounds, 3) AS rounds FROM e LEFT JOIN s ON e.query_id = s.query_id WHERE seen <= coalesce(rounds, 3) * 12)
 SELECT * FROM (SELECT query_id, doc_id, score, tier, rounds AS rounds_used, row_number() OVER (PARTITION BY query_id ORDER BY CASE tier WHEN 'excellent' THEN 0 WHEN 'good' THEN 1 ELSE 2 END, score DESC, doc_id) AS rank FROM k) WHERE rank <= 12""")
 def _(spark, sf):
-    return FU.progressive(bm25(*inputs(spark, sf)), view(spark, sf, TIER_SQL)).select("query_id", "doc_id", "score", "tier", "rounds_used", "rank")
+    return FU.progressive(bm25(*inputs(spark, sf), top=30), view(spark, sf, TIER_SQL)).select("query_id", "doc_id", "score", "tier", "rounds_used", "rank")
 
 
 def stage_b_counts(rows):
@@ -697,7 +697,7 @@ ANSWERED = """SELECT doc_id, source AS name, lang AS specialty, text AS clinical
 SELECT query_id, y.doc_id, rank, score * 2 AS score, score AS rescoring_score, name, CASE WHEN clinical_expertise <> '' THEN md5(substr(clinical_expertise, 1, 200) || '...') END AS expertise,
  nullif(concat_ws(', ', s || CASE WHEN new_fee = floor(new_fee) THEN new_fee::BIGINT::VARCHAR ELSE new_fee::VARCHAR END || ' (new)', s || later_fee::BIGINT::VARCHAR || ' (follow-up)'), '') AS pricing FROM ranked r JOIN y ON r.doc_id = y.doc_id WHERE rank <= 12""")
 def _(spark, sf):
-    top = ranked(bm25(*inputs(spark, sf)), 12).withColumn("bm25_score", F.col("score")).withColumn("score", F.col("score") * 2)
+    top = ranked(bm25(*inputs(spark, sf), top=12), 12).withColumn("bm25_score", F.col("score")).withColumn("score", F.col("score") * 2)
     fees = F.struct(F.col("new_fee").alias("new_appointment"), F.col("later_fee").alias("follow_up"), "currency")
     made = PR.response(top, view(spark, sf, ANSWERED).withColumn("fees", fees))
     return made.select("query_id", "doc_id", "rank", "score", F.round("rescoring_score", 6).alias("rescoring_score"), "name", F.md5(F.col("clinical_expertise").cast("binary")).alias("expertise"), "pricing")

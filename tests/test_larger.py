@@ -57,3 +57,33 @@ def test_same_day_matches_over_many_blocks(spark):
         if best[0] <= -0.08:
             want[i] = (best[1], -best[0])
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == want
+
+
+def test_bm25_shuffles_no_pairs_and_keeps_the_best(spark):
+    from rankloom.operators.bm25 import bm25, ranked
+
+    docs = spark.createDataFrame([(i, f"common word{i % 7} {'rare ' * (i % 3)}") for i in range(400)] + [(1000, None)], "doc_id long, text string").repartition(5)
+    q = spark.createDataFrame([(1, "common rare"), (2, "word3 word3 absent"), (3, "nothing here")], "query_id long, text string")
+    all_, best = bm25(q, docs), bm25(q, docs, top=5)
+    assert "Aggregate" not in all_._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(ranked(best, 5)) == rows(ranked(all_, 5)) and all_.count() == 400 + 57 and best.count() < all_.count()
+
+
+def test_files_of_the_index_have_few_shards(spark):
+    from rankloom.llm import lexical
+
+    docs = spark.createDataFrame([(i, "a b") for i in range(100)], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(docs, shard_documents=10)
+    assert index.count() == 10 and len(index.inputFiles()) == 5
+
+
+def test_missed_rows_are_gathered_before_texts(spark):
+    from rankloom.operators import reports as RP
+
+    missed = spark.createDataFrame([(1, 7), (2, 7), (1, 8)], "query_id long, doc_id long")
+    q = spark.createDataFrame([(1, ["ab", "x"]), (2, ["zz"])], "query_id long, terms array<string>")
+    docs = spark.createDataFrame([(7, "CAB zz", None)], "doc_id long, text string, name string")
+    found = RP.overlaps(missed, q, docs, ("name",), ("text",))
+    assert sorted((r.query_id, r.doc_id, r.overlap, r.overlap_name, r.dominant) for r in found.collect()) == [(1, 7, 1, 0, "low_only"), (1, 8, 0, 0, "none"), (2, 7, 1, 0, "low_only")]
+    assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
