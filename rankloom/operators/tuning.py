@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..config import RankingConfig
+from ..functions import text as T
 from ..staging import stage
-from .bm25 import ranked
+from .best import Best
+from .bm25 import idf, query_terms, ranked
 from .index import Index
 
 #: Within which the parameters are drawn.
@@ -32,21 +41,71 @@ def draws(spark: SparkSession, ranges: dict[str, tuple[float, float]], n: int, s
     return spark.range(n).withColumnRenamed("id", "config").select("config", *[value(k, *r) for k, r in ranges.items()])
 
 
-def statistics(index: Index, queries: DataFrame, config: RankingConfig = RankingConfig()) -> DataFrame:
-    """What every configuration needs to know, made once and written: a row for each pair that shares a term.
+@dataclass(frozen=True)
+class Statistics:
+    """What every configuration needs to know, made once: a written row for each document.
+
+    rows: doc_id, lengths (of the fields), terms (those that a query has): array of struct<term (its
+    number), field, n (occurrences)>.  asked: (query_id, term, weight: qtf x idf), the queries' own
+    terms.  means: of the fields' lengths, over all documents.
+    """
+
+    rows: DataFrame
+    asked: pa.Table
+    means: list[float]
+
+    def of(self, queries: DataFrame) -> "Statistics":
+        """For the queries (query_id) of ``queries`` alone; weights and lengths stay."""
+        ids = queries.select("query_id").distinct().toArrow()["query_id"].combine_chunks()
+        return replace(self, asked=self.asked.filter(pc.is_in(self.asked["query_id"], ids.cast(self.asked.schema.field("query_id").type))))
+
+
+HELD = "doc_id long, lengths array<int>, terms array<struct<term: int, field: int, n: int>>"
+
+
+def occurrences(documents: DataFrame, fields: list[str], tokenise=T.tokens) -> Index:
+    """Rows like those of an index that is not kept: every occurrence by itself, nothing sorted or written."""
+    made = documents.select("doc_id", *[tokenise(F.col(c)).alias(f"t{i}") for i, c in enumerate(fields)])
+    each = [F.transform(f"t{i}", lambda x: F.struct(x.alias("term"), F.lit(i).alias("field"), F.lit(1).alias("n"))) for i in range(len(fields))]  # noqa: B023
+    return Index(made.select("doc_id", F.array(*[F.size(f"t{i}") for i in range(len(fields))]).alias("lengths"), F.concat(*each).alias("terms")), fields)
+
+
+def _numbered(words: pa.Array, width: int):
+    """Documents' terms (term, field, n) -> those among ``words``, by number, added up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term, field, n = batch["terms"].flatten().flatten()
+            number = pc.index_in(term, words)
+            known = number.is_valid().to_numpy(zero_copy_only=False)
+            owner, number, field, n = (x.to_numpy(zero_copy_only=False)[known].astype(np.int64) for x in (pc.list_parent_indices(batch["terms"]), number, field, n))
+            held, own = np.unique((owner * len(words) + number) * width + field, return_inverse=True)
+            cells = (held // width % max(1, len(words)), held % width, np.bincount(own, n, len(held)))
+            ends = np.searchsorted(held // (width * max(1, len(words))), np.arange(len(batch) + 1))
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in cells], names=["term", "field", "n"]))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["lengths"], terms], names=["doc_id", "lengths", "terms"])
+
+    return run
+
+
+def statistics(index: Index, queries: DataFrame, config: RankingConfig = RankingConfig()) -> Statistics:
+    """Statistics of the queries' terms in an index or in ``occurrences`` (doc_id: a whole number), which is read once.
 
-    query_id, doc_id, lengths (of the fields), means (of the fields' lengths, over all
-    documents), terms: array of struct<weight (qtf x idf), n (occurrences in each field)>.
     Field weights are at least one repetition, so document frequencies do not change with them.
     """
-    asked = index.asked(queries, config)
-    width = len(index.fields)
-    each = index.rows.select("part", "doc_id", "lengths", F.explode("terms").alias("x")).select("part", "doc_id", "lengths", "x.*")
-    by_field = F.array(*[F.sum(F.when(F.col("field") == i, F.col("n")).otherwise(0)) for i in range(width)])
-    held = each.join(asked.select("query_id", "term", "weight"), "term").groupBy("part", "query_id", "doc_id", "term").agg(F.first("lengths").alias("lengths"), F.first("weight").alias("weight"), by_field.alias("n"))
-    means = index.rows.agg(F.array(*[F.coalesce(F.avg(F.get("lengths", F.lit(i))), F.lit(0.0)) for i in range(width)]).alias("means"))  # one row
-    pairs = held.groupBy("part", "query_id", "doc_id").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("term", "weight", "n"))).alias("terms"))
-    return stage(pairs.join(F.broadcast(means)).select("query_id", "doc_id", "lengths", "means", "terms"), "tuning-statistics")
+    asked = query_terms(queries, config.variant == "mini").toArrow().combine_chunks()
+    words = pc.unique(asked["term"]).cast(pa.string())
+    rows = index.rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lengths", "terms").mapInArrow(_numbered(words, len(index.fields)), HELD)
+    held = stage(rows, "tuning-statistics")
+    sizes = held.agg(F.count(F.lit(1)).cast("double"), *[F.coalesce(F.avg(F.get("lengths", F.lit(i))), F.lit(0.0)) for i in range(len(index.fields))]).first()
+    df = held.select(F.explode(F.array_distinct(F.col("terms")["term"])).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    weights = df.select("term", idf(F.col("df"), F.lit(sizes[0]), config.variant).alias("idf")).toArrow()
+    of_word = np.full(len(words), np.nan)  # of words that no document has
+    of_word[weights["term"].to_numpy()] = weights["idf"].to_numpy()
+    number = pc.index_in(asked["term"].cast(pa.string()), words)
+    weight = asked["qtf"].to_numpy() * of_word[number.to_numpy()]
+    made = pa.table({"query_id": asked["query_id"], "term": number, "weight": weight})
+    return Statistics(held, made.filter(pa.array(~np.isnan(weight))), list(sizes[1:]))
 
 
 def _crossed(rows: DataFrame, configs: DataFrame) -> DataFrame:
@@ -56,21 +115,85 @@ def _crossed(rows: DataFrame, configs: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(every)).withColumn("c", F.explode("every")).select(*rows.columns, F.col("c.config").alias("config"), F.col("c.with").alias("with"))
 
 
-def rank_configs(pairs: DataFrame, configs: DataFrame, fields: list[str], k: int = 12) -> DataFrame:
+#: Sums of a document and query under a configuration that are made at a time.
+TOGETHER = 1 << 19
+
+
+def _best(stats: Statistics, drawn: pa.Table, fields: list[str], k: int):
+    """Rows of ``Statistics`` -> (config, query_id, doc_id, score): the ``k`` best of every query under every configuration in a task."""
+    k1, b = (drawn[c].to_numpy().astype(float) for c in ("k1", "b"))
+    times = np.array([np.maximum(1, np.floor(drawn[f].to_numpy() + 0.5)) for f in fields])  # fields x configurations
+    avgdl = np.array(stats.means) @ times
+    avgdl[avgdl == 0] = 1.0
+    asked = stats.asked.combine_chunks().sort_by([("term", "ascending"), ("query_id", "ascending")])
+    names = pc.unique(asked["query_id"]).sort()
+    query, weight, term_of = pc.index_in(asked["query_id"], names).to_numpy().astype(np.int64), asked["weight"].to_numpy(), asked["term"].to_numpy()
+    heads = np.searchsorted(term_of, np.arange(term_of.max(initial=-1) + 2))  # where each term's queries begin
+    configs = drawn["config"].combine_chunks()
+    n_configs, n_queries, n_terms = len(drawn), len(names), len(heads) - 1
+
+    def scores(lengths: np.ndarray, document: np.ndarray, term: np.ndarray, field: np.ndarray, n: np.ndarray):
+        """Documents by fields; occurrences -> each pair's document and query, its scores (pairs x configurations)."""
+        held, own = np.unique(document * n_terms + term, return_inverse=True)
+        document, term = held // n_terms, held % n_terms
+        tf = np.bincount(own * len(fields) + field, n, len(held) * len(fields)).reshape(-1, len(fields)) @ times
+        norm = k1 * (1 - b + b * (lengths @ times) / avgdl)
+        gain = tf * (k1 + 1) / (tf + norm[document])
+        count = np.diff(heads)[term]
+        at = np.repeat(heads[term] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        pair = np.repeat(document, count) * n_queries + query[at]
+        order = np.argsort(pair, kind="stable")
+        pair, first = np.unique(pair[order], return_index=True)
+        sums = np.add.reduceat(gain[np.repeat(np.arange(len(held)), count)[order]] * weight[at[order], None], first, axis=0)
+        return pair // n_queries, pair % n_queries, np.floor(sums * 1e6 + 0.5) / 1e6
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(n_queries * n_configs, k)
+        step = k  # the first documents find places, so there are few of them
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            lengths = batch["lengths"].flatten().to_numpy().reshape(len(ids), -1).astype(float)
+            lists = batch["terms"]
+            term, field, n = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+            document = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+            known = term < n_terms  # terms beyond those are of queries not asked for
+            term, field, n, document = term[known], field[known], n[known], document[known]
+            work = np.cumsum(np.bincount(document, np.diff(heads)[term], len(ids))) * n_configs
+            at = 0
+            while at < len(ids):
+                fits = int(np.searchsorted(work, (work[at - 1] if at else 0) + TOGETHER, "right"))
+                until = min(max(fits, at + 1), at + step)
+                step = min(2 * step, TOGETHER)
+                lo, hi = np.searchsorted(document, (at, until))
+                if work[until - 1] > (work[at - 1] if at else 0):
+                    d, q, found = scores(lengths[at:until], document[lo:hi] - at, term[lo:hi], field[lo:hi], n[lo:hi])
+                    floor = best.floor.reshape(n_queries, n_configs)
+                    pair, c = np.nonzero(found >= floor[q])
+                    best.add(q[pair] * n_configs + c, found[pair, c], ids[at:until][d[pair]])
+                at = until
+        key, doc, score = best.rows()
+        cells = [configs.take(pa.array(key % n_configs)), names.take(pa.array(key // n_configs)), pa.array(doc), pa.array(score)]
+        yield pa.RecordBatch.from_arrays(cells, names=["config", "query_id", "doc_id", "score"])
+
+    return run
+
+
+def rank_configs(stats: Statistics, configs: DataFrame, fields: list[str], k: int = 12) -> DataFrame:
     """(config, query_id, doc_id, score, rank): the ``k`` best of every query under every configuration (config, k1, b, a weight for each field).
 
     Scores are those of ``bm25`` with these parameters; a weight is as many repetitions as
-    ``repeats`` makes of it.  Only the best of each task are shuffled.
+    ``repeats`` makes of it.  A document is read once and scored under all configurations;
+    only the best of each task are shuffled.
     """
-    crossed = _crossed(pairs, configs)
-    times = F.array(*[F.greatest(F.lit(1), F.floor(F.col("with")[f] + 0.5).cast("int")) for f in fields])
-    dot = lambda a, kind: F.aggregate(F.zip_with(a, F.col("times"), lambda x, w: (x * w).cast(kind)), F.lit(0).cast(kind), lambda s, x: s + x)
-    sized = crossed.withColumn("times", times).withColumn("dl", dot(F.col("lengths"), "double")).withColumn("avgdl", dot(F.col("means"), "double"))
-    k1, b = F.col("with.k1"), F.col("with.b")
-    norm = k1 * (1 - b + b * F.col("dl") / F.coalesce(F.nullif("avgdl", F.lit(0.0)), F.lit(1.0)))
-    gain = lambda t: t["weight"] * dot(t["n"], "double") * (F.col("k1") + 1) / (dot(t["n"], "double") + F.col("norm"))
-    scored = sized.withColumn("norm", norm).withColumn("k1", k1).select("config", "query_id", "doc_id", F.round(F.aggregate("terms", F.lit(0.0), lambda s, t: s + gain(t)), 6).alias("score"))
-    return _top(scored, k)
+    spark = configs.sparkSession
+    drawn = configs.select("config", "k1", "b", *fields).toArrow().combine_chunks()  # a bounded draw
+    kind = from_arrow_type(stats.asked.schema.field("query_id").type).simpleString()
+    out = f"config {configs.schema['config'].dataType.simpleString()}, query_id {kind}, doc_id long, score double"
+    if not stats.asked.num_rows or not drawn.num_rows:
+        return _top(spark.createDataFrame([], out), k)
+    # Scoring is long and its rows are small, so their bytes would make too few tasks.
+    dealt = stats.rows.repartition(2 * spark.sparkContext.defaultParallelism)
+    return _top(dealt.mapInArrow(_best(stats, drawn, fields, k), out), k)
 
 
 def _top(scored: DataFrame, k: int, by=("score",)) -> DataFrame:

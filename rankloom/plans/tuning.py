@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import index as IX
 from ..operators import tuning as TU
 from ..staging import stage
 from .base import TOKENS, Book, table, view
@@ -42,7 +41,7 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY config, query_id
 
 
 def tuned_statistics(spark, sf):
-    return TU.statistics(IX.build(view(spark, sf, FIELDED), TUNED), view(spark, sf, NAMING))
+    return TU.statistics(TU.occurrences(view(spark, sf, FIELDED), TUNED), view(spark, sf, NAMING))
 
 
 @add("tune_bm25_fields", f"WITH {tuned_sql(50)} SELECT config, k1, b, specialty, description, name, round(avg(ndcg), 6) AS ndcg FROM c JOIN m USING (config) GROUP BY ALL")
@@ -61,7 +60,7 @@ SELECT x.config, rounds_survived, round(train, 6) AS train, round(holdout, 6) AS
 def _(spark, sf):
     stats, truth = tuned_statistics(spark, sf), view(spark, sf, TRUTH)
     cases = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 4 == 3, "holdout").otherwise("train").alias("split"))
-    evaluate = lambda configs, ids: TU.ndcg(TU.rank_configs(stats.join(ids, "query_id", "left_semi"), configs, TUNED), truth)
+    evaluate = lambda configs, ids: TU.ndcg(TU.rank_configs(stats.of(ids), configs, TUNED), truth)
     found = TU.halving(evaluate, TU.draws(spark, TUNING_RANGES, 16), cases)
     return found.select("config", "rounds_survived", F.round("train", 6).alias("train"), F.round("holdout", 6).alias("holdout"))
 
