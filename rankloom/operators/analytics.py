@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import text as T
+from .best import Best
 
 # Labels of reasons that name a field instead of a concept.
 FIELD_LABELS = ("clinical expertise", "procedures", "conditions")
@@ -156,19 +163,79 @@ def places_said(text: Column, known: tuple[str, ...] = C.KNOWN_PLACES, refused:
     return F.aggregate(good, F.expr("cast(array() as array<struct<place: string, pattern: int, at: int>>)"), first)
 
 
-def keyword_overlap(queries: DataFrame, documents: DataFrame) -> DataFrame:
+#: Words whose needles a task remembers at a time, the longest that are remembered, and documents that are counted at a time.
+REMEMBERED, LONGEST, TOGETHER = 1 << 17, 64, 64
+
+
+def _overlaps(needles: list[str], heads: np.ndarray, query_of: np.ndarray, names: pa.Array, top: int | None):
+    """(doc_id, lower-case text) -> (query_id, doc_id, score); heads: where each needle's queries begin in ``query_of``, and the end of the last."""
+    number = {x: i for i, x in enumerate(needles)}
+    sizes = sorted({len(x) for x in needles})
+    size_of = np.diff(heads)
+    letters = re.compile("[a-z0-9-]{2,}")
+
+    def held(word: str) -> tuple[int, ...]:
+        """The needles within a word, by number."""
+        parts = {word[at : at + n] for n in sizes if n <= len(word) for at in range(len(word) - n + 1)}
+        return tuple(number[x] for x in parts if x in number)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, ...]] = {}
+        best = Best(len(names), top) if top else None
+
+        def needles_of(text: str) -> set[int]:
+            found: set[int] = set()
+            for word in set(letters.findall(text)):
+                own = known.get(word)
+                if own is None:
+                    own = held(word)
+                    if len(word) <= LONGEST:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[word] = own
+                found.update(own)
+            return found
+
+        def cells(q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(doc), pa.array(score.astype(np.int64))], names=["query_id", "doc_id", "score"])
+
+        for batch in batches:
+            for part in (batch.slice(at, TOGETHER) for at in range(0, len(batch), TOGETHER)):
+                found = [np.fromiter(needles_of(x), np.int64) for x in part["text"].to_pylist()]
+                each = np.concatenate(found)
+                count = size_of[each]
+                at = np.repeat(heads[each] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                document = np.repeat(np.repeat(np.arange(len(part)), [len(x) for x in found]), count)
+                score = np.bincount(document * len(names) + query_of[at], minlength=len(part) * len(names)).reshape(len(part), -1)
+                document, q = np.nonzero((score > 0) & (score >= best.floor) if best else score)
+                doc, score = part["doc_id"].to_numpy()[document], score[document, q]
+                if best:
+                    best.add(q, score.astype(float), doc)
+                else:
+                    yield cells(q, doc, score)
+        if best:
+            yield cells(*best.rows())
+
+    return run
+
+
+def keyword_overlap(queries: DataFrame, documents: DataFrame, top: int | None = None) -> DataFrame:
     """(query_id, doc_id, score): how many distinct words of a query a document's text contains, also within longer words.
 
-    A word has no white space, so it is in a text if it is in one of the text's words;
-    the distinct words of both sides meet by an equi-join on runs of characters.
+    A query's words have only letters of ``hyphen_tokens``, so one is in a text if it is in one of the
+    text's runs of these.  The queries' words are sent to the tasks, which look them up where texts are
+    read: neither words nor pairs are shuffled.  With ``top``, a task gives only its best of every
+    query (ties: the smaller id).  doc_id: a whole number, which comes once.
     """
-    from .containment import held_in
-
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.hyphen_tokens(F.col("text")))).alias("needle"))
-    words = documents.select("doc_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"))).alias("holder")).where("holder <> ''")
-    pairs = held_in(words.select("holder").distinct(), terms.select("needle").distinct())
-    hits = words.join(pairs, "holder").select("doc_id", "needle").distinct()
-    return terms.join(hits, "needle").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.hyphen_tokens(F.col("text")))).alias("needle")).distinct().toArrow().combine_chunks().sort_by([("needle", "ascending"), ("query_id", "ascending")])
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id long, score long"
+    if not asked.num_rows:
+        return documents.sparkSession.createDataFrame([], out)
+    needles, names = pc.unique(asked["needle"]), pc.unique(asked["query_id"])
+    at, query_of = (pc.index_in(asked[c], v).to_numpy().astype(np.int64) for c, v in (("needle", needles), ("query_id", names)))
+    heads = np.searchsorted(at, np.arange(len(needles) + 1))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.mapInArrow(_overlaps(needles.to_pylist(), heads, query_of, names, top), out)
 
 
 def top_counts(rows: DataFrame, column: str, top: int) -> DataFrame:

@@ -17,6 +17,8 @@ class Best:
         """Finite scores, one for each key and id."""
         top = self.score.shape[1]
         better = (score > self.floor[key]) | ((score == self.floor[key]) & (ids < self.id[key, -1]))
+        if not better.any():
+            return
         hit = np.unique(key[better])
         every = np.concatenate([self.score[hit].ravel(), score[better]])
         whose = np.concatenate([self.id[hit].ravel(), ids[better]])

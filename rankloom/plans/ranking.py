@@ -205,7 +205,7 @@ HYPHEN = r"list_filter(string_split_regex(regexp_replace(lower(coalesce(text, ''
 @add("keyword_overlap_topk", f"""WITH q AS (SELECT item_id AS query_id, list_distinct({HYPHEN}) AS t FROM benchmark), s AS (SELECT query_id, doc_id, len(list_filter(t, lambda x: contains(lower(d.text), x))) AS score FROM q, documents d)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
 def _(spark, sf):
-    return out(ranked(AN.keyword_overlap(*inputs(spark, sf)), 10))
+    return out(ranked(AN.keyword_overlap(*inputs(spark, sf), top=10), 10))
 
 
 @add("keyword_weighted_score", "SELECT p_partkey AS doc_id, CASE WHEN p_brand <> 'Brand#1' AND p_size < 3 THEN -1 ELSE (CASE WHEN contains(lower(p_type), 'steel') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'part') THEN 2 ELSE 0 END) + (CASE WHEN p_size > 25 THEN 1 ELSE 0 END) END AS score FROM part")
