@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .bm25 import ranked
 
 PAIR = ["query_id", "doc_id"]
@@ -64,7 +65,8 @@ def progressive(scores: DataFrame, evaluations: DataFrame, *, batch: int = 12, r
     a query stops at the first round in which three documents seen are excellent.
     """
     limit = min(batch * rounds, most)
-    seen = ranked(with_tier(scores, evaluations)).where(F.col("rank") <= limit)
+    # Written, since it is read twice and the scores would be made twice.
+    seen = with_tier(stage(ranked(scores, limit), "progressive-seen"), evaluations)
     third = seen.where("tier_order = 0").withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("n = 3")
     stop = third.select("query_id", F.least(F.ceil(F.col("rank") / batch), F.lit(rounds)).cast("int").alias("rounds_used"))
     full = F.lit(-(-limit // batch))

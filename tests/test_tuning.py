@@ -65,3 +65,22 @@ def test_best_of_each_key():
     got = sorted(zip(*(x.tolist() for x in best.rows())))
     want = [x for k in range(5) for x in sorted(zip(key.tolist(), ids.tolist(), score.tolist()), key=lambda x: (-x[2], x[1])) if x[0] == k]
     assert got == sorted(x for k in range(5) for x in [w for w in want if w[0] == k][:4])
+
+
+def test_progressive_scores_once(spark, tmp_path):
+    """The short list that all rounds read is made once, whatever is asked of the result."""
+    from pyspark.sql import functions as F
+
+    from rankloom.operators import fusion
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(100).select((F.col("id") % 4).alias("query_id"), "id", F.col("id").cast("double").alias("score")).withColumnRenamed("id", "doc_id").mapInArrow(counting, "query_id long, doc_id long, score double")
+    tiers = spark.range(100).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "excellent").otherwise("good").alias("tier"))
+    assert fusion.progressive(scores, tiers).count() == 4 * 12
+    assert seen.value == 100
