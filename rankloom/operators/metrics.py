@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def judged(ranking: DataFrame, truth: DataFrame) -> DataFrame:
-    """(query_id, doc_id, rank) with hit 0 or 1 and the size of the query's truth (query_id, doc_id)."""
+    """The ranked documents of each query's truth (query_id, doc_id) with hit 1, and the truth's size; a query without any has one row with hit 0.
+
+    Other ranks go where the truth meets them, and only the truth is held there: the ranking is not sorted again.
+    """
     sizes = truth.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_true"))
-    hits = ranking.join(truth.distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    return sizes.join(hits, "query_id", "left")
+    hits = ranking.join(truth.distinct().withColumn("hit", F.lit(1)).hint("shuffle_hash"), ["query_id", "doc_id"])
+    return sizes.join(hits, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
 
 
 def at_k(rows: DataFrame, ks=(3, 5, 12)) -> DataFrame:

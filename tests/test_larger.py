@@ -87,3 +87,15 @@ def test_missed_rows_are_gathered_before_texts(spark):
     found = RP.overlaps(missed, q, docs, ("name",), ("text",))
     assert sorted((r.query_id, r.doc_id, r.overlap, r.overlap_name, r.dominant) for r in found.collect()) == [(1, 7, 1, 0, "low_only"), (1, 8, 0, 0, "none"), (2, 7, 1, 0, "low_only")]
     assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_the_truth_of_a_ranking_is_gathered(spark):
+    from rankloom.operators import metrics as M
+
+    ranking = spark.createDataFrame([(q, d, d + 1) for q in (1, 2) for d in range(50)], "query_id long, doc_id long, rank int")
+    truth = spark.createDataFrame([(1, 4), (1, 4), (1, 20), (1, 99), (3, 7)], "query_id long, doc_id long")
+    found = M.judged(ranking, truth)
+    assert sorted(tuple(r) for r in found.select("query_id", "doc_id", "rank", "hit", "n_true").collect()) == [(1, 4, 5, 1, 3), (1, 20, 21, 1, 3), (3, None, None, 0, 1)]
+    assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.query_id: r.mrr for r in M.at_k(found).collect()} == {1: 0.2, 3: 0.0}
+    assert [tuple(r) for r in M.rank_buckets(found).orderBy("bucket").collect()] == [("1-10", 1, 5.0, 0.5), ("11-50", 1, 21.0, 0.5)]
