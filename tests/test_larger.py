@@ -99,3 +99,14 @@ def test_only_the_truth_of_a_ranking_is_gathered(spark):
     assert "ShuffledHashJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert {r.query_id: r.mrr for r in M.at_k(found).collect()} == {1: 0.2, 3: 0.0}
     assert [tuple(r) for r in M.rank_buckets(found).orderBy("bucket").collect()] == [("1-10", 1, 5.0, 0.5), ("11-50", 1, 21.0, 0.5)]
+
+
+def test_metrics_agree_with_sql(spark, tmp_path):
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) end as text from range(1, 300) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+        "labels": "select i as doc_id, (i % 5 = 0)::int as quality, (i % 10 = 0)::int as toxic from range(1, 300) t(i) where i % 4 <> 2",
+    }
+    for name in ("mrr", "metric_means", "position_metrics"):
+        got, want = against_sql(spark, tmp_path, name, **tables)
+        assert got == want and got
