@@ -107,6 +107,6 @@ def test_metrics_agree_with_sql(spark, tmp_path):
         "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
         "labels": "select i as doc_id, (i % 5 = 0)::int as quality, (i % 10 = 0)::int as toxic from range(1, 300) t(i) where i % 4 <> 2",
     }
-    for name in ("mrr", "metric_means", "position_metrics"):
+    for name in ("mrr", "metric_means", "rank_buckets", "position_metrics", "recall_by_n"):
         got, want = against_sql(spark, tmp_path, name, **tables)
         assert got == want and got
