@@ -23,7 +23,7 @@ from ..operators import rewrite as RW
 from ..operators import shortlist as SL
 from ..operators.bm25 import bm25, min_max, ranked
 from ..operators.phrases import bonuses
-from ..staging import fresh_path
+from ..staging import fresh_path, stage
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
 from .search import HAV, CENTRE, miles
 
@@ -143,7 +143,7 @@ MINMAX_SQL = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(
 
 @add("minmax_normalise", f"WITH {bm25_sql()} SELECT query_id, doc_id, round({MINMAX_SQL}, 6) AS score FROM scores WINDOW w AS (PARTITION BY query_id)")
 def _(spark, sf):
-    return min_max(bm25(*inputs(spark, sf))).select("query_id", "doc_id", F.round("scaled", 6).alias("score"))
+    return min_max(stage(bm25(*inputs(spark, sf)), "bm25-scores")).select("query_id", "doc_id", F.round("scaled", 6).alias("score"))
 
 
 SEM_SQL = """c AS (SELECT label, list_transform(range(1, 65), lambda i: 0) AS z FROM embeddings GROUP BY label),

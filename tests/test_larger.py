@@ -110,3 +110,14 @@ def test_metrics_agree_with_sql(spark, tmp_path):
     for name in ("mrr", "metric_means", "rank_buckets", "position_metrics", "recall_by_n"):
         got, want = against_sql(spark, tmp_path, name, **tables)
         assert got == want and got
+
+
+def test_scaling_shuffles_no_scores_and_makes_them_once(spark, tmp_path):
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) end as text from range(1, 300) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+    }
+    got, want = against_sql(spark, tmp_path, "minmax_normalise", **tables)
+    assert got == want and got
+    plan = catalogue.QUERIES["minmax_normalise"](spark, str(tmp_path))._jdf.queryExecution()
+    assert "MapInArrow" not in plan.toString() and "SortMergeJoin" not in plan.executedPlan().toString() and "BroadcastHashJoin" in plan.executedPlan().toString()
