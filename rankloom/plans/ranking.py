@@ -21,7 +21,7 @@ from ..operators import progressive as PG
 from ..operators import rescore as RS
 from ..operators import rewrite as RW
 from ..operators import shortlist as SL
-from ..operators.bm25 import bm25, min_max, ranked
+from ..operators.bm25 import bm25, floors, min_max, ranked
 from ..operators.phrases import bonuses
 from ..staging import fresh_path, stage
 from .base import PRACTITIONERS, QUERIES, TOKENS, Book, bm25_sql, table, view
@@ -180,10 +180,12 @@ sem AS (SELECT vec_id AS doc_id, round(least(1e0, greatest(0e0, embedding[1]::DO
 h AS (SELECT query_id, n.doc_id, round(nb + 0.3e0 * coalesce(sem, 0), 6) AS score FROM n LEFT JOIN sem ON n.doc_id = sem.doc_id)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h) WHERE rank <= 10""")
 def _(spark, sf):
-    scaled = min_max(bm25(*inputs(spark, sf))).withColumnRenamed("scaled", "nb")
+    weight, top = RankingConfig().semantic_weight, 10
+    scaled = min_max(stage(bm25(*inputs(spark, sf)), "bm25-scores")).withColumnRenamed("scaled", "nb")
+    near = scaled.join(F.broadcast(floors(scaled, "nb", top, weight)), "query_id", "left").where("nb >= coalesce(floor, 0)").drop("floor")
     sem = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get("embedding", 0).cast("double") * 4)), 6).alias("sem"))
-    both = scaled.join(sem, "doc_id", "left").withColumn("score", F.round(F.col("nb") + RankingConfig().semantic_weight * F.coalesce("sem", L(0.0)), 6))
-    return out(ranked(both, 10))
+    both = near.join(sem, "doc_id", "left").withColumn("score", F.round(F.col("nb") + weight * F.coalesce("sem", L(0.0)), 6))
+    return out(ranked(both, top))
 
 
 @add("negative_penalty", f"WITH {bm25_sql(variant='local')}, t AS (SELECT r.query_id, r.doc_id, r.score, len(list_filter(['trash', 'scum', 'loser', 'idiot'], lambda x: contains(lower(d.text), x))) AS n FROM ranked r JOIN documents d USING (doc_id) WHERE rank <= {SIZE}) SELECT query_id, doc_id, round(score * CASE WHEN n >= 2 THEN 0.85e0 WHEN n = 1 THEN 0.95e0 ELSE 1e0 END, 9) AS score FROM t")

@@ -121,3 +121,23 @@ def test_scaling_shuffles_no_scores_and_makes_them_once(spark, tmp_path):
     assert got == want and got
     plan = catalogue.QUERIES["minmax_normalise"](spark, str(tmp_path))._jdf.queryExecution()
     assert "MapInArrow" not in plan.toString() and "SortMergeJoin" not in plan.executedPlan().toString() and "BroadcastHashJoin" in plan.executedPlan().toString()
+
+
+def test_hybrid_joins_only_what_may_be_among_the_best(spark, tmp_path):
+    from rankloom.operators.bm25 import floors, ranked
+
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) || repeat(' filler', (i % 40)::int) end as text from range(1, 400) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+        "embeddings": "select i as vec_id, case when i % 11 = 0 then null else [(((i * 37) % 100) / 250 - 0.05)::float, 1] end as embedding from range(1, 400, 2) t(i)",
+    }
+    got, want = against_sql(spark, tmp_path, "hybrid_semantic_bm25", **tables)
+    assert got == want and len(got) == 30
+    plan = catalogue.QUERIES["hybrid_semantic_bm25"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "floor" in plan
+    scores = spark.createDataFrame([(1, i, i / 200) for i in range(201)] + [(2, 1, 1.0)], "query_id long, doc_id long, x double")
+    low = {r.query_id: r.floor for r in floors(scores, "x", 10, 0.3).collect()}
+    assert list(low) == [1] and 0.6 < low[1] <= 0.955 - 0.3
+    kept = scores.where(f"query_id = 1 and x >= {low[1]}")
+    worst = lambda df: [tuple(r) for r in ranked(df.select("query_id", "doc_id", F.round(F.col("x") + F.when(F.col("x") > 0.95, 0.0).otherwise(0.3), 6).alias("score")), 10).collect()]
+    assert kept.count() < 80 and worst(kept) == worst(scores.where("query_id = 1"))
