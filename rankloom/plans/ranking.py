@@ -452,8 +452,10 @@ b AS (SELECT * FROM (WITH {bm25_sql(variant='local', k1=1.2, b=0.8)} SELECT quer
 
 
 def two(spark, sf):
+    """Both short lists, written, since what combines them reads them several times."""
     q, docs = inputs(spark, sf)
-    return ranked(bm25(q, docs, top=50), 50), ranked(bm25(q, docs, RankingConfig(variant="local", k1=1.2, b=0.8), top=50), 50)
+    lists = bm25(q, docs, top=50), bm25(q, docs, RankingConfig(variant="local", k1=1.2, b=0.8), top=50)
+    return tuple(stage(ranked(scores, 50), "short-list") for scores in lists)
 
 
 @add("rrf_fusion", f"WITH {TWO_SQL}, f AS (SELECT query_id, doc_id, round(1e0 / coalesce(a.rank, 51) + 1e0 / coalesce(b.rank, 51), 6) AS score FROM a FULL JOIN b USING (query_id, doc_id)) SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 12")

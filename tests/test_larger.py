@@ -141,3 +141,15 @@ def test_hybrid_joins_only_what_may_be_among_the_best(spark, tmp_path):
     kept = scores.where(f"query_id = 1 and x >= {low[1]}")
     worst = lambda df: [tuple(r) for r in ranked(df.select("query_id", "doc_id", F.round(F.col("x") + F.when(F.col("x") > 0.95, 0.0).otherwise(0.3), 6).alias("score")), 10).collect()]
     assert kept.count() < 80 and worst(kept) == worst(scores.where("query_id = 1"))
+
+
+def test_two_short_lists_are_made_once(spark, tmp_path):
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) || repeat(' filler', (i % 40)::int) end as text from range(1, 400) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+    }
+    for name in ("rerank_backfill", "rrf_fusion", "bm25_local_topk", "bm25_merged_config"):
+        got, want = against_sql(spark, tmp_path, name, **tables)
+        assert got == want and got
+    plan = catalogue.QUERIES["rerank_backfill"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
