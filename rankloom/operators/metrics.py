@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 
-def judged(ranking: DataFrame, truth: DataFrame) -> DataFrame:
+
+def judged(ranking: DataFrame, truth: DataFrame, tasks: int | None = None) -> DataFrame:
     """The ranked documents of each query's truth (query_id, doc_id) with hit 1, and the truth's size; a query without any has one row with hit 0.
 
     Other ranks go where the truth meets them, and only the truth is held there: the ranking is not sorted again.
+    With ``tasks``, both sides are dealt into so many before anything is held, and the hits are written once.
     """
-    sizes = truth.groupBy("query_id").agg(F.countDistinct("doc_id").alias("n_true"))
-    hits = ranking.join(truth.distinct().withColumn("hit", F.lit(1)).hint("shuffle_hash"), ["query_id", "doc_id"])
-    return sizes.join(hits, "query_id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+    deal = lambda df: df.repartition(tasks, "query_id", "doc_id") if tasks else df
+    pairs = deal(truth).distinct()
+    sizes = pairs.groupBy("query_id").agg(F.count("doc_id").alias("n_true"))
+    hits = deal(ranking).join(pairs.withColumn("hit", F.lit(1)).hint("shuffle_hash"), ["query_id", "doc_id"])
+    hits = stage(hits, "hits") if tasks else hits
+    # Sizes, a row for each query, go to the hits: no task gathers the hits of a query.
+    without = sizes.join(hits.select("query_id").distinct(), "query_id", "left_anti").withColumn("hit", F.lit(0))
+    return hits.join(F.broadcast(sizes), "query_id").unionByName(without, allowMissingColumns=True)
 
 
 def at_k(rows: DataFrame, ks=(3, 5, 12)) -> DataFrame:

@@ -31,12 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A stand-in's SQL over the test tables; the same text serves as the oracle's subquery."""
+def view(spark: SparkSession, sf_dir: str, sql: str, **given: DataFrame) -> DataFrame:
+    """A stand-in's SQL over the test tables; the same text serves as the oracle's subquery.  ``given`` has tables that are dealt out otherwise."""
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN) {t}\b", sql)]
     plain = sql.replace("{", "{{").replace("}", "}}")
     text = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", plain)
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    return spark.sql(text, **{t: given[t] if t in given else table(spark, sf_dir, t) for t in used})
 
 
 #: Practitioners: suppliers with quality signals that cross every tier, and the place of their nation.

@@ -153,3 +153,38 @@ def test_two_short_lists_are_made_once(spark, tmp_path):
         assert got == want and got
     plan = catalogue.QUERIES["rerank_backfill"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "SortMergeJoin" not in plan
+
+
+def test_whole_rankings_are_dealt_out_within_a_query(spark, monkeypatch):
+    from rankloom.operators import bm25 as BM
+
+    rows = [(q, d, float(d % s)) for q, s in ((1, 5), (2, 1), (None, 40)) for d in range(500)] + [(3, 7, -1.0)]
+    scores = spark.createDataFrame(rows, "query_id long, doc_id long, score double").repartition(3)
+    monkeypatch.setattr(BM, "DEALT", 100)
+    got = BM.ranked_whole(scores)
+    assert got.dtypes == BM.ranked(scores).dtypes
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, BM.ranked(scores).collect()))
+    held = [spark.read.parquet(f).count() for f in got.inputFiles()]  # a file is what a task sorted
+    assert len(held) > 10 and max(held) < 400 and sum(held) == 1501
+    assert "row_number" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert BM.ranked_whole(scores.where("false")).count() == 0
+
+
+def test_no_task_makes_all_pairs_of_the_truth(spark, tmp_path, monkeypatch):
+    from rankloom.operators import bm25 as BM
+    from rankloom.plans import evaluation as EV
+
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) end as text from range(1, 600) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+        "labels": "select i as doc_id, (i % 5 = 0)::int as quality, (i % 10 = 0)::int as toxic from range(1, 600) t(i) where i % 4 <> 2",
+    }
+    monkeypatch.setattr(BM, "DEALT", 150)
+    for name in ("mrr", "rank_buckets"):
+        got, want = against_sql(spark, tmp_path, name, **tables)
+        assert got == want and got
+    each = EV.truth(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(each) > 5 and max(r["count"] for r in each) <= 150
+    # Hits are written, sizes are sent to them: no join gathers the hits of a query.
+    plan = catalogue.QUERIES["rank_buckets"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [row_number" not in plan and "rightHint=(strategy=broadcast)" in plan
