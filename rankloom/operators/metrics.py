@@ -91,10 +91,14 @@ def tier_rollup(shares: DataFrame, ks=(3, 5, 12)) -> DataFrame:
     return shares.agg(F.count(F.lit(1)).alias("queries"), *percents, F.round(100 * F.count_if("all_excellent_3") / F.count(F.lit(1)), 2).alias("all_excellent_percent"))
 
 
-def missing_picks(ranking: DataFrame, truth: DataFrame, n: int = 100) -> DataFrame:
-    """True documents that the first ``n`` ranks lack: their rank and score (null where they are not ranked), the score at rank n, and the gap to it."""
+def missing_picks(ranking: DataFrame, truth: DataFrame, n: int = 100, tasks: int | None = None) -> DataFrame:
+    """True documents that the first ``n`` ranks lack: their rank and score (null where they are not ranked), the score at rank n, and the gap to it.
+
+    With ``tasks``, truth and ranking are dealt into so many before they are joined.
+    """
+    deal = lambda df: df.repartition(tasks, "query_id", "doc_id") if tasks else df
     at = ranking.where(F.col("rank") == n).select("query_id", F.col("score").alias("score_at"))
-    rows = truth.distinct().join(ranking.select("query_id", "doc_id", "rank", "score"), ["query_id", "doc_id"], "left")
+    rows = deal(truth).distinct().join(deal(ranking.select("query_id", "doc_id", "rank", "score")), ["query_id", "doc_id"], "left")
     return rows.where(F.col("rank").isNull() | (F.col("rank") > n)).join(at, "query_id", "left").withColumn("gap", F.round(F.col("score_at") - F.coalesce("score", F.lit(0.0)), 6))
 
 

@@ -188,3 +188,19 @@ def test_no_task_makes_all_pairs_of_the_truth(spark, tmp_path, monkeypatch):
     # Hits are written, sizes are sent to them: no join gathers the hits of a query.
     plan = catalogue.QUERIES["rank_buckets"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [row_number" not in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_what_reads_whole_rankings_or_the_truth_agrees_with_sql_when_dealt_out(spark, tmp_path, monkeypatch):
+    from rankloom.operators import bm25 as BM
+
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null else 'common word' || (i % 7) || repeat(' rare', (i % 3)::int) || repeat(' trash', (i % 4)::int) end as text, 'de' as lang, 'common' as source from range(1, 600) t(i)",
+        "benchmark": "select i as item_id, ['common rare', 'word3 word3', 'absent', 'word5 rare'][i] as text from range(1, 5) t(i)",
+        "labels": "select i as doc_id, (i % 5 = 0)::int as quality, (i % 10 = 0)::int as toxic from range(1, 600) t(i) where i % 4 <> 2",
+    }
+    monkeypatch.setattr(BM, "DEALT", 150)
+    for name in ("missing_picks", "missed_tendencies", "score_at_rank", "penalty_ab", "fetch_next_batch"):
+        got, want = against_sql(spark, tmp_path, name, **tables)
+        assert got == want and got
+        plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan or name == "score_at_rank"
