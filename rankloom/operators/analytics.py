@@ -167,41 +167,51 @@ def places_said(text: Column, known: tuple[str, ...] = C.KNOWN_PLACES, refused:
 REMEMBERED, LONGEST, TOGETHER = 1 << 17, 64, 64
 
 
+class Within:
+    """Which needles, by number, a text contains; needles have only the letters that ``letters`` finds runs of."""
+
+    def __init__(self, needles: list[str], letters: str):
+        self.number = {x: i for i, x in enumerate(needles)}
+        self.sizes = sorted({len(x) for x in needles})
+        self.letters = re.compile(letters)
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def _held(self, word: str) -> tuple[int, ...]:
+        parts = {word[at : at + n] for n in self.sizes if n <= len(word) for at in range(len(word) - n + 1)}
+        return tuple(self.number[x] for x in parts if x in self.number)
+
+    def words(self, text: str) -> set[str]:
+        return set(self.letters.findall(text))
+
+    def of(self, words: set[str]) -> set[int]:
+        """The needles within some of the words."""
+        found: set[int] = set()
+        for word in words:
+            own = self.known.get(word)
+            if own is None:
+                own = self._held(word)
+                if len(word) <= LONGEST:
+                    if len(self.known) >= REMEMBERED:
+                        self.known.clear()
+                    self.known[word] = own
+            found.update(own)
+        return found
+
+
 def _overlaps(needles: list[str], heads: np.ndarray, query_of: np.ndarray, names: pa.Array, top: int | None):
     """(doc_id, lower-case text) -> (query_id, doc_id, score); heads: where each needle's queries begin in ``query_of``, and the end of the last."""
-    number = {x: i for i, x in enumerate(needles)}
-    sizes = sorted({len(x) for x in needles})
     size_of = np.diff(heads)
-    letters = re.compile("[a-z0-9-]{2,}")
-
-    def held(word: str) -> tuple[int, ...]:
-        """The needles within a word, by number."""
-        parts = {word[at : at + n] for n in sizes if n <= len(word) for at in range(len(word) - n + 1)}
-        return tuple(number[x] for x in parts if x in number)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        within = Within(needles, "[a-z0-9-]{2,}")
         best = Best(len(names), top) if top else None
 
-        def needles_of(text: str) -> set[int]:
-            found: set[int] = set()
-            for word in set(letters.findall(text)):
-                own = known.get(word)
-                if own is None:
-                    own = held(word)
-                    if len(word) <= LONGEST:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[word] = own
-                found.update(own)
-            return found
-
         def cells(q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([names.take(pa.array(q)), pa.array(doc), pa.array(score.astype(np.int64))], names=["query_id", "doc_id", "score"])
 
         for batch in batches:
             for part in (batch.slice(at, TOGETHER) for at in range(0, len(batch), TOGETHER)):
-                found = [np.fromiter(needles_of(x), np.int64) for x in part["text"].to_pylist()]
+                found = [np.fromiter(within.of(within.words(x)), np.int64) for x in part["text"].to_pylist()]
                 each = np.concatenate(found)
                 count = size_of[each]
                 at = np.repeat(heads[each] - np.cumsum(count) + count, count) + np.arange(count.sum())

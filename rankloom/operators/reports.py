@@ -2,36 +2,96 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..functions import text as T
+from .analytics import TOGETHER, Within
 
 # Fields that weigh much and little in a ranking.
 HIGH_FIELDS = ("expertise_procedures", "expertise_conditions", "expertise_interests", "procedure_groups", "specialty", "subspecialties")
 LOW_FIELDS = ("description", "about", "name")
 
 
-def overlaps(missed: DataFrame, queries: DataFrame, documents: DataFrame, high: tuple[str, ...] = HIGH_FIELDS, low: tuple[str, ...] = LOW_FIELDS) -> DataFrame:
-    """Adds ``overlap`` (query terms within the document's text), one count for each field, and ``dominant``: where matches are.
+def _counts(terms: list[list[str]], fields: tuple[str, ...]):
+    """(__rows, __q, and lower-case texts, null ones empty) -> the rows, each with how many of its query's terms each text contains, and ``shared``.
+
+    terms: those of each query; __q: the rows' queries, numbers within ``terms``.
+    """
+    needles, other = [], []
+    for t in sorted({t for own in terms for t in own if t is not None}):
+        (needles if re.fullmatch("[a-z0-9_]+", t) else other).append(t)
+    number = {t: i for i, t in enumerate(needles + other)}
+    asked = sorted(Counter((number[t], q) for q, own in enumerate(terms) for t in own if t is not None).items())
+    heads = np.searchsorted(np.array([t for (t, _), _ in asked], np.int64), np.arange(len(number) + 1))
+    size_of, query_of, times = np.diff(heads), np.array([q for (_, q), _ in asked], np.int64), np.array([n for _, n in asked], np.int64)
+    letters = f"[a-z0-9_]{{{min(map(len, needles), default=1)},}}"  # shorter runs hold no needle
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within = Within(needles, letters)
+
+        def by_query(found: list[list[int]]) -> np.ndarray:
+            """For each document and query, how many of the query's terms are among those found."""
+            each = np.array([x for own in found for x in own], np.int64)
+            count = size_of[each]
+            at = np.repeat(heads[each] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            document = np.repeat(np.repeat(np.arange(len(found)), [len(x) for x in found]), count)
+            return np.bincount(document * len(terms) + query_of[at], times[at], len(found) * len(terms)).reshape(len(found), -1)
+
+        for batch in batches:
+            for part in (batch.slice(at, TOGETHER) for at in range(0, len(batch), TOGETHER)):
+                rows, q = part["__rows"].flatten(), part["__q"].flatten().to_numpy()
+                document = np.repeat(np.arange(len(part)), pc.list_value_length(part["__q"]).to_numpy())
+                counts = {}
+                for c in fields:
+                    texts = part[f"__{c}"].to_pylist()
+                    words = [within.words(x) for x in texts]
+                    found = by_query([[*within.of(w), *(number[t] for t in other if t in x)] for w, x in zip(words, texts)])
+                    counts[c] = pa.array(found[document, q].astype(np.int32))
+                    if c == "text":
+                        whole = by_query([[within.number[x] for x in w if x in within.number] for w in words])
+                        counts["shared"] = pa.array(whole[document, q] > 0)
+                made = [rows.field(i) for i in range(rows.type.num_fields)] + list(counts.values())
+                yield pa.RecordBatch.from_arrays(made, names=[f.name for f in rows.type] + [c if c == "shared" else f"__{c}" for c in counts])
+
+    return run
+
+
+def overlaps(missed: DataFrame, queries: DataFrame, documents: DataFrame, high: tuple[str, ...] = HIGH_FIELDS, low: tuple[str, ...] = LOW_FIELDS, same: tuple[str, ...] = (), unknown: bool = True) -> DataFrame:
+    """Adds ``overlap`` (query terms within the document's text), one count for each field, ``shared`` and ``dominant``: where matches are.
 
     missed: (query_id, doc_id, ...), the short list of what a ranking lacks; queries: (query_id,
     terms); documents: doc_id, text and the fields.  A term counts if it stands anywhere in
-    the lower-case text, also within a longer word.
+    the lower-case text, also within a longer word; ``shared`` is whether one is a whole word of it.
+    Fields in ``same`` are the text itself.  Rows whose document is not there have counts of 0,
+    or go (not ``unknown``).  The queries' terms are sent to the tasks, which look words up once for all
+    queries of a document.
     """
+    spark = missed.sparkSession
+    asked = queries.select("query_id", "terms").toArrow().to_pylist()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    coded = spark.createDataFrame([(r["query_id"], i) for i, r in enumerate(asked)], f"query_id {kind}, __n int")
+    rows = missed.join(F.broadcast(coded), "query_id")
     # A document's rows are gathered before its text comes to them, so a text is shuffled once, however many queries lack it.
-    gathered = missed.groupBy("doc_id").agg(F.collect_list(F.struct(*missed.columns)).alias("__rows"))
-    low_case = {f"__{c}": F.lower(F.coalesce(F.col(c), F.lit(""))) for c in dict.fromkeys(("text", *high, *low))}
-    texts = documents.select("doc_id", *[c.alias(n) for n, c in low_case.items()])
-    each = gathered.join(texts, "doc_id", "left").select(F.explode("__rows").alias("__row"), *[F.coalesce(n, F.lit("")).alias(n) for n in low_case]).select("__row.*", *low_case)
-    both = each.join(F.broadcast(queries.select("query_id", "terms")), "query_id")
-    count = lambda c: T.count_contained(F.col("terms"), F.col(f"__{c}"))
-    made = both.withColumns({f"overlap_{f}": count(f) for f in (*high, *low)} | {"overlap": count("text")})
+    gathered = rows.groupBy("doc_id").agg(F.collect_list(F.struct(F.struct(*missed.columns).alias("row"), "__n")).alias("__all"))
+    fields = tuple(c for c in dict.fromkeys(("text", *high, *low)) if c not in same)
+    texts = documents.select("doc_id", *[F.lower(F.coalesce(F.col(c), F.lit(""))).alias(f"__{c}") for c in fields])
+    each = gathered.join(texts, "doc_id", "left" if unknown else "inner").select(F.col("__all")["row"].alias("__rows"), F.col("__all")["__n"].alias("__q"), *[F.coalesce(f"__{c}", F.lit("")).alias(f"__{c}") for c in fields])
+    out = StructType([*missed.schema.fields, *[g for c in fields for g in ([StructField(f"__{c}", IntegerType())] + [StructField("shared", BooleanType())] * (c == "text"))]])
+    made = each.mapInArrow(_counts([r["terms"] or [] for r in asked], fields), out)
+    made = made.withColumns({f"overlap_{f}": F.col("__text" if f in same else f"__{f}") for f in (*high, *low)} | {"overlap": F.col("__text")})
     total = lambda fields: reduce(lambda a, b: a + b, (F.col(f"overlap_{f}") for f in fields), F.lit(0))
     dominant = F.when((total(high) > 0) & (total(low) > 0), "mixed").when(total(high) > 0, "high_only").when(total(low) > 0, "low_only").otherwise("none")
-    return made.withColumn("dominant", dominant).select(*missed.columns, "overlap", *[f"overlap_{f}" for f in (*high, *low)], "dominant")
+    return made.withColumn("dominant", dominant).select(*missed.columns, "overlap", *[f"overlap_{f}" for f in (*high, *low)], "shared", "dominant")
 
 
 def _bucket(value: Column, edges: tuple[int, ...], start: int, missing: str) -> Column:

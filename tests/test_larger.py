@@ -1,6 +1,7 @@
 """What larger tables and repeated values brought to light: results against SQL or plain versions, and the shape of the work."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import analytics as AN
@@ -204,3 +205,33 @@ def test_what_reads_whole_rankings_or_the_truth_agrees_with_sql_when_dealt_out(s
         assert got == want and got
         plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan or name == "score_at_rank"
+
+
+def test_missed_tendencies_rank_only_the_first_and_agree_with_sql(spark, tmp_path, monkeypatch):
+    from rankloom.plans import evaluation as EV
+
+    tables = {
+        "documents": "select i as doc_id, case when i % 9 = 0 then null when i % 7 = 0 then 'uncommon wordy' else 'Common word' || (i % 7) || repeat(' rare', (i % 3)::int) end as text, case when i % 5 > 0 then 'rare' end as lang, 'src' || (i % 3) as source from range(1, 700) t(i)",
+        "benchmark": "select i as item_id, ['common rare common', 'word3 src1 word3', 'absent', null][i] as text from range(1, 5) t(i)",
+        "labels": "select i as doc_id, (i % 5 > 0)::int as quality, (i % 10 = 0)::int as toxic from range(1, 800) t(i)",  # the last are of no document
+    }
+    monkeypatch.setattr(EV, "ranked_whole", lambda scores: pytest.fail("a whole ranking is made"))
+    got, want = against_sql(spark, tmp_path, "missed_tendencies", **tables)
+    assert got == want and {b for k, b, _ in got if k == "rank"} == {"none", "21-50", "51-100", "101+"}
+
+
+def test_overlaps_look_a_text_up_once_for_all_queries(spark):
+    from rankloom.operators import reports as RP
+
+    asked = {1: ["abc", "bcd", "abc", "a-b"], 2: ["b_1", "", "zz"], 3: [], 4: None}
+    bodies = {7: "xABCd b_1x a-b", 8: None, 9: "abc abcd zz", 10: ""}
+    pairs = [(q, d, f"{q}.{d}") for q in asked for d in (*bodies, 99)] + [(1, 7, "again")]
+    docs = spark.createDataFrame([(d, t, "ZZ abc", t) for d, t in bodies.items()], "doc_id long, text string, name string, about string")
+    missed, q = spark.createDataFrame(pairs, "query_id long, doc_id long, more string"), spark.createDataFrame(list(asked.items()), "query_id long, terms array<string>")
+    count = lambda q, text: sum(t in text for t in asked[q] or [])
+    for unknown in (True, False):
+        found = RP.overlaps(missed, q, docs, ("name",), ("about",), same=("about",), unknown=unknown)
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.query_id, r.doc_id, r.more, r.overlap, r.overlap_about, r.overlap_name, r.shared) for r in found.collect())
+        low = lambda d: (bodies.get(d) or "").lower()
+        assert got == sorted((q, d, m, count(q, low(d)), count(q, low(d)), count(q, "zz abc") if d in bodies else count(q, ""), bool(set(low(d).split()) & {"abc", "zz", "b_1", "bcd"} & set(asked[q] or []))) for q, d, m in pairs if unknown or d in bodies)
