@@ -235,3 +235,55 @@ def test_overlaps_look_a_text_up_once_for_all_queries(spark):
         got = sorted((r.query_id, r.doc_id, r.more, r.overlap, r.overlap_about, r.overlap_name, r.shared) for r in found.collect())
         low = lambda d: (bodies.get(d) or "").lower()
         assert got == sorted((q, d, m, count(q, low(d)), count(q, low(d)), count(q, "zz abc") if d in bodies else count(q, ""), bool(set(low(d).split()) & {"abc", "zz", "b_1", "bcd"} & set(asked[q] or []))) for q, d, m in pairs if unknown or d in bodies)
+
+
+def test_semantic_scores_of_repeated_names_agree_with_sql(spark, tmp_path):
+    customer = "select i as c_custkey, 'Customer#' || lpad((i % 1200)::varchar, 9, '0') as c_name, ['HOUSEHOLD', 'BUILDING', 'OTHER'][i % 3 + 1] as c_mktsegment from range(0, 3600) t(i)"
+    got, want = against_sql(spark, tmp_path, "semantic_resolve", customer=customer)
+    assert got == want and len(got) == 3600 and len({s for _, s in got}) > 5
+
+
+@pytest.mark.parametrize("longest", [1, 2, 64])
+def test_needles_that_begin_alike_meet_only_what_holds_them(spark, longest):
+    import random
+
+    from rankloom.operators import containment as CT
+
+    rng = random.Random(longest)
+    some = lambda: "same" + "".join(rng.choices("ab ", k=rng.randint(0, 6)))
+    a, b = ([some()[rng.choice((0, 0, 4)) :] for _ in range(80)] + [None, ""] for _ in range(2))
+    frame = lambda values, c: spark.createDataFrame([(x,) for x in values], f"{c} string")
+    pairs = CT.either_way(frame(a, "a"), frame(b, "b"), longest)
+    want = {(x, y) for x in a for y in b if x and y and (x in y or y in x)}
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted(want)
+
+
+def test_semantic_scores_join_whole_names_and_give_strings_their_first_name(spark):
+    import random
+
+    from rankloom.operators import semantic as SE
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abC", k=rng.randint(1, 4)))
+    name = lambda: " ".join(word() for _ in range(rng.choice((1, 1, 2, 3))))
+    people = [(i, name() if i % 13 else None, rng.choice([None, "", "zed", "yy", word()])) for i in range(150)] + [(200 + i, "aab bca", "zed") for i in range(50)]
+    scored = [(i, rng.choice((0.0, 0.5, 1.5))) for i in range(0, 150, 7)]
+    named = [(i, x, rng.choice((0.0, 0.25, 0.75))) for i, x in enumerate([*(name() + name() for _ in range(25)), "zedyy", "Zed", "aab bca", "aab bca", None, ""])]
+
+    def plain(doc, own, spec):
+        low, spec, ids = (own or "").lower(), (spec or "").lower(), dict(scored)
+        if doc in ids:
+            return min(1.0, ids[doc])
+        if equal := [s for _, x, s in named if x == own and x is not None]:
+            if equal[-1]:
+                return equal[-1]
+        meet = lambda a, b: a != "" and b != "" and (a in b or b in a)
+        keys = [(x.lower(), s) for _, x, s in named if x]
+        end = lambda x: x.rsplit(" ", 1)[-1]
+        second = next((s for k, s in keys if meet(low, k) or meet(end(low), end(k))), 0.0)
+        return second or next((s for k, s in keys if meet(spec, k)), 0.0)
+
+    made = SE.resolve(spark.createDataFrame(people, "doc_id long, name string, specialty string"), spark.createDataFrame(scored, "doc_id long, score double"), spark.createDataFrame(named, "pos long, name string, score double"))
+    # Strings are resolved apart and written: what is left joins rows one to one, without a gathering by profile.
+    assert "min(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.semantic for r in made.collect()} == {p[0]: plain(*p) for p in people} and made.count() == len(people)
